@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def has_vector(vector: Column) -> Column:
@@ -25,18 +26,18 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return np.sqrt(np.bincount(row, weights=flat * flat, minlength=len(column)))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _norm(column: pa.Array) -> pa.Array:
     return pa.array(_lengths(column))
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(T.BooleanType())
 def _bad(column: pa.Array) -> pa.Array:
     flat, row = _elements(column)
     return pa.array(np.bincount(row, weights=~np.isfinite(flat), minlength=len(column)) > 0)
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(T.ArrayType(T.FloatType()))
 def _unit(column: pa.Array) -> pa.Array:
     flat, row = _elements(column)
     lengths = _lengths(column)
@@ -61,7 +62,7 @@ def unit(vector: Column) -> Column:
     return _unit(vector.cast("array<float>"))
 
 
-def matrixdef matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
+def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     """Arrow list column as a float64 matrix. Rows must have one length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
