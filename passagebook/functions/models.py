@@ -7,20 +7,24 @@ on one Arrow batch at a time, so it should open its connection on first use.
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 from collections.abc import Callable, Sequence
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
 
 from passagebook.functions.text import SPACE
 
-_TO_BLANK = str.maketrans({c: " " for c in SPACE})
+_WORD = re.compile("[^" + SPACE + "]+")
+# What str.split would also take for space.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def split_words(text: str) -> list[str]:
     """Same words as the column expression `words`."""
-    return [w for w in text.translate(_TO_BLANK).split(" ") if w]
+    return text.split() if _OTHER_SPACE.search(text) is None else _WORD.findall(text)
 
 
 class Embedder(Protocol):
@@ -42,6 +46,24 @@ class Generator(Protocol):
         ...
 
 
+class _Buckets(dict):
+    """Word to bucket; remembers a bounded number of words."""
+
+    def __init__(self, dim: int, most: int):
+        super().__init__()
+        self.dim, self.most = dim, most
+
+    def __missing__(self, word: str) -> int:
+        digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+        bucket = int(digest[:8], 16) % self.dim
+        if len(self) < self.most:
+            self[word] = bucket
+        return bucket
+
+    def __reduce__(self):
+        return _Buckets, (self.dim, self.most)
+
+
 class HashedWords:
     """Bag of lower-case words hashed into `dim` buckets, scaled to length 1."""
 
@@ -49,27 +71,14 @@ class HashedWords:
 
     def __init__(self, dim: int = 1024, cache_size: int = 200_000):
         self.dim = dim
-        self._cache_size = cache_size
-        self._buckets: dict[str, int] = {}
-
-    def __getstate__(self):
-        return {"dim": self.dim, "_cache_size": self._cache_size, "_buckets": {}}
-
-    def _bucket(self, word: str) -> int:
-        bucket = self._buckets.get(word)
-        if bucket is None:
-            digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
-            bucket = int(digest[:8], 16) % self.dim
-            if len(self._buckets) < self._cache_size:
-                self._buckets[word] = bucket
-        return bucket
+        self._buckets = _Buckets(dim, cache_size)
 
     def embed(self, texts: Sequence[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for i, text in enumerate(texts):
-            hits = [self._bucket(w) for w in split_words(text.lower())]
-            if hits:
-                np.add.at(out[i], hits, 1.0)
+        hits = [list(map(self._buckets.__getitem__, split_words(t.lower()))) for t in texts]
+        row = np.repeat(np.arange(len(texts)), [len(h) for h in hits])
+        flat = np.fromiter(chain.from_iterable(hits), np.int64, len(row))
+        out = np.bincount(row * self.dim + flat, minlength=len(texts) * self.dim)
+        out = out.reshape(len(texts), self.dim).astype(np.float64)
         lengths = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out / np.where(lengths == 0, 1.0, lengths)
 

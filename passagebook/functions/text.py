@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The characters that count as space.
 SPACE = " \t\n\r\x0b\x0c"
 SPACE_RUN = "[ \\t\\n\\r\\x0B\\f]+"
+NOT_SPACE = "[^ \\t\\n\\r\\x0B\\f]"
 
 MAP_STRING = "map<string,string>"
 

@@ -15,16 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagebook.functions.text import SPACE, chunk_id, strip
+from passagebook.functions.text import NOT_SPACE, SPACE, chunk_id, strip
 
 # Where a recursive split may cut, coarse to fine.
 SEPARATORS = (". ", "! ", "? ", "\n\n", "\n", " ", "\n", "\t")
 
-_SENTENCE_GAP = re.compile("(?<=[.!?])[" + SPACE + "]+")
-
-# Windows cut from one slice of the text, so a long text is scanned once per slice and
-# not once per window.
-_WINDOWS_PER_SLICE = 64
+_SENTENCE_GAP = re.compile("[.!?]([" + SPACE + "]+)")
 
 # Rows and characters gathered before an Arrow batch is sent back.
 _BATCH_ROWS = 4096
@@ -37,30 +33,22 @@ def check_window(size: int, overlap: int) -> None:
 
 
 def _windows(text: Column, count: Column, size: int, step: int, finish) -> Column:
-    """`count` windows of `size` characters, `step` apart, as structs (start_char, content)."""
-    per_slice = _WINDOWS_PER_SLICE
-    span = per_slice * step
-    slices = F.transform(
-        F.sequence(F.lit(0), F.floor((count - 1) / per_slice).cast("int")),
-        lambda s: F.substring(text, s * span + 1, F.lit(span + size - step)),
-    )
-
-    def cut(piece, s):
-        left = F.least(F.lit(per_slice), count - s * per_slice)
-        return F.transform(
-            F.sequence(F.lit(0), left - 1),
-            lambda j: F.struct(
-                ((s * per_slice + j) * step).cast("int").alias("start_char"),
-                finish(F.substring(piece, j * step + 1, F.lit(size))).alias("content"),
-            ),
-        )
+    """The first `count` windows of `size` characters, `step` apart, as structs
+    (start_char, content).
 
-    empty = F.array().cast("array<struct<start_char:int,content:string>>")
-    return F.when(count > 0, F.flatten(F.transform(slices, cut))).otherwise(empty)
+    One pass of a pattern that moves on by a step and looks ahead by a window, so the work
+    is linear in the text. Cutting windows with substring would count characters from the
+    start of the text for each of them.
+    """
+    cut = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step}}}"), F.lit(1))
+    return F.transform(
+        F.slice(cut, F.lit(1), count),
+        lambda w, k: F.struct((k * step).cast("int").alias("start_char"), finish(w).alias("content")),
+    )
 
 
 def _explode_windows(df: DataFrame, text: str, windows: Column, size: int) -> DataFrame:
-    kept = F.filter(windows, lambda w: strip(w["content"]) != "")
+    kept = F.filter(windows, lambda w: F.rlike(w["content"], F.lit(NOT_SPACE)))
     others = [c for c in df.columns if c != text]
     return (
         df.withColumn("_len", F.length(text))
@@ -96,7 +84,11 @@ def hard_windows(df: DataFrame, text: str = "text", size: int = 512, overlap: in
 
 
 def split_sentences(text: str) -> list[str]:
-    return _SENTENCE_GAP.split(text)
+    """Cut at the space after a full stop, exclamation or question mark."""
+    gaps = [m.span(1) for m in _SENTENCE_GAP.finditer(text)]
+    starts = [0, *(end for _, end in gaps)]
+    ends = [*(start for start, _ in gaps), len(text)]
+    return [text[i:j] for i, j in zip(starts, ends)]
 
 
 def sentence_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:

@@ -34,14 +34,18 @@ def embed(
     batch_size: int = 32,
     max_retries: int = 3,
     retry_delay: float = 1.0,
-    spread: int | None = None,
+    spread: int | bool = True,
     by: str = "chunk_id",
 ) -> DataFrame:
     """All columns but the text, then embedding, token_count, attempts and error.
 
     The model sees `batch_size` texts per call. A batch that keeps failing, or comes back
     with the wrong number or length of vectors, gives rows with `error` set and no vector.
-    `spread` re-partitions by the key first, for a slow model behind a few long documents.
+
+    Rows are first spread by the key `by`: a model call costs far more than moving its
+    text, and the chunks of one long document would otherwise stay in one task. The number
+    of partitions is the adaptive one, or `spread` if that is a number; spread=False leaves
+    the rows where they are.
     """
     others = [c for c in df.columns if c != text]
     schema = T.StructType(
@@ -91,7 +95,10 @@ def embed(
                 names=[*others, "embedding", "token_count", "attempts", "error"],
             )
 
-    source = df.repartition(spread, by) if spread else df
+    if spread is False:
+        source = df
+    else:
+        source = df.repartition(by) if spread is True else df.repartition(spread, by)
     return source.select(*others, text).mapInArrow(run, schema)
 
 

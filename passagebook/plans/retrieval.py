@@ -49,9 +49,6 @@ class LimitedWords(HashedWords):
         super().__init__(dim)
         self.most_words = most_words
 
-    def __getstate__(self):
-        return {**super().__getstate__(), "most_words": self.most_words}
-
     def embed(self, texts):
         for text in texts:
             if len(text.split()) > self.most_words:
@@ -62,7 +59,8 @@ class LimitedWords(HashedWords):
 def embed_retry(spark: SparkSession, sf: str) -> DataFrame:
     """A model with an input limit: long texts use up their tries and become error rows."""
     rows = embedding.embed(
-        I.documents(spark, sf), LimitedWords(I.DIM, 300), text="text", batch_size=1, retry_delay=0.0
+        I.documents(spark, sf), LimitedWords(I.DIM, 300), text="text", batch_size=1, retry_delay=0.0,
+        by="document_id",
     )
     return rows.groupBy(F.col("error").isNotNull().alias("failed")).agg(
         F.count(F.lit(1)).alias("n_rows"),
