@@ -100,7 +100,7 @@ def apply_sync(index: DataFrame, source: DataFrame, key: str = "chunk_id") -> Da
     """
     kept = index.join(source.select(key, "content_hash"), [key, "content_hash"], "left_semi")
     taken = source.join(index.select(key, "content_hash"), [key, "content_hash"], "left_anti")
-    return kept.unionByName(taken.select(*kept.columns))
+    return kept.unionByName(taken).select(*index.columns)
 
 
 def index_status(index: DataFrame, source: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -286,6 +286,23 @@ def assign_cells(index: DataFrame, centroids: np.ndarray) -> DataFrame:
     return rows.withColumn("cell", nearest_cells(centroids, F.col("embedding"), 1)[0])
 
 
+def write_cells(celled: DataFrame, path: str, rows_per_file: int = INDEX_BLOCK) -> DataFrame:
+    """Write the index partitioned by cell, so a search reads the cells it probes, and read
+    it back. A cell with many rows is spread over several writers and files."""
+    sizes = F.broadcast(
+        celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    )
+    part = F.pmod(F.xxhash64("chunk_id"), F.col("_files"))
+    (
+        celled.join(sizes, "cell")
+        .repartition("cell", part)
+        .drop("_files")
+        .write.partitionBy("cell")
+        .parquet(path)
+    )
+    return celled.sparkSession.read.schema(celled.schema).parquet(path)
+
+
 def top_k_cells(
     queries: DataFrame,
     index: DataFrame,

@@ -220,7 +220,7 @@ def keyword_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_query_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return search.embed_queries(I.text_queries(spark, sf), I.embedder())
+    return materialize(search.embed_queries(I.text_queries(spark, sf), I.embedder()), "queries")
 
 
 def hybrid_results(spark: SparkSession, sf: str, least: float = 0.0, **options) -> DataFrame:

@@ -111,7 +111,8 @@ def replace(df: DataFrame, name: str) -> None:
     The rows are first written to the shared folder, so the table is not read while it is
     overwritten and a failed run can be repeated from there.
     """
-    materialize(df, "replace").write.mode("overwrite").insertInto(name)
+    names = df.sparkSession.table(name).columns
+    materialize(df.select(*names), "replace").write.mode("overwrite").insertInto(name)
 
 
 def table_stats(df: DataFrame) -> DataFrame:
