@@ -67,7 +67,14 @@ def embed_job(spark: SparkSession, tables: Tables, settings: Settings, embedder:
     chunks = read_table(spark, tables.chunks)
     if chunks is None:
         return {"status": "error", "message": f"no table {tables.chunks}", "chunks_embedded": 0}
-    todo = pending(chunks, read_table(spark, tables.vectors))
+    vectors = read_table(spark, tables.vectors)
+    todo = pending(chunks)
+    if vectors is not None:
+        # Ids first: the content of chunks already embedded is not shuffled.
+        ids = materialize(
+            pending(chunks.select("chunk_id", "embedding"), vectors).select("chunk_id"), "pending"
+        )
+        todo = chunks.join(ids, "chunk_id", "left_semi")
     rows = embed_chunks(
         todo, embedder, F.lit(now), settings.batch_size,
         max_retries=settings.max_retries, retry_delay=settings.retry_delay,
@@ -94,19 +101,37 @@ def embedded_chunks(spark: SparkSession, tables: Tables) -> DataFrame:
     return chunks if vectors is None else merge_embeddings(chunks, vectors)
 
 
-def index_job(spark: SparkSession, tables: Tables) -> dict:
-    """Build the index, or bring it up to the chunks."""
+def _index_rows(source: DataFrame) -> DataFrame:
+    return build_index(source, columns=SYNC_COLUMNS).withColumn(
+        "content_hash", content_hash(["content", "metadata", "embedding"])
+    )
+
+
+def index_job(spark: SparkSession, tables: Tables, full: bool = False) -> dict:
+    """Bring the index up to the chunks.
+
+    Usually chunks are only added, so the vectors whose ids the index lacks are built and
+    appended. `full` compares all rows and also takes over changes and deletions.
+    """
     if not table_exists(spark, tables.chunks):
         return {"status": "error", "message": f"no table {tables.chunks}"}
+    old = read_table(spark, tables.index)
+    vectors = read_table(spark, tables.vectors)
+    if old is not None and vectors is not None and not full:
+        done = vectors.filter(F.col("error").isNull()).select("chunk_id").distinct()
+        ids = materialize(done.join(old.select("chunk_id"), "chunk_id", "left_anti"), "index-ids")
+        fresh = merge_embeddings(
+            spark.table(tables.chunks).join(ids, "chunk_id", "left_semi"),
+            vectors.join(ids, "chunk_id", "left_semi"),
+        )
+        _append_plain(materialize(_index_rows(fresh), "index-rows").select(*old.columns), tables.index)
+        counts = ids.agg(F.count(F.lit(1)).alias("added")).first().asDict()
+        return {"status": "success", **counts}
     source = embedded_chunks(spark, tables)
     stats = source_stats(source).first().asDict()
     if stats["status"] != "success":
         return stats
-    rows = build_index(source, columns=SYNC_COLUMNS).withColumn(
-        "content_hash", content_hash(["content", "metadata", "embedding"])
-    )
-    rows = materialize(rows, "index-rows")
-    old = read_table(spark, tables.index)
+    rows = materialize(_index_rows(source), "index-rows")
     if old is None:
         _append_plain(rows, tables.index)
     else:

@@ -128,6 +128,16 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("document_id", "chunk_index", "chunk_id", "start_char", "end_char")
 
 
+def stream_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream through all stages: the index rows its batches wrote, by document."""
+    target, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    write = stream.ingest_batches(target, I.created_at(), I.FIXED, I.embedder())
+    stream.start(_document_stream(spark, sf), write, state).awaitTermination()
+    return spark.read.parquet(f"{target}/index").groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_id")
+    )
+
+
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Every event delivered twice; each is kept once."""
     target, state = scratch_path(spark, "events"), scratch_path(spark, "events-state")
@@ -197,7 +207,7 @@ QUERIES = {
     for f in (
         validate_chunks, validate_embeddings, validate_transcriptions, chunk_quality_report,
         embedding_coverage, issue_summary, issue_head, issue_errors, issue_warnings, rag_data_report,
-        task_log_append, recent_task_runs, task_metric_rollup, full_batch_run, stream_ingest,
+        task_log_append, recent_task_runs, task_metric_rollup, full_batch_run, stream_ingest, stream_index,
         stream_dedupe, graph_stats, graph_filter, k_hop, entity_mentions, co_mentions, graph_tables,
     )
 }
@@ -331,6 +341,8 @@ SELECT document_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) A
        min(chunk_id) AS first_id, count(*) * {I.DIM} AS n_values
 FROM chunks GROUP BY document_id""",
     "stream_ingest": f"WITH {I.CHUNKS_SQL} SELECT document_id, chunk_index, chunk_id, start_char, end_char FROM chunks",
+    "stream_index": f"""
+WITH {I.CHUNKS_SQL} SELECT document_id, count(*) AS n_chunks, min(chunk_id) AS first_id FROM chunks GROUP BY document_id""",
     "stream_dedupe": "SELECT event_id, ts, user_id, event_type, value FROM events",
     "graph_stats": f"""
 WITH {I.TRADE_SQL}

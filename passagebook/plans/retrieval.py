@@ -10,6 +10,7 @@ from passagebook.functions.text import parse_metadata
 from passagebook.functions.models import HashedWords, WordOverlap
 from passagebook.functions.vectors import norm
 from passagebook.operators import embedding, indexing, ranking, search
+from passagebook.operators.upsert import delete_keys, upsert
 from passagebook.plans import inputs as I
 from passagebook.sources.session import materialize
 
@@ -152,13 +153,21 @@ def index_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_delete(spark: SparkSession, sf: str) -> DataFrame:
-    from passagebook.operators.upsert import delete_keys
-
     toxic = I.table(spark, sf, "labels").filter("toxic = 1")
     keys = toxic.select(F.col("doc_id").cast("string").alias("chunk_id"))
     return delete_keys(I.vectors(spark, sf), keys, "chunk_id").select("chunk_id", "label")
 
 
+def index_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents written over the vectors of the same id, or added to them."""
+    rows = I.table(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias("chunk_id"), (F.col("quality") + 10).alias("label")
+    )
+    return upsert(I.vectors(spark, sf), rows, "chunk_id").select(
+        "chunk_id", "label", F.col("embedding").isNotNull().alias("has_vector")
+    )
+
+
 # ---- search --------------------------------------------------------------------------
 
 
@@ -271,7 +280,7 @@ QUERIES = {
     for f in (
         pending_embeddings, pending_by_table, embed_hash, embed_retry, merge_embeddings, token_count,
         dim_check, index_source_stats, index_build, index_build_from_text, index_cells,
-        index_sync_diff, index_sync_apply, index_status, index_delete, knn_exact, knn_exact_many,
+        index_sync_diff, index_sync_apply, index_status, index_delete, index_upsert, knn_exact, knn_exact_many,
         knn_filtered, knn_ivf, knn_ivf_recall, keyword_score, hybrid_search, similarity_threshold,
         batch_retrieval, metadata_parse, rerank, context_window,
     )
@@ -352,6 +361,10 @@ FROM diff""",
     "index_delete": """
 SELECT CAST(vec_id AS VARCHAR) AS chunk_id, label FROM embeddings
 WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    "index_upsert": """
+SELECT CAST(coalesce(vec_id, doc_id) AS VARCHAR) AS chunk_id, coalesce(quality + 10, label) AS label,
+       vec_id IS NOT NULL AS has_vector
+FROM embeddings FULL JOIN labels ON vec_id = doc_id""",
     "knn_exact": _knn_sql(10),
     "knn_exact_many": _knn_sql(10),
     "knn_filtered": _knn_sql(5, "label IN (1, 3, 5)"),

@@ -56,9 +56,19 @@ def test_grouped_equals_brute(data, monkeypatch, query_block, index_block):
     assert rows(search.top_k(query_df, index_df, 12, columns=[], broadcast_queries=3)) == brute(queries, index, 12)
 
 
+@pytest.mark.parametrize("limit", [4096, 0])
+def test_floor_from_sample_changes_nothing(data, limit):
+    queries, index, query_df, index_df = data
+    got = search.top_k(query_df, index_df, 5, columns=[], broadcast_queries=limit, sample=0.2)
+    assert rows(got) == brute(queries, index, 5)
+    # A sample with fewer than k rows gives no floor.
+    few = search.top_k(query_df, index_df, 500, columns=[], broadcast_queries=limit, sample=0.2)
+    assert rows(few) == brute(queries, index, 500)
+
+
 def test_small_memory_limits(data, monkeypatch):
     queries, index, query_df, index_df = data
-    best = search._Best(np.array([q for q, _ in queries], dtype=object), np.float64([v for _, v in queries]), 9)
+    best = search._Best(np.array([q for q, _ in queries], dtype=object), np.float64([v for _, v in queries]), 9, np.full(len(queries), -np.inf))
     monkeypatch.setattr(search, "_STRIP", 16)
     monkeypatch.setattr(search, "_CANDIDATES", 10)
     import pyarrow as pa

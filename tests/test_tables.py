@@ -178,8 +178,14 @@ def test_jobs(spark):
 
     add(("c", "Snow falls in winter. Rain falls in spring."))
     second = jobs.full_batch(spark, t, s, model, NOW)
-    assert second["ingest"]["documents_processed"] == 1 and second["index"]["ready"]
+    assert second["ingest"]["documents_processed"] == 1
+    assert second["index"] == {"status": "success", "added": second["embed"]["chunks_embedded"]}
     assert spark.table(t.index).count() == spark.table(t.chunks).count()
+    assert jobs.index_job(spark, t)["added"] == 0
+    # Changed and deleted chunks are the work of a full run.
+    tables.replace(spark.table(t.index).filter("document_id = 'a'").withColumn("content_hash", F.lit("old")), t.index)
+    whole = jobs.index_job(spark, t, full=True)
+    assert whole["ready"] and whole["covered"] == spark.table(t.chunks).count()
     assert spark.table(t.chunks).select(*DOCUMENT_CHUNKS.names).count() == spark.table(t.vectors).count()
 
     spark.createDataFrame([("1", "where does the dog ran"), ("2", "zzz")], "query_id string, query_text string").write.saveAsTable(t.queries)
