@@ -36,6 +36,7 @@ def embed(
     retry_delay: float = 1.0,
     spread: int | bool = True,
     by: str = "chunk_id",
+    keep_text: bool = False,
 ) -> DataFrame:
     """All columns but the text, then embedding, token_count, attempts and error.
 
@@ -45,9 +46,9 @@ def embed(
     Rows are first spread by the key `by`: a model call costs far more than moving its
     text, and the chunks of one long document would otherwise stay in one task. The number
     of partitions is the adaptive one, or `spread` if that is a number; spread=False leaves
-    the rows where they are.
+    the rows where they are. With `keep_text` the text stays a column.
     """
-    others = [c for c in df.columns if c != text]
+    others = [c for c in df.columns if keep_text or c != text]
     schema = T.StructType(
         [df.schema[c] for c in others]
         + [
@@ -99,7 +100,8 @@ def embed(
         source = df
     else:
         source = df.repartition(by) if spread is True else df.repartition(spread, by)
-    return source.select(*others, text).mapInArrow(run, schema)
+    wanted = others if keep_text else [*others, text]
+    return source.select(*wanted).mapInArrow(run, schema)
 
 
 def embed_chunks(

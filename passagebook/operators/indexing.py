@@ -56,10 +56,7 @@ def build_index_from_text(
     """Index with the vectors computed from the content on the way."""
     carried = [c for c in columns if c != "content"]
     rows = embed(
-        chunks.select("chunk_id", *carried, "content", F.col("content").alias("_text")),
-        embedder,
-        text="_text",
-        **options,
+        chunks.select("chunk_id", *carried, "content"), embedder, keep_text="content" in columns, **options
     )
     return build_index(rows, columns=columns)
 

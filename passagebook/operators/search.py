@@ -354,9 +354,7 @@ def top_k_cells(
 
 def embed_queries(queries: DataFrame, embedder: Embedder, text: str = "query_text", **options) -> DataFrame:
     """Queries with query_vector; a query given with a vector keeps it."""
-    vectors = embed(
-        queries.withColumn("_text", F.col(text)), embedder, text="_text", by="query_id", **options
-    )
+    vectors = embed(queries, embedder, text=text, by="query_id", keep_text=True, **options)
     new = F.col("embedding")
     if "query_vector" in queries.columns:
         new = F.coalesce(F.col("query_vector"), new)

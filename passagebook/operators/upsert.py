@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagebook.sources.session import materialize
+
 
 def latest(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """One row per key: the greatest by `order`, then by the whole row.
@@ -14,8 +16,8 @@ def latest(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     An aggregate, not a window, so copies of a hot key shrink before the shuffle.
     """
     others = [c for c in df.columns if c != key]
-    row = F.struct(*others)
-    best = df.groupBy(key).agg(F.max_by(row, F.struct(*order, row)).alias("_row"))
+    ranked = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)], *others)
+    best = df.groupBy(key).agg(F.max(ranked).alias("_row"))
     return best.select(*[F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
@@ -29,10 +31,12 @@ def upsert(
     """Target after the merge: matched rows take the listed columns of the source (all of
     them by default), unmatched source rows are inserted whole.
 
-    Keys of the source must be unique unless `order` says which copy wins.
+    Keys of the source must be unique unless `order` says which copy wins; the winners are
+    then written to the shared folder once, as the merge reads them three times.
     """
     if order is not None:
-        source = latest(source, key, order)
+        needed = [c for c in source.columns if c in target.columns]
+        source = materialize(latest(source, key, order).select(*needed), "upsert-source")
     updates = set(update_columns if update_columns is not None else source.columns) - {key}
     unknown = updates - set(source.columns)
     if unknown:
@@ -40,7 +44,7 @@ def upsert(
     # A small source is broadcast by the optimizer, so the target is not shuffled; a hot
     # key in the target is split by the adaptive skew join.
     new = source.select(
-        F.col(key), F.struct(*[c for c in source.columns if c != key]).alias("_new")
+        F.col(key), F.struct(F.lit(True).alias("_there"), *sorted(updates & set(target.columns))).alias("_new")
     )
 
     def updated(name):

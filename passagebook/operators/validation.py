@@ -17,6 +17,25 @@ from passagebook.settings import Settings
 ERROR, WARNING = "error", "warning"
 _ISSUE = "struct<level:string,field:string,message:string,value:string>"
 
+# The texts of the issues. {} is filled in per row.
+MISSING_FIELD = "Missing required field: {}"
+CONTENT_TOO_SHORT = "Content too short ({} chars)"
+CONTENT_TOO_LONG = "Content too long ({} chars)"
+CONTENT_BLANK = "Content is empty or whitespace-only"
+NEGATIVE_INDEX = "Chunk index cannot be negative"
+NO_EMBEDDING = "Embedding is null or empty"
+WRONG_DIMENSION = "Wrong embedding dimension: {}, expected {}"
+NORM_TOO_SMALL = "Embedding norm too small: {}"
+NORM_TOO_LARGE = "Embedding norm too large: {}"
+BAD_VALUES = "Embedding contains NaN or Inf values"
+TEXT_TOO_SHORT = "Transcription text is very short"
+DURATION_NOT_POSITIVE = "Duration must be positive"
+DURATION_TOO_LONG = "Duration unusually long"
+
+
+def _filled(text: str, *values: Column) -> Column:
+    return F.format_string(text.replace("{}", "%s"), *values)
+
 
 def _issue(when: Column, level: str, field: str, message, value: Column | None = None) -> Column:
     text = message if isinstance(message, Column) else F.lit(message)
@@ -40,20 +59,19 @@ def _absent(df: DataFrame, name: str) -> Column:
 def chunk_rules(df: DataFrame, settings: Settings | None = None) -> Column:
     s = settings or Settings()
     rules = [
-        _issue(_absent(df, name), ERROR, name, f"Missing required field: {name}")
+        _issue(_absent(df, name), ERROR, name, MISSING_FIELD.format(name))
         for name in ("chunk_id", "document_id", "content")
     ]
     if "content" in df.columns:
         text, n = F.col("content"), F.length("content")
-        said = F.concat(F.lit(" ("), n.cast("string"), F.lit(" chars)"))
         rules += [
-            _issue((n > 0) & (n < s.min_chunk_length), WARNING, "content", F.concat(F.lit("Content too short"), said), n),
-            _issue(n > s.max_chunk_length, WARNING, "content", F.concat(F.lit("Content too long"), said), n),
-            _issue((n > 0) & (strip(text) == ""), ERROR, "content", "Content is empty or whitespace-only"),
+            _issue((n > 0) & (n < s.min_chunk_length), WARNING, "content", _filled(CONTENT_TOO_SHORT, n), n),
+            _issue(n > s.max_chunk_length, WARNING, "content", _filled(CONTENT_TOO_LONG, n), n),
+            _issue((n > 0) & (strip(text) == ""), ERROR, "content", CONTENT_BLANK),
         ]
     if "chunk_index" in df.columns:
         index = F.col("chunk_index")
-        rules.append(_issue(index < 0, ERROR, "chunk_index", "Chunk index cannot be negative", index))
+        rules.append(_issue(index < 0, ERROR, "chunk_index", NEGATIVE_INDEX, index))
     return _collect(rules)
 
 
@@ -68,16 +86,14 @@ def embedding_rules(vector: Column, settings: Settings | None = None, name: str
     length = F.when(there, norm(vector))
     known = ~F.isnan(length)
     shown = F.format_string("%.4f", length)
-    wrong = F.concat(
-        F.lit("Wrong embedding dimension: "), n.cast("string"), F.lit(f", expected {s.embedding_dimension}")
-    )
+    wrong = _filled(WRONG_DIMENSION, n, F.lit(s.embedding_dimension))
     return _collect(
         [
-            _issue(~there, ERROR, name, "Embedding is null or empty"),
+            _issue(~there, ERROR, name, NO_EMBEDDING),
             _issue(n != s.embedding_dimension, ERROR, name, wrong, n),
-            _issue(known & (length < s.min_embedding_norm), WARNING, name, F.concat(F.lit("Embedding norm too small: "), shown), length),
-            _issue(known & (length > s.max_embedding_norm), WARNING, name, F.concat(F.lit("Embedding norm too large: "), shown), length),
-            _issue(there & has_bad_value(vector), ERROR, name, "Embedding contains NaN or Inf values"),
+            _issue(known & (length < s.min_embedding_norm), WARNING, name, _filled(NORM_TOO_SMALL, shown), length),
+            _issue(known & (length > s.max_embedding_norm), WARNING, name, _filled(NORM_TOO_LARGE, shown), length),
+            _issue(there & has_bad_value(vector), ERROR, name, BAD_VALUES),
         ]
     )
 
@@ -85,17 +101,17 @@ def embedding_rules(vector: Column, settings: Settings | None = None, name: str
 def transcription_rules(df: DataFrame, settings: Settings | None = None) -> Column:
     s = settings or Settings()
     rules = [
-        _issue(_absent(df, name), ERROR, name, f"Missing required field: {name}")
+        _issue(_absent(df, name), ERROR, name, MISSING_FIELD.format(name))
         for name in ("transcription_id", "text")
     ]
     if "text" in df.columns:
         n = F.length("text")
-        rules.append(_issue((n > 0) & (n < s.min_text_length), WARNING, "text", "Transcription text is very short", n))
+        rules.append(_issue((n > 0) & (n < s.min_text_length), WARNING, "text", TEXT_TOO_SHORT, n))
     if "duration_seconds" in df.columns:
         d = F.col("duration_seconds")
         rules += [
-            _issue(~F.isnan(d) & (d <= 0), ERROR, "duration_seconds", "Duration must be positive", d),
-            _issue(~F.isnan(d) & (d > s.max_duration_seconds), WARNING, "duration_seconds", "Duration unusually long", d),
+            _issue(~F.isnan(d) & (d <= 0), ERROR, "duration_seconds", DURATION_NOT_POSITIVE, d),
+            _issue(~F.isnan(d) & (d > s.max_duration_seconds), WARNING, "duration_seconds", DURATION_TOO_LONG, d),
         ]
     return _collect(rules)
 
@@ -137,9 +153,89 @@ def warnings(found: DataFrame) -> DataFrame:
     return found.filter(F.col("level") == WARNING)
 
 
+def _reports(
+    df: DataFrame, settings: Settings | None, vector: str, fraction: float | None, seed: int
+) -> DataFrame:
+    """One row with the structs `chunks` and `embeddings`, from one pass over the table.
+
+    A report that is not selected costs nothing: its sums are pruned.
+    """
+    s = settings or Settings()
+    own = chunk_rules(df, s)
+    if vector in df.columns:
+        there = F.coalesce(has_vector(F.col(vector)), F.lit(False))
+        of_vector = F.when(there, embedding_rules(F.col(vector), s)).otherwise(_no_issues())
+    else:
+        there, of_vector = F.lit(False), _no_issues()
+    picked = F.lit(True) if fraction is None else F.rand(seed) < fraction
+    marked = df.withColumn("_picked", picked).select(
+        "_picked",
+        there.alias("_there"),
+        F.when(F.col("_picked"), F.concat(own, of_vector)).alias("_all"),
+        F.when(F.col("_picked"), of_vector).alias("_vector"),
+    )
+
+    def bad(column):
+        return F.exists(column, lambda i: i["level"] == ERROR)
+
+    def total(column):
+        return F.coalesce(F.sum(F.size(column)), F.lit(0)).cast("bigint")
+
+    there, picked = F.col("_there"), F.col("_picked")
+    counts = marked.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(there).alias("embedded"),
+        F.count_if(picked).alias("checked_c"),
+        F.count_if(picked & ~bad("_all")).alias("good_c"),
+        total(F.when(picked, F.col("_all"))).alias("issues_c"),
+        F.count_if(there & picked).alias("checked_e"),
+        F.count_if(there & picked & ~bad("_vector")).alias("good_e"),
+        total(F.when(picked, F.col("_vector"))).alias("issues_e"),
+    )
+    share = F.when(F.col("total") > 0, F.col("embedded") / F.col("total")).otherwise(0.0)
+    few = (share < s.min_coverage).cast("bigint")
+    return counts.select(
+        _report("chunks", "total", "checked_c", "good_c", F.col("issues_c")).alias("chunks"),
+        _report(
+            "embeddings", "embedded", "checked_e", "good_e", F.col("issues_e") + few,
+            F.col("embedded"), share,
+        ).alias("embeddings"),
+    )
+
+
+def _no_issues() -> Column:
+    return F.array().cast(f"array<{_ISSUE}>")
+
+
+def _report(
+    name: str,
+    population: str,
+    checked: str,
+    good: str,
+    found: Column,
+    embedded: Column | None = None,
+    coverage: Column | None = None,
+) -> Column:
+    """Report struct; the good rows among those checked are scaled to the population."""
+    n, seen, fine = F.col(population), F.col(checked), F.col(good)
+    scaled = F.when(seen == n, fine).when(seen > 0, F.floor(n * (fine / seen))).otherwise(n).cast("bigint")
+    return F.struct(
+        F.lit(name).alias("report"),
+        F.col("total").alias("total_records"),
+        seen.alias("checked_records"),
+        scaled.alias("valid_records"),
+        (n - scaled).alias("invalid_records"),
+        found.alias("issue_count"),
+        (fine == seen).alias("is_valid"),
+        (F.lit(None).cast("bigint") if embedded is None else embedded).alias("embedded_records"),
+        (F.lit(None).cast("double") if coverage is None else coverage).alias("coverage"),
+    )
+
+
 def chunk_quality_report(
     df: DataFrame,
     settings: Settings | None = None,
+    vector: str = "embedding",
     fraction: float | None = None,
     seed: int = 42,
 ) -> DataFrame:
@@ -148,23 +244,8 @@ def chunk_quality_report(
     The vector rules apply to rows that have a vector. With `fraction`, rules run on a
     sample and valid_records is scaled to all rows.
     """
-    rules = chunk_rules(df, settings)
-    if "embedding" in df.columns:
-        there = F.coalesce(has_vector(F.col("embedding")), F.lit(False))
-        none = F.array().cast(f"array<{_ISSUE}>")
-        rules = F.concat(rules, F.when(there, embedding_rules(F.col("embedding"), settings)).otherwise(none))
-    bad = F.exists("_issues", lambda i: i["level"] == ERROR)
-    picked = F.lit(True) if fraction is None else F.rand(seed) < fraction
-    marked = df.withColumn("_picked", picked).select(
-        "_picked", F.when(F.col("_picked"), rules).alias("_issues")
-    )
-    counts = marked.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_if("_picked").alias("checked_records"),
-        F.count_if(F.col("_picked") & ~bad).alias("_good"),
-        F.coalesce(F.sum(F.size("_issues")), F.lit(0)).cast("bigint").alias("issue_count"),
-    )
-    return _verdict(counts, "chunks", F.col("total_records"))
+    rows = _reports(df, settings, vector, fraction, seed).select("chunks.*")
+    return rows.drop("embedded_records", "coverage")
 
 
 def embedding_coverage(
@@ -178,50 +259,16 @@ def embedding_coverage(
 
     Coverage below the least share counts as one warning.
     """
-    s = settings or Settings()
-    there = F.coalesce(has_vector(F.col(vector)), F.lit(False))
-    bad = F.exists("_issues", lambda i: i["level"] == ERROR)
-    picked = F.lit(True) if fraction is None else F.rand(seed) < fraction
-    marked = df.withColumn("_there", there).withColumn("_picked", F.col("_there") & picked).select(
-        "_there", "_picked", F.when(F.col("_picked"), embedding_rules(F.col(vector), s)).alias("_issues")
-    )
-    counts = marked.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_if("_there").alias("embedded_records"),
-        F.count_if("_picked").alias("checked_records"),
-        F.count_if(F.col("_picked") & ~bad).alias("_good"),
-        F.coalesce(F.sum(F.size("_issues")), F.lit(0)).cast("bigint").alias("issue_count"),
-    )
-    share = F.when(
-        F.col("total_records") > 0, F.col("embedded_records") / F.col("total_records")
-    ).otherwise(0.0)
-    counts = counts.withColumn("coverage", share).withColumn(
-        "issue_count", F.col("issue_count") + (F.col("coverage") < s.min_coverage).cast("int")
-    )
-    return _verdict(counts, "embeddings", F.col("embedded_records"))
+    return _reports(df, settings, vector, fraction, seed).select("embeddings.*")
 
 
-def _verdict(counts: DataFrame, name: str, population: Column) -> DataFrame:
-    """Scale the good rows of those checked to the population and add the verdict."""
-    seen, good = F.col("checked_records"), F.col("_good")
-    scaled = F.when(seen == population, good).when(
-        seen > 0, F.floor(population * (good / seen))
-    ).otherwise(population)
-    extra = [c for c in counts.columns if c not in ("_good", "total_records", "checked_records", "issue_count")]
-    return counts.withColumn("valid_records", scaled.cast("bigint")).select(
-        F.lit(name).alias("report"),
-        "total_records",
-        "checked_records",
-        "valid_records",
-        (population - F.col("valid_records")).alias("invalid_records"),
-        "issue_count",
-        (good == seen).alias("is_valid"),
-        *extra,
-    )
-
-
-def rag_data_report(df: DataFrame, settings: Settings | None = None, vector: str = "embedding", fraction: float | None = None) -> DataFrame:
-    """Both reports on one table, one row each."""
-    return chunk_quality_report(df, settings, fraction).unionByName(
-        embedding_coverage(df, settings, vector, fraction), allowMissingColumns=True
-    )
+def rag_data_report(
+    df: DataFrame,
+    settings: Settings | None = None,
+    vector: str = "embedding",
+    fraction: float | None = None,
+    seed: int = 42,
+) -> DataFrame:
+    """Both reports on one table, one row each, from one scan."""
+    both = F.array("chunks", "embeddings")
+    return _reports(df, settings, vector, fraction, seed).select(F.inline(both))

@@ -83,9 +83,9 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
 def text_index(spark: SparkSession, sf: str) -> DataFrame:
     """All chunks of all documents with their hashed-word vectors."""
     chunks = chunk_rows(spark, sf).select(
-        "chunk_id", "document_id", "metadata", "chunk_index", "content", F.col("content").alias("_text")
+        "chunk_id", "document_id", "metadata", "chunk_index", "content"
     )
-    return embed(chunks, embedder(), text="_text").drop("attempts", "error", "token_count")
+    return embed(chunks, embedder(), keep_text=True).drop("attempts", "error", "token_count")
 
 
 def document_table(spark: SparkSession, sf: str) -> DataFrame:
