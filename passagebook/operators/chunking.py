@@ -247,14 +247,28 @@ def chunk(
     )
 
 
+# Block a text and a chunk are cut into for the offset check.
+_BLOCK = 1024
+
+
 def offset_check(chunks: DataFrame, documents: DataFrame, id_col: str = "document_id", text: str = "text") -> DataFrame:
-    """Each chunk with `at_offset`: is the document's text at start_char this content?"""
-    source = documents.select(id_col, F.col(text).alias("_text"))
-    return (
-        chunks.join(source, id_col)
-        .withColumn(
-            "at_offset",
-            F.substring(F.col("_text"), F.col("start_char") + 1, F.length("content")) == F.col("content"),
-        )
-        .drop("_text")
+    """document id, chunk_index and at_offset: is the text at start_char this content?
+
+    Texts and chunks meet in blocks, so a long document is neither copied to each of its
+    chunks nor kept in one task.
+    """
+    pattern = "(?s)(?=(.{{1,{}}})).{{1,{}}}"
+    windows = F.regexp_extract_all(F.col(text), F.lit(pattern.format(2 * _BLOCK, _BLOCK)), F.lit(1))
+    blocks = documents.select(id_col, F.posexplode(windows).alias("_block", "_window"))
+    cut = F.regexp_extract_all(F.col("content"), F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+    at = F.col("start_char") + F.col("_piece") * _BLOCK
+    pieces = chunks.select(id_col, "chunk_index", "start_char", F.posexplode(cut).alias("_piece", "_text")).select(
+        id_col,
+        "chunk_index",
+        F.floor(at / _BLOCK).cast("int").alias("_block"),
+        F.pmod(at, F.lit(_BLOCK)).alias("_from"),
+        "_text",
     )
+    same = F.substring(F.col("_window"), F.col("_from") + 1, F.length("_text")) == F.col("_text")
+    met = pieces.join(blocks, [id_col, "_block"], "left")
+    return met.groupBy(id_col, "chunk_index").agg(F.min(F.coalesce(same, F.lit(False))).alias("at_offset"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -61,6 +62,12 @@ def build_index_from_text(
     return build_index(rows, columns=columns)
 
 
+def cell_count(rows: int, most: int = 4096) -> int:
+    """Number of cells for an index: the root of its rows, so that cells and the rows of a
+    cell grow alike; bounded, as centroids are sent to every task."""
+    return max(1, min(most, math.isqrt(rows)))
+
+
 def train_cells(index: DataFrame, cells: int, seed: int = 42, sample: float | None = None) -> np.ndarray:
     """Centroids of `cells` k-means cells, as a (cells, dim) matrix.
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -352,6 +352,12 @@ def top_k_cells(
     return _final(_search_grouped(_with_floor(asked, None), index, k, carried), k, carried)
 
 
+def text_queries(spark: SparkSession, texts: Sequence[str]) -> DataFrame:
+    """A few questions at hand as a table of queries, numbered from 0."""
+    rows = [(str(i), text) for i, text in enumerate(texts)]
+    return spark.createDataFrame(rows, "query_id string, query_text string")
+
+
 def embed_queries(queries: DataFrame, embedder: Embedder, text: str = "query_text", **options) -> DataFrame:
     """Queries with query_vector; a query given with a vector keeps it."""
     vectors = embed(queries, embedder, text=text, by="query_id", keep_text=True, **options)

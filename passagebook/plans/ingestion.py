@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagebook.functions.text import chunk_id, document_id, parse_metadata
+from passagebook.functions.text import document_id, parse_metadata, strip
 from passagebook.operators import chunking, ingest, upsert
 from passagebook.plans import inputs as I
 from passagebook.schemas import DOCUMENT_CHUNKS, TASK_LOGS, TRANSCRIPTIONS, TableSchema, conform
 from passagebook.sources import files, tables
-from passagebook.sources.session import scratch_path
+from passagebook.sources.session import materialize, scratch_path
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -86,7 +86,7 @@ def table_stats(spark: SparkSession, sf: str) -> DataFrame:
 def compact_zorder(spark: SparkSession, sf: str) -> DataFrame:
     target = scratch_path(spark, "zorder")
     lines = I.table(spark, sf, "lineitem")
-    tables.zorder(lines, ["l_orderkey", "l_shipdate"], files=8, target=target)
+    tables.zorder(lines, ["l_orderkey", "l_shipdate"], target, rows_per_file=100_000)
     return spark.read.schema(lines.schema).parquet(target)
 
 
@@ -125,32 +125,30 @@ def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
     no gap in the numbers, none blank, and no letter lost or doubled."""
     docs = I.documents(spark, sf)
     # Hard windows overlap, so letters are counted without them.
-    chunks = chunking.recursive_chunks(docs, "text", I.SIZE, 0)
-    checked = chunking.offset_check(chunks, docs)
-    per_doc = checked.groupBy("document_id").agg(
+    chunks = materialize(chunking.recursive_chunks(docs, "text", I.SIZE, 0), "recursive")
+    numbers = chunks.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("chunk_index").alias("last"),
-        F.countDistinct("chunk_index").alias("numbers"),
-        F.count_if(F.length("content") > I.SIZE).alias("too_long"),
-        F.count_if(~F.col("at_offset")).alias("off_text"),
-        F.count_if(_blank(F.col("content"))).alias("blank"),
-        F.sum(F.length(_squeezed(F.col("content")))).alias("letters"),
+        F.countDistinct("chunk_index").alias("different"),
     )
-    source = docs.select("document_id", F.length(_squeezed(F.col("text"))).alias("expected"))
-    both = source.join(per_doc, "document_id", "left")
-    return both.agg(
-        F.count(F.lit(1)).alias("n_documents"),
-        F.coalesce(F.sum("too_long"), F.lit(0)).cast("bigint").alias("too_long"),
-        F.coalesce(F.sum("off_text"), F.lit(0)).cast("bigint").alias("off_text"),
-        F.coalesce(F.sum("blank"), F.lit(0)).cast("bigint").alias("blank"),
-        F.count_if((F.col("last") + 1 != F.col("n")) | (F.col("numbers") != F.col("n"))).alias("bad_numbers"),
-        F.sum("expected").alias("letters_in_text"),
-        F.coalesce(F.sum("letters"), F.lit(0)).cast("bigint").alias("letters_in_chunks"),
-    )
-
-
-def _blank(text):
-    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c")) == ""
+    parts = [
+        docs.agg(
+            F.count(F.lit(1)).alias("n_documents"),
+            F.sum(F.length(_squeezed(F.col("text")))).alias("letters_in_text"),
+        ),
+        chunks.agg(
+            F.count_if(F.length("content") > I.SIZE).alias("too_long"),
+            F.count_if(strip(F.col("content")) == "").alias("blank"),
+            F.coalesce(F.sum(F.length(_squeezed(F.col("content")))), F.lit(0)).cast("bigint").alias("letters_in_chunks"),
+        ),
+        numbers.agg(
+            F.count_if((F.col("last") + 1 != F.col("n")) | (F.col("different") != F.col("n"))).alias("bad_numbers")
+        ),
+        chunking.offset_check(chunks, docs).agg(F.count_if(~F.col("at_offset")).alias("off_text")),
+    ]
+    names = [c for part in parts for c in part.columns]
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return together.agg(*[F.max(c).alias(c) for c in names])
 
 
 def chunk_recursive_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -188,13 +186,11 @@ def chunk_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentence chunks: every one is the text at its offset, or is no substring at all."""
+    """Sentence chunks that are the text at their offset, and those that are not because
+    spaces were collapsed."""
     docs = I.documents(spark, sf)
     checked = chunking.offset_check(_chunks(spark, sf, "sentence"), docs)
-    wrong = checked.filter(~F.col("at_offset")).join(docs, "document_id")
-    return wrong.agg(
-        F.count_if(F.instr(F.col("text"), F.col("content")) > 0).alias("misplaced"),
-    )
+    return checked.groupBy("at_offset").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -217,8 +213,7 @@ _CHUNK_COLUMNS = "document_id, chunk_index, start_char, end_char, content"
 
 # One step per sentence: pack it, or close the chunk and open the next. `at` is where the
 # closed chunk was found, or 0.
-_SENTENCE_SQL = f"""
-WITH RECURSIVE docs AS (
+_SENTENCE_SQL = f"""docs AS (
   SELECT CAST(doc_id AS VARCHAR) AS document_id, text, {I.sentences_sql("text")} AS s FROM documents),
 pack AS (
   SELECT document_id, text, s, 0 AS i, '' AS cur, CAST(NULL AS VARCHAR) AS closed, 0 AS n, 0 AS pos FROM docs
@@ -232,10 +227,11 @@ pack AS (
   FROM (SELECT *, s[i + 1] AS sentence, length(cur) + length(s[i + 1]) + 1 <= {I.SIZE} AND i < len(s) AS fits,
                greatest(0, pos - {I.OVERLAP}) AS base,
                instr(substr(text, greatest(0, pos - {I.OVERLAP}) + 1), cur) AS hit
-        FROM pack WHERE i <= len(s)))
+        FROM pack WHERE i <= len(s))),
+sentence_chunks AS (
 SELECT document_id, CAST(n - 1 AS INTEGER) AS chunk_index, CAST(pos - length(closed) AS INTEGER) AS start_char,
        CAST(pos AS INTEGER) AS end_char, closed AS content
-FROM pack WHERE closed IS NOT NULL"""
+FROM pack WHERE closed IS NOT NULL)"""
 
 SQL = {
     "scan_transcriptions": I.TRANSCRIPTIONS_SQL,
@@ -272,7 +268,7 @@ FROM orders FULL JOIN newest ON o_orderkey = l_orderkey""",
 SELECT transcription_id, audio_file_path FROM ({I.TRANSCRIPTIONS_SQL})
 WHERE transcription_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""",
     "chunk_fixed": f"WITH {I.CHUNKS_SQL} SELECT {_CHUNK_COLUMNS} FROM chunks",
-    "chunk_sentence": _SENTENCE_SQL,
+    "chunk_sentence": f"WITH RECURSIVE {_SENTENCE_SQL} SELECT * FROM sentence_chunks",
     "chunk_hard": "WITH "
     + I.windows_sql(f"ceil(length(text) / CAST({I.STEP} AS DOUBLE))", f"substr(text, k * {I.STEP} + 1, {I.SIZE})")
     + f" SELECT {_CHUNK_COLUMNS} FROM chunks",
@@ -288,7 +284,10 @@ FROM documents""",
 SELECT doc_id, CAST(3 AS INTEGER) AS n_keys, source || '/' || doc_id AS source_path,
        CASE WHEN lang = 'en' THEN source ELSE 'transcription' END AS doc_type, lang
 FROM documents""",
-    "chunk_offsets": "SELECT CAST(0 AS BIGINT) AS misplaced",
+    "chunk_offsets": f"""
+WITH RECURSIVE {_SENTENCE_SQL}
+SELECT substr(text, start_char + 1, length(content)) = content AS at_offset, count(*) AS n_chunks
+FROM sentence_chunks JOIN docs USING (document_id) GROUP BY 1""",
     "ingest_stats": f"""
 WITH {I.CHUNKS_SQL}
 SELECT CASE WHEN d = 0 THEN 'no_new_data' ELSE 'success' END AS status,

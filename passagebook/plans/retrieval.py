@@ -12,9 +12,7 @@ from passagebook.functions.vectors import norm
 from passagebook.operators import embedding, indexing, ranking, search
 from passagebook.operators.upsert import delete_keys, upsert
 from passagebook.plans import inputs as I
-from passagebook.sources.session import materialize
-
-CELLS = 8
+from passagebook.sources.session import materialize, scratch_path
 
 
 # ---- embedding -----------------------------------------------------------------------
@@ -117,8 +115,8 @@ def index_build_from_text(spark: SparkSession, sf: str) -> DataFrame:
 def index_cells(spark: SparkSession, sf: str) -> DataFrame:
     """The index written by cell and read back: rows per cell."""
     index = indexing.build_index(I.vectors(spark, sf), columns=["label"])
-    centroids = indexing.train_cells(index, CELLS)
-    celled = materialize(search.assign_cells(index, centroids), "cells")
+    centroids = indexing.train_cells(index, indexing.cell_count(index.count()))
+    celled = search.write_cells(search.assign_cells(index, centroids), scratch_path(spark, "cells"))
     return celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -189,17 +187,19 @@ def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _ivf(spark: SparkSession, sf: str, probes: int) -> tuple[DataFrame, DataFrame]:
+def _ivf(spark: SparkSession, sf: str, probes: int | None) -> tuple[DataFrame, DataFrame]:
+    """Exact rows, and those found in `probes` cells, or in all."""
     index = I.vectors(spark, sf)
-    centroids = indexing.train_cells(index, CELLS)
+    centroids = indexing.train_cells(index, indexing.cell_count(index.count()))
     queries = I.vector_queries(spark, sf)
-    near = search.top_k_cells(queries, search.assign_cells(index, centroids), centroids, 10, probes, columns=[])
+    celled = search.write_cells(search.assign_cells(index, centroids), scratch_path(spark, "cells"))
+    near = search.top_k_cells(queries, celled, centroids, 10, probes or len(centroids), columns=[])
     return search.top_k(queries, index, 10, columns=[]), near
 
 
 def knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
     """All cells probed: every exact row must be among them."""
-    exact, near = _ivf(spark, sf, CELLS)
+    exact, near = _ivf(spark, sf, None)
     keys = ["query_id", "rank", "chunk_id", "score"]
     hit = near.select(*keys).withColumn("hit", F.lit(1))
     return exact.join(hit, keys, "left").agg(
@@ -208,8 +208,8 @@ def knn_ivf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def knn_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of the exact rows found in the three nearest cells."""
-    exact, near = _ivf(spark, sf, 3)
+    """Share of the exact rows found in the nearest eight cells."""
+    exact, near = _ivf(spark, sf, 8)
     hit = near.select("query_id", "chunk_id").withColumn("hit", F.lit(1))
     return exact.join(hit, ["query_id", "chunk_id"], "left").agg(
         F.count(F.lit(1)).alias("n_rows"), (F.count("hit") / F.count(F.lit(1))).alias("recall")

@@ -144,7 +144,7 @@ def _number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def zorder(df: DataFrame, columns: Sequence[str], files: int, target: str) -> None:
+def zorder(df: DataFrame, columns: Sequence[str], target: str, rows_per_file: int = 2_000_000) -> None:
     """Write the rows so that files cover small ranges of all the columns.
 
     Each column is scaled to 256 steps of its range and the bits are interleaved; one range
@@ -153,6 +153,7 @@ def zorder(df: DataFrame, columns: Sequence[str], files: int, target: str) -> No
     """
     numbers = {c: _number(df, c) for c in columns}
     ends = df.agg(
+        F.count(F.lit(1)).alias("n"),
         *[F.min(n).alias(f"lo_{c}") for c, n in numbers.items()],
         *[F.max(n).alias(f"hi_{c}") for c, n in numbers.items()],
     ).first()
@@ -167,6 +168,7 @@ def zorder(df: DataFrame, columns: Sequence[str], files: int, target: str) -> No
             bit = F.shiftright(step, b).bitwiseAND(F.lit(1)).cast("bigint")
             bits.append(F.shiftleft(bit, b * len(columns) + i))
     z = reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("bigint"))
+    files = max(1, -(-ends["n"] // rows_per_file))
     hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
     salt = F.pmod(F.xxhash64(*hashable), F.lit(_SALTS))
     (

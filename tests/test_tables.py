@@ -100,7 +100,7 @@ def test_zorder_keeps_rows_and_spreads_hot_value(spark, tmp_path):
         F.lit(5).alias("same"),
     )
     path = str(tmp_path / "z")
-    tables.zorder(df, ["a", "s", "same"], 6, path)
+    tables.zorder(df, ["a", "s", "same"], path, rows_per_file=1500)
     back = spark.read.parquet(path)
     assert back.count() == 9000 and back.exceptAll(df).isEmpty()
     sizes = [r["count"] for r in back.groupBy(F.input_file_name()).count().collect()]
