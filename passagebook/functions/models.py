@@ -54,8 +54,8 @@ class _Buckets(dict):
         self.dim, self.most = dim, most
 
     def __missing__(self, word: str) -> int:
-        digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
-        bucket = int(digest[:8], 16) % self.dim
+        digest = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+        bucket = int.from_bytes(digest[:4], "big") % self.dim
         if len(self) < self.most:
             self[word] = bucket
         return bucket

@@ -44,9 +44,14 @@ def build_index(
     key: str = "chunk_id",
     vector: str = "embedding",
     columns: Sequence[str] = SYNC_COLUMNS,
+    dim: int | None = None,
 ) -> DataFrame:
-    """Key, vector of length 1 and the synced columns, for rows that have a vector."""
-    return chunks.filter(has_vector(F.col(vector))).select(
+    """Key, vector of length 1 and the synced columns, for rows that have a vector; with
+    `dim`, for those whose vector has that many values."""
+    fits = has_vector(F.col(vector))
+    if dim is not None:
+        fits = fits & (F.size(vector) == dim)
+    return chunks.filter(fits).select(
         F.col(key).alias("chunk_id"), unit(F.col(vector)).alias("embedding"), *columns
     )
 

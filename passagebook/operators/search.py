@@ -9,7 +9,8 @@ same rows:
 * more queries: both sides are cut into blocks, and each group of the shuffle holds one
   bounded block of queries and a stream of index rows.
 
-Nothing is emitted per pair; a task keeps the best k rows per query while it streams.
+Vectors with NaN or infinite values have no score and are never found. Nothing is emitted
+per pair; a task keeps the best k rows per query while it streams.
 """
 
 from __future__ import annotations
@@ -59,10 +60,14 @@ class _Best:
         self.q = np.empty(0, np.int64)
         self.score = np.empty(0)
         self.row = np.empty(0, np.int64)
-        self.floor = floor.copy()
+        # A query with NaN or an infinite value has no nearest rows.
+        self.floor = np.where(np.isfinite(queries).all(axis=1), floor, np.inf)
         self.pool: pa.Table | None = None
 
     def add(self, batch: pa.RecordBatch, vectors: np.ndarray, carried: Sequence[str]) -> None:
+        sound = np.isfinite(vectors).all(axis=1)
+        if not sound.all():
+            batch, vectors = batch.filter(pa.array(sound)), vectors[sound]
         table = pa.Table.from_batches([batch.select(list(carried))])
         base = 0
         if self.pool is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passagebook.functions.text import document_id, parse_metadata, strip
 from passagebook.operators import chunking, ingest, upsert
-from passagebook.plans import inputs as I
+from passagebook.plans import inputs
 from passagebook.schemas import DOCUMENT_CHUNKS, TASK_LOGS, TRANSCRIPTIONS, TableSchema, conform
 from passagebook.sources import files, tables
 from passagebook.sources.session import materialize, scratch_path
@@ -21,16 +21,16 @@ TABLES = (
 
 
 def scan_transcriptions(spark: SparkSession, sf: str) -> DataFrame:
-    return I.transcriptions(spark, sf)
+    return inputs.transcriptions(spark, sf)
 
 
 def append_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Two appends, labelled documents and the rest, read back as one table."""
-    source, labels = I.transcriptions(spark, sf), I.table(spark, sf, "labels")
+    source, labels = inputs.transcriptions(spark, sf), inputs.table(spark, sf, "labels")
     ids = labels.select(F.col("doc_id").cast("string").alias("transcription_id"))
     target = scratch_path(spark, "chunks")
     for how in ("left_semi", "left_anti"):
-        rows = ingest.ingest(source.join(ids, "transcription_id", how), I.created_at(), I.FIXED)
+        rows = ingest.ingest(source.join(ids, "transcription_id", how), inputs.created_at(), inputs.FIXED)
         rows.write.mode("append").parquet(target)
     return spark.read.schema(DOCUMENT_CHUNKS.struct()).parquet(target).drop("embedding")
 
@@ -43,26 +43,26 @@ def typed_table(spark: SparkSession, sf: str) -> DataFrame:
     target = scratch_path(spark, "typed")
     name = "t_" + target.rsplit("-", 1)[1]
     tables.create_table(spark, name, PARTED, "Transcribed text", {"origin": "documents"}, target)
-    tables.append(I.transcriptions(spark, sf), name, PARTED)
+    tables.append(inputs.transcriptions(spark, sf), name, PARTED)
     return spark.table(name).select("transcription_id", "language", "duration_seconds", "metadata")
 
 
 def schema_conform(spark: SparkSession, sf: str) -> DataFrame:
-    rows = conform(I.task_logs(spark, sf), TASK_LOGS)
+    rows = conform(inputs.task_logs(spark, sf), TASK_LOGS)
     return rows.withColumn("run_timestamp", F.col("run_timestamp").cast("timestamp_ntz"))
 
 
 def upsert_all(spark: SparkSession, sf: str) -> DataFrame:
-    source = I.table(spark, sf, "documents").select(
+    source = inputs.table(spark, sf, "documents").select(
         "doc_id", (F.col("n_chars") > 500).cast("int").alias("quality"), F.lit(0).alias("toxic")
     )
-    return upsert.upsert(I.table(spark, sf, "labels"), source, "doc_id")
+    return upsert.upsert(inputs.table(spark, sf, "labels"), source, "doc_id")
 
 
 def upsert_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Orders take the price of their newest line; several lines share an order key."""
-    target = I.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    source = I.table(spark, sf, "lineitem").select(
+    target = inputs.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    source = inputs.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.col("l_linestatus").alias("o_orderstatus"),
         F.col("l_extendedprice").alias("o_totalprice"),
@@ -78,14 +78,14 @@ def table_row_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def table_stats(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
-        tables.table_stats(I.table(spark, sf, t)).select(F.lit(t).alias("table_name"), "*") for t in TABLES
+        tables.table_stats(inputs.table(spark, sf, t)).select(F.lit(t).alias("table_name"), "*") for t in TABLES
     ]
     return reduce(DataFrame.unionAll, parts)
 
 
 def compact_zorder(spark: SparkSession, sf: str) -> DataFrame:
     target = scratch_path(spark, "zorder")
-    lines = I.table(spark, sf, "lineitem")
+    lines = inputs.table(spark, sf, "lineitem")
     tables.zorder(lines, ["l_orderkey", "l_shipdate"], target, rows_per_file=100_000)
     return spark.read.schema(lines.schema).parquet(target)
 
@@ -95,12 +95,12 @@ def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def incremental_anti_join(spark: SparkSession, sf: str) -> DataFrame:
-    ledger = I.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("document_id"))
-    return ingest.new_documents(I.transcriptions(spark, sf), ledger).select("transcription_id", "audio_file_path")
+    ledger = inputs.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("document_id"))
+    return ingest.new_documents(inputs.transcriptions(spark, sf), ledger).select("transcription_id", "audio_file_path")
 
 
 def _chunks(spark: SparkSession, sf: str, strategy: str) -> DataFrame:
-    return chunking.chunk(I.documents(spark, sf), strategy=strategy, size=I.SIZE, overlap=I.OVERLAP)
+    return chunking.chunk(inputs.documents(spark, sf), strategy=strategy, size=inputs.SIZE, overlap=inputs.OVERLAP)
 
 
 def chunk_fixed(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,7 +112,7 @@ def chunk_sentence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_hard(spark: SparkSession, sf: str) -> DataFrame:
-    out = chunking.hard_windows(I.documents(spark, sf), "text", I.SIZE, I.OVERLAP)
+    out = chunking.hard_windows(inputs.documents(spark, sf), "text", inputs.SIZE, inputs.OVERLAP)
     return out.select("document_id", "chunk_index", "start_char", "end_char", "content")
 
 
@@ -123,9 +123,9 @@ def _squeezed(text):
 def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
     """Counts that must hold for every document: no chunk too long, none off its offset,
     no gap in the numbers, none blank, and no letter lost or doubled."""
-    docs = I.documents(spark, sf)
+    docs = inputs.documents(spark, sf)
     # Hard windows overlap, so letters are counted without them.
-    chunks = materialize(chunking.recursive_chunks(docs, "text", I.SIZE, 0), "recursive")
+    chunks = materialize(chunking.recursive_chunks(docs, "text", inputs.SIZE, 0), "recursive")
     numbers = chunks.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("chunk_index").alias("last"),
@@ -137,7 +137,7 @@ def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
             F.sum(F.length(_squeezed(F.col("text")))).alias("letters_in_text"),
         ),
         chunks.agg(
-            F.count_if(F.length("content") > I.SIZE).alias("too_long"),
+            F.count_if(F.length("content") > inputs.SIZE).alias("too_long"),
             F.count_if(strip(F.col("content")) == "").alias("blank"),
             F.coalesce(F.sum(F.length(_squeezed(F.col("content")))), F.lit(0)).cast("bigint").alias("letters_in_chunks"),
         ),
@@ -162,13 +162,13 @@ def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def document_ids(spark: SparkSession, sf: str) -> DataFrame:
-    pages = I.table(spark, sf, "pages")
+    pages = inputs.table(spark, sf, "pages")
     return pages.select("url", document_id(F.col("url")).alias("document_id"))
 
 
 def chunk_metadata(spark: SparkSession, sf: str) -> DataFrame:
     """Pages carry their own doc_type, which wins; documents keep the given one."""
-    source = I.table(spark, sf, "documents")
+    source = inputs.table(spark, sf, "documents")
     own = F.when(
         F.col("lang") == "en",
         F.create_map(F.lit("lang"), F.col("lang"), F.lit("doc_type"), F.col("source")),
@@ -188,15 +188,15 @@ def chunk_metadata(spark: SparkSession, sf: str) -> DataFrame:
 def chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
     """Sentence chunks that are the text at their offset, and those that are not because
     spaces were collapsed."""
-    docs = I.documents(spark, sf)
+    docs = inputs.documents(spark, sf)
     checked = chunking.offset_check(_chunks(spark, sf, "sentence"), docs)
     return checked.groupBy("at_offset").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
-    ledger = I.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("document_id"))
-    fresh = ingest.new_documents(I.transcriptions(spark, sf), ledger)
-    return ingest.ingest_stats(fresh, ingest.ingest(fresh, I.created_at(), I.FIXED))
+    ledger = inputs.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("document_id"))
+    fresh = ingest.new_documents(inputs.transcriptions(spark, sf), ledger)
+    return ingest.ingest_stats(fresh, ingest.ingest(fresh, inputs.created_at(), inputs.FIXED))
 
 
 QUERIES = {
@@ -214,19 +214,19 @@ _CHUNK_COLUMNS = "document_id, chunk_index, start_char, end_char, content"
 # One step per sentence: pack it, or close the chunk and open the next. `at` is where the
 # closed chunk was found, or 0.
 _SENTENCE_SQL = f"""docs AS (
-  SELECT CAST(doc_id AS VARCHAR) AS document_id, text, {I.sentences_sql("text")} AS s FROM documents),
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, text, {inputs.sentences_sql("text")} AS s FROM documents),
 pack AS (
   SELECT document_id, text, s, 0 AS i, '' AS cur, CAST(NULL AS VARCHAR) AS closed, 0 AS n, 0 AS pos FROM docs
   UNION ALL
   SELECT document_id, text, s, i + 1,
-         CASE WHEN fits THEN trim(cur || ' ' || sentence, {I.SPACE_SQL}) ELSE sentence END,
+         CASE WHEN fits THEN trim(cur || ' ' || sentence, {inputs.SPACE_SQL}) ELSE sentence END,
          CASE WHEN NOT fits AND cur <> '' THEN cur END,
          CASE WHEN NOT fits AND cur <> '' THEN n + 1 ELSE n END,
          CASE WHEN NOT fits AND cur <> '' THEN
            (CASE WHEN hit > 0 THEN base + hit - 1 ELSE pos END) + length(cur) ELSE pos END
-  FROM (SELECT *, s[i + 1] AS sentence, length(cur) + length(s[i + 1]) + 1 <= {I.SIZE} AND i < len(s) AS fits,
-               greatest(0, pos - {I.OVERLAP}) AS base,
-               instr(substr(text, greatest(0, pos - {I.OVERLAP}) + 1), cur) AS hit
+  FROM (SELECT *, s[i + 1] AS sentence, length(cur) + length(s[i + 1]) + 1 <= {inputs.SIZE} AND i < len(s) AS fits,
+               greatest(0, pos - {inputs.OVERLAP}) AS base,
+               instr(substr(text, greatest(0, pos - {inputs.OVERLAP}) + 1), cur) AS hit
         FROM pack WHERE i <= len(s))),
 sentence_chunks AS (
 SELECT document_id, CAST(n - 1 AS INTEGER) AS chunk_index, CAST(pos - length(closed) AS INTEGER) AS start_char,
@@ -234,12 +234,12 @@ SELECT document_id, CAST(n - 1 AS INTEGER) AS chunk_index, CAST(pos - length(clo
 FROM pack WHERE closed IS NOT NULL)"""
 
 SQL = {
-    "scan_transcriptions": I.TRANSCRIPTIONS_SQL,
+    "scan_transcriptions": inputs.TRANSCRIPTIONS_SQL,
     "append_chunks": f"""
-WITH {I.CHUNKS_SQL}
-SELECT chunk_id, document_id, content, chunk_index, start_char, end_char, {I.metadata_sql()} AS metadata,
+WITH {inputs.CHUNKS_SQL}
+SELECT chunk_id, document_id, content, chunk_index, start_char, end_char, {inputs.metadata_sql()} AS metadata,
        TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM chunks""",
-    "typed_table": f"SELECT transcription_id, language, duration_seconds, metadata FROM ({I.TRANSCRIPTIONS_SQL})",
+    "typed_table": f"SELECT transcription_id, language, duration_seconds, metadata FROM ({inputs.TRANSCRIPTIONS_SQL})",
     "schema_conform": """
 SELECT 'user-' || user_id AS task_name, ts AS run_timestamp, value AS duration_seconds,
        CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status,
@@ -265,12 +265,12 @@ FROM orders FULL JOIN newest ON o_orderkey = l_orderkey""",
     ),
     "compact_zorder": "SELECT * FROM lineitem",
     "incremental_anti_join": f"""
-SELECT transcription_id, audio_file_path FROM ({I.TRANSCRIPTIONS_SQL})
+SELECT transcription_id, audio_file_path FROM ({inputs.TRANSCRIPTIONS_SQL})
 WHERE transcription_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""",
-    "chunk_fixed": f"WITH {I.CHUNKS_SQL} SELECT {_CHUNK_COLUMNS} FROM chunks",
+    "chunk_fixed": f"WITH {inputs.CHUNKS_SQL} SELECT {_CHUNK_COLUMNS} FROM chunks",
     "chunk_sentence": f"WITH RECURSIVE {_SENTENCE_SQL} SELECT * FROM sentence_chunks",
     "chunk_hard": "WITH "
-    + I.windows_sql(f"ceil(length(text) / CAST({I.STEP} AS DOUBLE))", f"substr(text, k * {I.STEP} + 1, {I.SIZE})")
+    + inputs.windows_sql(f"ceil(length(text) / CAST({inputs.STEP} AS DOUBLE))", f"substr(text, k * {inputs.STEP} + 1, {inputs.SIZE})")
     + f" SELECT {_CHUNK_COLUMNS} FROM chunks",
     "chunk_recursive": r"""
 SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT) AS off_text,
@@ -278,7 +278,7 @@ SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT)
        CAST(sum(length(regexp_replace(text, '[.!? \t\n\r\x0b\x0c]', '', 'g'))) AS BIGINT) AS letters_in_text,
        CAST(sum(length(regexp_replace(text, '[.!? \t\n\r\x0b\x0c]', '', 'g'))) AS BIGINT) AS letters_in_chunks
 FROM documents""",
-    "chunk_ids": f"WITH {I.CHUNKS_SQL} SELECT document_id, chunk_index, chunk_id FROM chunks",
+    "chunk_ids": f"WITH {inputs.CHUNKS_SQL} SELECT document_id, chunk_index, chunk_id FROM chunks",
     "document_ids": "SELECT url, substr(sha256(url), 1, 16) AS document_id FROM pages",
     "chunk_metadata": """
 SELECT doc_id, CAST(3 AS INTEGER) AS n_keys, source || '/' || doc_id AS source_path,
@@ -289,7 +289,7 @@ WITH RECURSIVE {_SENTENCE_SQL}
 SELECT substr(text, start_char + 1, length(content)) = content AS at_offset, count(*) AS n_chunks
 FROM sentence_chunks JOIN docs USING (document_id) GROUP BY 1""",
     "ingest_stats": f"""
-WITH {I.CHUNKS_SQL}
+WITH {inputs.CHUNKS_SQL}
 SELECT CASE WHEN d = 0 THEN 'no_new_data' ELSE 'success' END AS status,
        d AS documents_processed, c AS chunks_created
 FROM (SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS d,

@@ -58,6 +58,15 @@ def ingest_job(spark: SparkSession, tables: Tables, settings: Settings, now: dat
     chunks = materialize(ingest(fresh, F.lit(now), settings), "new-chunks")
     stats = ingest_stats(ids, chunks).first().asDict()
     if stats["documents_processed"]:
+        # A run that stopped between the two appends left chunks without a ledger entry.
+        written = read_table(spark, tables.chunks)
+        if written is not None:
+            seen = written.select(F.col("document_id").alias("transcription_id")).join(
+                ids, "transcription_id", "left_semi"
+            )
+            chunks = chunks.join(
+                seen.distinct(), F.col("document_id") == F.col("transcription_id"), "left_anti"
+            )
         append(chunks, tables.chunks, DOCUMENT_CHUNKS)
         _append_plain(ids.select(F.col("transcription_id").alias("document_id")), tables.ledger)
     return stats

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagebook.operators import embedding, graph, indexing, ingest, metrics, validation
-from passagebook.plans import inputs as I
+from passagebook.plans import inputs
 from passagebook.schemas import TASK_LOGS
 from passagebook.settings import Settings
 from passagebook.sources.session import materialize, scratch_path
@@ -24,29 +24,29 @@ _ISSUE = ("row_id", "level", "field", "message")
 
 
 def validate_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.validate_chunks(I.document_table(spark, sf)).select(*_ISSUE, "value")
+    return validation.validate_chunks(inputs.document_table(spark, sf)).select(*_ISSUE, "value")
 
 
 def validate_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.validate_embeddings(I.document_table(spark, sf), STRICT).select(*_ISSUE)
+    return validation.validate_embeddings(inputs.document_table(spark, sf), STRICT).select(*_ISSUE)
 
 
 def validate_transcriptions(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as recordings; a limit of ten minutes marks the long ones."""
-    rows = validation.validate_transcriptions(I.transcriptions(spark, sf), Settings(max_duration_seconds=600.0))
+    rows = validation.validate_transcriptions(inputs.transcriptions(spark, sf), Settings(max_duration_seconds=600.0))
     return rows.select(*_ISSUE)
 
 
 def chunk_quality_report(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.chunk_quality_report(I.document_table(spark, sf), STRICT)
+    return validation.chunk_quality_report(inputs.document_table(spark, sf), STRICT)
 
 
 def embedding_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.embedding_coverage(I.document_table(spark, sf), STRICT)
+    return validation.embedding_coverage(inputs.document_table(spark, sf), STRICT)
 
 
 def _all_issues(spark: SparkSession, sf: str) -> DataFrame:
-    rows = I.document_table(spark, sf)
+    rows = inputs.document_table(spark, sf)
     return validation.validate_chunks(rows).unionByName(validation.validate_embeddings(rows, STRICT))
 
 
@@ -67,7 +67,7 @@ def issue_warnings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rag_data_report(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.rag_data_report(I.document_table(spark, sf), STRICT)
+    return validation.rag_data_report(inputs.document_table(spark, sf), STRICT)
 
 
 # ---- task metrics --------------------------------------------------------------------
@@ -78,7 +78,7 @@ def task_log_append(spark: SparkSession, sf: str) -> DataFrame:
     target = scratch_path(spark, "task-logs")
     began = datetime(2024, 1, 31)
     for i, name in enumerate(("documents", "conversations", "pages")):
-        n = I.table(spark, sf, name).count()
+        n = inputs.table(spark, sf, name).count()
         record = metrics.run_record(spark, f"scan-{name}", began + timedelta(minutes=i), 1.0, "success", n)
         record.write.mode("append").parquet(target)
     return spark.read.schema(TASK_LOGS.struct()).parquet(target).select(
@@ -88,12 +88,12 @@ def task_log_append(spark: SparkSession, sf: str) -> DataFrame:
 
 def recent_task_runs(spark: SparkSession, sf: str) -> DataFrame:
     reference = F.lit("2024-01-31 00:00:00").cast("timestamp")
-    runs = metrics.recent_runs(I.task_logs(spark, sf), reference, 7)
+    runs = metrics.recent_runs(inputs.task_logs(spark, sf), reference, 7)
     return runs.withColumn("run_timestamp", F.col("run_timestamp").cast("timestamp_ntz"))
 
 
 def task_metric_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.metric_rollup(I.task_logs(spark, sf))
+    return metrics.metric_rollup(inputs.task_logs(spark, sf))
 
 
 # ---- full batch and streams ----------------------------------------------------------
@@ -101,8 +101,8 @@ def task_metric_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 def full_batch_run(spark: SparkSession, sf: str) -> DataFrame:
     """Ingest, embed and index in order, each stage written once; the index by document."""
-    chunks = materialize(ingest.ingest(I.transcriptions(spark, sf), I.created_at(), I.FIXED), "chunks")
-    vectors = materialize(embedding.embed_chunks(chunks, I.embedder(), I.created_at()), "vectors")
+    chunks = materialize(ingest.ingest(inputs.transcriptions(spark, sf), inputs.created_at(), inputs.FIXED), "chunks")
+    vectors = materialize(embedding.embed_chunks(chunks, inputs.embedder(), inputs.created_at()), "vectors")
     merged = embedding.merge_embeddings(chunks, vectors)
     index = materialize(indexing.build_index(merged), "index")
     return index.groupBy("document_id").agg(
@@ -114,15 +114,15 @@ def full_batch_run(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
-    schema = I.table(spark, sf, "documents").schema
-    return I.as_transcriptions(stream.read_files(spark, sf, schema, pattern="documents.parquet"))
+    schema = inputs.table(spark, sf, "documents").schema
+    return inputs.as_transcriptions(stream.read_files(spark, sf, schema, pattern="documents.parquet"))
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """New files as a stream, chunked batch by batch; a second run finds nothing new."""
     target, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
     for _ in range(2):
-        write = stream.ingest_batches(target, I.created_at(), I.FIXED)
+        write = stream.ingest_batches(target, inputs.created_at(), inputs.FIXED)
         stream.start(_document_stream(spark, sf), write, state).awaitTermination()
     rows = spark.read.parquet(f"{target}/chunks")
     return rows.select("document_id", "chunk_index", "chunk_id", "start_char", "end_char")
@@ -131,7 +131,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 def stream_index(spark: SparkSession, sf: str) -> DataFrame:
     """The stream through all stages: the index rows its batches wrote, by document."""
     target, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
-    write = stream.ingest_batches(target, I.created_at(), I.FIXED, I.embedder())
+    write = stream.ingest_batches(target, inputs.created_at(), inputs.FIXED, inputs.embedder())
     stream.start(_document_stream(spark, sf), write, state).awaitTermination()
     return spark.read.parquet(f"{target}/index").groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_id")
@@ -141,7 +141,7 @@ def stream_index(spark: SparkSession, sf: str) -> DataFrame:
 def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Every event delivered twice; each is kept once."""
     target, state = scratch_path(spark, "events"), scratch_path(spark, "events-state")
-    schema = I.table(spark, sf, "events").schema
+    schema = inputs.table(spark, sf, "events").schema
 
     def delivery():
         return stream.read_files(spark, sf, schema, pattern="events.parquet")
@@ -157,32 +157,32 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
-    edges = I.trade_edges(spark, sf)
-    return graph.graph_stats(I.trade_nodes(edges), edges)
+    edges = inputs.trade_edges(spark, sf)
+    return graph.graph_stats(inputs.trade_nodes(edges), edges)
 
 
 def graph_filter(spark: SparkSession, sf: str) -> DataFrame:
-    edges = I.trade_edges(spark, sf)
-    nodes = graph.with_confidence(I.trade_nodes(edges))
+    edges = inputs.trade_edges(spark, sf)
+    nodes = graph.with_confidence(inputs.trade_nodes(edges))
     _, kept = graph.graph_filter(nodes, graph.with_confidence(edges))
     return kept.select("src", "dst", "n_times", F.round("confidence", 6).alias("confidence"))
 
 
 def k_hop(spark: SparkSession, sf: str) -> DataFrame:
     """Steps from the suppliers in debt."""
-    seeds = I.table(spark, sf, "supplier").filter("s_acctbal < 0").select(
+    seeds = inputs.table(spark, sf, "supplier").filter("s_acctbal < 0").select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node")
     )
-    return graph.k_hop(I.trade_edges(spark, sf), seeds, 3)
+    return graph.k_hop(inputs.trade_edges(spark, sf), seeds, 3)
 
 
 def entity_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = graph.entity_mentions(I.table(spark, sf, "pages"), "page_id", "html")
+    rows = graph.entity_mentions(inputs.table(spark, sf, "pages"), "page_id", "html")
     return rows.groupBy("page_id", "entity_type", "entity").agg(F.count(F.lit(1)).alias("n_times"))
 
 
 def _document_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.relations(I.documents(spark, sf), "text")
+    return graph.relations(inputs.documents(spark, sf), "text")
 
 
 def co_mentions(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,7 +192,7 @@ def co_mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The node table, with the number of relations of each node."""
-    mentions = graph.entity_mentions(I.documents(spark, sf), "document_id", "text")
+    mentions = graph.entity_mentions(inputs.documents(spark, sf), "document_id", "text")
     nodes, edges = graph.graph_tables(mentions, _document_relations(spark, sf))
     ends = edges.select(F.col("src").alias("id")).unionAll(edges.select("dst"))
     degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
@@ -235,7 +235,7 @@ _CHUNK_ISSUES = "chunk_issues AS (" + " UNION ALL ".join(
     + [
         _rule("n > 0 AND n < 10", "warning", "content", "'Content too short (' || n || ' chars)'", "CAST(n AS VARCHAR)"),
         _rule("n > 10000", "warning", "content", "'Content too long (' || n || ' chars)'", "CAST(n AS VARCHAR)"),
-        _rule(f"n > 0 AND trim(content, {I.SPACE_SQL}) = ''", "error", "content", "'Content is empty or whitespace-only'"),
+        _rule(f"n > 0 AND trim(content, {inputs.SPACE_SQL}) = ''", "error", "content", "'Content is empty or whitespace-only'"),
     ]
 ) + ")"
 
@@ -306,7 +306,7 @@ relations AS (
 SQL = {
     "validate_chunks": f"WITH {_ROWS}, {_CHUNK_ISSUES} SELECT {_I}, value FROM chunk_issues",
     "validate_embeddings": f"WITH {_ROWS}, {_VECTOR_ISSUES} SELECT {_I} FROM vector_issues",
-    "validate_transcriptions": f"WITH t AS ({I.TRANSCRIPTIONS_SQL}) SELECT {_I} FROM ({_TRANSCRIPT_ISSUES})",
+    "validate_transcriptions": f"WITH t AS ({inputs.TRANSCRIPTIONS_SQL}) SELECT {_I} FROM ({_TRANSCRIPT_ISSUES})",
     "chunk_quality_report": _COUNTED + " SELECT * FROM chunk_report",
     "embedding_coverage": _COUNTED + " SELECT * FROM vector_report",
     "issue_summary": _BOTH + " SELECT level, field, count(*) AS n_issues FROM both_issues GROUP BY ALL",
@@ -336,24 +336,24 @@ sums AS (
 SELECT task_name, metric, total, runs, failed_runs, failed_runs / CAST(runs AS DOUBLE) AS failure_rate
 FROM sums JOIN runs USING (task_name)""",
     "full_batch_run": f"""
-WITH {I.CHUNKS_SQL}
+WITH {inputs.CHUNKS_SQL}
 SELECT document_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS n_chars,
-       min(chunk_id) AS first_id, count(*) * {I.DIM} AS n_values
+       min(chunk_id) AS first_id, count(*) * {inputs.DIM} AS n_values
 FROM chunks GROUP BY document_id""",
-    "stream_ingest": f"WITH {I.CHUNKS_SQL} SELECT document_id, chunk_index, chunk_id, start_char, end_char FROM chunks",
+    "stream_ingest": f"WITH {inputs.CHUNKS_SQL} SELECT document_id, chunk_index, chunk_id, start_char, end_char FROM chunks",
     "stream_index": f"""
-WITH {I.CHUNKS_SQL} SELECT document_id, count(*) AS n_chunks, min(chunk_id) AS first_id FROM chunks GROUP BY document_id""",
+WITH {inputs.CHUNKS_SQL} SELECT document_id, count(*) AS n_chunks, min(chunk_id) AS first_id FROM chunks GROUP BY document_id""",
     "stream_dedupe": "SELECT event_id, ts, user_id, event_type, value FROM events",
     "graph_stats": f"""
-WITH {I.TRADE_SQL}
+WITH {inputs.TRADE_SQL}
 SELECT n AS n_nodes, e AS n_edges, e / CAST(n * (n - 1) AS DOUBLE) AS density
 FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e)""",
     "graph_filter": f"""
-WITH {I.TRADE_SQL}, sure AS (SELECT id FROM nodes WHERE n_times / (n_times + 1.0) >= 0.7)
+WITH {inputs.TRADE_SQL}, sure AS (SELECT id FROM nodes WHERE n_times / (n_times + 1.0) >= 0.7)
 SELECT src, dst, n_times, round(n_times / CAST(n_times + 1 AS DOUBLE), 6) AS confidence FROM edges
 WHERE n_times / (n_times + 1.0) >= 0.6 AND src IN (FROM sure) AND dst IN (FROM sure)""",
     "k_hop": f"""
-WITH RECURSIVE {I.TRADE_SQL},
+WITH RECURSIVE {inputs.TRADE_SQL},
 both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
 steps AS (
   SELECT 's' || s_suppkey AS node, 0 AS hop FROM supplier WHERE s_acctbal < 0

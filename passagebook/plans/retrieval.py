@@ -11,7 +11,7 @@ from passagebook.functions.models import HashedWords, WordOverlap
 from passagebook.functions.vectors import norm
 from passagebook.operators import embedding, indexing, ranking, search
 from passagebook.operators.upsert import delete_keys, upsert
-from passagebook.plans import inputs as I
+from passagebook.plans import inputs
 from passagebook.sources.session import materialize, scratch_path
 
 
@@ -19,21 +19,21 @@ from passagebook.sources.session import materialize, scratch_path
 
 
 def pending_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = I.document_table(spark, sf)
+    chunks = inputs.document_table(spark, sf)
     return embedding.pending(chunks).select("chunk_id", "document_id")
 
 
 def pending_by_table(spark: SparkSession, sf: str) -> DataFrame:
     """The same against a separate embeddings table."""
-    chunks = I.documents(spark, sf).select(
+    chunks = inputs.documents(spark, sf).select(
         F.col("document_id").alias("chunk_id"), F.lit(None).cast("array<float>").alias("embedding")
     )
-    return embedding.pending(chunks, I.vectors(spark, sf)).select("chunk_id")
+    return embedding.pending(chunks, inputs.vectors(spark, sf)).select("chunk_id")
 
 
 def embed_hash(spark: SparkSession, sf: str) -> DataFrame:
     """All documents embedded; the non-zero elements of every vector."""
-    rows = embedding.embed(I.documents(spark, sf), I.embedder(), text="text", by="document_id")
+    rows = embedding.embed(inputs.documents(spark, sf), inputs.embedder(), text="text", by="document_id")
     return (
         rows.select("document_id", F.posexplode("embedding").alias("bucket", "weight"))
         .filter(F.col("weight") != 0)
@@ -58,7 +58,7 @@ class LimitedWords(HashedWords):
 def embed_retry(spark: SparkSession, sf: str) -> DataFrame:
     """A model with an input limit: long texts use up their tries and become error rows."""
     rows = embedding.embed(
-        I.documents(spark, sf), LimitedWords(I.DIM, 300), text="text", batch_size=1, retry_delay=0.0,
+        inputs.documents(spark, sf), LimitedWords(inputs.DIM, 300), text="text", batch_size=1, retry_delay=0.0,
         by="document_id",
     )
     return rows.groupBy(F.col("error").isNotNull().alias("failed")).agg(
@@ -71,20 +71,20 @@ def embed_retry(spark: SparkSession, sf: str) -> DataFrame:
 def merge_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """New vectors by id, old ones kept: the old ones are the hashed words of the text."""
     old = embedding.embed(
-        I.documents(spark, sf).withColumn("chunk_id", F.col("document_id")), I.embedder(), text="text"
+        inputs.documents(spark, sf).withColumn("chunk_id", F.col("document_id")), inputs.embedder(), text="text"
     ).select("chunk_id", "embedding")
-    merged = embedding.merge_embeddings(old, I.vectors(spark, sf))
+    merged = embedding.merge_embeddings(old, inputs.vectors(spark, sf))
     return merged.select(
         "chunk_id", F.size("embedding").alias("n_dims"), F.round(norm(F.col("embedding")), 4).alias("length")
     )
 
 
 def token_count(spark: SparkSession, sf: str) -> DataFrame:
-    return embedding.with_token_count(I.documents(spark, sf), "text").select("document_id", "token_count")
+    return embedding.with_token_count(inputs.documents(spark, sf), "text").select("document_id", "token_count")
 
 
 def dim_check(spark: SparkSession, sf: str) -> DataFrame:
-    rows = embedding.dimension_check(I.document_table(spark, sf), 64)
+    rows = embedding.dimension_check(inputs.document_table(spark, sf), 64)
     return rows.select("chunk_id", "n_dims", "dim_ok")
 
 
@@ -92,12 +92,12 @@ def dim_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_source_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return indexing.source_stats(I.document_table(spark, sf))
+    return indexing.source_stats(inputs.document_table(spark, sf))
 
 
 def index_build(spark: SparkSession, sf: str) -> DataFrame:
     index = indexing.build_index(
-        I.document_table(spark, sf), columns=["document_id", "chunk_index"]
+        inputs.document_table(spark, sf), columns=["document_id", "chunk_index"]
     )
     return index.select(
         "chunk_id", "document_id", "chunk_index", F.size("embedding").alias("n_dims"),
@@ -106,7 +106,7 @@ def index_build(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_build_from_text(spark: SparkSession, sf: str) -> DataFrame:
-    index = indexing.build_index_from_text(I.chunk_rows(spark, sf), I.embedder())
+    index = indexing.build_index_from_text(inputs.chunk_rows(spark, sf), inputs.embedder())
     return index.select(
         "chunk_id", "document_id", "chunk_index", F.round(norm(F.col("embedding")), 5).alias("length")
     )
@@ -114,7 +114,7 @@ def index_build_from_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def index_cells(spark: SparkSession, sf: str) -> DataFrame:
     """The index written by cell and read back: rows per cell."""
-    index = indexing.build_index(I.vectors(spark, sf), columns=["label"])
+    index = indexing.build_index(inputs.vectors(spark, sf), columns=["label"])
     centroids = indexing.train_cells(index, indexing.cell_count(index.count()))
     celled = search.write_cells(search.assign_cells(index, centroids), scratch_path(spark, "cells"))
     return celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -123,13 +123,13 @@ def index_cells(spark: SparkSession, sf: str) -> DataFrame:
 def _index_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """An index behind its source: labelled documents only, toxic ones in an old version,
     and the benchmark texts, which the source does not have."""
-    docs = I.table(spark, sf, "documents").select(F.col("doc_id"), "text")
-    labels = I.table(spark, sf, "labels")
+    docs = inputs.table(spark, sf, "documents").select(F.col("doc_id"), "text")
+    labels = inputs.table(spark, sf, "labels")
     old = docs.join(labels, "doc_id").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"),
         F.when(F.col("toxic") == 1, F.upper("text")).otherwise(F.col("text")).alias("text"),
     )
-    gone = I.table(spark, sf, "benchmark").select(
+    gone = inputs.table(spark, sf, "benchmark").select(
         F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("chunk_id"), "text"
     )
     source = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), "text")
@@ -151,17 +151,17 @@ def index_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_delete(spark: SparkSession, sf: str) -> DataFrame:
-    toxic = I.table(spark, sf, "labels").filter("toxic = 1")
+    toxic = inputs.table(spark, sf, "labels").filter("toxic = 1")
     keys = toxic.select(F.col("doc_id").cast("string").alias("chunk_id"))
-    return delete_keys(I.vectors(spark, sf), keys, "chunk_id").select("chunk_id", "label")
+    return delete_keys(inputs.vectors(spark, sf), keys, "chunk_id").select("chunk_id", "label")
 
 
 def index_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents written over the vectors of the same id, or added to them."""
-    rows = I.table(spark, sf, "labels").select(
+    rows = inputs.table(spark, sf, "labels").select(
         F.col("doc_id").cast("string").alias("chunk_id"), (F.col("quality") + 10).alias("label")
     )
-    return upsert(I.vectors(spark, sf), rows, "chunk_id").select(
+    return upsert(inputs.vectors(spark, sf), rows, "chunk_id").select(
         "chunk_id", "label", F.col("embedding").isNotNull().alias("has_vector")
     )
 
@@ -171,27 +171,27 @@ def index_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 def knn_exact(spark: SparkSession, sf: str) -> DataFrame:
     """The 10 nearest vectors of every vector."""
-    return search.top_k(I.vector_queries(spark, sf), I.vectors(spark, sf), 10, columns=["label"])
+    return search.top_k(inputs.vector_queries(spark, sf), inputs.vectors(spark, sf), 10, columns=["label"])
 
 
 def knn_exact_many(spark: SparkSession, sf: str) -> DataFrame:
     """The same on the shuffled way, which takes any number of queries."""
     return search.top_k(
-        I.vector_queries(spark, sf), I.vectors(spark, sf), 10, columns=["label"], broadcast_queries=0
+        inputs.vector_queries(spark, sf), inputs.vectors(spark, sf), 10, columns=["label"], broadcast_queries=0
     )
 
 
 def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(
-        I.vector_queries(spark, sf), I.vectors(spark, sf), 5, filters={"label": [1, 3, 5]}, columns=["label"]
+        inputs.vector_queries(spark, sf), inputs.vectors(spark, sf), 5, filters={"label": [1, 3, 5]}, columns=["label"]
     )
 
 
 def _ivf(spark: SparkSession, sf: str, probes: int | None) -> tuple[DataFrame, DataFrame]:
     """Exact rows, and those found in `probes` cells, or in all."""
-    index = I.vectors(spark, sf)
+    index = inputs.vectors(spark, sf)
     centroids = indexing.train_cells(index, indexing.cell_count(index.count()))
-    queries = I.vector_queries(spark, sf)
+    queries = inputs.vector_queries(spark, sf)
     celled = search.write_cells(search.assign_cells(index, centroids), scratch_path(spark, "cells"))
     near = search.top_k_cells(queries, celled, centroids, 10, probes or len(centroids), columns=[])
     return search.top_k(queries, index, 10, columns=[]), near
@@ -218,7 +218,7 @@ def knn_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 def keyword_score(spark: SparkSession, sf: str) -> DataFrame:
     """User turns scored against the reply that follows them."""
-    turns = I.table(spark, sf, "conversations")
+    turns = inputs.table(spark, sf, "conversations")
     asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
     reply = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("content")
@@ -229,12 +229,12 @@ def keyword_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_query_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(search.embed_queries(I.text_queries(spark, sf), I.embedder()), "queries")
+    return materialize(search.embed_queries(inputs.text_queries(spark, sf), inputs.embedder()), "queries")
 
 
 def hybrid_results(spark: SparkSession, sf: str, least: float = 0.0, **options) -> DataFrame:
     return ranking.retrieve(
-        text_query_vectors(spark, sf), I.text_index(spark, sf), I.FIXED, least=least, **options
+        text_query_vectors(spark, sf), inputs.text_index(spark, sf), inputs.FIXED, least=least, **options
     )
 
 
@@ -246,12 +246,12 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def similarity_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return hybrid_results(spark, sf, least=I.LEAST, use_hybrid=False).select(*_RESULT)
+    return hybrid_results(spark, sf, least=inputs.LEAST, use_hybrid=False).select(*_RESULT)
 
 
 def batch_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """Hybrid results over the threshold with their metadata, for all queries at once."""
-    out = hybrid_results(spark, sf, least=I.LEAST)
+    out = hybrid_results(spark, sf, least=inputs.LEAST)
     return out.select(
         "query_id", "rank", "chunk_id", F.col("metadata")["source_path"].alias("source_path"),
         F.col("metadata")["lang"].alias("lang"),
@@ -262,7 +262,7 @@ def metadata_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Event properties as metadata; those of error events are cut short and give no keys."""
     broken = F.expr("substring(props, 1, length(props) - 1)")
     text = F.when(F.col("event_type") == "error", broken).otherwise(F.col("props"))
-    parsed = I.table(spark, sf, "events").select("event_id", parse_metadata(text).alias("m"))
+    parsed = inputs.table(spark, sf, "events").select("event_id", parse_metadata(text).alias("m"))
     return parsed.select("event_id", F.size("m").alias("n_keys"), F.col("m")["k"].alias("k"))
 
 
@@ -271,7 +271,7 @@ def rerank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_window(spark: SparkSession, sf: str) -> DataFrame:
-    packed = ranking.pack_context(hybrid_results(spark, sf, least=I.LEAST), I.CONTEXT_TOKENS)
+    packed = ranking.pack_context(hybrid_results(spark, sf, least=inputs.LEAST), inputs.CONTEXT_TOKENS)
     return packed.select("query_id", "context", "n_sources")
 
 
@@ -321,20 +321,20 @@ WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
 SELECT CAST(doc_id AS VARCHAR) AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
     "embed_hash": f"""
 WITH docs AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, text FROM documents),
-{I.hashed_sql("v", "document_id", "text", "docs")}
+{inputs.hashed_sql("v", "document_id", "text", "docs")}
 SELECT document_id, CAST(bucket AS INTEGER) AS bucket, round(weight, 6) AS weight FROM v""",
     "embed_retry": f"""
 SELECT n > 300 AS failed, count(*) AS n_rows, CAST(sum(CASE WHEN n > 300 THEN 3 ELSE 1 END) AS BIGINT) AS attempts,
        count(*) FILTER (n > 300) AS without_vector
-FROM (SELECT len({I.words_sql("text")}) AS n FROM documents) GROUP BY 1""",
+FROM (SELECT len({inputs.words_sql("text")}) AS n FROM documents) GROUP BY 1""",
     "merge_embeddings": f"""
 SELECT CAST(doc_id AS VARCHAR) AS chunk_id,
-       CAST(CASE WHEN vec_id IS NULL THEN {I.DIM} ELSE len(embedding) END AS INTEGER) AS n_dims,
+       CAST(CASE WHEN vec_id IS NULL THEN {inputs.DIM} ELSE len(embedding) END AS INTEGER) AS n_dims,
        round(CASE WHEN vec_id IS NOT NULL THEN sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)))
-                  WHEN len({I.words_sql("text")}) = 0 THEN 0 ELSE 1 END, 4) AS length
+                  WHEN len({inputs.words_sql("text")}) = 0 THEN 0 ELSE 1 END, 4) AS length
 FROM documents LEFT JOIN embeddings ON doc_id = vec_id""",
     "token_count": f"""
-SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(len({I.words_sql("text")}) AS INTEGER) AS token_count
+SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(len({inputs.words_sql("text")}) AS INTEGER) AS token_count
 FROM documents""",
     "dim_check": """
 SELECT CAST(doc_id AS VARCHAR) AS chunk_id, CAST(coalesce(len(embedding), 0) AS INTEGER) AS n_dims,
@@ -349,7 +349,7 @@ SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS document_id, CAST(0 AS INT
        CAST(len(embedding) AS INTEGER) AS n_dims, CAST(1.0 AS DOUBLE) AS length
 FROM documents JOIN embeddings ON doc_id = vec_id""",
     "index_build_from_text": f"""
-WITH {I.CHUNKS_SQL}
+WITH {inputs.CHUNKS_SQL}
 SELECT chunk_id, document_id, chunk_index, CAST(1.0 AS DOUBLE) AS length FROM chunks""",
     "index_sync_diff": _VERSIONS_SQL + " SELECT action, count(*) AS n_keys FROM diff GROUP BY action",
     "index_sync_apply": "SELECT 'd' || doc_id AS chunk_id, text FROM documents",
@@ -372,27 +372,27 @@ FROM embeddings FULL JOIN labels ON vec_id = doc_id""",
 SELECT count(*) * 10 AS n_rows, CAST(0 AS BIGINT) AS n_missing FROM embeddings""",
     "keyword_score": f"""
 SELECT u.conv_id, u.turn,
-       round(len(list_intersect({I.word_set_sql("u.text")}, {I.word_set_sql("a.text")}))
-             / CAST(greatest(len({I.word_set_sql("u.text")}), 1) AS DOUBLE), 6) AS score
+       round(len(list_intersect({inputs.word_set_sql("u.text")}, {inputs.word_set_sql("a.text")}))
+             / CAST(greatest(len({inputs.word_set_sql("u.text")}), 1) AS DOUBLE), 6) AS score
 FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn
 WHERE u.role = 'user' AND a.role = 'assistant'""",
-    "hybrid_search": I.hybrid_sql() + f" SELECT {_R}, content FROM hybrid WHERE score >= 0",
-    "similarity_threshold": I.vector_search_sql(10) + f" SELECT {_R} FROM found WHERE score >= {I.LEAST}",
-    "batch_retrieval": I.hybrid_sql() + f"""
+    "hybrid_search": inputs.hybrid_sql() + f" SELECT {_R}, content FROM hybrid WHERE score >= 0",
+    "similarity_threshold": inputs.vector_search_sql(10) + f" SELECT {_R} FROM found WHERE score >= {inputs.LEAST}",
+    "batch_retrieval": inputs.hybrid_sql() + f"""
 SELECT query_id, rank, chunk_id, source || '/' || document_id AS source_path, lang
-FROM hybrid WHERE score >= {I.LEAST}""",
+FROM hybrid WHERE score >= {inputs.LEAST}""",
     "metadata_parse": """
 SELECT event_id, CAST(CASE WHEN event_type = 'error' THEN 0 ELSE len(json_keys(props)) END AS INTEGER) AS n_keys,
        CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS k
 FROM events""",
-    "rerank": I.hybrid_sql() + f""",
+    "rerank": inputs.hybrid_sql() + f""",
 again AS (
   SELECT * EXCLUDE (score, rank), rank AS old_rank,
-         round(2.0 * len(list_intersect({I.word_set_sql("query_text")}, {I.word_set_sql("content")}))
-               / CAST(len({I.word_set_sql("query_text")}) + len({I.word_set_sql("content")}) AS DOUBLE), 6) AS score
+         round(2.0 * len(list_intersect({inputs.word_set_sql("query_text")}, {inputs.word_set_sql("content")}))
+               / CAST(len({inputs.word_set_sql("query_text")}) + len({inputs.word_set_sql("content")}) AS DOUBLE), 6) AS score
   FROM hybrid WHERE score >= 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old_rank) AS INTEGER) AS rank,
        score, chunk_id, document_id, chunk_index
 FROM again""",
-    "context_window": I.context_sql() + " SELECT query_id, context, n_sources FROM contexts",
+    "context_window": inputs.context_sql() + " SELECT query_id, context, n_sources FROM contexts",
 }

@@ -19,6 +19,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # One thread per task: Spark already keeps all cores busy.
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
         .config("spark.driver.memory", os.environ.get("PASSAGEBOOK_DRIVER_MEMORY", "12g"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="passagebook-wh-"))
         .getOrCreate()

@@ -101,6 +101,25 @@ def test_cells_written_and_pruned(spark, data, tmp_path):
     assert rows(got) == brute(queries, index, 12)
 
 
+@pytest.mark.parametrize("limit", [4096, 0])
+def test_unsound_vectors_are_never_found(spark, data, limit):
+    queries, index, query_df, index_df = data
+    bad = [("a-nan", [float("nan")] * 8, 0), ("a-inf", [float("inf")] + [0.0] * 7, 0), ("a-null", None, 0)]
+    more = index_df.unionByName(spark.createDataFrame(bad, index_df.schema))
+    lost = spark.createDataFrame([("q-nan", [float("nan")] * 8), ("q-null", None)], query_df.schema)
+    got = search.top_k(query_df.unionByName(lost), more, 5, columns=[], broadcast_queries=limit)
+    assert rows(got) == brute(queries, index, 5)
+
+
+def test_wrong_dimension(spark, data):
+    _, _, query_df, index_df = data
+    short = spark.createDataFrame([("s", [1.0, 0.0], 0)], index_df.schema)
+    mixed = index_df.unionByName(short)
+    with pytest.raises(Exception, match="vectors differ in length"):
+        search.top_k(query_df, mixed, 5).collect()
+    assert indexing.build_index(mixed, columns=["kind"], dim=8).count() == index_df.count()
+
+
 def test_filters(data):
     queries, index, query_df, index_df = data
     kept = [(c, v) for i, (c, v) in enumerate(index) if i % 3 in (0, 2)]

@@ -188,6 +188,12 @@ def test_jobs(spark):
     assert whole["ready"] and whole["covered"] == spark.table(t.chunks).count()
     assert spark.table(t.chunks).select(*DOCUMENT_CHUNKS.names).count() == spark.table(t.vectors).count()
 
+    # A run lost between chunks and ledger does not write its chunks again.
+    n = spark.table(t.chunks).count()
+    tables.replace(spark.table(t.ledger).filter("document_id <> 'a'"), t.ledger)
+    assert jobs.ingest_job(spark, t, s, NOW)["documents_processed"] == 1
+    assert spark.table(t.chunks).count() == n and spark.table(t.ledger).count() == 3
+
     spark.createDataFrame([("1", "where does the dog ran"), ("2", "zzz")], "query_id string, query_text string").write.saveAsTable(t.queries)
     done = jobs.answer_job(spark, t, s, model, ExtractiveGenerator(), NOW, "r1")
     assert done == {"status": "success", "queries_processed": 2, "successful": 1, "failed": 1}
