@@ -11,7 +11,12 @@ from passagebook.schemas import DOCUMENT_CHUNKS, conform
 from passagebook.settings import Settings
 
 
-def new_documents(transcriptions: DataFrame, ledger: DataFrame, key: str = "transcription_id", ledger_key: str = "document_id") -> DataFrame:
+def new_documents(
+    transcriptions: DataFrame,
+    ledger: DataFrame,
+    key: str = "transcription_id",
+    ledger_key: str = "document_id",
+) -> DataFrame:
     """Transcriptions whose id is not in the ledger of processed documents.
 
     The ledger, not the chunk table, says what was processed, so a document without

@@ -233,6 +233,55 @@ SELECT document_id, CAST(n - 1 AS INTEGER) AS chunk_index, CAST(pos - length(clo
        CAST(pos AS INTEGER) AS end_char, closed AS content
 FROM pack WHERE closed IS NOT NULL)"""
 
+
+
+def _recursive_sql() -> str:
+    """CTEs that split by one separator after the other, ending in recursive_chunks.
+
+    A fold walks the parts of a long span with the open run [s, e): a part that fits extends
+    the run; otherwise the run [rs, re) is closed, and a part too long by itself [ps, pe)
+    is handed to the next separator.
+    """
+    size, step = inputs.SIZE, inputs.STEP
+    ctes = ["spans0 AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, 0 AS lo, text AS body FROM documents)"]
+    for level, sep in enumerate(chunking.SEPARATORS):
+        text = " || ".join({"\n": "chr(10)", "\t": "chr(9)"}.get(c, f"'{c}'") for c in sep)
+        none = ", ".join(f"CAST(NULL AS BIGINT) AS {c}" for c in ("rs", "re", "ps", "pe"))
+        ctes.append(f"""
+fold{level} AS (
+  SELECT document_id, lo, body, string_split(body, {text}) AS p, 0 AS i, CAST(0 AS BIGINT) AS pos,
+         CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS e, {none}
+  FROM spans{level} WHERE length(body) > {size}
+  UNION ALL
+  SELECT document_id, lo, body, p, i + 1, pend + {len(sep)},
+         CASE WHEN last THEN pend WHEN fits THEN s0 WHEN long THEN pend ELSE pos END, pend,
+         CASE WHEN (last OR NOT fits) AND e0 > s0 THEN s0 END, CASE WHEN (last OR NOT fits) AND e0 > s0 THEN e0 END,
+         CASE WHEN NOT last AND long THEN pos END, CASE WHEN NOT last AND long THEN pend END
+  FROM (SELECT *, i = len(p) AS last, pos + coalesce(length(p[i + 1]), 0) AS pend,
+               coalesce(length(p[i + 1]), 0) > {size} AS long,
+               pos + coalesce(length(p[i + 1]), 0) - s0 <= {size} AS fits
+        FROM (SELECT *, CASE WHEN s = e AND i < len(p) THEN pos ELSE s END AS s0,
+                     CASE WHEN s = e AND i < len(p) THEN pos ELSE e END AS e0 FROM fold{level} WHERE i <= len(p)))),
+spans{level + 1} AS (
+  SELECT document_id, lo + rs AS lo, substr(body, rs + 1, re - rs) AS body FROM fold{level} WHERE rs IS NOT NULL
+  UNION ALL
+  SELECT document_id, lo + ps, substr(body, ps + 1, pe - ps) FROM fold{level} WHERE ps IS NOT NULL)""")
+    last = len(chunking.SEPARATORS)
+    short = " UNION ALL ".join(f"SELECT * FROM spans{n} WHERE length(body) <= {size}" for n in range(last + 1))
+    ctes.append(f"""
+pieces AS (
+  {short}
+  UNION ALL
+  SELECT document_id, lo + k, substr(body, k + 1, {size})
+  FROM (SELECT *, unnest(range(0, length(body), {step})) AS k FROM spans{last} WHERE length(body) > {size})),
+recursive_chunks AS (
+  SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY lo) - 1 AS INTEGER) AS chunk_index,
+         CAST(lo + length(body) - length(ltrim(body, {inputs.SPACE_SQL})) AS INTEGER) AS start_char,
+         trim(body, {inputs.SPACE_SQL}) AS content
+  FROM pieces WHERE trim(body, {inputs.SPACE_SQL}) <> '')""")
+    return ",".join(ctes)
+
+
 SQL = {
     "scan_transcriptions": inputs.TRANSCRIPTIONS_SQL,
     "append_chunks": f"""
@@ -278,6 +327,11 @@ SELECT count(*) AS n_documents, CAST(0 AS BIGINT) AS too_long, CAST(0 AS BIGINT)
        CAST(sum(length(regexp_replace(text, '[.!? \t\n\r\x0b\x0c]', '', 'g'))) AS BIGINT) AS letters_in_text,
        CAST(sum(length(regexp_replace(text, '[.!? \t\n\r\x0b\x0c]', '', 'g'))) AS BIGINT) AS letters_in_chunks
 FROM documents""",
+    "chunk_recursive_rows": f"""
+WITH RECURSIVE {_recursive_sql()}
+SELECT document_id, chunk_index, substr(sha256(document_id || ':' || chunk_index || ':' || substr(content, 1, 100)), 1, 16)
+       AS chunk_id, start_char, CAST(start_char + length(content) AS INTEGER) AS end_char, content
+FROM recursive_chunks""",
     "chunk_ids": f"WITH {inputs.CHUNKS_SQL} SELECT document_id, chunk_index, chunk_id FROM chunks",
     "document_ids": "SELECT url, substr(sha256(url), 1, 16) AS document_id FROM pages",
     "chunk_metadata": """
