@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagebook.llm import linededup, simhash, vafile
+from passagebook.llm import bpe, linededup, simhash, vafile
 from passagebook.llm.common import table
 
 
@@ -56,5 +57,16 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op1_exact_top_k": op1_exact_top_k, "op4_line_dedup": op4_line_dedup}
+def tokenized(docs: DataFrame) -> DataFrame:
+    vocabulary = bpe.load(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode(docs, vocabulary).withColumn("n_tokens", F.expr("cast(octet_length(ids) div 4 as long)"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenized(table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op5_simhash": op5_simhash, "op1_exact_top_k": op1_exact_top_k, "op4_line_dedup": op4_line_dedup}
 SQL = {"op1_exact_top_k": _OP1_SQL, "op4_line_dedup": _OP4_SQL}
