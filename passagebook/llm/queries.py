@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagebook.llm import bpe, linededup, simhash, vafile
+from passagebook.llm import bpe, linededup, simhash, substrings, vafile
 from passagebook.llm.common import table
 
 
@@ -68,5 +68,10 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op5_simhash": op5_simhash, "op1_exact_top_k": op1_exact_top_k, "op4_line_dedup": op4_line_dedup}
+def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = substrings.dedup(table(spark, sf, "documents").select("doc_id", "text"), size=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op7_byte_bpe": op7_byte_bpe, "op5_simhash": op5_simhash, "op1_exact_top_k": op1_exact_top_k, "op4_line_dedup": op4_line_dedup}
 SQL = {"op1_exact_top_k": _OP1_SQL, "op4_line_dedup": _OP4_SQL}
