@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagebook.llm import bpe, linededup, simhash, substrings, vafile
-from passagebook.llm.common import table
+from passagebook.llm import bpe, language, linededup, simhash, substrings, vafile
+from passagebook.llm.common import crc_fold, table
 
 
 def op1_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,5 +73,16 @@ def op8_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup, "op7_byte_bpe": op7_byte_bpe, "op5_simhash": op5_simhash, "op1_exact_top_k": op1_exact_top_k, "op4_line_dedup": op4_line_dedup}
+def language_model(docs: DataFrame) -> language.Model:
+    return language.learn(docs.filter(crc_fold(F.col("doc_id"), 3) != 1))
+
+
+def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = language_model(docs)
+    held = F.coalesce(crc_fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    return language.predict(docs.select("doc_id", held, "text"), model).drop("text")
+
+
+QUERIES = {"op6_language_id": op6_language_id, "op8_substring_dedup": op8_substring_dedup, "op7_byte_bpe": op7_byte_bpe, "op5_simhash": op5_simhash, "op1_exact_top_k": op1_exact_top_k, "op4_line_dedup": op4_line_dedup}
 SQL = {"op1_exact_top_k": _OP1_SQL, "op4_line_dedup": _OP4_SQL}
