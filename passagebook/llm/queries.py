@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagebook.llm import bpe, language, linededup, simhash, substrings, vafile
+from passagebook.llm import bpe, decontaminate, language, linededup, simhash, substrings, vafile
 from passagebook.llm.common import crc_fold, table
 
 
@@ -84,5 +84,9 @@ def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.predict(docs.select("doc_id", held, "text"), model).drop("text")
 
 
-QUERIES = {"op6_language_id": op6_language_id, "op8_substring_dedup": op8_substring_dedup, "op7_byte_bpe": op7_byte_bpe, "op5_simhash": op5_simhash, "op1_exact_top_k": op1_exact_top_k, "op4_line_dedup": op4_line_dedup}
+def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+QUERIES = {"op10_decontaminate": op10_decontaminate, "op6_language_id": op6_language_id, "op8_substring_dedup": op8_substring_dedup, "op7_byte_bpe": op7_byte_bpe, "op5_simhash": op5_simhash, "op1_exact_top_k": op1_exact_top_k, "op4_line_dedup": op4_line_dedup}
 SQL = {"op1_exact_top_k": _OP1_SQL, "op4_line_dedup": _OP4_SQL}
