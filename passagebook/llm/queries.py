@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagebook.llm import bpe, decontaminate, language, linededup, quality, simhash, substrings, vafile
+from passagebook.llm import bpe, decontaminate, language, linededup, quality, simhash, substrings, toxicity, vafile
 from passagebook.llm.common import crc_fold, table
 
 
@@ -101,5 +101,11 @@ def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     return _marked(quality.score(docs, quality.learn(docs, learned)), 5, 0, 0.3)
 
 
-QUERIES = {"op2_quality": op2_quality, "op10_decontaminate": op10_decontaminate, "op6_language_id": op6_language_id, "op8_substring_dedup": op8_substring_dedup, "op7_byte_bpe": op7_byte_bpe, "op5_simhash": op5_simhash, "op1_exact_top_k": op1_exact_top_k, "op4_line_dedup": op4_line_dedup}
+def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    learned = table(spark, sf, "labels").filter(crc_fold(F.col("doc_id"), 3) != 1)
+    return _marked(toxicity.score(docs, toxicity.learn(docs, learned)), 3, 1, 0.7)
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op2_quality": op2_quality, "op10_decontaminate": op10_decontaminate, "op6_language_id": op6_language_id, "op8_substring_dedup": op8_substring_dedup, "op7_byte_bpe": op7_byte_bpe, "op5_simhash": op5_simhash, "op1_exact_top_k": op1_exact_top_k, "op4_line_dedup": op4_line_dedup}
 SQL = {"op1_exact_top_k": _OP1_SQL, "op4_line_dedup": _OP4_SQL}
