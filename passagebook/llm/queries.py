@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagebook.llm import bpe, decontaminate, language, linededup, quality, simhash, substrings, toxicity, vafile
+from passagebook.llm import bpe, decontaminate, language, linededup, quality, simhash, substrings, tokencounts, toxicity, vafile
 from passagebook.llm.common import crc_fold, table
+from passagebook.sources.session import materialize, scratch_path
 
 
 def op1_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,5 +108,57 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return _marked(toxicity.score(docs, toxicity.learn(docs, learned)), 3, 1, 0.7)
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op2_quality": op2_quality, "op10_decontaminate": op10_decontaminate, "op6_language_id": op6_language_id, "op8_substring_dedup": op8_substring_dedup, "op7_byte_bpe": op7_byte_bpe, "op5_simhash": op5_simhash, "op1_exact_top_k": op1_exact_top_k, "op4_line_dedup": op4_line_dedup}
-SQL = {"op1_exact_top_k": _OP1_SQL, "op4_line_dedup": _OP4_SQL}
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents are loaded under one tokenizer, then counted by the next; those marked
+    toxic are deleted, those of low quality lose their rows of signs and are counted anew."""
+    versions = list(tokencounts.TOKENIZERS)
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    # Texts are counted where they lie, and only the counts meet the marks.
+    signs = r"[!*#%&$|]+"
+    clean = F.when(F.col("text").rlike(signs), F.regexp_replace("text", signs, "")).otherwise(F.col("text"))
+    counted = materialize(
+        docs.select(
+            "doc_id", "source", "lang", *[tokencounts.tokens(F.col("text"), v).alias(v) for v in versions],
+            *[tokencounts.tokens(clean, v).alias(f"clean {v}") for v in versions],
+        ).join(marks, "doc_id", "left"),
+        "token-counts",
+    )
+
+    def counts(rows: DataFrame, *tokenizers: str, of: str = "") -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(of + v).alias("tokens")) for v in tokenizers])).alias("count")
+        return rows.select("source", "lang", each).select("source", "lang", "count.*")
+
+    rollup = tokencounts.Rollup.create(spark, scratch_path(spark, "rollup"))
+    first, second = versions
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    low = ~toxic & F.coalesce(F.col("quality") == 0, F.lit(False))
+    rollup.commit("load", tokencounts.inserted(counts(counted, first)))
+    rollup.commit("second tokenizer", tokencounts.inserted(counts(counted, second)))
+    rollup.commit("toxic", tokencounts.deleted(counts(counted.filter(toxic), first, second)))
+    rollup.commit("load", tokencounts.inserted(counts(counted, first)))  # delivered again
+    rollup.compact()
+    again = counted.filter(low)
+    rollup.commit("clean", tokencounts.revised(counts(again, first, second), counts(again, first, second, of="clean ")))
+    return rollup.totals()
+
+
+_OP9_SQL = r"""
+WITH m AS (
+  SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id
+), d AS (
+  SELECT source, lang, coalesce(CASE WHEN quality = 0 THEN regexp_replace(text, '[!*#%&$|]+', '', 'g') ELSE text END, '') AS text
+  FROM documents LEFT JOIN m USING (doc_id) WHERE coalesce(toxic, 0) <> 1
+), t AS (
+  SELECT source, lang, 'words/1' AS tokenizer, len(regexp_extract_all(text, '[^ 	-
+]+')) AS n FROM d
+  UNION ALL
+  SELECT source, lang, 'words/2', len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 	-
+]')) FROM d
+)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM t GROUP BY ALL
+"""
+
+
+QUERIES = {"op9_token_counts": op9_token_counts, "op3_toxicity": op3_toxicity, "op2_quality": op2_quality, "op10_decontaminate": op10_decontaminate, "op6_language_id": op6_language_id, "op8_substring_dedup": op8_substring_dedup, "op7_byte_bpe": op7_byte_bpe, "op5_simhash": op5_simhash, "op1_exact_top_k": op1_exact_top_k, "op4_line_dedup": op4_line_dedup}
+SQL = {"op9_token_counts": _OP9_SQL, "op1_exact_top_k": _OP1_SQL, "op4_line_dedup": _OP4_SQL}
