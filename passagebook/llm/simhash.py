@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagebook.llm.common import LOWER, texts_of
+from passagebook.llm.common import LOWER, mix, texts_of
 from passagebook.llm.components import components
 from passagebook.sources.session import materialize
 
@@ -207,13 +207,13 @@ def _link_groups(ring: Ring, keys: list[tuple[int, int]]):
     """Over rows (table, key, fp) sorted so: a star (a, b) for each set of linked members."""
 
     def finish(tables, key, fps):
-        edges_a, edges_b = [], []
+        edges_a, edges_b, views = [], [], []
         change = np.r_[True, (key[1:] != key[:-1]) | (tables[1:] != tables[:-1])]
         group = np.cumsum(change) - 1
         sizes = np.bincount(group)
         own = sizes[group]
         for t in np.unique(tables):
-            start, mask = keys[t]
+            start, _ = keys[t % len(keys)]
             small = np.flatnonzero((tables == t) & (own > 1) & (own <= WIDE))
             if len(small):
                 f = fps[small]
@@ -221,17 +221,21 @@ def _link_groups(ring: Ring, keys: list[tuple[int, int]]):
                 linked = np.flatnonzero(root != np.arange(len(f)))
                 edges_a.append(f[linked])
                 edges_b.append(f[root[linked]])
+                views.append(np.full(len(linked), t // len(keys), np.int32))
         for g in np.flatnonzero(sizes > WIDE):
             where = np.flatnonzero(group == g)
-            f, mask = fps[where], keys[tables[where[0]]][1]
+            f, t = fps[where], int(tables[where[0]])
+            mask = keys[t % len(keys)][1]
             free = [b for b in range(64) if not mask >> b & 1]
             root = _stars(len(f), *_large(f, free, ring.most))
             linked = np.flatnonzero(root != np.arange(len(f)))
             edges_a.append(f[linked])
             edges_b.append(f[root[linked]])
+            views.append(np.full(len(linked), t // len(keys), np.int32))
         a = np.concatenate(edges_a) if edges_a else np.empty(0, np.uint64)
         b = np.concatenate(edges_b) if edges_b else np.empty(0, np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        v = np.concatenate(views) if views else np.empty(0, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(v), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["view", "a", "b"])
 
     def run(batches):
         held = None
@@ -254,17 +258,18 @@ def _link_groups(ring: Ring, keys: list[tuple[int, int]]):
 
 
 def links(prints: DataFrame, most: int = 2) -> DataFrame:
-    """(a, b): links that join just those distinct fingerprints that paths of at most `most`
-    differing bits join."""
+    """(view, a, b): links that join just those distinct fingerprints of a view that paths of
+    at most `most` differing bits join. Without a column view all are of view 0."""
     ring = Ring(most)
     keys = ring.keys()
+    view = F.col("view") if "view" in prints.columns else F.lit(0).alias("view")
     tables = F.explode(F.array(*[
-        F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for t, (_, mask) in enumerate(keys)
+        F.struct((F.col("view") * len(keys) + t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for t, (_, mask) in enumerate(keys)
     ])).alias("at")
-    met = prints.select("fp").distinct().select("fp", tables).select("at.t", "at.key", "fp")
+    met = prints.select(view, "fp").distinct().select("fp", tables).select("at.t", "at.key", "fp")
     return (
         met.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-        .mapInArrow(_link_groups(ring, keys), "a long, b long").distinct()
+        .mapInArrow(_link_groups(ring, keys), "view int, a long, b long").distinct()
     )
 
 
@@ -272,8 +277,130 @@ def near_duplicates(docs: DataFrame, size: int = 5, most: int = 2, ident: str =
     """(doc_id, fp, component_id) of every row: the smallest id its links reach."""
     prints = materialize(fingerprints(docs, size, ident, text), "prints")
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints-least")
-    roots = components(links(least, most))
+    roots = components(links(least, most).select("a", "b"))
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = named.join(names, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---- similarity ----------------------------------------------------------------------
+#
+# A share of common shingles of 0.8 moves ten of 64 bits on average, beyond any distance
+# that a ring can find in large data. So the shingles are dealt into VIEWS classes by hash,
+# and each class has the fingerprint of its SAMPLE smallest hashes: similar texts agree in
+# some view, whatever their length. Texts whose fingerprints are linked in a view form a
+# class, in which each is compared with a few centres, by the smallest hashes of all their
+# shingles, and links of enough similarity make the groups.
+
+VIEWS, SAMPLE, CENTRES = 8, 3, 4
+#: Smallest hashes kept for the comparison; with no more shingles it is exact.
+SKETCH = 128
+#: Ids that may be broadcast: 16 bytes each. Beyond it the join is a shuffle.
+BROADCAST_IDS = 1 << 20
+
+
+def profile(text: bytes, size: int) -> tuple[bytes, bytes, list[int | None]]:
+    """Digest of the set of shingles, its smallest hashes, and a fingerprint for each view."""
+    parts = [np.unique(h) for h in shingle_hashes(text, size)]
+    hashes = np.unique(mix(np.concatenate(parts))) if parts else np.empty(0, np.uint64)
+    digest = xxhash.xxh3_128_digest(hashes.tobytes())
+    view = hashes & np.uint64(VIEWS - 1)
+    prints: list[int | None] = []
+    for v in range(VIEWS):
+        least = hashes[view == np.uint64(v)][:SAMPLE]
+        if len(least):
+            again = mix(least ^ np.uint64(SEED))
+            bits = np.unpackbits(again.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+            prints.append(int(np.packbits(bits * 2 > len(least), bitorder="little").view("<i8")[0]))
+        else:
+            prints.append(None)
+    return digest, (hashes[:SKETCH] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), prints
+
+
+def _numbers(sketch: bytes) -> np.ndarray:
+    """48-bit hashes of a sketch, in order."""
+    out = np.zeros((len(sketch) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(sketch, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common shingles among the smallest of both; exact where both are whole."""
+    union = np.union1d(a, b)
+    if len(a) == SKETCH or len(b) == SKETCH:
+        union = union[:SKETCH]
+    if not len(union):
+        return 1.0
+    return float((np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)).sum() / len(union))
+
+
+def profiles(docs: DataFrame, size: int, ident: str, text: str) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            found = [profile(t, size) for t in texts_of(batch.column(2))]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.list_(pa.int64()))],
+                ["doc_id", "k1", "node", "sketch", "prints"],
+            )
+
+    return _keyed(docs, ident, text).mapInArrow(run, "doc_id long, k1 long, node binary, sketch binary, prints array<long>")
+
+
+def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.xxhash64(F.col(ident), F.col(text)).alias("k1"), F.col(text).alias("text"))
+
+
+def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, most: int = 1, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, k1, root) of every row; rows of one root are near-duplicates. k1 hashes id
+    and text. Texts with equal sets of shingles are always of one root."""
+    found = materialize(profiles(docs, size, ident, text), "profiles")
+    nodes = materialize(found.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("prints").alias("prints")), "nodes")
+    views = nodes.select("node", F.posexplode("prints").alias("view", "fp")).filter("fp is not null")
+    near = links(views, most).select(F.struct("view", F.col("a").alias("fp")).alias("a"), F.struct("view", F.col("b").alias("fp")).alias("b"))
+    roots = components(near).select("node.*", F.col("root.fp").alias("root"))
+    classes = views.join(roots, ["view", "fp"], "left").select("node", "view", F.coalesce("root", "fp").alias("root"))
+    centres = classes.groupBy("view", "root").agg(
+        F.count("*").alias("n"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)]
+    ).filter("n > 1").select("view", "root", F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres"))
+    pairs = (
+        classes.join(centres, ["view", "root"]).select("node", F.explode("centres").alias("centre")).filter("node <> centre")
+        .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    )
+    sketch = nodes.select("node", "sketch")
+    both = (
+        pairs.join(sketch.withColumnsRenamed({"node": "a", "sketch": "x"}), "a")
+        .join(sketch.withColumnsRenamed({"node": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
+    )
+
+    def compare(batches):
+        for batch in batches:
+            keep = [similarity(_numbers(x), _numbers(y)) >= least for x, y in zip(texts_of(batch.column(2)), texts_of(batch.column(3)))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    same = components(both.mapInArrow(compare, "a binary, b binary"))
+    return found.select("doc_id", "k1", "node").join(same, "node", "left").select("doc_id", "k1", F.coalesce("root", "node").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, ident: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of docs, of each group of near-duplicates only one: that of the smallest id,
+    a missing id being larger than any."""
+    groups = materialize(similar_groups(docs, size, least, ident=ident, text=text), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1")).alias("first"), F.count("*").alias("n"))
+    shared = groups.join(first.filter("n > 1"), "root")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k1") == F.col("first.k1"))
+    # Rows that go, and rows that stay but occur more than once.
+    listed = shared.groupBy(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("no_id"), "k1").agg(
+        F.count("*").alias("times"), F.max(own).alias("stays")
+    ).filter("not stays or times > 1")
+    listed = materialize(listed, "listed")
+    marks = F.broadcast(listed) if listed.count() <= broadcast_ids else listed
+    names = docs.columns
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(ident).cast("long"), F.lit(0)).alias("d"),
+        F.col(ident).isNull().alias("no_id"), F.xxhash64(F.col(ident), F.col(text)).alias("k1"),
+    )
+    marked = keyed.join(marks, ["d", "no_id", "k1"], "left")
+    once = marked.filter("stays is null").select("row.*")
+    again = marked.filter("stays").groupBy("d", "no_id", "k1").agg(F.first("row").alias("row")).select("row.*")
+    return once.unionByName(again)
