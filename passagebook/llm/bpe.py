@@ -25,23 +25,18 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from passagebook.llm.common import row_key, texts_of
+from passagebook.llm.common import texts_of
 
 #: Words that are broadcast, and rows of the sample in which they are counted.
-FREQUENT = 200_000
-SAMPLE_ROWS = 20_000
+FREQUENT = 700_000
+SAMPLE_ROWS = 50_000
 #: Longer words are never broadcast.
 LONGEST = 64
 
-#: Stands in for an id that is still on its way.
-HOLE = 0xFFFFFFFF
-_HOLE = b"\xff\xff\xff\xff"
-_FILLS = "array<struct<positions: binary, ids: binary>>"
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes and ranks of a vocabulary file: base64, blank, rank in each line."""
@@ -79,8 +74,8 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+def _packed(numbers: list[int], kind: str = "<u4") -> bytes:
+    return np.array(numbers, dtype=kind).tobytes()
 
 
 class Vocabulary:
@@ -90,6 +85,8 @@ class Vocabulary:
         self.ranks, self.pattern, self.frequent = ranks, pattern, frequent
         self.tokens = None
         self._cut = None
+        # Of ids on their way between tasks.
+        self.kind = "<u2" if max(ranks.values(), default=0) <= 0xFFFF else "<u4"
 
     def cut(self, text: str) -> list[str]:
         if self._cut is None:
@@ -129,7 +126,7 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text: str, most: int
         .orderBy(F.desc("n"), "word").limit(most)
     )
     words = top.select("word").toArrow().column(0).to_pylist()
-    return {w: _packed(encode_word(w.encode(), vocabulary.ranks)) for w in words}
+    return {w: _packed(encode_word(w.encode(), vocabulary.ranks), vocabulary.kind) for w in words}
 
 
 def load(docs: DataFrame, path: str, pattern: str, text: str = "text", frequent: int = FREQUENT) -> Vocabulary:
@@ -142,7 +139,7 @@ def load(docs: DataFrame, path: str, pattern: str, text: str = "text", frequent:
 def _rare(vocabulary: Vocabulary):
     """(k1, k2, word, positions) of the words that are not broadcast."""
     known = vocabulary.frequent
-    kinds = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("word", pa.string()), ("positions", pa.binary())])
+    kinds = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("word", pa.string()), ("positions", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -176,7 +173,7 @@ def _encode_words(vocabulary: Vocabulary):
             keep, out = [], []
             for i, w in enumerate(batch.column(2).to_pylist()):
                 if w != last:
-                    last, ids, owner = w, _packed(encode_word(w.encode(), vocabulary.ranks)), None
+                    last, ids, owner = w, _packed(encode_word(w.encode(), vocabulary.ranks), vocabulary.kind), None
                 if owner != (k1[i], k2[i]):
                     owner = (k1[i], k2[i])
                     keep.append(i)
@@ -190,64 +187,33 @@ def _encode_words(vocabulary: Vocabulary):
     return run
 
 
-def _known_ids(vocabulary: Vocabulary, position: int):
-    """The text column becomes compressed ids, with a hole for each word not broadcast."""
+def _pack(position: int):
+    """The text column compressed, for its way through the shuffle."""
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1).compress
-        get = vocabulary.frequent.get
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            ids = [pack(b"".join([get(w, _HOLE) for w in vocabulary.cut(t)])) for t in _decoded(batch.column(position))]
-            columns = [c for i, c in enumerate(batch.columns) if i != position]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.large_binary())], [str(i) for i in range(batch.num_columns)])
+            columns = list(batch.columns)
+            columns[position] = pa.array([pack(t) for t in texts_of(columns[position])], pa.large_binary())
+            yield pa.RecordBatch.from_arrays(columns, [str(i) for i in range(batch.num_columns)])
 
     return run
 
 
-def fill(base: np.ndarray, positions: np.ndarray, of: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Ids in place of holes. The holes stand in the order of their positions; hole at
-    positions[j] takes part of[j] of ids, cut into parts of the given sizes."""
-    order = np.argsort(positions, kind="stable")
-    part = of[order]
-    hole = base == HOLE
-    times = np.ones(len(base), np.int64)
-    times[hole] = sizes[part]
-    out = np.repeat(base, times)
-    starts = np.cumsum(sizes) - sizes
-    length = sizes[part]
-    begin = np.cumsum(length) - length
-    out[np.repeat(hole, times)] = ids[np.repeat(starts[part] - begin, length) + np.arange(length.sum())]
-    return out
-
-
-def _binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets, in numbers, and all numbers of a binary column of packed numbers."""
-    column = column.cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    numbers = np.frombuffer(data, "<u4", count=int(offsets[-1]) // 4) if data is not None else np.empty(0, "<u4")
-    return offsets // 4, numbers
-
-
-def _filled(batches):
-    """Last two columns: compressed ids with holes, and what goes into them."""
+def _assembled(vocabulary: Vocabulary, batches):
+    """(row, packed text, fills): the row and its ids. Frequent words are looked up, the ids
+    of all others are put in at their positions."""
+    get = vocabulary.frequent.get
+    unpack = zstandard.ZstdDecompressor().decompressobj
     for batch in batches:
-        base, fills = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-        bounds = fills.offsets.to_numpy()
-        parts = fills.values
-        p_at, p = _binary_parts(parts.field(0))
-        i_at, ids = _binary_parts(parts.field(1))
-        empty = fills.is_null().to_numpy(zero_copy_only=False)
-        unpack = zstandard.ZstdDecompressor().decompressobj
         out = []
-        for row, packed in enumerate(texts_of(base)):
-            now = np.frombuffer(unpack().decompress(packed), "<u4")
-            if not empty[row] and bounds[row + 1] > bounds[row]:
-                a, b = bounds[row], bounds[row + 1]
-                of = np.repeat(np.arange(b - a), np.diff(p_at[a : b + 1]))
-                now = fill(now, p[p_at[a] : p_at[b]], of, np.diff(i_at[a : b + 1]), ids[i_at[a] : i_at[b]])
-            out.append(now.astype("<u4").tobytes())
-        yield [*batch.columns[:-2], pa.array(out, pa.large_binary())]
+        for packed, fills in zip(texts_of(batch.column(1)), batch.column(2)):
+            parts = [get(w) for w in vocabulary.cut(unpack().decompress(packed).decode("utf-8", "replace"))]
+            for fill in fills.as_py() or ():
+                for position in np.frombuffer(fill["positions"], "<u4").tolist():
+                    parts[position] = fill["ids"]
+            out.append(np.frombuffer(b"".join(parts), vocabulary.kind).astype("<u4").tobytes())
+        yield batch.column(0), pa.array(out, pa.large_binary())
 
 
 def _token_bytes(vocabulary: Vocabulary, ids: pa.Array) -> pa.Array:
@@ -255,29 +221,38 @@ def _token_bytes(vocabulary: Vocabulary, ids: pa.Array) -> pa.Array:
     return pa.array([b"".join(map(token, np.frombuffer(i, "<u4").tolist())) for i in texts_of(ids)], pa.large_binary())
 
 
+def _key(ident: str, text: str) -> list[Column]:
+    """A row's id, or a hash of its text where it has none, and 32 bits of both. Rows that
+    share a key by right have the same text; two texts of one id share it once in 2**32."""
+    return [
+        F.coalesce(F.col(ident).cast("long"), F.xxhash64(text)).alias("k1"),
+        F.hash(F.col(text), F.col(ident)).alias("k2"),
+    ]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns but the text, with ids and decoded: the ids as little-endian unsigned
     32-bit numbers, and the bytes that decoding them gives."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(vocabulary)
-    k1, k2 = row_key(ident, text)
+    k1, k2 = _key(ident, text)
     rare = (
         docs.select(k1, k2, F.col(text).alias("text"))
-        .mapInArrow(lambda it: _rare(sent.value)(it), "k1 long, k2 long, word string, positions binary")
+        .mapInArrow(lambda it: _rare(sent.value)(it), "k1 long, k2 int, word string, positions binary")
         .repartition("word").sortWithinPartitions("word", "k1", "k2")
-        .mapInArrow(lambda it: _encode_words(sent.value)(it), "k1 long, k2 long, positions binary, ids binary")
+        .mapInArrow(lambda it: _encode_words(sent.value)(it), "k1 long, k2 int, positions binary, ids binary")
     )
     fills = rare.groupBy("k1", "k2").agg(F.collect_list(F.struct("positions", "ids")).alias("fills"))
     others = [c for c in docs.columns if c != text]
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("_"))
     keyed = docs.select(row.alias("row"), k1, k2, F.col(text).alias("text"))
     kind = keyed.schema["row"].dataType.simpleString()
-    known = keyed.mapInArrow(lambda it: _known_ids(sent.value, 3)(it), f"row {kind}, k1 long, k2 long, base binary")
-    joined = known.join(fills, ["k1", "k2"], "left").select("row", "base", "fills")
+    packed = keyed.mapInArrow(_pack(3), f"row {kind}, k1 long, k2 int, packed binary")
+    joined = packed.join(fills, ["k1", "k2"], "left").select("row", "packed", "fills")
 
     def finish(batches):
-        for columns in _filled(batches):
-            yield pa.RecordBatch.from_arrays([*columns, _token_bytes(sent.value, columns[-1])], ["row", "ids", "decoded"])
+        for rows, ids in _assembled(sent.value, batches):
+            yield pa.RecordBatch.from_arrays([rows, ids, _token_bytes(sent.value, ids)], ["row", "ids", "decoded"])
 
     out = joined.mapInArrow(finish, f"row {kind}, ids binary, decoded binary")
     new = [F.col(c).alias(c + "_" * (c in others)) for c in ("ids", "decoded")]

@@ -5,9 +5,10 @@ inside it, so equal windows have equal anchors, and neighbouring windows mostly
 First pass: every task counts the documents of each anchor in a count-min sketch of fixed
 size, and the sketches are added up. A count can only be too high, and no window is in more
 documents than its anchor. Second pass: windows whose anchor is estimated in two documents
-or more are written with an exact hash of 96 bits. Those of cold anchors meet by hash, in
-order of document, in one shuffle; those of anchors in very many documents go through an
-aggregate with partial results and a join, so that no task gathers them. No window that
+or more are written with an exact hash of 96 bits. They meet by hash, in order of
+document, in one shuffle; windows of anchors in very many documents are dealt over salts, so
+that no task gathers them, and only the first documents of the salts are compared once more
+by an aggregate with partial results. No window that
 repeats is lost; a full sketch costs work in the second pass and changes no result.
 
 Defined results: words are runs of characters that are not ASCII white space; a null or
@@ -40,6 +41,8 @@ GRAM = 10
 FULL = 255
 #: Rows in an Arrow batch that leaves a task.
 STRIP = 1 << 17
+#: Parts into which the documents of a hot window are dealt.
+SALTS = 32
 #: Stands for a missing id.
 LAST = (1 << 63) - 1
 
@@ -205,19 +208,19 @@ def _suspects(sketch, size: int):
 
 
 def _later(batches):
-    """Rows (h1, h2, doc, k1, pos) in order of hash and document: those that are not in the
-    first document of their hash."""
+    """Rows (h1, h2, salt, doc, k1, pos) in order: those that are not in the first document
+    of their hash and salt."""
     last, first = None, None
     for batch in batches:
-        h1, h2, doc = (batch.column(i).to_numpy() for i in range(3))
+        h1, h2, salt, doc = (batch.column(i).to_numpy() for i in range(4))
         if not len(h1):
             continue
-        new = np.r_[last != (h1[0], h2[0]), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+        new = np.r_[last != (h1[0], h2[0], salt[0]), (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (salt[1:] != salt[:-1])]
         start = np.maximum.accumulate(np.where(new, np.arange(len(h1)), -1))
         least = np.where(start >= 0, doc[start], first if first is not None else 0)
         keep = pa.array(doc != least)
-        last, first = (h1[-1], h2[-1]), least[-1]
-        yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (2, 3, 4)], ["doc", "k1", "pos"])
+        last, first = (h1[-1], h2[-1], salt[-1]), least[-1]
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (3, 4, 5)], ["doc", "k1", "pos"])
 
 
 def _strip(size: int):
@@ -268,15 +271,20 @@ def repeated_windows(docs: DataFrame, size: int = 50, ident: str = "doc_id", tex
         keyed.mapInArrow(lambda it: _suspects(sketch, size)(it), "doc long, k1 long, pos int, h1 long, h2 int, hot boolean"),
         "windows",
     )
-    cold = (
-        found.filter("not hot").select("h1", "h2", "doc", "k1", "pos")
-        .repartition("h1").sortWithinPartitions("h1", "h2", "doc")
+    # A hot hash is dealt over salts: what follows the first document of a salt goes anyway.
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(0)
+    found = found.withColumn("salt", salt)
+    later = (
+        found.select("h1", "h2", "salt", "doc", "k1", "pos")
+        .repartition("h1", "salt").sortWithinPartitions("h1", "h2", "salt", "doc")
         .mapInArrow(_later, "doc long, k1 long, pos int")
     )
+    # The first documents of all salts but that with the smallest go as well.
     hot = found.filter("hot")
-    least = hot.groupBy("h1", "h2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
-    hot = hot.join(least, ["h1", "h2"]).filter("doc > least").select("doc", "k1", "pos")
-    return cold.unionByName(hot)
+    firsts = hot.groupBy("h1", "h2", "salt").agg(F.min("doc").alias("doc"))
+    least = firsts.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
+    others = firsts.join(least, ["h1", "h2"]).filter("doc > least").select("h1", "h2", "doc")
+    return later.unionByName(hot.join(others, ["h1", "h2", "doc"]).select("doc", "k1", "pos"))
 
 
 def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
