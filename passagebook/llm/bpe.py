@@ -34,6 +34,8 @@ from passagebook.llm.common import texts_of
 #: Words that are broadcast, and rows of the sample in which they are counted.
 FREQUENT = 700_000
 SAMPLE_ROWS = 50_000
+#: Pieces of texts from which a compression dictionary is made, their length, its size.
+PIECES, PIECE_CHARS, DICTIONARY_BYTES = 1_500, 4_096, 400_000
 #: Longer words are never broadcast.
 LONGEST = 64
 
@@ -85,6 +87,8 @@ class Vocabulary:
         self.ranks, self.pattern, self.frequent = ranks, pattern, frequent
         self.tokens = None
         self._cut = None
+        #: Shared beginnings for the compression of texts on their way, or none.
+        self.phrases: bytes | None = None
         # Of ids on their way between tasks.
         self.kind = "<u2" if max(ranks.values(), default=0) <= 0xFFFF else "<u4"
 
@@ -100,6 +104,14 @@ class Vocabulary:
                 self.tokens[rank] = token
         return self.tokens
 
+    def packer(self):
+        shared = zstandard.ZstdCompressionDict(self.phrases) if self.phrases else None
+        return zstandard.ZstdCompressor(level=6, dict_data=shared).compress
+
+    def unpacker(self):
+        shared = zstandard.ZstdCompressionDict(self.phrases) if self.phrases else None
+        return zstandard.ZstdDecompressor(dict_data=shared).decompress
+
     def __getstate__(self):
         return {**self.__dict__, "_cut": None, "tokens": None}
 
@@ -133,16 +145,35 @@ def load(docs: DataFrame, path: str, pattern: str, text: str = "text", frequent:
     """A vocabulary for these documents from a file of ranks that the driver can read."""
     vocabulary = Vocabulary(read_ranks(path), pattern, {})
     vocabulary.frequent = frequent_words(docs, vocabulary, text, frequent)
+    vocabulary.phrases = _phrases(docs, text)
     return vocabulary
 
 
+def _phrases(docs: DataFrame, text: str) -> bytes | None:
+    """A compression dictionary from pieces of a bounded sample; it changes sizes only."""
+    share = min(1.0, 2 * PIECES / max(1, docs.count()))
+    piece = F.substring(F.col(text), 1, PIECE_CHARS).alias("piece")
+    pieces = [p for p in docs.sample(share, seed=5).select(piece).limit(PIECES).toArrow().column(0).to_pylist() if p]
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [p.encode() for p in pieces]).as_bytes()
+    except zstandard.ZstdError:  # too little text to gain by
+        return None
+
+
+def _slices(batches, rows: int = 2000):
+    """Smaller batches, which bounds what a task holds of its texts in other forms."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _rare(vocabulary: Vocabulary):
     """(k1, k2, word, positions) of the words that are not broadcast."""
     known = vocabulary.frequent
     kinds = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("word", pa.string()), ("positions", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows, words, positions = [], [], []
             for row, text in enumerate(_decoded(batch.column(2))):
                 found: dict[str, list[int]] = {}
@@ -162,8 +193,8 @@ def _rare(vocabulary: Vocabulary):
 
 
 def _encode_words(vocabulary: Vocabulary):
-    """Words in order become ids, each distinct word once. A document that met the same
-    word before, as repeated rows do, adds nothing."""
+    """Words in order become ids, each distinct word once: how many positions, these, and
+    the ids. A document that met the same word before, as repeated rows do, adds nothing."""
 
     def run(batches):
         last, ids = None, b""
@@ -177,22 +208,20 @@ def _encode_words(vocabulary: Vocabulary):
                 if owner != (k1[i], k2[i]):
                     owner = (k1[i], k2[i])
                     keep.append(i)
-                    out.append(ids)
+                    positions = batch.column(3)[i].as_py()
+                    out.append((len(positions) // 4).to_bytes(4, "little") + positions + ids)
             at = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), batch.column(3).take(at), pa.array(out, pa.binary())],
-                ["k1", "k2", "positions", "ids"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out, pa.binary())], ["k1", "k2", "fill"])
 
     return run
 
 
-def _pack(position: int):
+def _pack(vocabulary: Vocabulary, position: int):
     """The text column compressed, for its way through the shuffle."""
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        pack = vocabulary.packer()
+        for batch in _slices(batches):
             columns = list(batch.columns)
             columns[position] = pa.array([pack(t) for t in texts_of(columns[position])], pa.large_binary())
             yield pa.RecordBatch.from_arrays(columns, [str(i) for i in range(batch.num_columns)])
@@ -204,14 +233,15 @@ def _assembled(vocabulary: Vocabulary, batches):
     """(row, packed text, fills): the row and its ids. Frequent words are looked up, the ids
     of all others are put in at their positions."""
     get = vocabulary.frequent.get
-    unpack = zstandard.ZstdDecompressor().decompressobj
-    for batch in batches:
+    unpack = vocabulary.unpacker()
+    for batch in _slices(batches):
         out = []
         for packed, fills in zip(texts_of(batch.column(1)), batch.column(2)):
-            parts = [get(w) for w in vocabulary.cut(unpack().decompress(packed).decode("utf-8", "replace"))]
+            parts = [get(w) for w in vocabulary.cut(unpack(packed).decode("utf-8", "replace"))]
             for fill in fills.as_py() or ():
-                for position in np.frombuffer(fill["positions"], "<u4").tolist():
-                    parts[position] = fill["ids"]
+                count = int.from_bytes(fill[:4], "little")
+                for position in np.frombuffer(fill, "<u4", count, 4).tolist():
+                    parts[position] = fill[4 + 4 * count :]
             out.append(np.frombuffer(b"".join(parts), vocabulary.kind).astype("<u4").tobytes())
         yield batch.column(0), pa.array(out, pa.large_binary())
 
@@ -240,14 +270,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, ident: str = "doc_id", text:
         docs.select(k1, k2, F.col(text).alias("text"))
         .mapInArrow(lambda it: _rare(sent.value)(it), "k1 long, k2 int, word string, positions binary")
         .repartition("word").sortWithinPartitions("word", "k1", "k2")
-        .mapInArrow(lambda it: _encode_words(sent.value)(it), "k1 long, k2 int, positions binary, ids binary")
+        .mapInArrow(lambda it: _encode_words(sent.value)(it), "k1 long, k2 int, fill binary")
     )
-    fills = rare.groupBy("k1", "k2").agg(F.collect_list(F.struct("positions", "ids")).alias("fills"))
+    fills = rare.groupBy("k1", "k2").agg(F.collect_list("fill").alias("fills"))
     others = [c for c in docs.columns if c != text]
     row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("_"))
     keyed = docs.select(row.alias("row"), k1, k2, F.col(text).alias("text"))
     kind = keyed.schema["row"].dataType.simpleString()
-    packed = keyed.mapInArrow(_pack(3), f"row {kind}, k1 long, k2 int, packed binary")
+    packed = keyed.mapInArrow(lambda it: _pack(sent.value, 3)(it), f"row {kind}, k1 long, k2 int, packed binary")
     joined = packed.join(fills, ["k1", "k2"], "left").select("row", "packed", "fills")
 
     def finish(batches):
