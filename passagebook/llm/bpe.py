@@ -32,8 +32,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from passagebook.llm.common import texts_of
 
 #: Words that are broadcast, and rows of the sample in which they are counted.
-FREQUENT = 700_000
-SAMPLE_ROWS = 50_000
+FREQUENT = 500_000
+SAMPLE_ROWS = 40_000
 #: Pieces of texts from which a compression dictionary is made, their length, its size.
 PIECES, PIECE_CHARS, DICTIONARY_BYTES = 1_500, 4_096, 400_000
 #: Longer words are never broadcast.
@@ -124,12 +124,12 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text: str, most: int
     """The words to broadcast with their ids: at most `most`, of at most LONGEST characters."""
 
     def count(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             words: Counter = Counter()
             for t in _decoded(batch.column(0)):
                 words.update(vocabulary.cut(t))
-            some = [(w, n) for w, n in words.items() if len(w) <= LONGEST]
-            yield pa.RecordBatch.from_pylist([{"word": w, "n": n} for w, n in some], pa.schema([("word", pa.string()), ("n", pa.int64())]))
+            names = [w for w in words if len(w) <= LONGEST]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([words[w] for w in names], pa.int64())], ["word", "n"])
 
     share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
     top = (
