@@ -55,7 +55,7 @@ def recent_runs(logs: DataFrame, reference: Column, days: int = 7) -> DataFrame:
 def metric_rollup(logs: DataFrame) -> DataFrame:
     """Per task and metric name: sum over all runs; with the task's runs and failure rate.
 
-    A value that is no number counts as null. Both parts are plain sums, so a task with
+    A task without metrics has one row with no metric. A value that is no number counts as null. Both parts are plain sums, so a task with
     most of the rows is reduced before the shuffle.
     """
     runs = logs.groupBy("task_name").agg(
@@ -68,7 +68,7 @@ def metric_rollup(logs: DataFrame) -> DataFrame:
         .groupBy("task_name", "metric")
         .agg(F.sum(F.col("value").try_cast("double")).alias("total"))
     )
-    return sums.join(runs, "task_name").select(
+    return runs.join(sums, "task_name", "left").select(
         "task_name",
         "metric",
         "total",

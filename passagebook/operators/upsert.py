@@ -37,6 +37,8 @@ def upsert(
     if order is not None:
         needed = [c for c in source.columns if c in target.columns]
         source = materialize(latest(source, key, order).select(*needed), "upsert-source")
+    elif not source.groupBy(key).count().filter("count > 1").isEmpty():
+        raise ValueError(f"source has several rows for one {key}; say by `order` which one wins")
     updates = set(update_columns if update_columns is not None else source.columns) - {key}
     unknown = updates - set(source.columns)
     if unknown:

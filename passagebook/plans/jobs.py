@@ -116,17 +116,18 @@ def _index_rows(source: DataFrame) -> DataFrame:
     )
 
 
-def index_job(spark: SparkSession, tables: Tables, full: bool = False) -> dict:
+def index_job(spark: SparkSession, tables: Tables, added_only: bool = False) -> dict:
     """Bring the index up to the chunks.
 
-    Usually chunks are only added, so the vectors whose ids the index lacks are built and
-    appended. `full` compares all rows and also takes over changes and deletions.
+    All rows are compared by key and hash: new, changed and deleted chunks are taken over.
+    A caller who knows that chunks were only added may say so; then only those vectors are
+    built and appended whose ids the index lacks.
     """
     if not table_exists(spark, tables.chunks):
         return {"status": "error", "message": f"no table {tables.chunks}"}
     old = read_table(spark, tables.index)
     vectors = read_table(spark, tables.vectors)
-    if old is not None and vectors is not None and not full:
+    if old is not None and vectors is not None and added_only:
         done = vectors.filter(F.col("error").isNull()).select("chunk_id").distinct()
         ids = materialize(done.join(old.select("chunk_id"), "chunk_id", "left_anti"), "index-ids")
         fresh = merge_embeddings(
@@ -163,6 +164,9 @@ def answer_job(
         spark.table(tables.queries), spark.table(tables.index), embedder, generator,
         F.lit(now), run_id, settings, **options,
     )
+    earlier = read_table(spark, tables.responses)
+    if earlier is not None:  # a run that is repeated answers nothing twice
+        responses = responses.join(earlier.select("response_id"), "response_id", "left_anti").select(*responses.columns)
     responses = materialize(responses, "responses")
     append(responses, tables.responses, RAG_RESPONSES)
     return {"status": "success", **answer_stats(responses).first().asDict()}

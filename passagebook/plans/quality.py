@@ -146,9 +146,8 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     def delivery():
         return stream.read_files(spark, sf, schema, pattern="events.parquet")
 
-    both = delivery().unionByName(delivery())
-    kept = stream.drop_copies(both, "event_id", "ts").select("event_id", "ts", "user_id", "event_type", "value")
-    stream.start(kept, stream.write_rows(target), state).awaitTermination()
+    both = delivery().unionByName(delivery()).select("event_id", "ts", "user_id", "event_type", "value")
+    stream.start(both, stream.write_first(target, "event_id"), state).awaitTermination()
     rows = spark.read.parquet(target).select("event_id", "ts", "user_id", "event_type", "value")
     return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -334,7 +333,7 @@ sums AS (
          sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS total
   FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1)
 SELECT task_name, metric, total, runs, failed_runs, failed_runs / CAST(runs AS DOUBLE) AS failure_rate
-FROM sums JOIN runs USING (task_name)""",
+FROM runs LEFT JOIN sums USING (task_name)""",
     "full_batch_run": f"""
 WITH {inputs.CHUNKS_SQL}
 SELECT document_id, count(*) AS n_chunks, CAST(sum(length(content)) AS BIGINT) AS n_chars,

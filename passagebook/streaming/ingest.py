@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,6 +11,7 @@ from passagebook.functions.models import Embedder
 from passagebook.operators.embedding import embed_chunks
 from passagebook.operators.indexing import SYNC_COLUMNS, build_index
 from passagebook.operators.ingest import ingest
+from passagebook.operators.upsert import latest
 from passagebook.settings import Settings
 
 
@@ -27,15 +29,6 @@ def read_files(
     return reader.parquet(folder)
 
 
-def drop_copies(stream: DataFrame, key: str, event_time: str, delay: str = "1 hour") -> DataFrame:
-    """First row per key, copies dropped while they arrive within `delay`.
-
-    State is one key each and leaves with the watermark, so it does not grow for ever.
-    """
-    timed = stream.withColumn(event_time, stream[event_time].cast("timestamp"))
-    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
-
-
 def start(stream: DataFrame, write_batch, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Run to the end of what is there, or for ever with a batch `every` so often."""
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
@@ -53,6 +46,31 @@ def write_rows(target: str):
     return write
 
 
+def write_first(target: str, key: str):
+    """Batch writer that keeps the first delivery of each key, however late it comes.
+
+    What earlier batches wrote is the ledger: only its keys are read. Within a batch the
+    greatest row of a key wins, so that a repeated batch writes the same.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = latest(batch.filter(F.col(key).isNotNull()), key, [])
+        earlier = seen_before(batch.sparkSession, target, key, batch_id)
+        if earlier is not None:
+            fresh = fresh.join(earlier, key, "left_anti")
+        fresh.unionByName(batch.filter(F.col(key).isNull())).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return write
+
+
+def seen_before(spark: SparkSession, target: str, key: str, batch_id: int) -> DataFrame | None:
+    """The distinct keys that batches before this one wrote, none before the first."""
+    if batch_id == 0:
+        return None
+    written = spark.read.option("basePath", target).parquet(*[f"{target}/batch={i}" for i in range(batch_id)])
+    return written.select(key).distinct()
+
+
 def ingest_batches(
     target: str,
     created_at: Column,

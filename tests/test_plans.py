@@ -55,15 +55,15 @@ def test_reports_scan_once(spark, sf):
     assert text.count("documents.parquet") == 1
 
 
-def test_long_conversation_is_split(spark):
-    """One conversation with most of the rows becomes parts of bounded length."""
+def test_long_conversation_is_whole(spark):
+    """A conversation with most of the rows is one prompt with all its turns in order."""
     from passagebook.operators.answers import chat_transcript
 
     turns = spark.range(5000).select(
         F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("conv_id"),
-        F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("hi").alias("text"),
+        F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("hi "), F.col("id")).alias("text"),
     )
-    out = chat_transcript(turns, turns_per_part=256)
-    sizes = {r.part: r.prompt.count("User:") for r in out.filter("conv_id = 1").collect()}
-    assert sum(sizes.values()) == 3000 and max(sizes.values()) <= 256
-    assert out.filter("conv_id = 1 and prompt like '%Assistant:'").count() == 1
+    out = chat_transcript(turns)
+    assert out.count() == 2001
+    prompt = out.filter("conv_id = 1").first().prompt
+    assert prompt == "".join(f"\nUser: hi {i}" for i in range(3000)) + "\nAssistant:"

@@ -179,12 +179,12 @@ def test_jobs(spark):
     add(("c", "Snow falls in winter. Rain falls in spring."))
     second = jobs.full_batch(spark, t, s, model, NOW)
     assert second["ingest"]["documents_processed"] == 1
-    assert second["index"] == {"status": "success", "added": second["embed"]["chunks_embedded"]}
+    assert second["index"]["ready"] and second["index"]["covered"] == spark.table(t.chunks).count()
     assert spark.table(t.index).count() == spark.table(t.chunks).count()
-    assert jobs.index_job(spark, t)["added"] == 0
-    # Changed and deleted chunks are the work of a full run.
+    assert jobs.index_job(spark, t, added_only=True)["added"] == 0
+    # Changed and deleted chunks are taken over by an ordinary run.
     tables.replace(spark.table(t.index).filter("document_id = 'a'").withColumn("content_hash", F.lit("old")), t.index)
-    whole = jobs.index_job(spark, t, full=True)
+    whole = jobs.index_job(spark, t)
     assert whole["ready"] and whole["covered"] == spark.table(t.chunks).count()
     assert spark.table(t.chunks).select(*DOCUMENT_CHUNKS.names).count() == spark.table(t.vectors).count()
 
@@ -212,3 +212,17 @@ def test_jobs(spark):
 
 def test_shared_folder_is_the_named_one(spark):
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_rollup_keeps_tasks_without_metrics(spark):
+    df = spark.createDataFrame([("t", "failed", "{}"), ("t", "success", None), ("u", "success", '{"n": 1}')], "task_name string, status string, metrics string")
+    got = {r.task_name: (r.metric, r.runs, r.failed_runs) for r in metrics.metric_rollup(df).collect()}
+    assert got == {"t": (None, 2, 1), "u": ("n", 1, 0)}
+
+
+def test_upsert_refuses_copies(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    source = spark.createDataFrame([(1, "x"), (1, "y")], "id int, v string")
+    with pytest.raises(ValueError):
+        upsert.upsert(target, source, "id")
+    assert {(r.id, r.v) for r in upsert.upsert(target, source, "id", order=[F.col("v")]).collect()} == {(1, "y"), (2, "b")}
