@@ -7,8 +7,8 @@ part of the file is a floor under the kth best score of all, so a second scan re
 vectors only where the upper bound reaches the floor, in falling order of upper bound, and
 stops as soon as the kth exact score lies above all bounds that are left.
 
-Defined results: vectors that are null or hold a null or non-finite component take no part,
-nor do rows without an id. Only vectors of a query's length are its candidates. Every
+Defined results: vectors that are null or empty or hold a null or non-finite component take
+no part, nor do rows without an id. Only vectors of a query's length are its candidates. Every
 repeated row is a candidate of its own; a query id that occurs twice is asked once, with
 the smallest of its vectors. Ties go to the smaller id. An empty table gives no rows. Other
 columns of the tables are ignored.
@@ -38,7 +38,7 @@ def integers(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding
     sound = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return (
         vectors.select(F.col(ident).cast("long").alias("vec_id"), v.alias("v"))
-        .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & sound)
+        .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & sound & (F.size("v") > 0))
         .select("vec_id", F.transform("v", lambda c: F.floor(c * F.lit(scale))).alias("x"))
     )
 

@@ -1,0 +1,49 @@
+import math
+import random
+
+import pytest
+
+from passagebook.llm import vafile as v
+
+SCHEMA = "vec_id long, embedding array<double>, label int, x string, query_id int"
+
+
+def plain(rows, k):
+    """All pairs; a query id that occurs twice is asked with the smallest of its vectors."""
+    sound = [(i, [math.floor(64 * c) for c in e]) for i, e in rows if i is not None and e and all(c is not None and math.isfinite(c) for c in e)]
+    asked = {}
+    for i, x in sound:
+        if i % 5 == 0:
+            asked[i] = min(x, asked.get(i, x))
+    out = []
+    for q, x in asked.items():
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in sound if i != q and len(y) == len(x))[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def case():
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 0.3) for _ in range(8)]) for i in range(300)]
+    rows += [(1000 + i, rows[7][1]) for i in range(150)]  # a hot vector: ties by id
+    rows += [(2000 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(12)]  # another length, few of them
+    rows += [(3000, None), (3005, [0.1, None] + [0.0] * 6), (3010, [math.nan] + [0.0] * 7), (3015, [math.inf] + [0.0] * 7), (None, [0.5] * 8)]
+    return rows + [(10, rows[11][1]), (12, rows[12][1]), (4000, []), (4005, []), (5000, [1e6] * 8), (5001, [-1e6] * 8)]
+
+
+def rows_of(df):
+    return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in df.collect())
+
+
+@pytest.mark.parametrize("bits,block", [(6, 16384), (2, 16384), (6, 25)])
+def test_equals_all_pairs(spark, bits, block):
+    rows = case()
+    df = spark.createDataFrame([(*r, 1, "clash", 2) for r in rows], SCHEMA).repartition(5)
+    file = v.build(df, bits=bits)
+    got = v.top_k(file.filter("vec_id % 5 = 0").select("vec_id", "x"), file, 20, block_queries=block)
+    assert rows_of(got) == plain(rows, 20)
+
+
+def test_empty(spark):
+    file = v.build(spark.createDataFrame([], SCHEMA))
+    assert v.top_k(file.select("vec_id", "x"), file, 20).count() == 0
