@@ -83,38 +83,46 @@ def hard_windows(df: DataFrame, text: str = "text", size: int = 512, overlap: in
     return _explode_windows(df, text, _windows(F.col(text), count, size, step, lambda c: c), size)
 
 
+def sentences_at(text: str) -> Iterator[tuple[int, str]]:
+    """Cut at the space after a full stop, exclamation or question mark, as (start, sentence)."""
+    start = 0
+    for gap in _SENTENCE_GAP.finditer(text):
+        yield start, text[start : gap.start(1)]
+        start = gap.end(1)
+    yield start, text[start:]
+
+
 def split_sentences(text: str) -> list[str]:
-    """Cut at the space after a full stop, exclamation or question mark."""
-    gaps = [m.span(1) for m in _SENTENCE_GAP.finditer(text)]
-    starts = [0, *(end for _, end in gaps)]
-    ends = [*(start for start, _ in gaps), len(text)]
-    return [text[i:j] for i, j in zip(starts, ends)]
+    return [sentence for _, sentence in sentences_at(text)]
 
 
 def sentence_spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
     """Sentences packed up to `size` with one space between them, as (start, content).
 
-    A chunk that is no substring of the text, because spaces were collapsed, starts where
-    the one before it ended.
+    A chunk starts at the first place of its content after the one before, less the overlap.
+    A chunk that is not in the text where its first sentence starts, because spaces were
+    collapsed, starts where the one before it ended. So no search goes past the chunk's own
+    place, and all of them together are linear in the text.
     """
     done = 0
 
-    def place(content):
-        at = text.find(content, max(0, done - overlap))
-        return done if at < 0 else at
+    def place(content, own):
+        return text.find(content, max(0, done - overlap)) if text.startswith(content, own) else done
 
-    packed = ""
-    for sentence in split_sentences(text):
+    packed, own = "", 0
+    for at, sentence in sentences_at(text):
         if len(packed) + 1 + len(sentence) <= size:
+            if not packed:
+                own = at + len(sentence) - len(sentence.lstrip(SPACE))
             packed = f"{packed} {sentence}".strip(SPACE)
             continue
         if packed:
-            start = place(packed)
+            start = place(packed, own)
             yield start, packed
             done = start + len(packed)
-        packed = sentence
+        packed, own = sentence, at
     if packed:
-        yield place(packed), packed
+        yield place(packed, own), packed
 
 
 def _runs(text: str, lo: int, hi: int, sep: str, size: int) -> Iterator[tuple[int, int]]:

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -132,6 +133,29 @@ def test_sentence_spans(text, size):
     assert squeeze.sub("", "".join(bodies)) == squeeze.sub("", text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(TEXTS, st.integers(1, 40), st.data())
+def test_sentence_starts(text, size, data):
+    """As a search through all of the text finds them, but for collapsed chunks."""
+    overlap = data.draw(st.integers(0, size - 1))
+    done = 0
+    for start, body in chunking.sentence_spans(text, size, overlap):
+        assert start >= 0
+        if start != done:
+            assert start == text.find(body, max(0, done - overlap))
+        if body not in text:
+            assert start == done
+        done = start + len(body)
+
+
+def test_sentence_starts_do_not_search_the_rest():
+    """Every chunk has a collapsed gap; a search to the end of the text would take minutes."""
+    text = "\n".join(f"sentence number {i} here." for i in range(400_000))
+    began = time.perf_counter()
+    assert sum(1 for _ in chunking.sentence_spans(text, 512, 50)) > 20_000
+    assert time.perf_counter() - began < 20
+
+
 def test_unknown_strategy(spark):
     docs = spark.createDataFrame([(1, "a")], "document_id long, text string")
     with pytest.raises(ValueError):
