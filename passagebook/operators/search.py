@@ -303,9 +303,14 @@ def nearest_cells(centroids: np.ndarray, vector: Column, probes: int) -> Column:
     def pick(vectors):
         if not len(vectors):
             return vectors
-        scores = np.stack(vectors.to_numpy()).astype(np.float64) @ centroids.T - half_squares
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-        return pd.Series(list(order.astype(np.int32)))
+        rows, near = vectors.to_numpy(), []
+        for at in range(0, len(rows), _STRIP):
+            scores = np.stack(rows[at : at + _STRIP]).astype(np.float64) @ centroids.T - half_squares
+            if probes == 1:  # every row of an index comes this way: no sort
+                near += list(scores.argmax(axis=1).astype(np.int32)[:, None])
+            else:
+                near += list(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32))
+        return pd.Series(near)
 
     return pick(vector)
 
@@ -343,7 +348,8 @@ def top_k_cells(
 ) -> DataFrame:
     """Approximate top-k: only the `probes` nearest cells of each query are searched.
 
-    `index` carries `cell`. With all cells probed the rows equal `top_k`.
+    `index` carries `cell`. With all cells probed the rows equal `top_k`. The numbers of the
+    probed cells, at most one per centroid, are fetched and name the folders to read.
     """
     index = with_filters(index, filters)
     if columns is None:
@@ -354,6 +360,10 @@ def top_k_cells(
         "query_vector",
         F.explode(nearest_cells(centroids, F.col("query_vector"), probes)).alias("cell"),
     )
+    asked = materialize(asked, "asked")
+    probed = asked.select("cell").distinct().toArrow().column("cell").to_pylist()
+    if len(probed) < len(centroids):
+        index = index.filter(F.col("cell").isin(probed))
     return _final(_search_grouped(_with_floor(asked, None), index, k, carried), k, carried)
 
 

@@ -147,10 +147,13 @@ def _number(df: DataFrame, name: str) -> Column:
 def zorder(df: DataFrame, columns: Sequence[str], target: str, rows_per_file: int = 2_000_000) -> None:
     """Write the rows so that files cover small ranges of all the columns.
 
-    Each column is scaled to 256 steps of its range and the bits are interleaved; one range
-    shuffle on that value lays out the files. Rows of one value are spread by a hash of
+    Each column is scaled to 256 steps of its range (fewer where more than seven columns share
+    the bits of a long) and the bits are interleaved; one range shuffle on that value lays out
+    the files. Rows of one value are spread by a hash of
     the row, so a value with most of the rows fills several files.
     """
+    if len(columns) > 63:
+        raise ValueError("z-order takes at most 63 columns")
     numbers = {c: _number(df, c) for c in columns}
     ends = df.agg(
         F.count(F.lit(1)).alias("n"),
@@ -158,13 +161,14 @@ def zorder(df: DataFrame, columns: Sequence[str], target: str, rows_per_file: in
         *[F.max(n).alias(f"hi_{c}") for c, n in numbers.items()],
     ).first()
     bits = []
+    width = max(1, min(_BITS, 63 // max(1, len(columns))))
     for i, (c, n) in enumerate(numbers.items()):
         lo, hi = ends[f"lo_{c}"], ends[f"hi_{c}"]
-        top = (1 << _BITS) - 1
+        top = (1 << width) - 1
         if lo is None or hi is None or hi <= lo:
             continue
         step = F.coalesce(F.floor((n - lo) / (hi - lo) * top), F.lit(0)).cast("int")
-        for b in range(_BITS):
+        for b in range(width):
             bit = F.shiftright(step, b).bitwiseAND(F.lit(1)).cast("bigint")
             bits.append(F.shiftleft(bit, b * len(columns) + i))
     z = reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("bigint"))

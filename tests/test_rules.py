@@ -246,6 +246,9 @@ def test_library_does_not_collect():
     for path in (root / "operators").glob("*.py"):
         calls = re.findall(r"\.(collect|toPandas|toLocalIterator|crossJoin|localCheckpoint)\(", path.read_text())
         assert not calls, path
+        # Fetched: the query side, limited and measured; the probed cells, one per centroid.
+        fetched = re.findall(r"= (.+)\.toArrow\(", path.read_text())
+        assert fetched == (["queries.limit(limit + 1)", 'asked.select("cell").distinct()'] if path.stem == "search" else []), path
 
 
 def test_first_delivery_stays_however_late(spark, tmp_path):

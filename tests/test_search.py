@@ -101,6 +101,35 @@ def test_cells_written_and_pruned(spark, data, tmp_path):
     assert rows(got) == brute(queries, index, 12)
 
 
+def test_only_probed_cells_are_read(spark, data, tmp_path):
+    queries, index, query_df, index_df = data
+    centroids = indexing.train_cells(index_df, 20)
+    stored = search.write_cells(search.assign_cells(index_df, centroids), str(tmp_path / "cells"))
+    one = query_df.filter("query_id = 'q0'")
+    cell = search.nearest_cells(centroids, F.col("query_vector"), 1)[0]
+    wanted = one.select(cell.alias("cell")).first().cell
+    members = {r.chunk_id for r in stored.filter(F.col("cell") == wanted).collect()}
+    kept = [(c, v) for c, v in index if c in members]
+    others = [f for f in (tmp_path / "cells").glob("cell=*/*.parquet") if f.parent.name != f"cell={wanted}"]
+    assert len({f.parent for f in others}) > 10
+    for file in others:  # reading one of these would end the search
+        file.write_bytes(b"no table")
+        (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    assert rows(search.top_k_cells(one, stored, centroids, 12, probes=1, columns=[])) == brute(queries[:1], kept, 12)
+    with pytest.raises(Exception, match="parquet|FAILED_READ_FILE"):
+        search.top_k_cells(one, stored, centroids, 12, probes=20, columns=[]).collect()
+
+
+def test_nearest_cell_is_the_first_of_equals(spark, data):
+    _, _, _, index_df = data
+    centroids = np.array([[1.0] * 8, [0.5] * 8, [1.0] * 8])
+    many = index_df.select(
+        search.nearest_cells(centroids, F.col("embedding"), 1)[0].alias("one"),
+        search.nearest_cells(centroids, F.col("embedding"), 3)[0].alias("first"),
+    )
+    assert many.filter("one <> first").count() == 0 and many.filter("one = 2").count() == 0
+
+
 @pytest.mark.parametrize("limit", [4096, 0])
 def test_unsound_vectors_are_never_found(spark, data, limit):
     queries, index, query_df, index_df = data

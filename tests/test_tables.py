@@ -93,6 +93,18 @@ def test_hot_key_upsert(spark):
     assert got[-1] == 2997 and len(got) == 2001
 
 
+def test_zorder_of_many_columns(spark, tmp_path):
+    """Bits of ten columns fit a long: rows that agree in all are neighbours, and files are ordered."""
+    columns = [f"c{i}" for i in range(10)]
+    df = spark.range(4000).select("id", *[(F.floor(F.col("id") / 1000) * 50).alias(c) for c in columns])
+    path = str(tmp_path / "z")
+    tables.zorder(df, columns, path, rows_per_file=1000)
+    out = spark.read.parquet(path)
+    assert out.count() == 4000
+    spans = out.groupBy(F.input_file_name()).agg(F.min("c0").alias("lo"), F.max("c0").alias("hi")).collect()
+    assert len(spans) > 1 and all(r.hi - r.lo <= 50 for r in spans)
+
+
 def test_zorder_keeps_rows_and_spreads_hot_value(spark, tmp_path):
     df = spark.range(9000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("a"),
