@@ -7,8 +7,8 @@ The text's language is the one with the largest sum; the score is its share of t
 likelihood, from 0 to 1.
 
 Learned from a sample of labelled rows, whose size is a parameter (SAMPLE_ROWS); so are the
-numbers of words and n-grams that are kept (ENTRIES, over all languages). Every text is
-scored whole.
+numbers of words and n-grams that are kept (ENTRIES, over all languages): the most frequent,
+and those as rare as the last only if all of them fit. Every text is scored whole.
 
 Defined results: lang is `und` with score 0 where a text is null, empty or without a letter,
 or where nothing could be learned. A text of unknown signs only goes to the most frequent
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from passagebook.llm.common import texts_of
+from passagebook.sources.session import materialize
 
 SAMPLE_ROWS = 20_000
 #: Words, and n-grams of each length, kept over all languages.
@@ -91,14 +92,18 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", sample_rows:
                     ["lang", "n", "gram", "seen"],
                 )
 
-    # Sums by gram are aggregates with partial results; only the kept rows are gathered.
-    seen = labelled.sample(share, seed=11).mapInArrow(count, kind).groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen"))
-    kept = (
-        seen.withColumn("total", F.sum("seen").over(Window.partitionBy("lang", "n")))
-        .withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("seen"), "gram", "lang")))
-        .filter(F.col("rank") <= entries).select("lang", "n", "gram", "seen", "total").toArrow()
+    # Sums by gram are aggregates with partial results; only the kept rows are gathered. What
+    # is kept is read off a histogram of frequencies, so that no task ranks all rows of a
+    # length: rows of one frequency are kept or left together.
+    seen = materialize(
+        labelled.sample(share, seed=11).mapInArrow(count, kind).groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen")), "grams"
     )
-    return fit(kept)
+    so_far = F.sum("grams").over(Window.partitionBy("n").orderBy(F.desc("seen")))
+    levels = seen.groupBy("n", "seen").agg(F.count(F.lit(1)).alias("grams")).withColumn("so_far", so_far)
+    least = levels.filter(F.col("so_far") <= entries).groupBy("n").agg(F.min("seen").alias("least"))
+    totals = seen.groupBy("lang", "n").agg(F.sum("seen").alias("total"))
+    kept = seen.join(least, "n").filter(F.col("seen") >= F.col("least")).join(totals, ["lang", "n"])
+    return fit(kept.select("lang", "n", "gram", "seen", "total").toArrow())
 
 
 def fit(kept: pa.Table) -> Model:

@@ -58,3 +58,12 @@ def test_query(spark, sf):
     held = got.filter("held_out").collect()
     assert len(held) > 20 and sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 for r in held)
+
+
+def test_kept_entries_are_the_most_frequent(spark):
+    rows = [(1, "aa aa aa bb bb cc dd", "en", 1), (2, "aa aa ee", "de", 1)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    # Rows by language: aa 3 and 2, bb 2, cc, dd and ee once, of which two would not fit.
+    assert set(language.learn(frame, entries=3).tables[0]) == {"aa", "bb"}
+    assert set(language.learn(frame, entries=5).tables[0]) == {"aa", "bb"}
+    assert set(language.learn(frame, entries=6).tables[0]) == {"aa", "bb", "cc", "dd", "ee"}
