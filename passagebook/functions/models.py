@@ -41,8 +41,22 @@ class Scorer(Protocol):
 class Generator(Protocol):
     name: str
 
-    def generate(self, question: str, context: str, system_prompt: str, prompt: str) -> tuple[str, int]:
-        """Answer text and the number of tokens used."""
+    def generate(
+        self,
+        questions: Sequence[str],
+        contexts: Sequence[str],
+        prompts: Sequence[str],
+        system_prompt: str,
+        max_tokens: int,
+        temperature: float,
+    ) -> Sequence[tuple[str, int] | Exception]:
+        """For each prompt the answer and the number of tokens used, or what went wrong."""
+        ...
+
+
+class Extractor(Protocol):
+    def extract(self, texts: Sequence[str]) -> Sequence[Sequence[tuple[str, str]]]:
+        """For each text its mentions: entity type and entity."""
         ...
 
 
@@ -98,17 +112,19 @@ class WordOverlap:
 class ExtractiveGenerator:
     """Answers with the context sentence that shares most distinct words with the question.
 
-    The first such sentence wins a tie. An empty context is an error, so a batch shows it
-    as a failed row.
+    The first such sentence wins a tie. An answer of more than max_tokens words ends there. An
+    empty context is an error, so a batch shows it as a failed row.
     """
 
     name = "extractive"
 
-    def generate(self, question: str, context: str, system_prompt: str, prompt: str) -> tuple[str, int]:
+    def generate(self, questions, contexts, prompts, system_prompt, max_tokens, temperature):
+        rows = zip(questions, contexts, prompts, strict=True)
+        return [self._answer(*row, max_tokens) if row[1] else ValueError("no context") for row in rows]
+
+    def _answer(self, question: str, context: str, prompt: str, max_tokens: int) -> tuple[str, int]:
         from passagebook.operators.chunking import split_sentences
 
-        if not context:
-            raise ValueError("no context")
         asked = set(split_words(question.lower()))
         best, best_hits = "", -1
         for part in context.split("\n\n---\n\n"):
@@ -117,7 +133,11 @@ class ExtractiveGenerator:
                 hits = len(asked & set(split_words(sentence.lower())))
                 if hits > best_hits:
                     best, best_hits = sentence, hits
-        return best, len(split_words(prompt)) + len(split_words(best))
+        words = split_words(best)
+        if len(words) > max_tokens:
+            words = words[:max_tokens]
+            best = " ".join(words)
+        return best, len(split_words(prompt)) + len(words)
 
 
 def with_retry(

@@ -142,3 +142,10 @@ def dimension_check(df: DataFrame, dim: int, vector: str = "embedding") -> DataF
     """Rows with n_dims and whether it is the declared dimension; null vectors are not."""
     n = F.when(F.col(vector).isNull(), 0).otherwise(F.size(vector))
     return df.withColumn("n_dims", n).withColumn("dim_ok", F.col("n_dims") == dim)
+
+
+def dimension_rejects(df: DataFrame, dim: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """Rows to set aside, whose vector has another number of values than declared: the key,
+    n_dims and expected. A row without a vector is pending, not rejected."""
+    checked = dimension_check(df.filter(has_vector(F.col(vector))), dim, vector)
+    return checked.filter(~F.col("dim_ok")).select(key, "n_dims", F.lit(dim).alias("expected"))

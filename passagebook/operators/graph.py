@@ -6,13 +6,18 @@ relations with a confidence.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagebook.functions.models import Extractor
 from passagebook.sources.session import shared_folder
 
-# One pattern per entity type. A date is a number group like 2024-01-31; a
-# concept is a run of capitalised words.
+# The types an extractor may give.
+ENTITY_TYPES = ("PERSON", "ORGANIZATION", "LOCATION", "DATE", "EVENT", "CONCEPT")
+
+# The types that are found without an extractor, by one pattern each. A date is
+# a number group like 2024-01-31; a concept is a run of capitalised words.
 ENTITY_PATTERNS = {
     "DATE": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
     "CONCEPT": r"[A-Z][a-z]+(?: [A-Z][a-z]+)*",
@@ -26,28 +31,54 @@ def _mentions_of(kind: str, text: Column) -> Column:
     return F.transform(found, lambda m: F.struct(F.lit(kind).alias("entity_type"), m.alias("entity")))
 
 
-def entity_mentions(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
+def mentions(text: Column, extractor: Extractor | None = None) -> Column:
+    """The mentions of a text as an array of (entity_type, entity)."""
+    if extractor is None:
+        return F.concat(*[_mentions_of(kind, text) for kind in ENTITY_PATTERNS])
+    kind = pa.list_(pa.struct([("entity_type", pa.string()), ("entity", pa.string())]))
+
+    @F.arrow_udf("array<struct<entity_type:string,entity:string>>")
+    def extracted(texts: pa.Array) -> pa.Array:
+        found = [list(one) for one in extractor.extract([t or "" for t in texts.to_pylist()])]
+        if len(found) != len(texts):
+            raise ValueError(f"mentions of {len(found)} texts, {len(texts)} were given")
+        unknown = {k for one in found for k, _ in one} - set(ENTITY_TYPES)
+        if unknown:
+            raise ValueError(f"unknown entity types: {sorted(unknown)}")
+        return pa.array([[{"entity_type": k, "entity": name} for k, name in one] for one in found], kind)
+
+    return extracted(text)
+
+
+def entity_mentions(
+    chunks: DataFrame, key: str = "chunk_id", text: str = "content", extractor: Extractor | None = None
+) -> DataFrame:
     """One row per mention: key, entity type, entity."""
-    return chunks.select(key, F.inline(F.concat(*[_mentions_of(kind, F.col(text)) for kind in ENTITY_PATTERNS])))
+    return chunks.select(key, F.inline(mentions(F.col(text), extractor)))
 
 
-def relations(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """Entities mentioned one after the other in a chunk, with the number of times.
+def relations(chunks: DataFrame, text: str = "content", extractor: Extractor | None = None) -> DataFrame:
+    """Entities mentioned in the same chunk, with the number of chunks.
 
-    Only neighbours are paired, so the rows grow with the mentions and not with their
-    square. The two ends are in order of name; an entity has no relation to itself.
+    A chunk pairs its distinct entities. Its pairs are bounded because its size is: the
+    input is chunks, not whole documents. The two ends are in order of name; an entity has
+    no relation to itself.
     """
-    mentions = F.regexp_extract_all(F.col(text), F.lit(ENTITY_PATTERNS["CONCEPT"]), F.lit(0))
+    names = F.transform(mentions(F.col(text), extractor), lambda m: m["entity"])
     n = F.size("_m")
-    pairs = F.arrays_zip(
-        F.slice("_m", 1, n - 1).alias("first"), F.slice("_m", 2, n - 1).alias("second")
+    pairs = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), n - 1),
+            lambda i: F.transform(
+                F.slice("_m", i + 1, n), lambda other: F.struct(F.element_at("_m", i).alias("src"), other.alias("dst"))
+            ),
+        )
     )
     return (
-        chunks.select(mentions.alias("_m"))
+        chunks.select(F.array_sort(F.array_distinct(names)).alias("_m"))
         .filter(n > 1)
-        .select(F.inline(pairs).alias("first", "second"))
-        .filter(F.col("first") != F.col("second"))
-        .groupBy(F.least("first", "second").alias("src"), F.greatest("first", "second").alias("dst"))
+        .select(F.inline(pairs))
+        .groupBy("src", "dst")
         .agg(F.count(F.lit(1)).alias("n_times"))
     )
 

@@ -9,8 +9,9 @@ same rows:
 * more queries: both sides are cut into blocks, and each group of the shuffle holds one
   bounded block of queries and a stream of index rows.
 
-Vectors with NaN or infinite values have no score and are never found. Nothing is emitted
-per pair; a task keeps the best k rows per query while it streams.
+Vectors with NaN or infinite values, or of another length than the queries, have no score and
+are never found. Nothing is emitted per pair; a task keeps the best k rows per query while it
+streams. The shuffled way and `sample` read the index twice, so it should be a stored table.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,6 +116,12 @@ class _Best:
         yield from out.select(list(names)).to_batches(max_chunksize=4096)
 
 
+def _fitting(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
+    """The rows whose vector is as long as the queries'."""
+    fits = pc.equal(pc.list_value_length(batch.column("embedding")), dim)
+    return batch.filter(fits)
+
+
 def _result_schema(index: DataFrame, carried: Sequence[str]) -> T.StructType:
     return T.StructType(
         [T.StructField("query_id", T.StringType()), T.StructField("score", T.DoubleType())]
@@ -137,6 +145,7 @@ def _search_broadcast(query_ids, queries, floor, index: DataFrame, k: int, carri
         ids, wanted, least = shared.value
         best = _Best(ids, wanted, k, least)
         for batch in batches:
+            batch = _fitting(batch, wanted.shape[1])
             if batch.num_rows:
                 best.add(batch, matrix(batch.column("embedding"), wanted.shape[1]), carried)
         yield from best.batches(names)
@@ -209,7 +218,9 @@ def _search_grouped(queries: DataFrame, index: DataFrame, k: int, carried: Seque
                 elif ids:
                     if best is None:
                         best = _Best(np.asarray(ids, dtype=object), np.concatenate(vectors), k, np.asarray(floors))
-                    best.add(part, matrix(part.column("embedding"), best.queries.shape[1]), carried)
+                    part = _fitting(part, best.queries.shape[1])
+                    if part.num_rows:
+                        best.add(part, matrix(part.column("embedding"), best.queries.shape[1]), carried)
         if best is not None:
             yield from best.batches(names)
 
@@ -316,7 +327,9 @@ def nearest_cells(centroids: np.ndarray, vector: Column, probes: int) -> Column:
 
 
 def assign_cells(index: DataFrame, centroids: np.ndarray) -> DataFrame:
-    rows = index.filter(has_vector(F.col("embedding")))
+    """Rows with the number of their nearest centroid; vectors of another length than these
+    are left out."""
+    rows = index.filter(has_vector(F.col("embedding")) & (F.size("embedding") == centroids.shape[1]))
     return rows.withColumn("cell", nearest_cells(centroids, F.col("embedding"), 1)[0])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from passagebook.functions.models import Embedder, Generator
 from passagebook.operators.answers import answer_stats, batch_answers
-from passagebook.operators.embedding import embed_chunks, merge_embeddings, pending
+from passagebook.operators.embedding import dimension_rejects, embed_chunks, merge_embeddings, pending
 from passagebook.operators.indexing import (
     SYNC_COLUMNS,
     apply_sync,
@@ -37,6 +37,7 @@ class Tables:
         self.chunks = f"{dot}document_chunks"
         self.vectors = f"{dot}chunk_embeddings"
         self.index = f"{dot}vector_index"
+        self.rejects = f"{dot}vector_rejects"
         self.queries = f"{dot}queries"
         self.responses = f"{dot}rag_responses"
         self.logs = f"{dot}task_logs"
@@ -110,18 +111,32 @@ def embedded_chunks(spark: SparkSession, tables: Tables) -> DataFrame:
     return chunks if vectors is None else merge_embeddings(chunks, vectors)
 
 
-def _index_rows(source: DataFrame) -> DataFrame:
-    return build_index(source, columns=SYNC_COLUMNS).withColumn(
+def _index_rows(source: DataFrame, dim: int | None) -> DataFrame:
+    return build_index(source, columns=SYNC_COLUMNS, dim=dim).withColumn(
         "content_hash", content_hash(["content", "metadata", "embedding"])
     )
 
 
-def index_job(spark: SparkSession, tables: Tables, added_only: bool = False) -> dict:
+def _set_aside(source: DataFrame, tables: Tables, dim: int | None) -> dict:
+    """Write the rows whose vector has another length than `dim` to the table of rejects."""
+    if dim is None:
+        return {}
+    rejects = materialize(dimension_rejects(source, dim), "rejects")
+    spark = source.sparkSession
+    if table_exists(spark, tables.rejects):
+        replace(rejects, tables.rejects)
+    else:
+        _append_plain(rejects, tables.rejects)
+    return rejects.agg(F.count(F.lit(1)).alias("rejected")).first().asDict()
+
+
+def index_job(spark: SparkSession, tables: Tables, added_only: bool = False, dim: int | None = None) -> dict:
     """Bring the index up to the chunks.
 
     All rows are compared by key and hash: new, changed and deleted chunks are taken over.
     A caller who knows that chunks were only added may say so; then only those vectors are
-    built and appended whose ids the index lacks.
+    built and appended whose ids the index lacks. With `dim`, rows whose vector has another
+    length are not indexed, and the table of rejects holds those the index lacks for it.
     """
     if not table_exists(spark, tables.chunks):
         return {"status": "error", "message": f"no table {tables.chunks}"}
@@ -134,20 +149,21 @@ def index_job(spark: SparkSession, tables: Tables, added_only: bool = False) ->
             spark.table(tables.chunks).join(ids, "chunk_id", "left_semi"),
             vectors.join(ids, "chunk_id", "left_semi"),
         )
-        _append_plain(materialize(_index_rows(fresh), "index-rows").select(*old.columns), tables.index)
-        counts = ids.agg(F.count(F.lit(1)).alias("added")).first().asDict()
-        return {"status": "success", **counts}
+        rows = materialize(_index_rows(fresh, dim), "index-rows")
+        _append_plain(rows.select(*old.columns), tables.index)
+        counts = rows.agg(F.count(F.lit(1)).alias("added")).first().asDict()
+        return {"status": "success", **counts, **_set_aside(fresh, tables, dim)}
     source = embedded_chunks(spark, tables)
     stats = source_stats(source).first().asDict()
     if stats["status"] != "success":
         return stats
-    rows = materialize(_index_rows(source), "index-rows")
+    rows = materialize(_index_rows(source, dim), "index-rows")
     if old is None:
         _append_plain(rows, tables.index)
     else:
         replace(apply_sync(old, rows), tables.index)
     status = index_status(spark.table(tables.index), rows).first().asDict()
-    return {**stats, **status}
+    return {**stats, **status, **_set_aside(source, tables, dim)}
 
 
 def answer_job(
@@ -211,6 +227,6 @@ def full_batch(
     stages = {
         "ingest": lambda: ingest_job(spark, tables, settings, now),
         "embed": lambda: embed_job(spark, tables, settings, embedder, now),
-        "index": lambda: index_job(spark, tables),
+        "index": lambda: index_job(spark, tables, dim=embedder.dim),
     }
     return {name: logged(spark, tables, name, datetime.now(), work) for name, work in stages.items()}

@@ -180,19 +180,16 @@ def entity_mentions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("page_id", "entity_type", "entity").agg(F.count(F.lit(1)).alias("n_times"))
 
 
-def _document_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.relations(inputs.documents(spark, sf), "text")
-
-
 def co_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    edges = graph.with_confidence(_document_relations(spark, sf))
+    """Entities that share a chunk, over the chunks of all documents."""
+    edges = graph.with_confidence(graph.relations(inputs.chunk_rows(spark, sf)))
     return edges.select("src", "dst", "n_times", F.round("confidence", 6).alias("confidence"))
 
 
 def graph_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The node table, with the number of relations of each node."""
-    mentions = graph.entity_mentions(inputs.documents(spark, sf), "document_id", "text")
-    nodes, edges = graph.graph_tables(mentions, _document_relations(spark, sf))
+    chunks = inputs.chunk_rows(spark, sf)
+    nodes, edges = graph.graph_tables(graph.entity_mentions(chunks), graph.relations(chunks))
     ends = edges.select(F.col("src").alias("id")).unionAll(edges.select("dst"))
     degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     return nodes.join(degree, "id", "left").select(
@@ -295,12 +292,15 @@ SELECT {key}, 'DATE' AS entity_type, unnest(regexp_extract_all({text}, '[0-9]{{4
 UNION ALL
 SELECT {key}, 'CONCEPT', unnest(regexp_extract_all({text}, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')) FROM {source}"""
 
-_RELATIONS = """
-lists AS (SELECT regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)*') AS m FROM documents),
+_RELATIONS = inputs.CHUNKS_SQL + """,
+lists AS (
+  SELECT list_sort(list_distinct(list_concat(
+           regexp_extract_all(content, '[0-9]{4}-[0-9]{2}-[0-9]{2}'),
+           regexp_extract_all(content, '[A-Z][a-z]+(?: [A-Z][a-z]+)*')))) AS m
+  FROM chunks),
 pairs AS (
-  SELECT m[i] AS a, m[i + 1] AS b FROM (SELECT m, unnest(range(1, len(m))) AS i FROM lists)),
-relations AS (
-  SELECT least(a, b) AS src, greatest(a, b) AS dst, count(*) AS n_times FROM pairs WHERE a <> b GROUP BY ALL)"""
+  SELECT m[i] AS src, unnest(m[i + 1 : len(m)]) AS dst FROM (SELECT m, unnest(range(1, len(m))) AS i FROM lists)),
+relations AS (SELECT src, dst, count(*) AS n_times FROM pairs GROUP BY ALL)"""
 
 SQL = {
     "validate_chunks": f"WITH {_ROWS}, {_CHUNK_ISSUES} SELECT {_I}, value FROM chunk_issues",
@@ -367,7 +367,7 @@ WITH {_RELATIONS}
 SELECT src, dst, n_times, round(n_times / CAST(n_times + 1 AS DOUBLE), 6) AS confidence FROM relations""",
     "graph_tables": f"""
 WITH {_RELATIONS},
-mentions AS ({_MENTIONS.format(key="doc_id", text="text", source="documents")}),
+mentions AS ({_MENTIONS.format(key="chunk_id", text="content", source="chunks")}),
 nodes AS (SELECT entity AS id, min(entity_type) AS "group", count(*) AS n_times FROM mentions GROUP BY entity),
 degree AS (
   SELECT id, count(*) AS degree FROM (SELECT src AS id FROM relations UNION ALL SELECT dst FROM relations) GROUP BY id)

@@ -11,7 +11,6 @@ class Settings:
     chunk_size: int = 512
     chunk_overlap: int = 50
     chunking_strategy: str = "recursive"
-    embedding_model: str = "hashed-words"
     embedding_dimension: int = 1024
     batch_size: int = 32
     max_retries: int = 3
@@ -31,9 +30,6 @@ class Settings:
     min_text_length: int = 10
     max_duration_seconds: float = 36000.0
     min_coverage: float = 0.9
-    min_entity_confidence: float = 0.7
-    min_relationship_confidence: float = 0.6
-    max_hop_distance: int = 3
 
     def to_dict(self) -> dict:
         return asdict(self)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from passagebook.functions.models import ExtractiveGenerator, HashedWords, split_words, with_retry
 from passagebook.functions.text import metadata_json, overlay, parse_metadata, preview, token_count
-from passagebook.operators import answers, embedding, graph, validation
+from passagebook.operators import answers, embedding, graph, validation, search
 from passagebook.settings import Settings
 from passagebook.sources.session import scratch_path
 from passagebook.streaming import ingest as stream
@@ -157,10 +157,27 @@ def test_chat(spark):
 
 
 class Picky(ExtractiveGenerator):
-    def generate(self, question, context, system_prompt, prompt):
-        if question == "fail":
+    def generate(self, questions, *others):
+        if "fail" in questions:
             raise RuntimeError("model down")
-        return super().generate(question, context, system_prompt, prompt)
+        return super().generate(questions, *others)
+
+
+class Echo:
+    name = "echo"
+
+    def generate(self, questions, contexts, prompts, system_prompt, max_tokens, temperature):
+        return [(f"{len(questions)} {system_prompt} {max_tokens} {temperature}", 1) for _ in questions]
+
+
+def test_generator_gets_batches_and_the_settings(spark):
+    rows = [(str(i), "q", "c", "p") for i in range(5)]
+    df = spark.createDataFrame(rows, "query_id string, query_text string, context string, prompt string").coalesce(1)
+    s = Settings(batch_size=4, max_answer_tokens=7, temperature=0.25)
+    got = sorted(r.response for r in answers.generate(df, Echo(), "be brief", s).collect())
+    assert got == ["1 be brief 7 0.25"] + 4 * ["4 be brief 7 0.25"]
+    short = ExtractiveGenerator().generate(["a"], ["one two three."], ["p"], "", 2, 0.0)
+    assert short == [("one two", 3)]
 
 
 def test_failing_row_does_not_stop_the_batch(spark):
@@ -168,11 +185,12 @@ def test_failing_row_does_not_stop_the_batch(spark):
         [("1", "fail", "c", "p"), ("2", "cat", "[Source: d]\nA dog. A cat! A cat.", "p q")],
         "query_id string, query_text string, context string, prompt string",
     )
-    got = {r.query_id: r for r in answers.generate(df, Picky()).collect()}
-    assert got["1"].status == "error: model down" and got["1"].tokens_used == 0
+    s = Settings(retry_delay=0.0)
+    got = {r.query_id: r for r in answers.generate(df, Picky(), settings=s).collect()}
+    assert got["1"].status == "error: RuntimeError: model down" and got["1"].tokens_used == 0
     # Words carry their punctuation, so no sentence shares a word: the first one wins.
     assert got["2"].response == "A dog." and got["2"].tokens_used == 4
-    stats = answers.answer_stats(answers.generate(df, Picky())).first()
+    stats = answers.answer_stats(answers.generate(df, Picky(), settings=s)).first()
     assert tuple(stats) == (2, 1, 1)
 
 
@@ -221,16 +239,45 @@ def test_graph_sample(spark):
     assert {r.node: r.hop for r in graph.k_hop(edges, seeds, 2).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 2}
 
 
-def test_relations_pair_neighbours_only(spark):
-    df = spark.createDataFrame([("Ann met Bob. then Cid saw Bob and Bob",), ("none here",), ("Solo",)], "content string")
+class Names:
+    def extract(self, texts):
+        return [[("PERSON", w) for w in t.split() if w.istitle()] for t in texts]
+
+
+class Beasts:
+    def extract(self, texts):
+        return [[("BEAST", t)] for t in texts]
+
+
+def test_relations_pair_the_distinct_entities_of_a_chunk(spark):
+    df = spark.createDataFrame(
+        [("1", "Ann met Bob. then Cid saw Bob and Bob"), ("2", "on 2024-01-31 Bob and Ann"), ("3", "none here"), ("4", "Solo"), ("5", None)],
+        "chunk_id string, content string",
+    )
     got = {(r.src, r.dst): r.n_times for r in graph.relations(df).collect()}
-    assert got == {("Ann", "Bob"): 1, ("Bob", "Cid"): 2}
+    assert got == {("Ann", "Bob"): 2, ("Ann", "Cid"): 1, ("Bob", "Cid"): 1, ("2024-01-31", "Ann"): 1, ("2024-01-31", "Bob"): 1}
+    found = graph.entity_mentions(df, extractor=Names())
+    assert {tuple(r) for r in found.filter("chunk_id > '1'").collect()} == {
+        ("2", "PERSON", "Bob"), ("2", "PERSON", "Ann"), ("4", "PERSON", "Solo"),
+    }
+    assert {(r.src, r.dst) for r in graph.relations(df, extractor=Names()).collect()} >= {("Ann", "Bob"), ("Ann", "Cid")}
+    with pytest.raises(Exception, match="unknown entity types"):
+        graph.entity_mentions(df, extractor=Beasts()).collect()
 
 
 def test_dimension_check(spark):
     df = spark.createDataFrame([("a", None), ("b", []), ("c", [1.0, 2.0])], "chunk_id string, embedding array<float>")
     got = {r.chunk_id: (r.n_dims, r.dim_ok) for r in embedding.dimension_check(df, 2).collect()}
     assert got == {"a": (0, False), "b": (0, False), "c": (2, True)}
+    assert [tuple(r) for r in embedding.dimension_rejects(df, 3).collect()] == [("c", 2, 3)]
+
+
+def test_search_passes_over_vectors_of_another_length(spark):
+    index = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0]), ("c", [0.0, 1.0])], "chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, query_vector array<float>")
+    for most in (4096, 0):
+        got = search.top_k(asked, index, 5, columns=[], broadcast_queries=most).orderBy("rank").collect()
+        assert [r.chunk_id for r in got] == ["a", "c"]
 
 
 def test_scratch_is_new_every_time(spark):
