@@ -141,11 +141,16 @@ def test_unsound_vectors_are_never_found(spark, data, limit):
 
 
 def test_wrong_dimension(spark, data):
+    """A row of another length is passed over; queries of different lengths are an error."""
     _, _, query_df, index_df = data
     short = spark.createDataFrame([("s", [1.0, 0.0], 0)], index_df.schema)
     mixed = index_df.unionByName(short)
+    for limit in (4096, 0):
+        got, want = (search.top_k(query_df, rows, 3, columns=[], broadcast_queries=limit) for rows in (mixed, index_df))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(Exception, match="vectors differ in length"):
-        search.top_k(query_df, mixed, 5).collect()
+        other = query_df.unionByName(spark.createDataFrame([("qs", [1.0, 0.0])], query_df.schema))
+        search.top_k(other, index_df, 3, columns=[]).collect()
     assert indexing.build_index(mixed, columns=["kind"], dim=8).count() == index_df.count()
 
 

@@ -199,6 +199,11 @@ def test_jobs(spark):
     whole = jobs.index_job(spark, t)
     assert whole["ready"] and whole["covered"] == spark.table(t.chunks).count()
     assert spark.table(t.chunks).select(*DOCUMENT_CHUNKS.names).count() == spark.table(t.vectors).count()
+    # Vectors of a length that was not declared are set aside, not indexed.
+    assert spark.table(t.rejects).count() == 0
+    aside = jobs.index_job(spark, t, dim=32)
+    assert aside["rejected"] == spark.table(t.rejects).count() == spark.table(t.chunks).count()
+    assert spark.table(t.index).count() == 0 and jobs.index_job(spark, t, dim=64)["rejected"] == 0
 
     # A run lost between chunks and ledger does not write its chunks again.
     n = spark.table(t.chunks).count()
