@@ -287,105 +287,277 @@ def near_duplicates(docs: DataFrame, size: int = 5, most: int = 2, ident: str =
 # ---- similarity ----------------------------------------------------------------------
 #
 # A share of common shingles of 0.8 moves ten of 64 bits on average, beyond any distance
-# that a ring can find in large data. So the shingles are dealt into VIEWS classes by hash,
-# and each class has the fingerprint of its SAMPLE smallest hashes: similar texts agree in
-# some view, whatever their length. Texts whose fingerprints are linked in a view form a
-# class, in which each is compared with a few centres, by the smallest hashes of all their
-# shingles, and links of enough similarity make the groups.
-
-VIEWS, SAMPLE, CENTRES = 8, 3, 4
-#: Smallest hashes kept for the comparison; with no more shingles it is exact.
+# that a ring can find in large data. So sets of shingles are joined by a prefix filter. Let
+# all shingles have one order. Two sets x and y with a share of t or more have a shingle in
+# common among the first |x| - ceil(t |x|) + 1 of x and as many of y; the sizes differ by t
+# at most, and behind the first common one there is room for all the others they must have.
+# Any order will do, so it costs only work that frequencies are taken from a sample: shingles
+# that are frequent there come last, and a passage found in many documents brings nothing
+# together. No pair is left out for want of room. First every text is compared with one
+# other of its shingles' holders, which joins most copies; then all pairs that meet and are
+# not joined yet. Each comparison is of whole sets.
+
+#: No set is cut any more; up to this size comparisons were always exact.
 SKETCH = 128
+#: Shingles of the sample that gives their order.
+SAMPLE = 4_000_000
 #: Ids that may be broadcast: 16 bytes each. Beyond it the join is a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Pairs in an Arrow batch that leaves a task.
+PAIRS = 1 << 16
 
 
-def profile(text: bytes, size: int) -> tuple[bytes, bytes, list[int | None]]:
-    """Digest of the set of shingles, its smallest hashes, and a fingerprint for each view."""
+def shingle_set(text: bytes, size: int) -> np.ndarray:
     parts = [np.unique(h) for h in shingle_hashes(text, size)]
-    hashes = np.unique(mix(np.concatenate(parts))) if parts else np.empty(0, np.uint64)
-    digest = xxhash.xxh3_128_digest(hashes.tobytes())
-    view = hashes & np.uint64(VIEWS - 1)
-    prints: list[int | None] = []
-    for v in range(VIEWS):
-        least = hashes[view == np.uint64(v)][:SAMPLE]
-        if len(least):
-            again = mix(least ^ np.uint64(SEED))
-            bits = np.unpackbits(again.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-            prints.append(int(np.packbits(bits * 2 > len(least), bitorder="little").view("<i8")[0]))
-        else:
-            prints.append(None)
-    return digest, (hashes[:SKETCH] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), prints
-
-
-def _numbers(sketch: bytes) -> np.ndarray:
-    """48-bit hashes of a sketch, in order."""
-    out = np.zeros((len(sketch) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(sketch, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
+    return np.unique(mix(np.concatenate(parts))) if parts else np.empty(0, np.uint64)
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _ident(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def profile(text: bytes, size: int) -> tuple[bytes, bytes]:
+    """Digest of the set of shingles, and the hashes of all of them."""
+    hashes = shingle_set(text, size)
+    return _digest(hashes), hashes.tobytes()
+
+
+def _numbers(hashes: bytes) -> np.ndarray:
+    return np.frombuffer(hashes, np.uint64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common shingles among the smallest of both; exact where both are whole."""
-    union = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        union = union[:SKETCH]
-    if not len(union):
+    """Share of common shingles of two sets."""
+    if not len(a) and not len(b):
         return 1.0
-    return float((np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)).sum() / len(union))
+    both = np.sort(np.concatenate([a, b]))
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common / (len(both) - common)
+
+
+def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.xxhash64(F.col(ident), F.col(text)).alias("k1"), F.col(text).alias("text"))
 
 
 def profiles(docs: DataFrame, size: int, ident: str, text: str) -> DataFrame:
+    """(doc_id, k1, node, id, n) of every row: the digest of its shingles, the first half of
+    it, and how many they are."""
+
     def run(batches):
         for batch in batches:
-            found = [profile(t, size) for t in texts_of(batch.column(2))]
+            sets = [shingle_set(t, size) for t in texts_of(batch.column(2))]
+            nodes = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.list_(pa.int64()))],
-                ["doc_id", "k1", "node", "sketch", "prints"],
+                [*batch.columns[:2], pa.array(nodes, pa.binary()), pa.array([_ident(d) for d in nodes], pa.int64()), pa.array([len(s) for s in sets], pa.int32())],
+                ["doc_id", "k1", "node", "id", "n"],
             )
 
-    return _keyed(docs, ident, text).mapInArrow(run, "doc_id long, k1 long, node binary, sketch binary, prints array<long>")
+    return _keyed(docs, ident, text).mapInArrow(run, "doc_id long, k1 long, node binary, id long, n int")
 
 
-def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.xxhash64(F.col(ident), F.col(text)).alias("k1"), F.col(text).alias("text"))
+def frequencies(texts: DataFrame, size: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in two texts of a sample or more, sorted, and in how many."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in texts_of(batch.column(0))]
+            h = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            for s in range(0, len(h), STRIP):
+                yield pa.RecordBatch.from_arrays([pa.array(h[s : s + STRIP])], ["h"])
+
+    found = (texts.sample(share, seed=11) if share < 1 else texts).mapInArrow(run, "h long")
+    many = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h", F.least("n", F.lit(1 << 30)).cast("int").alias("n")).toArrow()
+    h = many.column(0).to_numpy().view(np.uint64)
+    by = np.argsort(h)
+    return h[by], many.column(1).to_numpy()[by]
+
+
+def prefix(hashes: np.ndarray, least: float, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set among which every set as similar has one, rarest first."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    often = np.zeros(n, np.int32)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        often = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, often))[: n - int(np.ceil(least * n - 1e-9)) + 1]]
+
+
+def _prefixes(sent, size: int, least: float):
+    def run(batches):
+        known, counts = sent.value
+        for batch in batches:
+            rows = []
+            for t in texts_of(batch.column(0)):
+                hashes = shingle_set(t, size)
+                first = prefix(hashes, least, known, counts)
+                if len(first):
+                    rows.append((first, np.full(len(first), _ident(_digest(hashes))), np.full(len(first), len(hashes), np.int32), np.arange(len(first), dtype=np.int32)))
+            if rows:
+                h, ident, n, pos = (np.concatenate(c) for c in zip(*rows))
+                for s in range(0, len(h), STRIP):
+                    e = slice(s, s + STRIP)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[e].view(np.int64)), pa.array(ident[e]), pa.array(n[e]), pa.array(pos[e])], ["h", "id", "n", "pos"])
 
+    return run
+
+
+def _may(least: float, n, pos, i, j) -> np.ndarray:
+    """Whether two holders of a shingle can be similar if it is the first they share."""
+    small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    room = np.minimum(n[i] - pos[i], n[j] - pos[j])
+    return (small >= least * large - 1e-9) & (room >= least / (1 + least) * (small.astype(np.int64) + large) - 1e-9)
+
+
+def _grouped(finish, unique: bool):
+    """Runs finish on whole groups of rows that are sorted by their first column."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                rows = [np.concatenate(p) for p in zip(held, rows)]
+            if not len(rows[0]):
+                continue
+            if unique:  # rows (h, id, ...) of texts with the same shingles
+                new = np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])]
+                rows = [r[new] for r in rows]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [r[cut:] for r in rows]
+            if cut:
+                yield from finish(*[r[:cut] for r in rows])
+        if held is not None:
+            yield from finish(*held)
+
+    return run
+
+
+def _near(group: np.ndarray, rows: np.ndarray):
+    """Index pairs of the rows that share a small group, by their distance."""
+    g = group[rows]
+    for d in range(1, WIDE):
+        i = np.flatnonzero(g[d:] == g[:-d]) if d < len(g) else ()
+        if not len(i):
+            return
+        yield rows[i], rows[i + d]
+
+
+def _holders(least: float):
+    """Over rows (h, id, n, pos) sorted so: those that may be similar to another of their
+    shingle, with one of its holders as their centre."""
+
+    def finish(h, ident, n, pos):
+        group = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
+        sizes = np.bincount(group)
+        keep = sizes[group] > WIDE
+        for i, j in _near(group, np.flatnonzero((sizes[group] > 1) & ~keep)):
+            good = _may(least, n, pos, i, j)
+            keep[i[good]] = True
+            keep[j[good]] = True
+        firsts = np.r_[0, np.cumsum(sizes)[:-1]]
+        centre = ident[firsts[group]]
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (h, ident, n, pos, centre)], ["h", "id", "n", "pos", "centre"])
+
+    return _grouped(finish, True)
+
+
+def _meetings(least: float):
+    """Over rows (h, root, id, n, pos) sorted so: all pairs of a shingle that may be similar
+    and are not of one root."""
+
+    def batch(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def finish(h, root, ident, n, pos):
+        group = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
+        sizes = np.bincount(group)
+        own = sizes[group]
+        for i, j in _near(group, np.flatnonzero((own > 1) & (own <= WIDE))):
+            good = (root[i] != root[j]) & _may(least, n, pos, i, j)
+            yield batch(ident[i[good]], ident[j[good]])
+        stops = np.cumsum(sizes)
+        for g in np.flatnonzero(sizes > WIDE):
+            start, stop = stops[g] - sizes[g], stops[g]
+            ends = start + np.searchsorted(root[start:stop], root[start:stop], side="right")
+            left, right, held = [], [], 0
+            for i in range(start, stop):
+                j = np.arange(ends[i - start], stop)
+                j = j[_may(least, n, pos, i, j)]
+                left.append(np.full(len(j), ident[i]))
+                right.append(ident[j])
+                held += len(j)
+                if held >= PAIRS or i == stop - 1:
+                    yield batch(np.concatenate(left), np.concatenate(right))
+                    left, right, held = [], [], 0
+
+    return _grouped(finish, False)
+
+
+def _sets(keyed: DataFrame, size: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            found = [profile(t, size) for t in texts_of(batch.column(0))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_ident(f[0]) for f in found], pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["id", "node", "hashes"]
+            )
+
+    return keyed.select("text").mapInArrow(run, "id long, node binary, hashes binary")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, x, y): the pairs of ids whose whole sets are as similar, with their digests."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [similarity(_numbers(x), _numbers(y)) >= least for x, y in zip(texts_of(batch.column(4)), texts_of(batch.column(5)))]
+            yield batch.select(["a", "b", "x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, most: int = 1, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, k1, root) of every row; rows of one root are near-duplicates. k1 hashes id
-    and text. Texts with equal sets of shingles are always of one root."""
-    found = materialize(profiles(docs, size, ident, text), "profiles")
-    nodes = materialize(found.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("prints").alias("prints")), "nodes")
-    views = nodes.select("node", F.posexplode("prints").alias("view", "fp")).filter("fp is not null")
-    near = links(views, most).select(F.struct("view", F.col("a").alias("fp")).alias("a"), F.struct("view", F.col("b").alias("fp")).alias("b"))
-    roots = components(near).select("node.*", F.col("root.fp").alias("root"))
-    classes = views.join(roots, ["view", "fp"], "left").select("node", "view", F.coalesce("root", "fp").alias("root"))
-    centres = classes.groupBy("view", "root").agg(
-        F.count("*").alias("n"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"c{i}") for i in range(CENTRES)]
-    ).filter("n > 1").select("view", "root", F.array_distinct(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres"))
-    pairs = (
-        classes.join(centres, ["view", "root"]).select("node", F.explode("centres").alias("centre")).filter("node <> centre")
-        .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    )
-    sketch = nodes.select("node", "sketch")
     both = (
-        pairs.join(sketch.withColumnsRenamed({"node": "a", "sketch": "x"}), "a")
-        .join(sketch.withColumnsRenamed({"node": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
+        pairs.join(sets.withColumnsRenamed({"id": "a", "node": "x", "hashes": "p"}), "a")
+        .join(sets.withColumnsRenamed({"id": "b", "node": "y", "hashes": "q"}), "b").select("a", "b", "x", "y", "p", "q")
     )
+    return both.mapInArrow(run, "a long, b long, x binary, y binary")
 
-    def compare(batches):
-        for batch in batches:
-            keep = [similarity(_numbers(x), _numbers(y)) >= least for x, y in zip(texts_of(batch.column(2)), texts_of(batch.column(3)))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    same = components(both.mapInArrow(compare, "a binary, b binary"))
+def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(doc_id, k1, root) of every row; rows are of one root if links of a similarity of at
+    least `least` join them, and only then. k1 hashes id and text. Texts with equal sets of
+    shingles are always of one root."""
+    if not 0 < least <= 1:
+        raise ValueError("the similarity must be above 0 and at most 1")
+    found = materialize(profiles(docs, size, ident, text), "profiles")
+    keyed = _keyed(docs, ident, text)
+    total = found.agg(F.sum("n")).first()[0] or 0
+    sent = docs.sparkSession.sparkContext.broadcast(frequencies(keyed.select("text"), size, min(1.0, sample / max(1, total))))
+    firsts = keyed.select("text").mapInArrow(_prefixes(sent, size, least), "h long, id long, n int, pos int")
+    met = firsts.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_holders(least), "h long, id long, n int, pos int, centre long")
+    met = materialize(met, "met")
+    ids = met.select("id").distinct()
+    wanted = materialize(found.join(ids, "id").groupBy("node").agg(F.min("k1").alias("k1")).select("k1").distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
+    sets = _sets(keyed.join(wanted, "k1", "left_semi"), size).groupBy("node").agg(F.first("id").alias("id"), F.first("hashes").alias("hashes"))
+    sets = materialize(sets, "sets")
+    # One comparison for each text, with the centre that it meets most often.
+    one = met.filter("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("centre", F.struct("n", "centre")).alias("b"))
+    some = materialize(_similar(one.select(F.col("id").alias("a"), "b"), sets, least), "similar")
+    roots = components(some.select("a", "b")).withColumnRenamed("node", "id")
+    rooted = met.drop("centre").join(roots, "id", "left").select("h", F.coalesce("root", "id").alias("root"), "id", "n", "pos")
+    pairs = rooted.repartition("h").sortWithinPartitions("h", "root", "id").mapInArrow(_meetings(least), "a long, b long").distinct()
+    rest = materialize(_similar(pairs, sets, least), "similar")
+    same = components(some.unionByName(rest).select(F.col("x").alias("a"), F.col("y").alias("b")))
     return found.select("doc_id", "k1", "node").join(same, "node", "left").select("doc_id", "k1", F.coalesce("root", "node").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, ident: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """The rows of docs, of each group of near-duplicates only one: that of the smallest id,
     a missing id being larger than any."""
-    groups = materialize(similar_groups(docs, size, least, ident=ident, text=text), "groups")
+    groups = materialize(similar_groups(docs, size, least, ident, text, broadcast_ids=broadcast_ids), "groups")
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1")).alias("first"), F.count("*").alias("n"))
     shared = groups.join(first.filter("n > 1"), "root")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k1") == F.col("first.k1"))

@@ -70,6 +70,59 @@ def test_similarity_is_exact_for_short_texts(corpus):
         assert got == pytest.approx(jaccard(x, y), abs=1e-9 if max(len(grams(x)), len(grams(y))) <= simhash.SKETCH else 0.12)
 
 
+def roots_of(spark, texts, **how):
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], KINDS)
+    return {r.doc_id: r.root for r in simhash.similar_groups(docs, **how).collect()}
+
+
+def edited(base, rng, places, tag):
+    """base with words changed at so many places, far enough apart to lose five shingles each."""
+    out = list(base)
+    for k in rng.sample(range(len(base) // 10), places):
+        out[10 * k + 5] = f"{tag}x{k}"
+    return " ".join(out)
+
+
+def plain_roots(texts, least=0.8):
+    root = list(range(len(texts)))
+    sets = [grams(t) for t in texts]
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if not union or len(sets[i] & sets[j]) / union >= least:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(texts))]
+
+
+def same_partition(got, want):
+    first = {}
+    return all(first.setdefault(("g", got[i]), w) == w and first.setdefault(("w", w), got[i]) == got[i] for i, w in enumerate(want))
+
+
+def test_every_pair_of_a_large_class_is_compared(spark):
+    """Copies of one text that are similar to it only, and a chain of versions."""
+    rng = random.Random(10)
+    base = [f"b{i}" for i in range(404)]
+    copies = [edited(base, rng, 8, f"c{i}") for i in range(150)]
+    assert all(jaccard(" ".join(base), c) >= 0.8 for c in copies) and jaccard(copies[0], copies[1]) < 0.75
+    chain, now = [], [f"v{i}" for i in range(204)]
+    for i in range(120):
+        chain.append(" ".join(now))
+        at = (i * 20) % 200
+        now = [*now[:at], *[f"n{i}w{j}" for j in range(15)], *now[at + 15 :]]
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(chain, chain[1:])) and jaccard(chain[0], chain[5]) < 0.6
+    texts = copies[:70] + [" ".join(base)] + copies[70:] + chain + ["", None, " \n"]
+    got = roots_of(spark, texts)
+    assert len({got[i] for i in range(151)}) == 1
+    assert same_partition(got, plain_roots(texts))
+
+
 def test_line_dedup_keeps_the_first(spark):
     rows = [(i, f"Common line \nown {i}\n\nCOMMON LINE\n", "en", "s", 30) for i in range(12)] + [(50, "rare\nrare", "en", "s", 9), (51, None, "en", "s", None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in p.line_dedup(spark, spark.createDataFrame(rows, KINDS), "").collect()}
