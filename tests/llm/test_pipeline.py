@@ -105,6 +105,21 @@ def same_partition(got, want):
     return all(first.setdefault(("g", got[i]), w) == w and first.setdefault(("w", w), got[i]) == got[i] for i, w in enumerate(want))
 
 
+def test_similarity_counts_whole_sets(spark):
+    """Long texts just above and just below the limit, each pair on its own."""
+    rng = random.Random(8)
+    texts, joined = [], []
+    for k in range(60):
+        base = [f"t{k}w{i}" for i in range(1804)]  # 1800 shingles; 5 n of them go with n places
+        for places, similar in ((39, True), (41, False)):
+            base = [w + "ab"[similar] for w in base]
+            texts += [" ".join(base), edited(base, rng, places, f"t{k}e")]
+            assert (jaccard(*texts[-2:]) >= 0.8) == similar
+            joined.append(similar)
+    got = roots_of(spark, texts)
+    assert [got[2 * i] == got[2 * i + 1] for i in range(len(joined))] == joined
+
+
 def test_every_pair_of_a_large_class_is_compared(spark):
     """Copies of one text that are similar to it only, and a chain of versions."""
     rng = random.Random(10)
