@@ -120,6 +120,25 @@ def test_similarity_counts_whole_sets(spark):
     assert [got[2 * i] == got[2 * i + 1] for i in range(len(joined))] == joined
 
 
+def test_every_pair_at_the_limit_is_found(spark):
+    """Pairs from 0.80 to 0.85, short and long, also behind a passage that all documents share."""
+    rng = random.Random(9)
+    passage, texts = [f"p{i}" for i in range(120)], []
+    for k in range(240):
+        size = rng.choice([45, 60, 150, 400])
+        base = [f"k{k}w{i}" for i in range(size)]
+        shared = passage if k % 2 else []
+        for places in range(size // 10, 0, -1):
+            other = edited(base, rng, places, f"k{k}e").split()
+            if jaccard(" ".join(shared + base), " ".join(shared + other)) >= 0.8:
+                break
+        texts += [" ".join(shared + base), " ".join(shared + other)]
+    near = [jaccard(texts[2 * i], texts[2 * i + 1]) for i in range(240)]
+    assert sum(0.8 <= s <= 0.85 for s in near) > 100
+    for sample in (simhash.SAMPLE, 3000):
+        assert same_partition(roots_of(spark, texts, sample=sample), plain_roots(texts))
+
+
 def test_every_pair_of_a_large_class_is_compared(spark):
     """Copies of one text that are similar to it only, and a chain of versions."""
     rng = random.Random(10)
