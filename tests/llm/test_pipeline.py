@@ -193,3 +193,9 @@ def test_run(spark, sf):
         assert len(ids) == r.n_tokens and hashlib.sha256(decoded).hexdigest() == r.decoded_sha256
         lines = iter(texts[r.doc_id].split("\n"))
         assert all(any(x == y for y in lines) for x in decoded.decode().split("\n") if x)
+
+
+def test_language_stage_without_languages(spark):
+    rows = [(1, "some text", None, "s", 9), (2, "жж 1", None, "s", 4), (3, "12 !?", None, "s", 5), (4, "", None, "s", 0), (5, None, None, "s", None)]
+    got = p.language_id(spark, spark.createDataFrame(rows, KINDS), "")
+    assert got.columns == COLUMNS and {r.doc_id for r in got.collect()} == {1, 2}
