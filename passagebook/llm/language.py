@@ -7,8 +7,13 @@ The text's language is the one with the largest sum; the score is its share of t
 likelihood, from 0 to 1.
 
 Learned from a sample of labelled rows, whose size is a parameter (SAMPLE_ROWS); so are the
-numbers of words and n-grams that are kept (ENTRIES, over all languages): the most frequent,
-and those as rare as the last only if all of them fit. Every text is scored whole.
+numbers of words and n-grams that are kept (ENTRIES, over all languages). Rows are dealt out
+by language: all have the same room, what one does not fill goes to the others, and each
+has room for LEAST_ROWS, so a rare language is learned whole beside a common one. Kept are
+the most frequent of all, and those as rare as the last only if all of them fit; and by the
+same rule the most frequent of each language, which have half the room dealt out evenly, so
+that no language is crowded out. What is kept has its counts in every language. Every text
+is scored whole.
 
 Defined results: lang is `und` with score 0 where a text is null, empty or without a letter,
 or where nothing could be learned. A text of unknown signs only goes to the most frequent
@@ -32,6 +37,8 @@ from passagebook.llm.common import texts_of
 from passagebook.sources.session import materialize
 
 SAMPLE_ROWS = 20_000
+#: Rows of a language that are learned from even where there are many languages.
+LEAST_ROWS = 1_000
 #: Words, and n-grams of each length, kept over all languages.
 ENTRIES = 120_000
 LONGEST_GRAM = 4
@@ -66,10 +73,30 @@ class Model:
         return np.zeros(len(self.languages))
 
 
-def learn(rows: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, entries: int = ENTRIES) -> Model:
+def room(sizes: list[int], total: int) -> int:
+    """The most that each may have so that all have `total` at most, if it is one or more."""
+    left, level = total, 0
+    for at, size in enumerate(sorted(sizes)):
+        level = left // (len(sizes) - at)
+        if size > level:
+            return max(1, level)
+        left -= size
+    return max(1, level)
+
+
+def learn(rows: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, entries: int = ENTRIES, least_rows: int = LEAST_ROWS) -> Model:
     """A model from the rows that have a language."""
     labelled = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    share = min(1.0, sample_rows / max(1, labelled.count()))
+    of_lang = materialize(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    sizes = [r.rows for r in of_lang.collect()]
+    if not sizes:
+        return Model([], np.zeros(0), [{} for _ in range(LONGEST_GRAM + 1)], [np.zeros((0, 0))] * (LONGEST_GRAM + 1))
+    each = max(room(sizes, sample_rows), least_rows)
+    share = of_lang.select("lang", "rows", F.least(F.lit(1.0), F.lit(float(each)) / F.col("rows")).alias("share"))
+    sample = labelled
+    if max(sizes) > each:
+        # A language that has to be thinned still gives some rows: its expected number is `each`.
+        sample = labelled.join(F.broadcast(share), "lang").filter(F.rand(11) < F.col("share")).select("lang", "text")
     kind = "lang string, n int, gram string, seen long"
 
     def count(batches):
@@ -96,26 +123,33 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", sample_rows:
     # is kept is read off a histogram of frequencies, so that no task ranks all rows of a
     # length: rows of one frequency are kept or left together.
     seen = materialize(
-        labelled.sample(share, seed=11).mapInArrow(count, kind).groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen")), "grams"
+        sample.mapInArrow(count, kind).groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen")), "grams"
     )
-    so_far = F.sum("grams").over(Window.partitionBy("n").orderBy(F.desc("seen")))
-    levels = seen.groupBy("n", "seen").agg(F.count(F.lit(1)).alias("grams")).withColumn("so_far", so_far)
-    least = levels.filter(F.col("so_far") <= entries).groupBy("n").agg(F.min("seen").alias("least"))
+    def cut(by: list[str], most: int) -> DataFrame:
+        so_far = F.sum("grams").over(Window.partitionBy(*by).orderBy(F.desc("seen")))
+        levels = seen.groupBy(*by, "seen").agg(F.count(F.lit(1)).alias("grams")).withColumn("so_far", so_far)
+        least = levels.filter(F.col("so_far") <= most).groupBy(*by).agg(F.min("seen").alias("least"))
+        return seen.join(F.broadcast(least), by).filter(F.col("seen") >= F.col("least")).select("n", "gram")
+
+    chosen = cut(["n"], entries).unionByName(cut(["lang", "n"], max(1, entries // (2 * len(sizes))))).distinct()
     totals = seen.groupBy("lang", "n").agg(F.sum("seen").alias("total"))
-    kept = seen.join(least, "n").filter(F.col("seen") >= F.col("least")).join(totals, ["lang", "n"])
-    return fit(kept.select("lang", "n", "gram", "seen", "total").toArrow())
+    kept = seen.join(chosen, ["n", "gram"]).join(F.broadcast(totals), ["lang", "n"]).join(F.broadcast(share), "lang")
+    return fit(kept.select("lang", "n", "gram", "seen", "total", "share").toArrow())
 
 
 def fit(kept: pa.Table) -> Model:
-    """The model from rows (lang, n, gram, seen, total)."""
-    columns = [kept.column(c).to_pylist() for c in ("lang", "n", "gram", "seen", "total")]
+    """The model from rows (lang, n, gram, seen, total, share): share is that of the rows of
+    the language that were learned from."""
+    columns = [kept.column(c).to_pylist() for c in ("lang", "n", "gram", "seen", "total", "share")]
     languages = sorted(set(columns[0]))
     at = {language: i for i, language in enumerate(languages)}
     totals = np.zeros((LONGEST_GRAM + 1, len(languages)))
+    shares = np.ones(len(languages))
     tables: list[dict[str, int]] = [{} for _ in range(LONGEST_GRAM + 1)]
     entries = []
-    for language, n, gram, seen, total in zip(*columns):
+    for language, n, gram, seen, total, share in zip(*columns):
         totals[n, at[language]] = total
+        shares[at[language]] = share
         entries.append((n, tables[n].setdefault(gram, len(tables[n])), at[language], seen))
     logs = []
     for n, known in enumerate(tables):
@@ -124,7 +158,8 @@ def fit(kept: pa.Table) -> Model:
             if m == n:
                 counts[row, column] += seen
         logs.append(np.log(counts / (totals[n] + PRIOR * (len(known) + 1))))
-    prior = np.log((totals[0] + 1) / max(1.0, (totals[0] + 1).sum()))
+    words = totals[0] / shares
+    prior = np.log((words + 1) / max(1.0, (words + 1).sum()))
     return Model(languages, prior, tables, logs)
 
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,26 @@ def test_kept_entries_are_the_most_frequent(spark):
     assert set(language.learn(frame, entries=3).tables[0]) == {"aa", "bb"}
     assert set(language.learn(frame, entries=5).tables[0]) == {"aa", "bb"}
     assert set(language.learn(frame, entries=6).tables[0]) == {"aa", "bb", "cc", "dd", "ee"}
+
+
+def test_a_rare_language_is_learned_beside_a_common_one(spark):
+    rows = [(i, f"alpha{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} common words here", "en", 1) for i in range(3000)]
+    rows += [(10**4 + i, "sjelden språk finnes", "nb", 1) for i in range(3)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    # Three rows in 3003 would hardly be among 40; their words are rarer than all others.
+    model = language.learn(frame, sample_rows=40, entries=60, least_rows=10)
+    assert model.languages == ["en", "nb"] and {"sjelden", "språk", "finnes"} <= set(model.tables[0])
+    got = language.predict(spark.createDataFrame([(1, "finnes språk", None, 1), (2, "common words", None, 1)], SCHEMA), model)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "nb", 2: "en"}
+    assert model.prior[0] > model.prior[1] + 5  # by all rows, not by those of the sample
+
+
+def test_room():
+    assert language.room([5, 1, 9], 9) == 4 and language.room([5, 1, 9], 100) >= 9 and language.room([4, 4], 1) == 1
+
+
+def test_a_kept_word_has_its_counts_in_all_languages(spark):
+    rows = [(1, "kopp " + "tall tall tall " * 3, "nb", 1), (2, "tall tall " + "one one one two two two six six six", "en", 1)]
+    model = language.learn(spark.createDataFrame(rows, SCHEMA), entries=4)
+    counts = np.exp(model.logs[0][model.tables[0]["tall"]])
+    assert counts[0] > 3 * 0.5 * counts.sum() / 10 and counts[0] == pytest.approx(2.5 / (11 + 0.5 * (len(model.tables[0]) + 1)))
