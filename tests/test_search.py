@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from passagebook.functions.models import HashedWords, WordOverlap
 from passagebook.operators import indexing, ranking, search
+from passagebook.plans import retrieval
 from passagebook.settings import Settings
 
 
@@ -257,3 +258,14 @@ def test_vector_or_text_query(spark):
     got = {r.query_id: r.query_vector for r in search.embed_queries(queries, model).collect()}
     assert got["b"] == [1.0] + [0.0] * 15
     assert got["a"] == pytest.approx(model.embed(["one two"])[0].tolist())
+
+
+def test_ivf_recall_and_cells_can_fail(spark, sf, monkeypatch):
+    found = retrieval.knn_ivf_recall(spark, sf).first()
+    assert found.recall_ok and found.n_other_scores == 0
+    monkeypatch.setattr(retrieval, "recall_probes", lambda cells: 8)  # finds 0.83 here
+    assert not retrieval.knn_ivf_recall(spark, sf).first().recall_ok
+    assert all(r.n_without_cell == 0 for r in retrieval.index_cells(spark, sf).collect())
+    assign = search.assign_cells
+    monkeypatch.setattr(search, "assign_cells", lambda *a: assign(*a).withColumn("cell", F.col("cell") * 0))
+    assert sum(r.n_without_cell for r in retrieval.index_cells(spark, sf).collect()) > 0
