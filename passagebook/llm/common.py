@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the character class and as the characters themselves.
@@ -55,6 +55,14 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def whole_texts(rows: DataFrame, most: int) -> DataFrame:
+    """Of a bounded sample (id, label, text), in one partition, whole texts by the hash of
+    their id until they have `most` bytes; the one that passes it is the last."""
+    before = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    sized = rows.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
+    return sized.filter(F.col("before") < most).drop("before")
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every bit over all others."""
     x = values.astype(np.uint64, copy=True)

@@ -7,7 +7,8 @@ text are combined into one probability by a logistic layer. Long texts pass in s
 which only the largest numbers are kept, so memory does not grow with the text.
 
 Learned from a bounded sample of labelled rows (SAMPLE_ROWS, the smallest hashes of their
-ids) in one task of an executor; every text is scored whole, where it lies.
+ids) in one task of an executor. Texts are learned from whole, fewer of them if they pass
+LEARN_BYTES together; every text is scored whole, where it lies.
 
 Defined results: a null or empty text is a chunk of zero bytes and has a score like others.
 Labels that are neither 0 nor 1 are ignored; of several labels of one id the smallest holds.
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from passagebook.llm.common import texts_of
+from passagebook.llm.common import texts_of, whole_texts
 
 SAMPLE_ROWS = 4_000
-#: Characters of one text that are learned from: a longer one gives a stretch from anywhere.
-LEARN_CHARS = 8_192
+#: Bytes learned from: where whole texts are longer, fewer rows are.
+LEARN_BYTES = 1 << 25
 WINDOW, STRIDE = 16, 4
 WIDTH, FILTERS = 6, 32
 #: Bytes of a text that pass at once.
@@ -133,20 +134,23 @@ class Constant:
         return self.share
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", ident: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS):
-    """A model from the rows of docs that labels (doc_id, label) name."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, ident: str, text: str, sample_rows: int, learn_bytes: int) -> DataFrame:
+    """(id, label, text) of the rows that are learned from, in one partition."""
     picked = (
         labels.filter(F.col(label).isin(0, 1) & F.col(ident).isNotNull())
         .groupBy(F.col(ident).alias("id")).agg(F.min(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     )
     # At most sample_rows ids: bounded, so they may be broadcast; a repeated row counts once.
-    stretch = F.expr(f"substring(text, 1 + cast(pmod(xxhash64(id), greatest(1, char_length(text) - {LEARN_CHARS} + 1)) as int), {LEARN_CHARS})")
     rows = (
-        docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).withColumn("text", stretch).join(F.broadcast(picked), "id")
+        docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
         .groupBy("id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
     )
+    return whole_texts(rows, learn_bytes)
+
 
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", ident: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, learn_bytes: int = LEARN_BYTES):
+    """A model from the rows of docs that labels (doc_id, label) name."""
     def fit(batches):
         texts, marks, ids = [], [], []
         for batch in batches:
@@ -159,7 +163,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", ident: str
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # One task, over the bounded sample.
-    found = rows.repartition(1).mapInArrow(fit, "model binary").first()
+    rows = sample(docs, labels, label, ident, text, sample_rows, learn_bytes)
+    found = rows.mapInArrow(fit, "model binary").first()
     return pickle.loads(found.model) if found else Constant(0.5)
 
 

@@ -66,3 +66,13 @@ def test_query(spark, sf):
     held = got.join(labels, "doc_id").filter("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in held]) > 0.95
     assert all(r.predicted == (r.score >= 0.3) for r in held)
+
+
+def test_texts_are_learned_from_whole(spark):
+    rows = [(i, f"{i} " + "many words " * 9000) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    whole = dict(rows)
+    for most, number in ((10**9, 12), (len(rows[0][1]) * 4 - 100, 4), (1, 1)):
+        got = q.sample(docs, labels, "quality", "doc_id", "text", 100, most).collect()
+        assert len(got) == number and all(r.text == whole[r.id] and r.label == r.id % 2 for r in got)

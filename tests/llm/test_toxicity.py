@@ -69,3 +69,13 @@ def test_query(spark):
     held = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.95
     assert sum(r.predicted and not r.toxic for r in held) <= 0.01 * len(held)
+
+
+def test_texts_are_learned_from_whole(spark):
+    rows = [(i, f"{i} " + "many words " * 9000) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    whole = dict(rows)
+    for most, number in ((10**9, 12), (len(rows[0][1]) * 4 - 100, 4), (1, 1)):
+        got = t.sample(docs, labels, "toxic", "doc_id", "text", 100, most).collect()
+        assert len(got) == number and all(r.text == whole[r.id] and r.label == r.id % 2 for r in got)
