@@ -73,13 +73,20 @@ def cell_count(rows: int, most: int = 4096) -> int:
     return max(1, min(most, math.isqrt(rows)))
 
 
+# Rows that cells are learned from.
+SAMPLE_ROWS = 65_536
+
+
 def train_cells(index: DataFrame, cells: int, seed: int = 42, sample: float | None = None) -> np.ndarray:
     """Centroids of `cells` k-means cells, as a (cells, dim) matrix.
 
-    Only training may use a sample; every row is assigned to a cell afterwards.
+    They are learned from a sample, by default of at most about SAMPLE_ROWS rows; every row is
+    assigned to a cell afterwards.
     """
     rows = index.select(array_to_vector("embedding").alias("features"))
-    if sample is not None:
+    if sample is None:
+        sample = min(1.0, SAMPLE_ROWS / max(1, index.count()))
+    if sample < 1:
         rows = rows.sample(fraction=sample, seed=seed)
     model = KMeans(k=cells, seed=seed, featuresCol="features", maxIter=10).fit(rows)
     return np.asarray(model.clusterCenters())

@@ -6,8 +6,11 @@ same rows:
 
 * few queries (size checked): their matrix is broadcast, the index is scanned once where
   it lies, and each task sends back at most k rows per query;
-* more queries: both sides are cut into blocks, and each group of the shuffle holds one
-  bounded block of queries and a stream of index rows.
+* more queries: the index is cut into slices of bounded size, each of which is held by one
+  group of the shuffle while the queries stream past it. Every index row is sent once.
+
+Both move ids and vectors only. The columns of a result are fetched for the winners, by
+chunk id, which is taken to be unique as in every index that upsert keeps.
 
 Vectors with NaN or infinite values, or of another length than the queries, have no score and
 are never found. Nothing is emitted per pair; a task keeps the best k rows per query while it
@@ -37,8 +40,8 @@ SCORE_DIGITS = 6
 BROADCAST_QUERIES = 4096
 BROADCAST_BYTES = 64 << 20
 
-# Queries per block and index rows per group on the shuffled way.
-QUERY_BLOCK = 2048
+# Index rows that a group of the shuffled way holds, and those of one file of a cell.
+INDEX_SLICE = 50_000
 INDEX_BLOCK = 500_000
 
 # Index rows scored at once, so the score matrix stays small.
@@ -50,12 +53,16 @@ _CANDIDATES = 2_000_000
 # Hash cells of an exact search whose queries are too many to broadcast.
 EXACT_CELLS = 64
 
+# What a search finds before columns are fetched, and the rows of one batch of it.
+_FOUND = "query_id string, score double, chunk_id string"
+_FOUND_ROWS = 1 << 16
+
 # Columns a search returns beside query_id, chunk_id, score and rank.
 RESULT_COLUMNS = ("content", "document_id", "metadata", "chunk_index")
 
 
 class _Best:
-    """The best k index rows per query seen so far, with the columns they carry."""
+    """The best k index rows per query seen so far, by their ids."""
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray):
         self.query_ids, self.queries, self.k = query_ids, queries, k
@@ -64,20 +71,19 @@ class _Best:
         self.row = np.empty(0, np.int64)
         # A query with NaN or an infinite value has no nearest rows.
         self.floor = np.where(np.isfinite(queries).all(axis=1), floor, np.inf)
-        self.pool: pa.Table | None = None
+        self.pool = np.empty(0, object)
 
-    def add(self, batch: pa.RecordBatch, vectors: np.ndarray, carried: Sequence[str]) -> None:
+    def scores(self, vectors: np.ndarray) -> np.ndarray:
+        return self.queries @ vectors.T
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         sound = np.isfinite(vectors).all(axis=1)
         if not sound.all():
-            batch, vectors = batch.filter(pa.array(sound)), vectors[sound]
-        table = pa.Table.from_batches([batch.select(list(carried))])
-        base = 0
-        if self.pool is not None:
-            base = self.pool.num_rows
-            table = pa.concat_tables([self.pool, table])
-        self.pool = table
+            ids, vectors = ids[sound], vectors[sound]
+        base = len(self.pool)
+        self.pool = np.concatenate([self.pool, ids])
         for at in range(0, len(vectors), _STRIP):
-            scores = np.round(self.queries @ vectors[at : at + _STRIP].T, SCORE_DIGITS) + 0.0
+            scores = np.round(self.scores(vectors[at : at + _STRIP]), SCORE_DIGITS) + 0.0
             if scores.shape[1] > self.k:
                 kth = np.partition(scores, -self.k, axis=1)[:, -self.k]
                 np.maximum(self.floor, kth, out=self.floor)
@@ -89,16 +95,15 @@ class _Best:
                 self._keep()
         self._keep()
         used, self.row = np.unique(self.row, return_inverse=True)
-        self.pool = self.pool.take(pa.array(used)).combine_chunks()
+        self.pool = self.pool[used]
 
     def _keep(self) -> None:
         """Cut the candidates to k per query, by score and then chunk id."""
         alive = self.score >= self.floor[self.q]
         q, score, row = self.q[alive], self.score[alive], self.row[alive]
         used, inverse = np.unique(row, return_inverse=True)
-        ids = np.array(self.pool.column("chunk_id").take(pa.array(used)).to_pylist(), dtype=str)
         by_id = np.empty(len(used), np.int64)
-        by_id[np.argsort(ids, kind="stable")] = np.arange(len(used))
+        by_id[np.argsort(self.pool[used].astype(str), kind="stable")] = np.arange(len(used))
         order = np.lexsort((by_id[inverse], -score, q))
         q, score, row = q[order], score[order], row[order]
         place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
@@ -107,13 +112,16 @@ class _Best:
         last = place[top] == self.k - 1
         np.maximum.at(self.floor, self.q[last], self.score[last])
 
-    def batches(self, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
-        if self.pool is None or not len(self.q):
-            return
-        out = self.pool.take(pa.array(self.row))
-        out = out.add_column(0, "score", pa.array(self.score))
-        out = out.add_column(0, "query_id", pa.array(self.query_ids[self.q].tolist(), type=pa.string()))
-        yield from out.select(list(names)).to_batches(max_chunksize=4096)
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.q), _FOUND_ROWS):
+            part = slice(at, at + _FOUND_ROWS)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(self.query_ids[self.q[part]].tolist(), pa.string()), pa.array(self.score[part]),
+                    pa.array(self.pool[self.row[part]].tolist(), pa.string()),
+                ],
+                ["query_id", "score", "chunk_id"],
+            )
 
 
 def _fitting(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
@@ -122,24 +130,28 @@ def _fitting(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
     return batch.filter(fits)
 
 
-def _result_schema(index: DataFrame, carried: Sequence[str]) -> T.StructType:
-    return T.StructType(
-        [T.StructField("query_id", T.StringType()), T.StructField("score", T.DoubleType())]
-        + [index.schema[c] for c in carried]
-    )
+def _ids(batch: pa.RecordBatch, name: str = "chunk_id") -> np.ndarray:
+    return np.asarray(batch.column(name).to_pylist(), dtype=object)
 
 
-def _final(partial: DataFrame, k: int, carried: Sequence[str]) -> DataFrame:
+def _final(partial: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
     ranked = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "score", *carried)
+    return ranked.select("query_id", "rank", "score", "chunk_id")
 
 
-def _search_broadcast(query_ids, queries, floor, index: DataFrame, k: int, carried: Sequence[str]) -> DataFrame:
-    schema = _result_schema(index, carried)
-    names = schema.fieldNames()
-    spark = index.sparkSession
-    shared = spark.sparkContext.broadcast((query_ids, queries, floor))
+def fetch(found: DataFrame, index: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Found rows with columns of the index. They are written first: their number is then
+    known, and where it is small they are broadcast and the index stays where it lies."""
+    columns = [c for c in columns if c != "chunk_id"]
+    if not columns:
+        return found
+    found = materialize(found, "found")
+    return found.join(index.select("chunk_id", *columns), "chunk_id").select(*found.columns, *columns)
+
+
+def _search_broadcast(query_ids, queries, floor, index: DataFrame, k: int) -> DataFrame:
+    shared = index.sparkSession.sparkContext.broadcast((query_ids, queries, floor))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, wanted, least = shared.value
@@ -147,84 +159,83 @@ def _search_broadcast(query_ids, queries, floor, index: DataFrame, k: int, carri
         for batch in batches:
             batch = _fitting(batch, wanted.shape[1])
             if batch.num_rows:
-                best.add(batch, matrix(batch.column("embedding"), wanted.shape[1]), carried)
-        yield from best.batches(names)
-
-    return index.select(*carried, "embedding").mapInArrow(run, schema)
+                best.add(_ids(batch), matrix(batch.column("embedding"), wanted.shape[1]))
+        yield from best.batches()
 
+    return index.select("chunk_id", "embedding").mapInArrow(run, _FOUND)
 
-def _search_grouped(queries: DataFrame, index: DataFrame, k: int, carried: Sequence[str]) -> DataFrame:
-    """Both sides carry `cell`; queries meet the index rows of their cells.
 
-    A cell with many index rows is cut into slices and a cell with many queries into
-    blocks, so no group depends on how the rows spread over the cells. The number of cells
-    is a parameter of the index, so the counts per cell are a broadcast of known size.
+def _in_slices(queries: DataFrame, index: DataFrame, payload: str, rows_per_slice: int) -> DataFrame:
+    """Both sides by (cell, _slice): first the index rows (_side 0), then the queries that
+    want their cell. A cell with many rows is cut into slices, so what a group holds is
+    bounded however the rows spread over the cells; a query goes to all slices of its cells.
+    Cells are a parameter of the index, so the counts per cell are a broadcast of known size.
     """
-    slices = index.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / INDEX_BLOCK).cast("int").alias("_slices")
+    slices = F.broadcast(index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_slice).cast("int").alias("_slices")))
+    kind = index.schema[payload].dataType
+    asked = queries.join(slices, "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"), F.lit(1).alias("_side"),
+        F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast(kind).alias(payload), "query_id", "floor", "query_vector",
     )
-    blocks = queries.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("_blocks")
+    rows = index.join(slices, "cell").select(
+        "cell", F.pmod(F.xxhash64(F.lit(1), "chunk_id"), F.col("_slices")).cast("int").alias("_slice"), F.lit(0).alias("_side"),
+        "chunk_id", payload, F.lit(None).cast("string").alias("query_id"), F.lit(None).cast("double").alias("floor"),
+        F.lit(None).cast(queries.schema["query_vector"].dataType).alias("query_vector"),
     )
-    layout = F.broadcast(slices.join(blocks, "cell"))
-    nothing = {c: F.lit(None).cast(index.schema[c].dataType) for c in carried}
-
-    asked = (
-        queries.join(layout, "cell")
-        .withColumn("_block", F.pmod(F.xxhash64("query_id"), F.col("_blocks")))
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-        .select(
-            "cell", "_block", F.col("_slice").cast("bigint").alias("_slice"), F.lit(0).alias("_side"),
-            "query_id", "floor", F.col("query_vector").alias("embedding"),
-            *[v.alias(c) for c, v in nothing.items()],
-        )
-    )
-    rows = (
-        index.join(layout, "cell")
-        .withColumn("_slice", F.pmod(F.xxhash64(F.lit(1), "chunk_id"), F.col("_slices")))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select(
-            "cell", F.col("_block").cast("bigint").alias("_block"), "_slice", F.lit(1).alias("_side"),
-            F.lit(None).cast("string").alias("query_id"), F.lit(None).cast("double").alias("floor"),
-            "embedding", *carried,
-        )
-    )
-    group = ["cell", "_block", "_slice"]
-    together = (
-        asked.unionByName(rows)
-        .repartition(*group)
-        .sortWithinPartitions(*group, "_side")
-    )
-    schema = _result_schema(index, carried)
-    names = schema.fieldNames()
+    return rows.unionByName(asked).repartition("cell", "_slice").sortWithinPartitions("cell", "_slice", "_side")
+
+
+def _meet(held, best):
+    """Over the rows of _in_slices: `held(parts)` makes what a group holds of its index rows,
+    ids first, or None if there are none; `best(cell, held, query_ids, vectors, floors)`
+    yields the rows found for a part of the queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, best, ids, floors, vectors = None, None, [], [], []
+        current, parts, kept = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*group, "_side")], axis=1)
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "_slice", "_side")], axis=1)
             edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(keys)]):
                 part = batch.slice(lo, hi - lo)
-                if tuple(keys[lo, :3]) != current:
-                    if best is not None:
-                        yield from best.batches(names)
-                    current, best, ids, floors, vectors = tuple(keys[lo, :3]), None, [], [], []
-                if keys[lo, 3] == 0:
-                    ids += part.column("query_id").to_pylist()
-                    floors += part.column("floor").to_pylist()
-                    vectors.append(matrix(part.column("embedding")))
-                elif ids:
-                    if best is None:
-                        best = _Best(np.asarray(ids, dtype=object), np.concatenate(vectors), k, np.asarray(floors))
-                    part = _fitting(part, best.queries.shape[1])
-                    if part.num_rows:
-                        best.add(part, matrix(part.column("embedding"), best.queries.shape[1]), carried)
-        if best is not None:
-            yield from best.batches(names)
-
-    return together.mapInArrow(run, schema)
+                if tuple(keys[lo, :2]) != current:
+                    current, parts, kept = tuple(keys[lo, :2]), [], None
+                if keys[lo, 2] == 0:
+                    parts.append(part)
+                    continue
+                if parts:
+                    kept, parts = held(parts), []
+                if kept is not None:
+                    vectors, ids, floors = matrix(part.column("query_vector")), _ids(part, "query_id"), part.column("floor").to_numpy()
+                    for at in range(0, len(ids), _STRIP):
+                        s = slice(at, at + _STRIP)
+                        yield from best(current[0], kept, ids[s], vectors[s], floors[s])
+
+    return run
+
+
+def _search_grouped(queries: DataFrame, index: DataFrame, k: int, rows_per_slice: int | None = None) -> DataFrame:
+    """Both sides carry `cell`; queries meet the index rows of their cells."""
+
+    def held(parts):
+        # The vectors of one length each: queries of another length find none of them.
+        by_length = {}
+        for part in parts:
+            lengths = pc.list_value_length(part.column("embedding")).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths):
+                some = part.filter(pa.array(lengths == dim))
+                by_length.setdefault(int(dim), []).append((_ids(some), matrix(some.column("embedding"), int(dim))))
+        return {d: (np.concatenate([i for i, _ in p]), np.concatenate([m for _, m in p])) for d, p in by_length.items()}
+
+    def best(cell, kept, ids, vectors, floors):
+        if vectors.shape[1] in kept:
+            found = _Best(ids, vectors, k, floors.copy())
+            found.add(*kept[vectors.shape[1]])
+            yield from found.batches()
+
+    together = _in_slices(queries, index, "embedding", rows_per_slice or INDEX_SLICE)
+    return together.mapInArrow(_meet(held, best), _FOUND)
 
 
 def _small(queries: DataFrame, limit: int, max_bytes: int):
@@ -281,7 +292,6 @@ def top_k(
     index = with_filters(index, filters)
     if columns is None:
         columns = [c for c in RESULT_COLUMNS if c in index.columns]
-    carried = ["chunk_id", *[c for c in columns if c != "chunk_id"]]
     index = index.filter(has_vector(F.col("embedding")))
     queries = queries.filter(has_vector(F.col("query_vector"))).select(
         F.col("query_id").cast("string").alias("query_id"), "query_vector"
@@ -296,14 +306,12 @@ def top_k(
     if small is None:
         everywhere = F.explode(F.sequence(F.lit(0), F.lit(EXACT_CELLS - 1)))
         spread = F.pmod(F.xxhash64("chunk_id"), F.lit(EXACT_CELLS)).cast("int")
-        found = _search_grouped(
-            queries.withColumn("cell", everywhere), index.withColumn("cell", spread), k, carried
-        )
+        found = _search_grouped(queries.withColumn("cell", everywhere), index.withColumn("cell", spread), k)
     elif len(small[0]):
-        found = _search_broadcast(*small, index, k, carried)
+        found = _search_broadcast(*small, index, k)
     else:
-        found = index.sparkSession.createDataFrame([], _result_schema(index, carried))
-    return _final(found, k, carried)
+        found = index.sparkSession.createDataFrame([], _FOUND)
+    return fetch(_final(found, k), index, columns)
 
 
 def nearest_cells(centroids: np.ndarray, vector: Column, probes: int) -> Column:
@@ -335,21 +343,30 @@ def assign_cells(index: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 def write_cells(celled: DataFrame, path: str, rows_per_file: int = INDEX_BLOCK) -> DataFrame:
     """Write the index partitioned by cell, so a search reads the cells it probes, and read
-    it back. A cell with many rows is spread over several writers and files."""
-    sizes = F.broadcast(
-        celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
-    )
-    part = F.pmod(F.xxhash64("chunk_id"), F.col("_files"))
-    (
-        celled.join(sizes, "cell")
-        .repartition("cell", part)
-        .drop("_files")
-        .write.partitionBy("cell")
-        .parquet(path)
-    )
+    it back. Rebalanced by cell, so that one that holds many rows is spread over several writers."""
+    writer = celled.hint("rebalance", "cell").write.option("maxRecordsPerFile", rows_per_file)
+    writer.partitionBy("cell").parquet(path)
     return celled.sparkSession.read.schema(celled.schema).parquet(path)
 
 
+def ask_cells(queries: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
+    """(query_id, query_vector, place, cell): a row for each of the `probes` cells nearest to a
+    query, nearest first, written to the shared folder."""
+    fits = has_vector(F.col("query_vector")) & (F.size("query_vector") == centroids.shape[1])
+    asked = queries.filter(fits).select(
+        F.col("query_id").cast("string").alias("query_id"),
+        "query_vector",
+        F.posexplode(nearest_cells(centroids, F.col("query_vector"), probes)).alias("place", "cell"),
+    )
+    return materialize(asked, "asked")
+
+
+def only_cells(index: DataFrame, asked: DataFrame, cells: int) -> DataFrame:
+    """The index rows of the cells asked for, whose numbers name the folders to read."""
+    probed = asked.select("cell").distinct().toArrow().column("cell").to_pylist()
+    return index.filter(F.col("cell").isin(probed)) if len(probed) < cells else index
+
+
 def top_k_cells(
     queries: DataFrame,
     index: DataFrame,
@@ -367,17 +384,9 @@ def top_k_cells(
     index = with_filters(index, filters)
     if columns is None:
         columns = [c for c in RESULT_COLUMNS if c in index.columns]
-    carried = ["chunk_id", *[c for c in columns if c != "chunk_id"]]
-    asked = queries.filter(has_vector(F.col("query_vector"))).select(
-        F.col("query_id").cast("string").alias("query_id"),
-        "query_vector",
-        F.explode(nearest_cells(centroids, F.col("query_vector"), probes)).alias("cell"),
-    )
-    asked = materialize(asked, "asked")
-    probed = asked.select("cell").distinct().toArrow().column("cell").to_pylist()
-    if len(probed) < len(centroids):
-        index = index.filter(F.col("cell").isin(probed))
-    return _final(_search_grouped(_with_floor(asked, None), index, k, carried), k, carried)
+    asked = ask_cells(queries, centroids, probes)
+    index = only_cells(index, asked, len(centroids))
+    return fetch(_final(_search_grouped(_with_floor(asked, None), index, k), k), index, columns)
 
 
 def text_queries(spark: SparkSession, texts: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from passagebook.operators.embedding import embed
 from passagebook.operators.ingest import ingest
 from passagebook.schemas import TRANSCRIPTIONS, conform
 from passagebook.settings import Settings
+from passagebook.sources.session import materialize
 
 DIM = 256
 SIZE, OVERLAP = 512, 50
@@ -81,11 +82,12 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_index(spark: SparkSession, sf: str) -> DataFrame:
-    """All chunks of all documents with their hashed-word vectors."""
+    """All chunks of all documents with their hashed-word vectors, as a stored table: a search
+    reads ids and vectors, and the texts of what it finds."""
     chunks = chunk_rows(spark, sf).select(
         "chunk_id", "document_id", "metadata", "chunk_index", "content"
     )
-    return embed(chunks, embedder(), keep_text=True).drop("attempts", "error", "token_count")
+    return materialize(embed(chunks, embedder(), keep_text=True).drop("attempts", "error", "token_count"), "text-index")
 
 
 def document_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ from passagebook.functions.text import keyword_score as keyword_column
 from passagebook.functions.text import parse_metadata
 from passagebook.functions.models import HashedWords, WordOverlap
 from passagebook.functions.vectors import norm
-from passagebook.operators import embedding, indexing, ranking, search
+from passagebook.operators import balls, embedding, indexing, quantised, ranking, search
 from passagebook.operators.upsert import delete_keys, upsert
 from passagebook.plans import inputs
 from passagebook.sources.session import scratch_path
@@ -256,6 +256,39 @@ def knn_ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector whose id is divisible by 50, as a query against all."""
+    return inputs.vector_queries(spark, sf).filter(F.col("query_id").cast("long") % 50 == 0)
+
+
+def knn_quantised(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of at most a tenth of the cells a query lead to at least 0.9 of the exact rows,
+    with the same scores."""
+    index, queries = inputs.vectors(spark, sf), _asked(spark, sf)
+    quantiser = quantised.learn(index)
+    copies = quantised.choose_copies(index, quantiser)
+    codes = search.write_cells(quantised.encode(index, quantiser, copies), scratch_path(spark, "codes"))
+    near = quantised.top_k(queries, index, codes, quantiser, 10)
+    hit = near.select("query_id", "chunk_id", F.col("score").alias("hit"))
+    read = search.ask_cells(queries, quantiser.centroids, quantiser.probes()).groupBy("query_id").count()
+    share = read.agg((F.max("count") <= max(1.0, quantised.SHARE * quantiser.cells)).alias("cells_ok"))
+    found = search.top_k(queries, index, 10, columns=[]).join(hit, ["query_id", "chunk_id"], "left").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"),
+        F.count_if(F.col("hit") != F.col("score")).alias("n_other_scores"),
+    )
+    return found.withColumn("one", F.lit(1)).join(share.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def knn_balls(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact 10 nearest vectors of every vector whose id is divisible by 50, by cells in
+    the order of their bounds."""
+    index = inputs.vectors(spark, sf)
+    centres = indexing.train_cells(index, indexing.cell_count(index.count()))
+    stored = balls.build(index, centres, scratch_path(spark, "balls"))
+    return balls.top_k(_asked(spark, sf), stored, 10, columns=["label"])[0]
+
+
 def keyword_score(spark: SparkSession, sf: str) -> DataFrame:
     """User turns scored against the reply that follows them."""
     turns = inputs.table(spark, sf, "conversations")
@@ -321,19 +354,19 @@ QUERIES = {
         pending_embeddings, pending_by_table, embed_hash, embed_retry, merge_embeddings, token_count,
         dim_check, dim_rejects, index_source_stats, index_build, index_build_from_text, index_cells,
         index_sync_diff, index_sync_apply, index_status, index_delete, index_upsert, knn_exact, knn_exact_many,
-        knn_filtered, knn_ivf, knn_ivf_recall, keyword_score, hybrid_search, similarity_threshold,
+        knn_filtered, knn_ivf, knn_ivf_recall, knn_quantised, knn_balls, keyword_score, hybrid_search, similarity_threshold,
         batch_retrieval, metadata_parse, rerank, context_window,
     )
 }
 
 
-def _knn_sql(k: int, where: str = "TRUE") -> str:
+def _knn_sql(k: int, where: str = "TRUE", asked: str = "TRUE") -> str:
     dot = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))"
     return f"""
 WITH scored AS (
   SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(c.vec_id AS VARCHAR) AS chunk_id, c.label,
          round({dot}, 6) + 0.0 AS score
-  FROM embeddings q, (SELECT * FROM embeddings WHERE {where}) c)
+  FROM (SELECT * FROM embeddings WHERE {asked}) q, (SELECT * FROM embeddings WHERE {where}) c)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank,
        score, chunk_id, label
 FROM scored QUALIFY rank <= {k}"""
@@ -415,6 +448,10 @@ SELECT CAST(coalesce(vec_id, doc_id) AS VARCHAR) AS chunk_id, coalesce(quality +
 FROM embeddings FULL JOIN labels ON vec_id = doc_id""",
     "knn_exact": _knn_sql(10),
     "knn_exact_many": _knn_sql(10),
+    "knn_balls": _knn_sql(10, asked="vec_id % 50 = 0"),
+    "knn_quantised": """
+SELECT count(*) FILTER (vec_id % 50 = 0) * least(10, count(*)) AS n_rows, true AS recall_ok, CAST(0 AS BIGINT) AS n_other_scores,
+       true AS cells_ok FROM embeddings""",
     "knn_filtered": _knn_sql(5, "label IN (1, 3, 5)"),
     "knn_ivf": """
 SELECT count(*) * 10 AS n_rows, CAST(0 AS BIGINT) AS n_missing FROM embeddings""",

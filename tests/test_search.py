@@ -48,11 +48,11 @@ def test_broadcast_equals_brute(data, k):
     assert rows(search.top_k(query_df, index_df, k, columns=[])) == brute(queries, index, k)
 
 
-@pytest.mark.parametrize("query_block,index_block", [(2048, 500_000), (4, 50), (1, 7)])
-def test_grouped_equals_brute(data, monkeypatch, query_block, index_block):
+@pytest.mark.parametrize("strip,rows_per_slice", [(1024, 50_000), (4, 50), (1, 7)])
+def test_grouped_equals_brute(data, monkeypatch, strip, rows_per_slice):
     queries, index, query_df, index_df = data
-    monkeypatch.setattr(search, "QUERY_BLOCK", query_block)
-    monkeypatch.setattr(search, "INDEX_BLOCK", index_block)
+    monkeypatch.setattr(search, "_STRIP", strip)
+    monkeypatch.setattr(search, "INDEX_SLICE", rows_per_slice)
     monkeypatch.setattr(search, "EXACT_CELLS", 3)
     assert rows(search.top_k(query_df, index_df, 12, columns=[], broadcast_queries=3)) == brute(queries, index, 12)
 
@@ -72,19 +72,17 @@ def test_small_memory_limits(data, monkeypatch):
     best = search._Best(np.array([q for q, _ in queries], dtype=object), np.float64([v for _, v in queries]), 9, np.full(len(queries), -np.inf))
     monkeypatch.setattr(search, "_STRIP", 16)
     monkeypatch.setattr(search, "_CANDIDATES", 10)
-    import pyarrow as pa
-
     for part in range(0, len(index), 100):
         ids, vectors = zip(*index[part : part + 100])
-        best.add(pa.RecordBatch.from_pydict({"chunk_id": list(ids)}), np.float64(vectors), ["chunk_id"])
-    got = [r for b in best.batches(["query_id", "score", "chunk_id"]) for r in b.to_pylist()]
+        best.add(np.array(ids, dtype=object), np.float64(vectors))
+    got = [r for b in best.batches() for r in b.to_pylist()]
     want = {(q, s, c) for q, _, s, c in brute(queries, index, 9)}
     assert {(r["query_id"], r["score"], r["chunk_id"]) for r in got} == want
 
 
 def test_cells_hot_and_all_probed(data, monkeypatch):
     queries, index, query_df, index_df = data
-    monkeypatch.setattr(search, "INDEX_BLOCK", 20)
+    monkeypatch.setattr(search, "INDEX_SLICE", 20)
     centroids = indexing.train_cells(index_df, 4)
     celled = search.assign_cells(index_df, centroids)
     got = search.top_k_cells(query_df, celled, centroids, 12, probes=4, columns=[])
@@ -180,6 +178,28 @@ def test_plans_have_no_pair_join(data):
         assert "WindowGroupLimit" in plan
 
 
+def test_index_rows_are_sent_once(data, monkeypatch):
+    """However many queries there are: a group holds index rows and lets queries pass."""
+    queries, index, query_df, index_df = data
+    monkeypatch.setattr(search, "EXACT_CELLS", 3)
+    cells = index_df.withColumn("cell", F.lit(0))
+    many = query_df.crossJoin(query_df.sparkSession.range(20)).select("query_id", "query_vector", F.lit(0).alias("cell"), F.lit(0.0).alias("floor"))
+    together = search._in_slices(many, cells, "embedding", 100)
+    assert together.filter("_side = 0").count() == len(index)
+    assert together.select("_slice").distinct().count() == len(index) // 100
+
+
+def test_search_does_not_read_what_it_only_returns(spark, sf):
+    from passagebook.plans import inputs
+
+    stored = inputs.text_index(spark, sf)
+    found = search.top_k(retrieval.text_query_vectors(spark, sf), stored, 5)
+    (path,) = {f.rsplit("/", 1)[0] for f in found.inputFiles() if "/found-" in f}
+    (search_plan,) = [line for line in search.top_k(retrieval.text_query_vectors(spark, sf), stored, 5, columns=[])._jdf.queryExecution().executedPlan().toString().splitlines() if "text-index" in line]
+    assert "ReadSchema: struct<chunk_id:string,embedding:array<float>>" in search_plan
+    assert set(spark.read.parquet(path).columns) == {"query_id", "rank", "score", "chunk_id"}
+
+
 def results_frame(spark, rows):
     return spark.createDataFrame(
         rows, "query_id string, rank int, score double, chunk_id string, content string, document_id string"
