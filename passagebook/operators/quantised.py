@@ -181,7 +181,7 @@ def choose_copies(index: DataFrame, quantiser: Quantiser, k: int = 10, target: f
     bounded sample of queries among a bounded sample of rows. Neighbours in a sample lie further
     off than those among all rows, so the true recall of cells is rather higher."""
     sample = _by_hash(index.filter(has_vector(F.col("embedding")) & (F.size("embedding") == quantiser.dim)), TUNING_ROWS, 7)
-    rows = np.stack(sample.select("embedding").toPandas()["embedding"]).astype(np.float64)
+    rows = matrix(sample.select("embedding").toArrow().column("embedding"), quantiser.dim)
     queries = rows[: min(TUNING_QUERIES, len(rows))]
     near = np.argsort(-(queries @ rows.T), axis=1, kind="stable")[:, :k]
     homes, probed = quantiser.near(rows, min(most, quantiser.cells)), quantiser.near(queries, quantiser.probes(share))

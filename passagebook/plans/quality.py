@@ -119,11 +119,12 @@ def _document_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """New files as a stream, chunked batch by batch; a second run finds nothing new."""
+    """New files as a stream, chunked batch by batch. Each document is delivered twice in a
+    batch; a second run finds nothing new."""
     target, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    twice = _document_stream(spark, sf).unionByName(_document_stream(spark, sf))
     for _ in range(2):
-        write = stream.ingest_batches(target, inputs.created_at(), inputs.FIXED)
-        stream.start(_document_stream(spark, sf), write, state).awaitTermination()
+        stream.ingest_stream(twice, target, state, inputs.created_at(), inputs.FIXED).awaitTermination()
     rows = spark.read.parquet(f"{target}/chunks")
     return rows.select("document_id", "chunk_index", "chunk_id", "start_char", "end_char")
 
@@ -131,8 +132,9 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 def stream_index(spark: SparkSession, sf: str) -> DataFrame:
     """The stream through all stages: the index rows its batches wrote, by document."""
     target, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
-    write = stream.ingest_batches(target, inputs.created_at(), inputs.FIXED, inputs.embedder())
-    stream.start(_document_stream(spark, sf), write, state).awaitTermination()
+    stream.ingest_stream(
+        _document_stream(spark, sf), target, state, inputs.created_at(), inputs.FIXED, inputs.embedder()
+    ).awaitTermination()
     return spark.read.parquet(f"{target}/index").groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.min("chunk_id").alias("first_id")
     )
@@ -147,7 +149,7 @@ def stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
         return stream.read_files(spark, sf, schema, pattern="events.parquet")
 
     both = delivery().unionByName(delivery()).select("event_id", "ts", "user_id", "event_type", "value")
-    stream.start(both, stream.write_first(target, "event_id"), state).awaitTermination()
+    stream.start(stream.first_deliveries(both, "event_id"), stream.write_rows(target), state).awaitTermination()
     rows = spark.read.parquet(target).select("event_id", "ts", "user_id", "event_type", "value")
     return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 

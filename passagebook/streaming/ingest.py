@@ -11,7 +11,6 @@ from passagebook.functions.models import Embedder
 from passagebook.operators.embedding import embed_chunks
 from passagebook.operators.indexing import SYNC_COLUMNS, build_index
 from passagebook.operators.ingest import ingest
-from passagebook.operators.upsert import latest
 from passagebook.settings import Settings
 
 
@@ -29,6 +28,15 @@ def read_files(
     return reader.parquet(folder)
 
 
+def ingest_stream(
+    stream: DataFrame, target: str, checkpoint: str, created_at: Column, settings: Settings | None = None,
+    embedder: Embedder | None = None, time: str | None = None, expire: str | None = None, every: str | None = None,
+) -> StreamingQuery:
+    """The incremental run: transcriptions as they are delivered, each ingested once."""
+    fresh = first_deliveries(stream, "transcription_id", time, expire)
+    return start(fresh, ingest_batches(target, created_at, settings, embedder), checkpoint, every)
+
+
 def start(stream: DataFrame, write_batch, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Run to the end of what is there, or for ever with a batch `every` so often."""
     writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
@@ -46,29 +54,24 @@ def write_rows(target: str):
     return write
 
 
-def write_first(target: str, key: str):
-    """Batch writer that keeps the first delivery of each key, however late it comes.
+def first_deliveries(stream: DataFrame, key: str, time: str | None = None, expire: str | None = None) -> DataFrame:
+    """The first delivery of each key, in whichever batch and after however many restarts.
 
-    What earlier batches wrote is the ledger: only its keys are read. Within a batch the
-    greatest row of a key wins, so that a repeated batch writes the same.
+    The keys seen are state of the query, kept by Spark's state store beside its checkpoint:
+    a batch looks up the keys it brings and reads nothing that earlier batches wrote, so its
+    cost does not grow with their number. With `time` and `expire` a key is forgotten that
+    long after it was delivered, by the watermark of that column, and the state stays bounded.
+    Rows without a key are all kept. Where one batch brings several rows of a key, one of
+    them is kept; a batch that is repeated has the same keys, and overwrites what it wrote.
+    For more keys than executors hold in memory set spark.sql.streaming.stateStore.providerClass
+    to the RocksDB provider.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = latest(batch.filter(F.col(key).isNotNull()), key, [])
-        earlier = seen_before(batch.sparkSession, target, key, batch_id)
-        if earlier is not None:
-            fresh = fresh.join(earlier, key, "left_anti")
-        fresh.unionByName(batch.filter(F.col(key).isNull())).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    return write
-
-
-def seen_before(spark: SparkSession, target: str, key: str, batch_id: int) -> DataFrame | None:
-    """The distinct keys that batches before this one wrote, none before the first."""
-    if batch_id == 0:
-        return None
-    written = spark.read.option("basePath", target).parquet(*[f"{target}/batch={i}" for i in range(batch_id)])
-    return written.select(key).distinct()
+    known = stream.filter(F.col(key).isNotNull())
+    if expire is None:
+        known = known.dropDuplicates([key])
+    else:
+        known = known.withWatermark(time, expire).dropDuplicatesWithinWatermark([key])
+    return known.unionByName(stream.filter(F.col(key).isNull()))
 
 
 def ingest_batches(
@@ -79,7 +82,9 @@ def ingest_batches(
 ):
     """Batch writer for transcriptions: chunks, and with an embedder vectors and index rows.
 
-    Each stage reads what the stage before it wrote, so no stage runs twice.
+    Each stage reads what the stage before it wrote, so no stage runs twice; the batch
+    itself is read once, as its deliveries may come from state. Deliveries that repeat are
+    taken out of the stream before it, by `first_deliveries`.
     """
     s = settings or Settings()
 

@@ -1,4 +1,5 @@
 import math
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -284,26 +285,89 @@ def test_scratch_is_new_every_time(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+#: What is fetched to the driver, and why its size is bounded whatever the tables hold.
+FETCHED = {
+    "search": ["queries.limit(limit + 1)", 'asked.select("cell").distinct()'],  # limited and measured; one per centroid
+    "quantised": ['pieces.groupBy("part").applyInPandas(train, "part int, code int, entry array<double>")', 'sample.select("embedding")'],  # codebooks; a bounded sample
+    "balls": ['parts.groupBy("cell").agg(F.max("far").alias("far"), F.max("long").alias("long"))'],  # one row per centroid
+}
+
+
 def test_library_does_not_collect():
-    """No result rows pass through the driver in operators, but for the checked query side."""
+    """No result rows pass through the driver."""
     import pathlib
     import re
 
     root = pathlib.Path(__file__).parent.parent / "passagebook"
-    for path in (root / "operators").glob("*.py"):
-        calls = re.findall(r"\.(collect|toPandas|toLocalIterator|crossJoin|localCheckpoint)\(", path.read_text())
-        assert not calls, path
-        # Fetched: the query side, limited and measured; the probed cells, one per centroid.
-        fetched = re.findall(r"= (.+)\.toArrow\(", path.read_text())
-        assert fetched == (["queries.limit(limit + 1)", 'asked.select("cell").distinct()'] if path.stem == "search" else []), path
+    for path in (p for folder in ("operators", "plans", "streaming", "sources", "functions") for p in (root / folder).glob("*.py")):
+        text = path.read_text()
+        assert not re.findall(r"\.(collect|toPandas|toLocalIterator|crossJoin|localCheckpoint)\(", text), path
+        fetched = re.findall(r"(?:= |\()([^=(\n]*(?:\(.*\))?)\.toArrow\(", text)
+        assert len(fetched) == text.count(".toArrow(") == len(FETCHED.get(path.stem, [])), path
+        assert all(any(f in allowed or allowed in f for allowed in FETCHED[path.stem]) for f in fetched), (path, fetched)
+
+
+def _deliver(spark, folder, rows, schema="k string, day int, at timestamp"):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
 
 
 def test_first_delivery_stays_however_late(spark, tmp_path):
-    target = str(tmp_path / "kept")
-    write = stream.write_first(target, "k")
-    frame = lambda rows: spark.createDataFrame(rows, "k string, day int")
-    deliveries = [[("a", 9), ("b", 9), ("a", 9)], [("a", 9), ("late", 1)], [("late", 1), ("c", 2)]]
-    for i, rows in enumerate(deliveries):
-        write(frame(rows), i)
-    write(frame(deliveries[1]), 1)  # delivered again after a failure
-    assert sorted(r.k for r in spark.read.parquet(target).collect()) == ["a", "b", "c", "late"]
+    """Three restarts, each with its own deliveries; rows without a key are all kept."""
+    source, target, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+    at = datetime(2024, 1, 1)
+
+    def run():
+        rows = stream.read_files(spark, source, spark.read.parquet(source).schema, files_per_trigger=1)
+        stream.start(stream.first_deliveries(rows, "k"), stream.write_rows(target), state).awaitTermination()
+
+    for keys in (["a", "b", "a", None], ["a", "late", None], ["late", "c", "b"]):
+        _deliver(spark, source, [(k, 1, at) for k in keys])
+        run()
+    found = [r.k for r in spark.read.parquet(target).collect()]
+    assert sorted(map(str, found)) == ["None", "None", "a", "b", "c", "late"]
+
+
+def test_a_batch_reads_nothing_that_earlier_batches_wrote(spark, tmp_path):
+    """Neither their folders, which are gone, nor more rows than it was brought."""
+    source, target, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+    at, seen = datetime(2024, 1, 1), []
+    for i in range(5):
+        _deliver(spark, source, [(f"k{j}", i, at) for j in range(i, i + 10)])
+        rows = stream.read_files(spark, source, spark.read.parquet(source).schema)
+        query = stream.start(stream.first_deliveries(rows, "k"), stream.write_rows(f"{target}-{i}"), state)
+        query.awaitTermination()
+        seen += [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(set(seen)) == 1 and len(seen) == 5
+    assert [spark.read.parquet(f"{target}-{i}").count() for i in range(5)] == [10, 1, 1, 1, 1]
+
+
+def test_keys_expire_by_watermark(spark, tmp_path):
+    source, target, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+    for day in (1, 2, 20, 21):
+        _deliver(spark, source, [("b" if day == 20 else "a", day, datetime(2024, 1, day)), (f"b{day}", day, datetime(2024, 1, day))])
+        rows = stream.read_files(spark, source, spark.read.parquet(source).schema)
+        fresh = stream.first_deliveries(rows, "k", time="at", expire="5 days")
+        query = stream.start(fresh, stream.write_rows(target), state)
+        query.awaitTermination()
+    found = sorted((r.k, r.day) for r in spark.read.parquet(target).collect())
+    assert [d for k, d in found if k == "a"] == [1, 21]  # forgotten once the 20th has come, then new again
+    kept = query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+    assert kept < 5
+
+
+def test_incremental_run_takes_each_document_once(spark, tmp_path):
+    """Delivered twice in a batch, late, and again after each of three restarts."""
+    source, target, state = (str(tmp_path / p) for p in ("in", "out", "state"))
+    schema = "transcription_id string, audio_file_path string, text string, metadata string"
+    s = Settings(embedding_dimension=16, chunking_strategy="sentence")
+    now = F.lit("2024-01-01").cast("timestamp")
+    for ids in (["a", "b", "a"], ["b", "c"], ["a", "b", "c", "d"]):
+        _deliver(spark, source, [(i, f"{i}.wav", f"text of {i}. " * 50, None) for i in ids], schema)
+        rows = stream.read_files(spark, source, spark.read.parquet(source).schema, files_per_trigger=1)
+        stream.ingest_stream(rows, target, state, now, s, HashedWords(16)).awaitTermination()
+    from passagebook.operators.ingest import ingest
+
+    want = ingest(spark.read.parquet(source).dropDuplicates(["transcription_id"]), now, s)
+    for part in ("chunks", "index"):
+        got = [r.chunk_id for r in spark.read.parquet(f"{target}/{part}").collect()]
+        assert sorted(got) == sorted(r.chunk_id for r in want.collect())
