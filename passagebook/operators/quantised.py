@@ -34,7 +34,7 @@ from passagebook.sources.session import materialize
 
 # Rows that centroids and codebooks are learned from, and those by which copies are chosen.
 SAMPLE_ROWS = 65_536
-TUNING_ROWS, TUNING_QUERIES = 20_000, 400
+TUNING_ROWS, TUNING_QUERIES = 10_000, 200
 
 # Entries of a codebook: a code of a part is one byte.
 CODES = 256
@@ -47,6 +47,9 @@ SHARE = 0.1
 
 _ROUNDS = 10
 
+# Vectors compared with all cells at once.
+_STRIP = 256
+
 
 @dataclass(frozen=True)
 class Quantiser:
@@ -69,10 +72,11 @@ class Quantiser:
 
     def near(self, vectors: np.ndarray, count: int) -> np.ndarray:
         """Numbers of the nearest cells of each vector, nearest first."""
-        scores = vectors @ self.centroids.T - (self.centroids * self.centroids).sum(axis=1) / 2
-        if count == 1:
-            return scores.argmax(axis=1)[:, None]
-        return np.argsort(-scores, axis=1, kind="stable")[:, :count]
+        half, out = (self.centroids * self.centroids).sum(axis=1) / 2, np.empty((len(vectors), count), np.int32)
+        for at in range(0, len(vectors), _STRIP):
+            scores = vectors[at : at + _STRIP] @ self.centroids.T - half
+            out[at : at + _STRIP] = scores.argmax(axis=1)[:, None] if count == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :count]
+        return out
 
     def codes(self, vectors: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """(n, parts) bytes: for each part the nearest entry of its codebook."""
@@ -183,7 +187,7 @@ def choose_copies(index: DataFrame, quantiser: Quantiser, k: int = 10, target: f
     sample = _by_hash(index.filter(has_vector(F.col("embedding")) & (F.size("embedding") == quantiser.dim)), TUNING_ROWS, 7)
     rows = matrix(sample.select("embedding").toArrow().column("embedding"), quantiser.dim)
     queries = rows[: min(TUNING_QUERIES, len(rows))]
-    near = np.argsort(-(queries @ rows.T), axis=1, kind="stable")[:, :k]
+    near = np.stack([np.argsort(-(rows @ q), kind="stable")[:k] for q in queries])
     homes, probed = quantiser.near(rows, min(most, quantiser.cells)), quantiser.near(queries, quantiser.probes(share))
     for copies in range(1, homes.shape[1] + 1):
         met = (homes[near][:, :, :copies, None] == probed[:, None, None, :]).any(axis=(2, 3))

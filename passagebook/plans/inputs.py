@@ -242,6 +242,29 @@ hybrid AS (
     )
 
 
+def hybrid_exact_sql(k: int = 10) -> str:
+    """All chunks weighed for every query: words of both as sets, vectors by bucket."""
+    return ",".join(
+        [
+            "WITH " + QUERIES_SQL, CHUNKS_SQL, hashed_sql("query_vectors", "query_id", "query_text", "queries"),
+            hashed_sql("chunk_vectors", "chunk_id", "content", "chunks"),
+        ]
+    ) + f""",
+near AS (
+  SELECT query_id, chunk_id, round(sum(q.weight * c.weight), 6) AS near
+  FROM query_vectors q JOIN chunk_vectors c USING (bucket) GROUP BY ALL),
+q AS (SELECT query_id, {word_set_sql("query_text")} AS asked FROM queries),
+c AS (SELECT chunk_id, content, {word_set_sql("content")} AS held FROM chunks),
+weighed AS (
+  SELECT query_id, chunk_id, content,
+         round(CAST(0.7 AS DOUBLE) * coalesce(near, 0) + CAST(0.3 AS DOUBLE)
+               * (len(list_intersect(asked, held)) / CAST(greatest(len(asked), 1) AS DOUBLE)), 10) AS score
+  FROM q CROSS JOIN c LEFT JOIN near USING (query_id, chunk_id))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank,
+       score, chunk_id, content
+FROM weighed QUALIFY rank <= {k}"""
+
+
 def context_sql(k: int = 10, queries: str = QUERIES_SQL, least: float = LEAST, budget: int = CONTEXT_TOKENS) -> str:
     """CTEs taken (results inside the budget) and contexts (one row per query with results)."""
     return (

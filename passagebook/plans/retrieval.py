@@ -13,7 +13,7 @@ from passagebook.functions.text import keyword_score as keyword_column
 from passagebook.functions.text import parse_metadata
 from passagebook.functions.models import HashedWords, WordOverlap
 from passagebook.functions.vectors import norm
-from passagebook.operators import balls, embedding, indexing, quantised, ranking, search
+from passagebook.operators import balls, embedding, indexing, postings, quantised, ranking, search
 from passagebook.operators.upsert import delete_keys, upsert
 from passagebook.plans import inputs
 from passagebook.sources.session import scratch_path
@@ -318,6 +318,19 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid_results(spark, sf).select(*_RESULT, "content")
 
 
+def text_postings(spark: SparkSession, sf: str) -> postings.Postings:
+    """The chunks of all documents by cell, and the inverted index of their words."""
+    index = inputs.text_index(spark, sf)
+    centres = indexing.train_cells(index, indexing.cell_count(index.count()))
+    return postings.build(balls.build(index, centres, scratch_path(spark, "balls")), scratch_path(spark, "postings"))
+
+
+def hybrid_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The best of all chunks by hybrid score, not only of the nearest by vector."""
+    found, _ = postings.top_k(text_query_vectors(spark, sf), text_postings(spark, sf), 10)
+    return found.select("query_id", "rank", "score", "chunk_id", "content")
+
+
 def similarity_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid_results(spark, sf, least=inputs.LEAST, use_hybrid=False).select(*_RESULT)
 
@@ -354,7 +367,7 @@ QUERIES = {
         pending_embeddings, pending_by_table, embed_hash, embed_retry, merge_embeddings, token_count,
         dim_check, dim_rejects, index_source_stats, index_build, index_build_from_text, index_cells,
         index_sync_diff, index_sync_apply, index_status, index_delete, index_upsert, knn_exact, knn_exact_many,
-        knn_filtered, knn_ivf, knn_ivf_recall, knn_quantised, knn_balls, keyword_score, hybrid_search, similarity_threshold,
+        knn_filtered, knn_ivf, knn_ivf_recall, knn_quantised, knn_balls, keyword_score, hybrid_search, hybrid_exact, similarity_threshold,
         batch_retrieval, metadata_parse, rerank, context_window,
     )
 }
@@ -462,6 +475,7 @@ SELECT u.conv_id, u.turn,
 FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn
 WHERE u.role = 'user' AND a.role = 'assistant'""",
     "hybrid_search": inputs.hybrid_sql() + f" SELECT {_R}, content FROM hybrid WHERE score >= 0",
+    "hybrid_exact": inputs.hybrid_exact_sql(),
     "similarity_threshold": inputs.vector_search_sql(10) + f" SELECT {_R} FROM found WHERE score >= {inputs.LEAST}",
     "batch_retrieval": inputs.hybrid_sql() + f"""
 SELECT query_id, rank, chunk_id, source || '/' || document_id AS source_path, lang
