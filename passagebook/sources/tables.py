@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +99,13 @@ def read_table(spark: SparkSession, name: str) -> DataFrame | None:
     return spark.table(name) if table_exists(spark, name) else None
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Write a table whose files hold one bucket of the key each, sorted by it. Joins and
+    groupings by the key then read it where it lies, without a shuffle."""
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).mode("overwrite").format("parquet").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def append(df: DataFrame, name: str, schema: TableSchema) -> None:
     """Append rows in the declared schema."""
     conform(df, schema).write.mode("append").format("parquet").partitionBy(
@@ -116,18 +124,26 @@ def replace(df: DataFrame, name: str) -> None:
 
 
 def table_stats(df: DataFrame) -> DataFrame:
-    """One row for a table of files: rows, files, bytes, first and last change."""
-    files = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("_metadata.file_size").alias("bytes"),
-        F.max("_metadata.file_modification_time").alias("changed"),
-    )
+    """One row for a table of files: rows, files, bytes, first and last change.
+
+    Files are listed, so those without rows count; rows are counted by file without reading
+    any column.
+    """
+    spark = df.sparkSession
+    files = [unquote(f) for f in df.inputFiles()]
+    listed = spark.createDataFrame([], "path string, length long, modificationTime timestamp")
+    if files:
+        listed = spark.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+    rows = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    # Both are file names, written with more or fewer slashes behind the scheme.
+    name = F.regexp_replace("path", "^([A-Za-z0-9]+):/+", "$1:/")
+    files = listed.withColumn("path", name).join(rows.withColumn("path", name), "path", "left")
     return files.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("row_count"),
         F.count(F.lit(1)).alias("num_files"),
-        F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("size_bytes"),
-        F.min("changed").alias("created_at"),
-        F.max("changed").alias("last_modified"),
+        F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("size_bytes"),
+        F.min("modificationTime").alias("created_at"),
+        F.max("modificationTime").alias("last_modified"),
     )
 
 

@@ -240,6 +240,62 @@ def test_rollup_keeps_tasks_without_metrics(spark):
 def test_upsert_refuses_copies(spark):
     target = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     source = spark.createDataFrame([(1, "x"), (1, "y")], "id int, v string")
-    with pytest.raises(ValueError):
-        upsert.upsert(target, source, "id")
+    for most in (0, 100):
+        with pytest.raises(Exception, match="several rows for one id"):
+            upsert.upsert(target, source, "id", broadcast_rows=most).collect()
     assert {(r.id, r.v) for r in upsert.upsert(target, source, "id", order=[F.col("v")]).collect()} == {(1, "y"), (2, "b")}
+
+
+@pytest.mark.parametrize("most", [0, 2, 100])
+def test_upsert_with_null_keys_repeats_and_columns_of_its_own(spark, most):
+    """Both ways give the same: copies in the target are all updated, a null key matches nothing."""
+    target = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 3), (None, "n", 4)], "id int, v string, n int")
+    source = spark.createDataFrame([(1, "x", "more"), (3, "y", "more"), (None, "z", "more")], "id long, v string, other string")
+    want = {(1, "x", 1), (1, "x", 2), (2, "c", 3), (None, "n", 4), (3, "y", None), (None, "z", None)}
+    got = upsert.upsert(target, source, "id", broadcast_rows=most)
+    assert {tuple(r) for r in got.collect()} == want and got.columns == target.columns
+    only = upsert.upsert(target, source.withColumn("n", F.lit(9)), "id", ["n"], broadcast_rows=most)
+    assert {tuple(r) for r in only.collect()} == {(1, "a", 9), (1, "b", 9), (2, "c", 3), (None, "n", 4), (3, "y", 9), (None, "z", 9)}
+
+
+def _shuffled(df):
+    """What stands below each shuffle of a plan."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    lines = text.splitlines()
+    return [[rest for rest in lines[i + 1 :] if len(rest) - len(rest.lstrip(" :+-|")) > len(line) - len(line.lstrip(" :+-|"))] for i, line in enumerate(lines) if "Exchange" in line]
+
+
+def test_a_bucketed_target_is_never_shuffled(spark):
+    from passagebook.operators.embedding import merge_embeddings
+
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("chunk_id"), F.col("id").alias("n"), F.lit(None).cast("array<float>").alias("embedding"))
+    source = spark.range(3000, 5000).select(F.col("id").cast("string").alias("chunk_id"), (-F.col("id")).alias("n"))
+    vectors = rows.select("chunk_id", F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        target = tables.write_bucketed(rows, "bucketed_target", "chunk_id", 8)
+        stored = tables.write_bucketed(vectors, "bucketed_vectors", "chunk_id", 8)
+        merged = upsert.upsert(target, source, "chunk_id")
+        assert merged.count() == 5000 and merged.filter("n < 0").count() == 2000
+        deleted = upsert.delete_keys(target, source, "chunk_id")
+        assert deleted.count() == 3000
+        both = merge_embeddings(target, stored)
+        assert both.filter("embedding is not null").count() == 4000
+        for df in (merged, deleted, both):
+            assert not any("bucketed_target" in line for below in _shuffled(df) for line in below)
+        assert not _shuffled(both) and len(_shuffled(merged)) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+        tables.drop_table(spark, "bucketed_target")
+        tables.drop_table(spark, "bucketed_vectors")
+
+
+def test_table_stats_count_empty_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(10).repartition(2).write.parquet(path)
+    spark.range(0).coalesce(1).write.mode("append").parquet(path)
+    files = list((tmp_path / "t").glob("*.parquet"))
+    stats = tables.table_stats(spark.read.parquet(path)).first()
+    assert (stats.row_count, stats.num_files, stats.size_bytes) == (10, len(files), sum(f.stat().st_size for f in files)) and len(files) == 3
+    scan = tables.table_stats(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in scan
