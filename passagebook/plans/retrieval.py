@@ -13,7 +13,7 @@ from passagebook.functions.text import keyword_score as keyword_column
 from passagebook.functions.text import parse_metadata
 from passagebook.functions.models import HashedWords, WordOverlap
 from passagebook.functions.vectors import norm
-from passagebook.operators import balls, embedding, indexing, postings, quantised, ranking, search
+from passagebook.operators import balls, digests, embedding, indexing, postings, quantised, ranking, search
 from passagebook.operators.upsert import delete_keys, upsert
 from passagebook.plans import inputs
 from passagebook.sources.session import scratch_path
@@ -178,6 +178,13 @@ def index_sync_apply(spark: SparkSession, sf: str) -> DataFrame:
     return indexing.apply_sync(*_index_versions(spark, sf)).select("chunk_id", "text")
 
 
+def index_sync_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by a tree of hashes: only the buckets that differ are compared and written."""
+    index, source = (digests.write(rows, scratch_path(spark, name), buckets=64) for rows, name in zip(_index_versions(spark, sf), ("synced", "source")))
+    digests.sync(index, source)
+    return index.rows().select("chunk_id", "text")
+
+
 def index_status(spark: SparkSession, sf: str) -> DataFrame:
     return indexing.index_status(*_index_versions(spark, sf))
 
@@ -366,7 +373,7 @@ QUERIES = {
     for f in (
         pending_embeddings, pending_by_table, embed_hash, embed_retry, merge_embeddings, token_count,
         dim_check, dim_rejects, index_source_stats, index_build, index_build_from_text, index_cells,
-        index_sync_diff, index_sync_apply, index_status, index_delete, index_upsert, knn_exact, knn_exact_many,
+        index_sync_diff, index_sync_apply, index_sync_tree, index_status, index_delete, index_upsert, knn_exact, knn_exact_many,
         knn_filtered, knn_ivf, knn_ivf_recall, knn_quantised, knn_balls, keyword_score, hybrid_search, hybrid_exact, similarity_threshold,
         batch_retrieval, metadata_parse, rerank, context_window,
     )
@@ -447,6 +454,7 @@ WITH {inputs.CHUNKS_SQL}
 SELECT chunk_id, document_id, chunk_index, CAST(1.0 AS DOUBLE) AS length FROM chunks""",
     "index_sync_diff": _VERSIONS_SQL + " SELECT action, count(*) AS n_keys FROM diff GROUP BY action",
     "index_sync_apply": "SELECT 'd' || doc_id AS chunk_id, text FROM documents",
+    "index_sync_tree": "SELECT 'd' || doc_id AS chunk_id, text FROM documents",
     "index_status": _VERSIONS_SQL + """
 SELECT count(*) FILTER (action = 'unchanged') AS covered, count(*) FILTER (action = 'insert') AS missing,
        count(*) FILTER (action = 'update') AS stale, count(*) FILTER (action = 'delete') AS orphaned,
