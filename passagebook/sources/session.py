@@ -54,10 +54,69 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: the plan is cut, and the rows are safe
     when executors are lost."""
     path = scratch_path(df.sparkSession, label)
+    _written.add(path)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Paths that materialize wrote, and those of each open scope.
+_written: set[str] = set()
+_scopes: list[list[str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _is_read(path: str, files: list[str]) -> bool:
+    part = f"/{path.rsplit('/', 1)[1]}/"
+    return any(part in f for f in files)
+
+
+class Scratch:
+    """A scope for tables that `materialize` writes. When it ends they are removed, but those
+    that a DataFrame given to `keep` still reads: these belong to the scope around it, if
+    there is one.
+
+        with Scratch(spark) as scratch:
+            return scratch.keep(work())
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, []
+
+    def __enter__(self) -> Scratch:
+        _scopes.append([])
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept += df.inputFiles()
+        return df
+
+    def __exit__(self, *failure) -> None:
+        outer = _scopes[-2] if len(_scopes) > 1 else []
+        for path in _scopes.pop():
+            if _is_read(path, self.kept):
+                outer.append(path)
+            else:
+                _written.discard(path)
+                _remove(self.spark, path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table that `materialize` wrote for df, once nothing reads it any more."""
+    files = df.inputFiles()
+    found = [p for p in _written if _is_read(p, files)]
+    if len(found) > 1 or (files and not found):
+        raise ValueError("not a table that was written to the shared folder")
+    for path in found:
+        _written.discard(path)
+        _remove(df.sparkSession, path)
+
+
 _shipped: set[str] = set()
 
 

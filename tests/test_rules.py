@@ -285,6 +285,35 @@ def test_scratch_is_new_every_time(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+def test_scratch_goes_with_its_scope(spark):
+    import os
+
+    from passagebook.sources import session
+
+    def there(df):
+        return [os.path.exists(f.removeprefix("file://")) for f in df.inputFiles()]
+
+    rows = spark.range(3)
+    outside = session.materialize(rows, "outside")
+    with session.Scratch(spark) as outer:
+        first = session.materialize(rows, "first")
+        gone, gone_files = session.materialize(rows, "gone"), None
+        with session.Scratch(spark) as inner:
+            second, dropped = session.materialize(rows, "second"), session.materialize(rows, "dropped")
+            dropped_files = dropped.inputFiles()
+            inner.keep(second.join(first, "id"))
+        assert all(there(second)) and not any(os.path.exists(f.removeprefix("file://")) for f in dropped_files)
+        gone_files = gone.inputFiles()
+        result = outer.keep(second.join(first, "id"))
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in gone_files)
+    assert result.count() == 3 and all(there(outside))
+    files = outside.inputFiles()
+    session.discard(outside)
+    assert result.count() == 3 and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    with pytest.raises(ValueError):
+        session.discard(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+
+
 #: What is fetched to the driver, and why its size is bounded whatever the tables hold.
 FETCHED = {
     "search": ["queries.limit(limit + 1)", 'asked.select("cell").distinct()'],  # limited and measured; one per centroid
