@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagebook.sources.session import materialize
+from passagebook.sources.session import Scratch, materialize
 
 ROUNDS = 60
 
@@ -19,6 +19,11 @@ def components(edges: DataFrame) -> DataFrame:
     the least is an aggregate with partial results and is joined back. Each round is
     written to the shared folder.
     """
+    with Scratch(edges.sparkSession) as scratch:
+        return scratch.keep(_settled(edges))
+
+
+def _settled(edges: DataFrame) -> DataFrame:
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(ROUNDS):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from passagebook.llm.common import LOWER, mix, texts_of
 from passagebook.llm.components import components
-from passagebook.sources.session import materialize
+from passagebook.sources.session import Scratch, materialize
 
 SEED = 42
 #: Groups above this size are not compared pair by pair.
@@ -207,13 +207,13 @@ def _link_groups(ring: Ring, keys: list[tuple[int, int]]):
     """Over rows (table, key, fp) sorted so: a star (a, b) for each set of linked members."""
 
     def finish(tables, key, fps):
-        edges_a, edges_b, views = [], [], []
+        edges_a, edges_b = [], []
         change = np.r_[True, (key[1:] != key[:-1]) | (tables[1:] != tables[:-1])]
         group = np.cumsum(change) - 1
         sizes = np.bincount(group)
         own = sizes[group]
         for t in np.unique(tables):
-            start, _ = keys[t % len(keys)]
+            start, _ = keys[t]
             small = np.flatnonzero((tables == t) & (own > 1) & (own <= WIDE))
             if len(small):
                 f = fps[small]
@@ -221,21 +221,18 @@ def _link_groups(ring: Ring, keys: list[tuple[int, int]]):
                 linked = np.flatnonzero(root != np.arange(len(f)))
                 edges_a.append(f[linked])
                 edges_b.append(f[root[linked]])
-                views.append(np.full(len(linked), t // len(keys), np.int32))
         for g in np.flatnonzero(sizes > WIDE):
             where = np.flatnonzero(group == g)
             f, t = fps[where], int(tables[where[0]])
-            mask = keys[t % len(keys)][1]
+            mask = keys[t][1]
             free = [b for b in range(64) if not mask >> b & 1]
             root = _stars(len(f), *_large(f, free, ring.most))
             linked = np.flatnonzero(root != np.arange(len(f)))
             edges_a.append(f[linked])
             edges_b.append(f[root[linked]])
-            views.append(np.full(len(linked), t // len(keys), np.int32))
         a = np.concatenate(edges_a) if edges_a else np.empty(0, np.uint64)
         b = np.concatenate(edges_b) if edges_b else np.empty(0, np.uint64)
-        v = np.concatenate(views) if views else np.empty(0, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(v), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["view", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     def run(batches):
         held = None
@@ -258,18 +255,17 @@ def _link_groups(ring: Ring, keys: list[tuple[int, int]]):
 
 
 def links(prints: DataFrame, most: int = 2) -> DataFrame:
-    """(view, a, b): links that join just those distinct fingerprints of a view that paths of
-    at most `most` differing bits join. Without a column view all are of view 0."""
+    """(a, b): links that join just those distinct fingerprints that paths of at most `most`
+    differing bits join."""
     ring = Ring(most)
     keys = ring.keys()
-    view = F.col("view") if "view" in prints.columns else F.lit(0).alias("view")
     tables = F.explode(F.array(*[
-        F.struct((F.col("view") * len(keys) + t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for t, (_, mask) in enumerate(keys)
+        F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("key")) for t, (_, mask) in enumerate(keys)
     ])).alias("at")
-    met = prints.select(view, "fp").distinct().select("fp", tables).select("at.t", "at.key", "fp")
+    met = prints.select("fp").distinct().select("fp", tables).select("at.t", "at.key", "fp")
     return (
         met.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-        .mapInArrow(_link_groups(ring, keys), "view int, a long, b long").distinct()
+        .mapInArrow(_link_groups(ring, keys), "a long, b long").distinct()
     )
 
 
@@ -277,7 +273,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, most: int = 2, ident: str =
     """(doc_id, fp, component_id) of every row: the smallest id its links reach."""
     prints = materialize(fingerprints(docs, size, ident, text), "prints")
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints-least")
-    roots = components(links(least, most).select("a", "b"))
+    roots = components(links(least, most))
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = named.join(names, "root").select("fp", "component_id")
@@ -297,12 +293,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, most: int = 2, ident: str =
 # other of its shingles' holders, which joins most copies; then all pairs that meet and are
 # not joined yet. Each comparison is of whole sets.
 
-#: No set is cut any more; up to this size comparisons were always exact.
-SKETCH = 128
 #: Shingles of the sample that gives their order.
 SAMPLE = 4_000_000
 #: Ids that may be broadcast: 16 bytes each. Beyond it the join is a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Parts in which the rows of a group meet its first one.
+ROOT_PARTS = 8
 #: Pairs in an Arrow batch that leaves a task.
 PAIRS = 1 << 16
 
@@ -343,20 +339,44 @@ def _keyed(docs: DataFrame, ident: str, text: str) -> DataFrame:
     return docs.select(F.col(ident).cast("long").alias("doc_id"), F.xxhash64(F.col(ident), F.col(text)).alias("k1"), F.col(text).alias("text"))
 
 
+def tally(hashes: np.ndarray) -> bytes:
+    """How many shingles of a set fall in each of equal ranges of the hash, about four in one:
+    a byte each, and none at all if some count does not fit."""
+    width = min(16, max(5, (len(hashes) // 4).bit_length()))
+    counts = np.bincount((hashes >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def may_reach(least: float, a: bytes, b: bytes, n: int, m: int) -> bool:
+    """Whether two sets of n and m shingles with these tallies can be as similar: they share in
+    each range no more than the lesser count. Never false where they are."""
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):  # the finer one is added up to the coarser
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x.reshape(len(y), -1).sum(axis=1, dtype=np.int64)
+    common = int(np.minimum(x, y).sum(dtype=np.int64))
+    return common >= least * (n + m - common) - 1e-9
+
+
 def profiles(docs: DataFrame, size: int, ident: str, text: str) -> DataFrame:
-    """(doc_id, k1, node, id, n) of every row: the digest of its shingles, the first half of
-    it, and how many they are."""
+    """(doc_id, k1, node, id, n, tally) of every row: the digest of its shingles, the first half
+    of it, how many they are, and their tally."""
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t, size) for t in texts_of(batch.column(2))]
             nodes = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(nodes, pa.binary()), pa.array([_ident(d) for d in nodes], pa.int64()), pa.array([len(s) for s in sets], pa.int32())],
-                ["doc_id", "k1", "node", "id", "n"],
+                [
+                    *batch.columns[:2], pa.array(nodes, pa.binary()), pa.array([_ident(d) for d in nodes], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int32()), pa.array([tally(s) for s in sets], pa.binary()),
+                ],
+                ["doc_id", "k1", "node", "id", "n", "tally"],
             )
 
-    return _keyed(docs, ident, text).mapInArrow(run, "doc_id long, k1 long, node binary, id long, n int")
+    return _keyed(docs, ident, text).mapInArrow(run, "doc_id long, k1 long, node binary, id long, n int, tally binary")
 
 
 def frequencies(texts: DataFrame, size: int, share: float) -> tuple[np.ndarray, np.ndarray]:
@@ -510,19 +530,50 @@ def _sets(keyed: DataFrame, size: int) -> DataFrame:
     return keyed.select("text").mapInArrow(run, "id long, node binary, hashes binary")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, x, y): the pairs of ids whose whole sets are as similar, with their digests."""
+def _possible(pairs: DataFrame, tallies: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of ids whose tallies allow the similarity. Most that only share a
+    passage go here, before any set is made."""
 
     def run(batches):
         for batch in batches:
-            keep = [similarity(_numbers(x), _numbers(y)) >= least for x, y in zip(texts_of(batch.column(4)), texts_of(batch.column(5)))]
-            yield batch.select(["a", "b", "x", "y"]).filter(pa.array(keep, pa.bool_()))
+            rows = zip(texts_of(batch.column(2)), texts_of(batch.column(3)), batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            yield batch.select(["a", "b"]).filter(pa.array([may_reach(least, *row) for row in rows], pa.bool_()))
 
     both = (
-        pairs.join(sets.withColumnsRenamed({"id": "a", "node": "x", "hashes": "p"}), "a")
-        .join(sets.withColumnsRenamed({"id": "b", "node": "y", "hashes": "q"}), "b").select("a", "b", "x", "y", "p", "q")
+        pairs.join(tallies.withColumnsRenamed({"id": "a", "tally": "s", "n": "m"}), "a")
+        .join(tallies.withColumnsRenamed({"id": "b", "tally": "t", "n": "k"}), "b").select("a", "b", "s", "t", "m", "k")
     )
-    return both.mapInArrow(run, "a long, b long, x binary, y binary")
+    return both.mapInArrow(run, "a long, b long")
+
+
+#: Partners of a set that meet it in one group.
+PARTNERS = 256
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, x, y): the pairs of ids whose whole sets are as similar, with their digests.
+
+    The set of b travels once for every group of its partners, and is held while theirs pass."""
+
+    def run(batches):
+        key, held, digest = None, None, None
+        for batch in batches:
+            out = ([], [], [], [])
+            for b, part, a, node, hashes in zip(*[batch.column(c).to_pylist() for c in ("b", "part", "a", "node", "hashes")]):
+                if a is None:
+                    key, held, digest = (b, part), _numbers(hashes), node
+                elif key == (b, part) and similarity(_numbers(hashes), held) >= least:
+                    for column, value in zip(out, (a, b, node, digest)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["a", "b", "x", "y"])
+
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    dealt = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    theirs = dealt.join(sets.withColumnRenamed("id", "a"), "a").select("b", "part", "a", "node", "hashes")
+    own = many.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    own = own.join(sets.withColumnRenamed("id", "b"), "b").select("b", "part", F.lit(None).cast("long").alias("a"), "node", "hashes")
+    together = own.unionByName(theirs).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return together.mapInArrow(run, "a long, b long, x binary, y binary")
 
 
 def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -538,18 +589,26 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, ident: st
     firsts = keyed.select("text").mapInArrow(_prefixes(sent, size, least), "h long, id long, n int, pos int")
     met = firsts.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_holders(least), "h long, id long, n int, pos int, centre long")
     met = materialize(met, "met")
-    ids = met.select("id").distinct()
-    wanted = materialize(found.join(ids, "id").groupBy("node").agg(F.min("k1").alias("k1")).select("k1").distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
-    sets = _sets(keyed.join(wanted, "k1", "left_semi"), size).groupBy("node").agg(F.first("id").alias("id"), F.first("hashes").alias("hashes"))
-    sets = materialize(sets, "sets")
+    tallies = found.join(met.select("id").distinct(), "id").groupBy("id").agg(F.first("n").alias("n"), F.first("tally").alias("tally"))
+    tallies = materialize(tallies, "tallies")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        # Sets are made of the texts that still have a partner, and of one text for each set.
+        with Scratch(docs.sparkSession) as scratch:
+            possible = materialize(_possible(pairs, tallies, least), "possible")
+            ids = possible.select(F.col("a").alias("id")).unionByName(possible.select(F.col("b").alias("id"))).distinct()
+            wanted = materialize(found.join(ids, "id").groupBy("node").agg(F.min("k1").alias("k1")).select("k1").distinct(), "wanted")
+            wanted = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
+            sets = _sets(keyed.join(wanted, "k1", "left_semi"), size).dropDuplicates(["node"])
+            return scratch.keep(materialize(_similar(possible, materialize(sets, "sets"), least), "similar"))
+
     # One comparison for each text, with the centre that it meets most often.
     one = met.filter("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("centre", F.struct("n", "centre")).alias("b"))
-    some = materialize(_similar(one.select(F.col("id").alias("a"), "b"), sets, least), "similar")
+    some = compared(one.select(F.col("id").alias("a"), "b"))
     roots = components(some.select("a", "b")).withColumnRenamed("node", "id")
     rooted = met.drop("centre").join(roots, "id", "left").select("h", F.coalesce("root", "id").alias("root"), "id", "n", "pos")
     pairs = rooted.repartition("h").sortWithinPartitions("h", "root", "id").mapInArrow(_meetings(least), "a long, b long").distinct()
-    rest = materialize(_similar(pairs, sets, least), "similar")
+    rest = compared(pairs)
     same = components(some.unionByName(rest).select(F.col("x").alias("a"), F.col("y").alias("b")))
     return found.select("doc_id", "k1", "node").join(same, "node", "left").select("doc_id", "k1", F.coalesce("root", "node").alias("root"))
 
@@ -557,9 +616,12 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, ident: st
 def drop_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, ident: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """The rows of docs, of each group of near-duplicates only one: that of the smallest id,
     a missing id being larger than any."""
-    groups = materialize(similar_groups(docs, size, least, ident, text, broadcast_ids=broadcast_ids), "groups")
+    with Scratch(docs.sparkSession) as scratch:
+        groups = scratch.keep(materialize(similar_groups(docs, size, least, ident, text, broadcast_ids=broadcast_ids), "groups"))
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1")).alias("first"), F.count("*").alias("n"))
-    shared = groups.join(first.filter("n > 1"), "root")
+    # A group of copies may hold most rows: its first one meets them in parts.
+    firsts = first.filter("n > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ROOT_PARTS - 1))))
+    shared = groups.withColumn("part", F.pmod(F.xxhash64("doc_id", "k1"), F.lit(ROOT_PARTS)).cast("int")).join(firsts, ["root", "part"])
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("k1") == F.col("first.k1"))
     # Rows that go, and rows that stay but occur more than once.
     listed = shared.groupBy(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("no_id"), "k1").agg(

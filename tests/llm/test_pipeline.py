@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -62,12 +63,31 @@ def test_near_dedup(spark, corpus):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_similarity_is_exact_for_short_texts(corpus):
+def test_similarity_is_exact(corpus):
     rows = corpus[0]
     for a, b in ((0, 1), (3, 123), (5, 125), (8, 128), (9, 129)):
         x, y = rows[a][1], rows[b][1]
         got = simhash.similarity(*[simhash._numbers(simhash.profile(t.encode(), 5)[1]) for t in (x, y)])
-        assert got == pytest.approx(jaccard(x, y), abs=1e-9 if max(len(grams(x)), len(grams(y))) <= simhash.SKETCH else 0.12)
+        assert got == pytest.approx(jaccard(x, y), abs=1e-9)
+
+
+def test_tallies_never_part_similar_sets_and_part_most_others():
+    rng = np.random.default_rng(1)
+    parted = 0
+    for n in (1, 2, 9, 60, 127, 128, 129, 500, 2100, 9000):
+        for _ in range(20):
+            pool = np.unique(rng.integers(0, 2**64, 2 * n + 3, dtype=np.uint64))
+            rng.shuffle(pool)
+            for share in (0.0, 0.3, 0.6, 0.8, 0.9, 1.0):
+                common = int(round(share * 2 * n / (1 + share)))
+                x, y = np.sort(pool[:n]), np.sort(np.r_[pool[:common], pool[n : 2 * n - common]])
+                real = simhash.similarity(x, y)
+                may = simhash.may_reach(0.8, simhash.tally(x), simhash.tally(y), len(x), len(y))
+                assert may or real < 0.8
+                parted += share <= 0.3 and n >= 60 and not may
+    assert parted >= 0.9 * 2 * 20 * 7
+    crowded = np.arange(2000, dtype=np.uint64)  # all in one range: no tally, so never parted
+    assert simhash.tally(crowded) == b"" and simhash.may_reach(0.8, b"", simhash.tally(pool), 2000, 9)
 
 
 def roots_of(spark, texts, **how):
