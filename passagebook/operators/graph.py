@@ -6,6 +6,8 @@ relations with a confidence.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,27 +125,58 @@ def graph_filter(
     return sure, kept
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Edges in both directions, those of a node spread over salts, so that a hub is not one
+    task; checkpointed in the shared folder."""
+    shared_folder(edges.sparkSession)
+    both = edges.select("src", "dst").unionAll(edges.select(F.col("dst"), F.col("src")))
+    return both.withColumn("_salt", F.pmod(F.xxhash64("dst"), F.lit(_SALTS)).cast("int")).checkpoint()
+
+
+def _salted(front: DataFrame) -> DataFrame:
+    return front.withColumnRenamed("node", "src").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+
+
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     """Nodes within `hops` steps of any seed, with the least number of steps.
 
-    Edges are taken in both directions. Edges of a node are spread over salts, so a hub is
-    not one task; the nodes of each step are distinct. Every step is checkpointed in the
-    shared folder, so a lost executor repeats one step only.
+    Edges are taken in both directions, so a neighbour of a node at some distance is at most
+    one step nearer: each step joins the last frontier with its edges and leaves out what the
+    last two frontiers hold. Earlier ones are not read again. Every frontier is checkpointed
+    in the shared folder, so a lost executor repeats one step only.
     """
-    shared_folder(edges.sparkSession)
-    both = edges.select("src", "dst").unionAll(edges.select(F.col("dst"), F.col("src")))
-    salted = both.withColumn("_salt", F.pmod(F.xxhash64("dst"), F.lit(_SALTS)).cast("int")).checkpoint()
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
-    reached = seeds.select(F.col("node")).distinct().withColumn("hop", F.lit(0))
+    both = _both_ways(edges)
+    front = seeds.select("node").distinct().checkpoint()
+    before, reached = None, front.withColumn("hop", F.lit(0))
     for step in range(1, hops + 1):
-        front = reached.filter(F.col("hop") == step - 1).select(
-            F.col("node").alias("src"), salts.alias("_salt")
-        )
-        found = salted.join(front, ["src", "_salt"]).select(F.col("dst").alias("node")).distinct()
-        reached = (
-            reached.unionByName(found.withColumn("hop", F.lit(step)))
-            .groupBy("node")
-            .agg(F.min("hop").alias("hop"))
-            .checkpoint()
-        )
+        found = both.join(_salted(front), ["src", "_salt"]).select(F.col("dst").alias("node")).distinct()
+        known = front if before is None else front.unionAll(before)
+        before, front = front, found.join(known, "node", "left_anti").checkpoint()
+        reached = reached.unionByName(front.withColumn("hop", F.lit(step)))
     return reached
+
+
+def k_hop_many(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
+    """(seed, node, hop): the nodes within `hops` steps of each seed by itself, with the least
+    number of steps.
+
+    Seeds go in blocks of 64, one bit each: a node carries, for a block, the bits of the
+    seeds that have reached it, and one pass over the edges takes all of them a step on. A
+    frontier holds only the bits that are new; as with k_hop the last two tell them.
+    """
+    both = _both_ways(edges)
+    numbered = seeds.select(F.col("node").alias("seed")).distinct().withColumn("_n", F.monotonically_increasing_id()).checkpoint()
+    numbered = numbered.withColumn("_block", F.floor(F.col("_n") / 64)).withColumn("_bit", (F.col("_n") % 64).cast("int"))
+    key = ["node", "_block"]
+    front = numbered.select(F.col("seed").alias("node"), "_block", F.expr("shiftleft(1L, _bit)").alias("_bits")).checkpoint()
+    before, steps = None, [front.withColumn("hop", F.lit(0))]
+    for step in range(1, hops + 1):
+        found = both.join(_salted(front), ["src", "_salt"]).groupBy(F.col("dst").alias("node"), "_block").agg(F.bit_or("_bits").alias("_bits"))
+        known = front if before is None else front.unionByName(before)
+        known = known.groupBy(*key).agg(F.bit_or("_bits").alias("_known"))
+        new = found.join(known, key, "left").withColumn("_bits", F.expr("_bits & ~coalesce(_known, 0L)")).filter("_bits <> 0")
+        before, front = front, new.select(*key, "_bits").checkpoint()
+        steps.append(front.withColumn("hop", F.lit(step)))
+    whole = reduce(DataFrame.unionByName, steps)
+    each = whole.withColumn("_bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("_bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)))
+    return each.join(numbered.select("seed", "_block", "_bit"), ["_block", "_bit"]).select("seed", "node", "hop")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from passagebook.functions.text import document_id, metadata_json, overlay, pars
 from passagebook.operators.chunking import chunk
 from passagebook.schemas import DOCUMENT_CHUNKS, conform
 from passagebook.settings import Settings
+from passagebook.sources.tables import Counted
 
 
 def new_documents(
@@ -62,14 +65,18 @@ def ingest(
     return conform(chunks.withColumn("created_at", created_at), DOCUMENT_CHUNKS)
 
 
-def ingest_stats(new_docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: status, documents processed, chunks created."""
-    marks = new_docs.select(F.lit(1).alias("d"), F.lit(0).alias("c")).unionAll(
-        chunks.select(F.lit(0).alias("d"), F.lit(1).alias("c"))
-    )
-    counts = marks.agg(
-        F.coalesce(F.sum("d"), F.lit(0)).cast("bigint").alias("documents_processed"),
-        F.coalesce(F.sum("c"), F.lit(0)).cast("bigint").alias("chunks_created"),
-    )
-    status = F.when(F.col("documents_processed") == 0, "no_new_data").otherwise("success")
-    return counts.select(status.alias("status"), "documents_processed", "chunks_created")
+def ingest_counted(
+    new_docs: DataFrame,
+    created_at: Column,
+    write: Callable[[DataFrame], None],
+    settings: Settings | None = None,
+    doc_type: str = "transcription",
+) -> dict:
+    """Ingest and hand the chunk rows to `write`, which writes them once; status, documents
+    processed and chunks created are counted as they pass."""
+    seen, made = Counted(n=F.count(F.lit(1))), Counted(n=F.count(F.lit(1)))
+    write(made.of(ingest(seen.of(new_docs), created_at, settings, doc_type)))
+    documents = seen.get()["n"]
+    return {
+        "status": "success" if documents else "no_new_data", "documents_processed": documents, "chunks_created": made.get()["n"],
+    }

@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagebook.schemas import TASK_LOGS
+from passagebook.schemas import TASK_LOGS, conform
 
 # Log lines kept with a run record.
 LOG_LINES = 100
@@ -42,6 +42,16 @@ def run_record(
     return spark.createDataFrame([row], TASK_LOGS.struct())
 
 
+def run_records(runs: DataFrame) -> DataFrame:
+    """Rows for the task log, in its declared schema, from rows with at least task_name,
+    run_timestamp, duration_seconds, status and records_processed; what else a record holds
+    is taken where it is given, and has no failures, metrics, message or lines otherwise."""
+    given = {
+        "records_failed": F.lit(0).cast("long"), "metrics": F.lit("{}"), "error_message": F.lit(None).cast("string"), "logs": F.lit("[]"),
+    }
+    return conform(runs.withColumns({n: c for n, c in given.items() if n not in runs.columns}), TASK_LOGS)
+
+
 def recent_runs(logs: DataFrame, reference: Column, days: int = 7) -> DataFrame:
     """Runs after `reference` minus `days`, newest first."""
     since = reference - F.expr(f"INTERVAL {int(days)} DAYS")

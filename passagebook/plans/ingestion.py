@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagebook.functions.text import document_id, parse_metadata, strip
-from passagebook.operators import chunking, ingest, upsert
+from passagebook.operators import chunking, ingest, ledger, upsert
 from passagebook.plans import inputs
 from passagebook.schemas import DOCUMENT_CHUNKS, TASK_LOGS, TRANSCRIPTIONS, TableSchema, conform
 from passagebook.sources import files, tables
@@ -91,12 +91,29 @@ def compact_zorder(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    return files.inventory_by_format(files.file_inventory(spark, sf, ("parquet",)))
+    """Texts landed as files in a folder for each source, listed without reading them, beside
+    what the table says they hold: a line feed ends each text."""
+    docs = inputs.table(spark, sf, "documents").select("source", F.coalesce("text", F.lit("")).alias("text"))
+    folder = scratch_path(spark, "landing")
+    docs.repartition(4, "source").write.partitionBy("source").text(folder)
+    listed = files.file_inventory(spark, folder, ("txt",)).withColumn("source", F.regexp_extract("path", "/source=([^/]+)/", 1))
+    found = listed.groupBy("source").agg(F.sum("size_bytes").alias("n_bytes"), F.max("modified_at").isNotNull().alias("has_time"))
+    held = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"))
+    return held.join(found, "source", "left").select("source", "n_documents", "n_bytes", "has_time")
 
 
 def incremental_anti_join(spark: SparkSession, sf: str) -> DataFrame:
-    ledger = inputs.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("document_id"))
-    return ingest.new_documents(inputs.transcriptions(spark, sf), ledger).select("transcription_id", "audio_file_path")
+    done = inputs.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("document_id"))
+    return ingest.new_documents(inputs.transcriptions(spark, sf), done).select("transcription_id", "audio_file_path")
+
+
+def ledger_anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a ledger of four runs, of which only those are read that may hold an id."""
+    path = scratch_path(spark, "ledger")
+    done = inputs.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("document_id"), (F.col("doc_id") % 4).alias("run"))
+    for run in range(4):
+        ledger.add(done.filter(F.col("run") == run), path, f"run-{run}")
+    return ledger.unseen(inputs.transcriptions(spark, sf), path).select("transcription_id", "audio_file_path")
 
 
 def _chunks(spark: SparkSession, sf: str, strategy: str) -> DataFrame:
@@ -194,16 +211,19 @@ def chunk_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
-    ledger = inputs.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("document_id"))
-    fresh = ingest.new_documents(inputs.transcriptions(spark, sf), ledger)
-    return ingest.ingest_stats(fresh, ingest.ingest(fresh, inputs.created_at(), inputs.FIXED))
+    """Documents and chunks of a run, counted while the chunks are written."""
+    done = inputs.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("document_id"))
+    fresh = ingest.new_documents(inputs.transcriptions(spark, sf), done)
+    target = scratch_path(spark, "chunks")
+    stats = ingest.ingest_counted(fresh, inputs.created_at(), lambda chunks: chunks.write.parquet(target), inputs.FIXED)
+    return spark.createDataFrame([tuple(stats.values())], "status string, documents_processed long, chunks_created long")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         scan_transcriptions, append_chunks, typed_table, schema_conform, upsert_all, upsert_columns,
-        table_row_counts, table_stats, compact_zorder, file_inventory, incremental_anti_join,
+        table_row_counts, table_stats, compact_zorder, file_inventory, incremental_anti_join, ledger_anti_join,
         chunk_fixed, chunk_sentence, chunk_hard, chunk_recursive, chunk_recursive_rows, chunk_ids,
         document_ids, chunk_metadata, chunk_offsets, ingest_stats,
     )
@@ -315,6 +335,12 @@ FROM orders FULL JOIN newest ON o_orderkey = l_orderkey""",
     "compact_zorder": "SELECT * FROM lineitem",
     "incremental_anti_join": f"""
 SELECT transcription_id, audio_file_path FROM ({inputs.TRANSCRIPTIONS_SQL})
+WHERE transcription_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""",
+    "file_inventory": """
+SELECT source, count(*) AS n_documents, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS n_bytes, true AS has_time
+FROM documents GROUP BY source""",
+    "ledger_anti_join": f"""
+SELECT transcription_id, audio_file_path FROM ({inputs.TRANSCRIPTIONS_SQL})
 WHERE transcription_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)""",
     "chunk_fixed": f"WITH {inputs.CHUNKS_SQL} SELECT {_CHUNK_COLUMNS} FROM chunks",
     "chunk_sentence": f"WITH RECURSIVE {_SENTENCE_SQL} SELECT * FROM sentence_chunks",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagebook.functions.models import Embedder, Generator
-from passagebook.operators.answers import answer_stats, batch_answers
+from passagebook.operators.answers import answers_counted, batch_answers
 from passagebook.operators.embedding import dimension_rejects, embed_chunks, merge_embeddings, pending
 from passagebook.operators.indexing import (
     SYNC_COLUMNS,
@@ -19,12 +19,12 @@ from passagebook.operators.indexing import (
     index_status,
     source_stats,
 )
-from passagebook.operators.ingest import ingest, ingest_stats, new_documents
+from passagebook.operators.ingest import ingest_counted, new_documents
 from passagebook.operators.metrics import run_record
 from passagebook.schemas import CHUNK_EMBEDDINGS, DOCUMENT_CHUNKS, RAG_RESPONSES, TASK_LOGS, conform
 from passagebook.settings import Settings
 from passagebook.sources.session import materialize
-from passagebook.sources.tables import append, read_table, replace, table_exists
+from passagebook.sources.tables import Counted, append, read_table, replace, table_exists
 
 
 class Tables:
@@ -54,23 +54,20 @@ def ingest_job(spark: SparkSession, tables: Tables, settings: Settings, now: dat
     ledger = read_table(spark, tables.ledger)
     fresh = source if ledger is None else new_documents(source, ledger)
     # The ids of this run are fixed first: chunks, counts and ledger speak of the same rows.
-    ids = materialize(fresh.select("transcription_id").distinct(), "new-documents")
+    counted = Counted(n=F.count(F.lit(1)))
+    ids = materialize(counted.of(fresh.select("transcription_id").distinct()), "new-documents")
+    documents = counted.get()["n"]
+    if not documents:
+        return {"status": "no_new_data", "documents_processed": 0, "chunks_created": 0}
     fresh = source.join(ids, "transcription_id", "left_semi")
-    chunks = materialize(ingest(fresh, F.lit(now), settings), "new-chunks")
-    stats = ingest_stats(ids, chunks).first().asDict()
-    if stats["documents_processed"]:
-        # A run that stopped between the two appends left chunks without a ledger entry.
-        written = read_table(spark, tables.chunks)
-        if written is not None:
-            seen = written.select(F.col("document_id").alias("transcription_id")).join(
-                ids, "transcription_id", "left_semi"
-            )
-            chunks = chunks.join(
-                seen.distinct(), F.col("document_id") == F.col("transcription_id"), "left_anti"
-            )
-        append(chunks, tables.chunks, DOCUMENT_CHUNKS)
-        _append_plain(ids.select(F.col("transcription_id").alias("document_id")), tables.ledger)
-    return stats
+    # A run that stopped between the two appends left chunks without a ledger entry.
+    written = read_table(spark, tables.chunks)
+    if written is not None:
+        seen = written.select(F.col("document_id").alias("transcription_id")).join(ids, "transcription_id", "left_semi")
+        fresh = fresh.join(materialize(seen.distinct(), "written-documents"), "transcription_id", "left_anti")
+    stats = ingest_counted(fresh, F.lit(now), lambda chunks: append(chunks, tables.chunks, DOCUMENT_CHUNKS), settings)
+    _append_plain(ids.select(F.col("transcription_id").alias("document_id")), tables.ledger)
+    return {**stats, "status": "success", "documents_processed": documents}
 
 
 def embed_job(spark: SparkSession, tables: Tables, settings: Settings, embedder: Embedder, now: datetime) -> dict:
@@ -89,19 +86,12 @@ def embed_job(spark: SparkSession, tables: Tables, settings: Settings, embedder:
         todo, embedder, F.lit(now), settings.batch_size,
         max_retries=settings.max_retries, retry_delay=settings.retry_delay,
     )
-    rows = materialize(rows, "new-vectors")
-    counts = rows.agg(
-        F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad")
-    ).first()
-    if counts.ok + counts.bad == 0:
+    counted = Counted(ok=F.count_if(F.col("error").isNull()), bad=F.count_if(F.col("error").isNotNull()))
+    append(counted.of(rows), tables.vectors, CHUNK_EMBEDDINGS)
+    counts = counted.get()
+    if not any(counts.values()):
         return {"status": "no_new_chunks", "chunks_embedded": 0, "chunks_failed": 0}
-    append(rows, tables.vectors, CHUNK_EMBEDDINGS)
-    return {
-        "status": "success",
-        "chunks_embedded": counts.ok,
-        "chunks_failed": counts.bad,
-        "model": embedder.name,
-    }
+    return {"status": "success", "chunks_embedded": counts["ok"], "chunks_failed": counts["bad"], "model": embedder.name}
 
 
 def embedded_chunks(spark: SparkSession, tables: Tables) -> DataFrame:
@@ -121,13 +111,11 @@ def _set_aside(source: DataFrame, tables: Tables, dim: int | None) -> dict:
     """Write the rows whose vector has another length than `dim` to the table of rejects."""
     if dim is None:
         return {}
-    rejects = materialize(dimension_rejects(source, dim), "rejects")
-    spark = source.sparkSession
-    if table_exists(spark, tables.rejects):
-        replace(rejects, tables.rejects)
-    else:
-        _append_plain(rejects, tables.rejects)
-    return rejects.agg(F.count(F.lit(1)).alias("rejected")).first().asDict()
+    counted = Counted(rejected=F.count(F.lit(1)))
+    rejects = counted.of(dimension_rejects(source, dim))
+    # The rejects are read from other tables than the one they replace.
+    rejects.write.mode("overwrite").format("parquet").saveAsTable(tables.rejects)
+    return counted.get()
 
 
 def index_job(spark: SparkSession, tables: Tables, added_only: bool = False, dim: int | None = None) -> dict:
@@ -149,20 +137,23 @@ def index_job(spark: SparkSession, tables: Tables, added_only: bool = False, dim
             spark.table(tables.chunks).join(ids, "chunk_id", "left_semi"),
             vectors.join(ids, "chunk_id", "left_semi"),
         )
-        rows = materialize(_index_rows(fresh, dim), "index-rows")
-        _append_plain(rows.select(*old.columns), tables.index)
-        counts = rows.agg(F.count(F.lit(1)).alias("added")).first().asDict()
-        return {"status": "success", **counts, **_set_aside(fresh, tables, dim)}
+        counted = Counted(added=F.count(F.lit(1)))
+        _append_plain(counted.of(_index_rows(fresh, dim).select(*old.columns)), tables.index)
+        return {"status": "success", **counted.get(), **_set_aside(fresh, tables, dim)}
     source = embedded_chunks(spark, tables)
     stats = source_stats(source).first().asDict()
     if stats["status"] != "success":
         return stats
-    rows = materialize(_index_rows(source, dim), "index-rows")
+    rows = _index_rows(source, dim)
     if old is None:
-        _append_plain(rows, tables.index)
+        # All there is was just written: nothing is missing, stale or left over.
+        counted = Counted(covered=F.count(F.lit(1)))
+        _append_plain(counted.of(rows), tables.index)
+        status = {**counted.get(), "missing": 0, "stale": 0, "orphaned": 0, "ready": True}
     else:
+        rows = materialize(rows, "index-rows")
         replace(apply_sync(old, rows), tables.index)
-    status = index_status(spark.table(tables.index), rows).first().asDict()
+        status = index_status(spark.table(tables.index), rows).first().asDict()
     return {**stats, **status, **_set_aside(source, tables, dim)}
 
 
@@ -183,9 +174,9 @@ def answer_job(
     earlier = read_table(spark, tables.responses)
     if earlier is not None:  # a run that is repeated answers nothing twice
         responses = responses.join(earlier.select("response_id"), "response_id", "left_anti").select(*responses.columns)
-    responses = materialize(responses, "responses")
-    append(responses, tables.responses, RAG_RESPONSES)
-    return {"status": "success", **answer_stats(responses).first().asDict()}
+    counted = answers_counted()
+    append(counted.of(responses), tables.responses, RAG_RESPONSES)
+    return {"status": "success", **counted.get()}
 
 
 def logged(

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagebook.operators import embedding, graph, indexing, ingest, metrics, validation
-from passagebook.plans import inputs
+from passagebook.operators import graph, metrics, sketches, validation
+from passagebook.plans import inputs, jobs
 from passagebook.schemas import TASK_LOGS
 from passagebook.settings import Settings
-from passagebook.sources.session import materialize, scratch_path
+from passagebook.sources.session import scratch_path
 from passagebook.streaming import ingest as stream
 
 # Vectors must have 64 values and a length of exactly one or more.
@@ -70,17 +71,38 @@ def rag_data_report(spark: SparkSession, sf: str) -> DataFrame:
     return validation.rag_data_report(inputs.document_table(spark, sf), STRICT)
 
 
+def report_by_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles of two appended parts, labelled documents and the rest, merged to one report;
+    whether distinct ids and the median length are within their bounds of the exact ones."""
+    docs, labels = inputs.table(spark, sf, "documents"), inputs.table(spark, sf, "labels")
+    target = scratch_path(spark, "profiles")
+    length = F.length("text")
+    for part, how in (("labelled", "left_semi"), ("rest", "left_anti")):
+        rows = docs.join(labels, "doc_id", how)
+        counts = {"n_short": length < 10, "n_chars": length}
+        sketches.profile(rows, part, counts, ["doc_id"], {"length": length}).write.mode("append").parquet(target)
+    kept = sketches.report(spark.read.parquet(target), (0.5,))
+    exact = docs.agg(F.count_distinct("doc_id").alias("ids"), F.percentile(length, F.array(F.lit(0.45), F.lit(0.55))).alias("around"))
+    return kept.withColumn("one", F.lit(1)).join(exact.withColumn("one", F.lit(1)), "one").select(
+        "n_rows", "n_short", "n_chars", (F.abs(F.col("n_doc_id") / F.col("ids") - 1) <= 0.06).alias("distinct_ok"),
+        F.col("length_p50").between(F.col("around")[0] - 1, F.col("around")[1] + 1).alias("median_ok"),
+    )
+
+
 # ---- task metrics --------------------------------------------------------------------
 
 
 def task_log_append(spark: SparkSession, sf: str) -> DataFrame:
-    """One run record per table scan of the job, appended and read back."""
+    """A run record for each of three scans, counted and appended in one job, and read back."""
     target = scratch_path(spark, "task-logs")
-    began = datetime(2024, 1, 31)
-    for i, name in enumerate(("documents", "conversations", "pages")):
-        n = inputs.table(spark, sf, name).count()
-        record = metrics.run_record(spark, f"scan-{name}", began + timedelta(minutes=i), 1.0, "success", n)
-        record.write.mode("append").parquet(target)
+    scans = [
+        inputs.table(spark, sf, name).agg(F.count(F.lit(1)).alias("records_processed")).select(
+            F.lit(f"scan-{name}").alias("task_name"), F.lit(f"2024-01-31 00:0{i}:00").cast("timestamp").alias("run_timestamp"),
+            F.lit(1.0).alias("duration_seconds"), F.lit("success").alias("status"), "records_processed",
+        )
+        for i, name in enumerate(("documents", "conversations", "pages"))
+    ]
+    metrics.run_records(reduce(DataFrame.unionByName, scans)).write.mode("append").parquet(target)
     return spark.read.schema(TASK_LOGS.struct()).parquet(target).select(
         "task_name", "status", "records_processed", "error_message", "logs"
     )
@@ -100,12 +122,14 @@ def task_metric_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def full_batch_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Ingest, embed and index in order, each stage written once; the index by document."""
-    chunks = materialize(ingest.ingest(inputs.transcriptions(spark, sf), inputs.created_at(), inputs.FIXED), "chunks")
-    vectors = materialize(embedding.embed_chunks(chunks, inputs.embedder(), inputs.created_at()), "vectors")
-    merged = embedding.merge_embeddings(chunks, vectors)
-    index = materialize(indexing.build_index(merged), "index")
-    return index.groupBy("document_id").agg(
+    """The jobs in order, on tables of their own: ingest, embed and index; the index by document."""
+    name = "run_" + scratch_path(spark, "run").rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {name}")
+    tables = jobs.Tables(name)
+    tables.transcriptions = f"{name}_transcriptions"
+    inputs.transcriptions(spark, sf).createOrReplaceTempView(tables.transcriptions)
+    jobs.full_batch(spark, tables, inputs.FIXED, inputs.embedder(), datetime(2024, 1, 1))
+    return spark.table(tables.index).groupBy("document_id").agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.sum(F.length("content")).alias("n_chars"),
         F.min("chunk_id").alias("first_id"),
@@ -177,6 +201,14 @@ def k_hop(spark: SparkSession, sf: str) -> DataFrame:
     return graph.k_hop(inputs.trade_edges(spark, sf), seeds, 3)
 
 
+def k_hop_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Two steps from each supplier in debt by itself."""
+    seeds = inputs.table(spark, sf, "supplier").filter("s_acctbal < 0").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node")
+    )
+    return graph.k_hop_many(inputs.trade_edges(spark, sf), seeds, 2)
+
+
 def entity_mentions(spark: SparkSession, sf: str) -> DataFrame:
     rows = graph.entity_mentions(inputs.table(spark, sf, "pages"), "page_id", "html")
     return rows.groupBy("page_id", "entity_type", "entity").agg(F.count(F.lit(1)).alias("n_times"))
@@ -204,9 +236,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         validate_chunks, validate_embeddings, validate_transcriptions, chunk_quality_report,
-        embedding_coverage, issue_summary, issue_head, issue_errors, issue_warnings, rag_data_report,
+        embedding_coverage, issue_summary, issue_head, issue_errors, issue_warnings, rag_data_report, report_by_parts,
         task_log_append, recent_task_runs, task_metric_rollup, full_batch_run, stream_ingest, stream_index,
-        stream_dedupe, graph_stats, graph_filter, k_hop, entity_mentions, co_mentions, graph_tables,
+        stream_dedupe, graph_stats, graph_filter, k_hop, k_hop_many, entity_mentions, co_mentions, graph_tables,
     )
 }
 
@@ -317,6 +349,9 @@ SQL = {
     "rag_data_report": _COUNTED + """
 SELECT *, CAST(NULL AS BIGINT) AS embedded_records, CAST(NULL AS DOUBLE) AS coverage FROM chunk_report
 UNION ALL SELECT * FROM vector_report""",
+    "report_by_parts": """
+SELECT count(*) AS n_rows, count(*) FILTER (length(text) < 10) AS n_short, CAST(sum(length(text)) AS BIGINT) AS n_chars,
+       true AS distinct_ok, true AS median_ok FROM documents""",
     "task_log_append": " UNION ALL ".join(
         f"SELECT 'scan-{t}' AS task_name, 'success' AS status, count(*) AS records_processed, "
         f"CAST(NULL AS VARCHAR) AS error_message, '[]' AS logs FROM {t}"
@@ -361,6 +396,14 @@ steps AS (
   UNION
   SELECT dst, hop + 1 FROM steps JOIN both_ways ON src = node WHERE hop < 3)
 SELECT node, CAST(min(hop) AS INTEGER) AS hop FROM steps GROUP BY node""",
+    "k_hop_many": f"""
+WITH RECURSIVE {inputs.TRADE_SQL},
+both_ways AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges),
+steps AS (
+  SELECT 's' || s_suppkey AS seed, 's' || s_suppkey AS node, 0 AS hop FROM supplier WHERE s_acctbal < 0
+  UNION
+  SELECT seed, dst, hop + 1 FROM steps JOIN both_ways ON src = node WHERE hop < 2)
+SELECT seed, node, CAST(min(hop) AS INTEGER) AS hop FROM steps GROUP BY seed, node""",
     "entity_mentions": "SELECT page_id, entity_type, entity, count(*) AS n_times FROM ("
     + _MENTIONS.format(key="page_id", text="html", source="pages")
     + ") GROUP BY ALL",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,6 +107,27 @@ def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFram
     return df.sparkSession.table(name)
 
 
+class Counted:
+    """Counts taken of rows as they are written, so that nothing is read for them again.
+
+        counted = Counted(n=F.count(F.lit(1)))
+        counted.of(df).write.parquet(path)
+        counted.get()["n"]
+
+    A count of a plan that turned out empty before it ran is 0.
+    """
+
+    def __init__(self, **counts: Column):
+        self.counts, self.seen = counts, Observation(f"counted-{uuid.uuid4().hex[:8]}")
+
+    def of(self, df: DataFrame) -> DataFrame:
+        return df.observe(self.seen, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in self.counts.items()])
+
+    def get(self) -> dict[str, int]:
+        found = self.seen.get
+        return {n: int(found.get(n) or 0) for n in self.counts}
+
+
 def append(df: DataFrame, name: str, schema: TableSchema) -> None:
     """Append rows in the declared schema."""
     conform(df, schema).write.mode("append").format("parquet").partitionBy(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from passagebook.functions.text import SPACE
 from passagebook.operators import chunking
-from passagebook.operators.ingest import ingest, ingest_stats, new_documents, with_path_id
+from passagebook.operators.ingest import ingest, ingest_counted, new_documents, with_path_id
 from passagebook.settings import Settings
 
 TEXTS = st.text(alphabet="ab. !?\n\tcé😀", max_size=120)
@@ -162,7 +162,7 @@ def test_unknown_strategy(spark):
         chunking.chunk(docs, strategy="other")
 
 
-def test_ingest_rows(spark):
+def test_ingest_rows(spark, tmp_path):
     source = spark.createDataFrame(
         [("a", "x/a.wav", "One two. " * 200, '{"doc_type":"call"}'), ("b", "x/b.wav", "", None), ("c", "x/c.wav", "hi", "{oops")],
         "transcription_id string, audio_file_path string, text string, metadata string",
@@ -176,12 +176,15 @@ def test_ingest_rows(spark):
     assert by_doc["a"] == '{"doc_type":"call","source_path":"x/a.wav"}'
     assert by_doc["c"] == '{"doc_type":"transcription","source_path":"x/c.wav"}'
     assert len({r.chunk_id for r in rows}) == len(rows)
-    assert ingest_stats(source, out).first().asDict() == {
-        "status": "success", "documents_processed": 3, "chunks_created": len(rows),
-    }
+    kept = []
+    stats = ingest_counted(source, now, lambda df: kept.append(df.write.mode("overwrite").parquet(str(tmp_path / "chunks"))), Settings())
+    assert stats == {"status": "success", "documents_processed": 3, "chunks_created": len(rows)} and len(kept) == 1
+    assert spark.read.parquet(str(tmp_path / "chunks")).count() == len(rows)
     ledger = source.select(F.col("transcription_id").alias("document_id"))
     assert new_documents(source, ledger).isEmpty()
-    assert ingest_stats(source.limit(0), out.limit(0)).first().status == "no_new_data"
+    for none in (source.limit(0), source.filter("false")):
+        stats = ingest_counted(none, now, lambda df: df.write.mode("overwrite").parquet(str(tmp_path / "none")), Settings())
+        assert stats == {"status": "no_new_data", "documents_processed": 0, "chunks_created": 0}
 
 
 def test_blank_long_sentence_is_kept(spark):

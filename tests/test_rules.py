@@ -318,6 +318,7 @@ def test_scratch_goes_with_its_scope(spark):
 FETCHED = {
     "search": ["queries.limit(limit + 1)", 'asked.select("cell").distinct()'],  # limited and measured; one per centroid
     "quantised": ['pieces.groupBy("part").applyInPandas(train, "part int, code int, entry array<double>")', 'sample.select("embedding")'],  # codebooks; a bounded sample
+    "ledger": ["ids.select(*_hashes(key))", "possible_parts(wanted, path, key)"],  # two numbers an id, their number checked; one name a run
     "digests": ["differing(index, source)"],  # one number per bucket
     "balls": ['parts.groupBy("cell").agg(F.max("far").alias("far"), F.max("long").alias("long"))'],  # one row per centroid
 }
