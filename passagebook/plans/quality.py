@@ -15,8 +15,15 @@ from passagebook.settings import Settings
 from passagebook.sources.session import scratch_path
 from passagebook.streaming import ingest as stream
 
-# Vectors must have 64 values and a length of exactly one or more.
-STRICT = Settings(embedding_dimension=64, min_embedding_norm=1.0)
+# Vectors must have 64 values and a length well above one half.
+STRICT = Settings(embedding_dimension=64, min_embedding_norm=0.75)
+
+
+def _checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their vectors, of length one, but of length one half for each tenth id."""
+    half = F.transform("embedding", lambda x: (x * F.lit(0.5)).cast("float"))
+    short = F.col("chunk_id").cast("long") % 10 == 3
+    return inputs.document_table(spark, sf).withColumn("embedding", F.when(short, half).otherwise(F.col("embedding")))
 
 
 # ---- validation ----------------------------------------------------------------------
@@ -25,11 +32,11 @@ _ISSUE = ("row_id", "level", "field", "message")
 
 
 def validate_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.validate_chunks(inputs.document_table(spark, sf)).select(*_ISSUE, "value")
+    return validation.validate_chunks(_checked(spark, sf)).select(*_ISSUE, "value")
 
 
 def validate_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.validate_embeddings(inputs.document_table(spark, sf), STRICT).select(*_ISSUE)
+    return validation.validate_embeddings(_checked(spark, sf), STRICT).select(*_ISSUE)
 
 
 def validate_transcriptions(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,15 +46,15 @@ def validate_transcriptions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_quality_report(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.chunk_quality_report(inputs.document_table(spark, sf), STRICT)
+    return validation.chunk_quality_report(_checked(spark, sf), STRICT)
 
 
 def embedding_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.embedding_coverage(inputs.document_table(spark, sf), STRICT)
+    return validation.embedding_coverage(_checked(spark, sf), STRICT)
 
 
 def _all_issues(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inputs.document_table(spark, sf)
+    rows = _checked(spark, sf)
     return validation.validate_chunks(rows).unionByName(validation.validate_embeddings(rows, STRICT))
 
 
@@ -68,7 +75,7 @@ def issue_warnings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rag_data_report(spark: SparkSession, sf: str) -> DataFrame:
-    return validation.rag_data_report(inputs.document_table(spark, sf), STRICT)
+    return validation.rag_data_report(_checked(spark, sf), STRICT)
 
 
 def report_by_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,11 +250,14 @@ QUERIES = {
 }
 
 _ROWS = """
+halved AS (
+  SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN list_transform(embedding, lambda x: CAST(x * 0.5 AS FLOAT)) ELSE embedding END AS embedding
+  FROM embeddings),
 rows AS (
   SELECT CAST(doc_id AS VARCHAR) AS chunk_id, source AS document_id, text AS content, embedding,
          length(text) AS n, len(embedding) AS dims,
          sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS norm
-  FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"""
+  FROM documents LEFT JOIN halved ON doc_id = vec_id)"""
 
 
 def _rule(where: str, level: str, field: str, message: str, value: str = "CAST(NULL AS VARCHAR)", row: str = "chunk_id", source: str = "rows") -> str:
@@ -274,7 +284,7 @@ _VECTOR_ISSUES = "vector_issues AS (" + " UNION ALL ".join(
     [
         _rule("coalesce(dims, 0) = 0", "error", "embedding", "'Embedding is null or empty'"),
         _rule("dims > 0 AND dims <> 64", "error", "embedding", "'Wrong embedding dimension: ' || dims || ', expected 64'"),
-        _rule("dims > 0 AND NOT isnan(norm) AND norm < 1.0", "warning", "embedding", "'Embedding norm too small: ' || printf('%.4f', norm)"),
+        _rule("dims > 0 AND NOT isnan(norm) AND norm < 0.75", "warning", "embedding", "'Embedding norm too small: ' || printf('%.4f', norm)"),
         _rule("dims > 0 AND NOT isnan(norm) AND norm > 100.0", "warning", "embedding", "'Embedding norm too large: ' || printf('%.4f', norm)"),
         _rule(f"dims > 0 AND {_BAD}", "error", "embedding", "'Embedding contains NaN or Inf values'"),
     ]
