@@ -90,7 +90,9 @@ def report_by_parts(spark: SparkSession, sf: str) -> DataFrame:
         sketches.profile(rows, part, counts, ["doc_id"], {"length": length}).write.mode("append").parquet(target)
     kept = sketches.report(spark.read.parquet(target), (0.5,))
     exact = docs.agg(F.count_distinct("doc_id").alias("ids"), F.percentile(length, F.array(F.lit(0.45), F.lit(0.55))).alias("around"))
-    return kept.withColumn("one", F.lit(1)).join(exact.withColumn("one", F.lit(1)), "one").select(
+    both = kept.unionByName(exact, allowMissingColumns=True)
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return both.select(
         "n_rows", "n_short", "n_chars", (F.abs(F.col("n_doc_id") / F.col("ids") - 1) <= 0.06).alias("distinct_ok"),
         F.col("length_p50").between(F.col("around")[0] - 1, F.col("around")[1] + 1).alias("median_ok"),
     )

@@ -284,7 +284,8 @@ def knn_quantised(spark: SparkSession, sf: str) -> DataFrame:
         (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_ok"),
         F.count_if(F.col("hit") != F.col("score")).alias("n_other_scores"),
     )
-    return found.withColumn("one", F.lit(1)).join(share.withColumn("one", F.lit(1)), "one").drop("one")
+    both = found.unionByName(share, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def knn_balls(spark: SparkSession, sf: str) -> DataFrame:
