@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from passagebook.llm.common import texts_of
+from passagebook.llm.common import free_names, texts_of
 
 #: Words that are broadcast, and rows of the sample in which they are counted.
 FREQUENT = 500_000
@@ -285,7 +285,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, ident: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([rows, ids, _token_bytes(sent.value, ids)], ["row", "ids", "decoded"])
 
     out = joined.mapInArrow(finish, f"row {kind}, ids binary, decoded binary")
-    new = [F.col(c).alias(c + "_" * (c in others)) for c in ("ids", "decoded")]
+    new = [F.col(c).alias(n) for c, n in zip(("ids", "decoded"), free_names(others, "ids", "decoded"))]
     return out.select(*([F.col("row.*")] if others else []), *new)
 
 
@@ -293,7 +293,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFra
     """All columns, with decoded: the bytes of the ids in a column such as encode() makes.
     The table of token bytes is broadcast; it is as large as the vocabulary, never more."""
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    name = "decoded" + "_" * ("decoded" in rows.columns)
+    (name,) = free_names(rows.columns, "decoded")
     schema = StructType([*rows.schema.fields, StructField(name, BinaryType())])
     position = rows.columns.index(ids)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names of new columns, each with underscores behind it until no column has it,
+    in whatever case: Spark does not tell Score from score."""
+    used, out = {name.lower() for name in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lower_ascii(column: Column) -> Column:
     """A-Z lower-cased, all other characters unchanged. lower() does just that where a
     text is ASCII, and is much the faster of the two."""

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from passagebook.llm.common import mix, texts_of
+from passagebook.llm.common import free_names, mix, texts_of
 from passagebook.sources.session import materialize
 
 NEED, MISSES, SHORTEST = 13, 2, 5
@@ -155,7 +155,7 @@ def _blocks(benchmark: DataFrame, ident: str, text: str, block_words: int):
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """All rows and columns, with hits: the items each text leaks, by item."""
     spark = docs.sparkSession
-    name = "hits" + "_" * ("hits" in docs.columns)
+    (name,) = free_names(docs.columns, "hits")
     schema = StructType([*docs.schema.fields, StructField(name, HITS)])
     position = docs.columns.index(text)
     sent = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item_id, item_text, block_words)]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from passagebook.llm.common import texts_of
+from passagebook.llm.common import free_names, texts_of
 from passagebook.sources.session import materialize
 
 SAMPLE_ROWS = 20_000
@@ -203,7 +203,7 @@ class Scorer:
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
-    new = [c + "_" * (c in names) for c in ("lang_pred", "score")]
+    new = free_names(names, "lang_pred", "score")
     schema = StructType([*docs.schema.fields, StructField(new[0], StringType()), StructField(new[1], DoubleType())])
     position = names.index(text)
 

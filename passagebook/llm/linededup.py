@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagebook.llm.common import SPACE, lower_ascii, row_key
+from passagebook.llm.common import SPACE, free_names, lower_ascii, row_key
 from passagebook.sources.session import materialize
 
 #: Keys that may be broadcast: 16 bytes each. Beyond it the join is a shuffle.
@@ -109,6 +109,5 @@ def apply(docs: DataFrame, bitmaps: DataFrame, ident: str = "doc_id", text: str
     intact = joined.filter(F.col("keep").isNull()).select(
         "row", whole.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")
     )
-    fresh = [c for c in ("kept_text", "n_lines", "n_dropped") if c not in names]
-    clash = [F.col(c).alias(f"{c}_") for c in ("kept_text", "n_lines", "n_dropped") if c in names]
-    return lost.unionByName(intact).select("row.*", *fresh, *clash)
+    added = ("kept_text", "n_lines", "n_dropped")
+    return lost.unionByName(intact).select("row.*", *[F.col(c).alias(n) for c, n in zip(added, free_names(names, *added))])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from passagebook.llm.common import texts_of, whole_texts
+from passagebook.llm.common import free_names, texts_of, whole_texts
 
 SAMPLE_ROWS = 4_000
 #: Bytes learned from: where whole texts are longer, fewer rows are.
@@ -171,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", ident: str
 def score(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """All rows and columns, with score: the probability of label 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    name = "score" + "_" * ("score" in docs.columns)
+    (name,) = free_names(docs.columns, "score")
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     position = docs.columns.index(text)
 

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagebook.llm.common import mix, texts_of
+from passagebook.llm.common import free_names, mix, texts_of
 from passagebook.sources.session import materialize
 
 #: Cells in each row of the sketch, and its rows. One byte a cell: 64 MB.
@@ -308,5 +308,6 @@ def dedup(docs: DataFrame, size: int = 50, ident: str = "doc_id", text: str = "t
     packed = keyed.mapInArrow(_packed, f"row {kind}, doc long, k1 long, packed binary")
     joined = packed.join(starts, ["doc", "k1"], "left").select("row", "packed", "starts")
     out = joined.mapInArrow(_strip(size), f"row {kind}, kept_text string, n_words long, n_removed long")
-    new = [F.col(c).alias(c + "_" * (c in others)) for c in ("kept_text", "n_words", "n_removed")]
+    added = ("kept_text", "n_words", "n_removed")
+    new = [F.col(c).alias(n) for c, n in zip(added, free_names(others, *added))]
     return out.select(*([F.col("row.*")] if others else []), *new)
