@@ -6,10 +6,17 @@ count the old row with -1 and the new one with +1. A batch of changes is summed
 language and tokenizer version; totals are the sums over all committed batches, so nothing
 is ever counted anew.
 
-A batch has an id. Its sums are written to a folder of their own, and then a commit of one
-row. A batch without a commit does not count, and one that failed is simply written again;
-a batch whose id is committed changes nothing. compact() writes the sums of many batches as
-one whose commit names them, so none counts twice at any time.
+A batch has an id. Its sums are written to a folder of this attempt's own, and then a marker
+under the batch's name, which says whose sums count. A marker is made whole under another name
+and renamed, which fails where one is there: of two writers of a batch one wins, and the sums
+of the other are never read. A batch without a marker does not count.
+
+compact() folds batches into a generation: the sums of those it has listed, and of the
+generation before, with a table of their names. A generation's marker is exclusive as well,
+so of two compactions at once only one counts; a batch that is committed meanwhile is not
+among the names and counts beside the generation. Readers take the last generation they see
+and all batches it does not name. vacuum() removes what the last generation but one had
+folded already, which only a reader older than that could still need.
 
 Defined results: a null source, language or tokenizer is a group of its own; null tokens
 count as none, of a document all the same. Groups without documents and tokens have no row.
@@ -19,13 +26,20 @@ Repeated rows count each. Empty batches can be committed. Other columns are igno
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagebook.sources.session import materialize
+
 KEYS = ["source", "lang", "tokenizer"]
-_DELTA = "batch string, source string, lang string, tokenizer string, n_docs long, n_tokens long"
-_COMMIT = "batch string, folds array<string>"
+_SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+_DELTA = f"{_SUMS}, attempt string"
+_MARKER = "batch string, attempt string"
+_GENERATION = "generation long, attempt string"
 
 
 def signed(counts: DataFrame, sign: int) -> DataFrame:
@@ -54,23 +68,57 @@ class Rollup:
     @classmethod
     def create(cls, spark: SparkSession, folder: str) -> Rollup:
         own = cls(spark, folder)
-        # The empty batch: later reads always find a commit and a delta.
-        own._write("", spark.createDataFrame([], _DELTA), [])
+        for kind in ("commits", "generations", "deltas", "folds"):
+            fs, path = own._path(kind)
+            fs.mkdirs(path)
         return own
 
-    def _at(self, kind: str, batch: str) -> str:
-        return f"{self.folder}/{kind}/{hashlib.sha256(batch.encode()).hexdigest()[:32]}"
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _mark(self, kind: str, name: str, content: dict) -> bool:
+        """A marker of this name, whole and once; False if there is one already."""
+        jvm = self.spark._jvm
+        fs, path = self._path(f"{kind}/{name}")
+        if fs.exists(path):
+            return False
+        _, draft = self._path(f"{kind}/_{uuid.uuid4().hex}")  # readers pass over such names
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
+        never_over = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(draft, path, never_over)
+        except Py4JJavaError as failure:
+            fs.delete(draft, False)
+            if "FileAlreadyExistsException" in failure.java_exception.getClass().getName():
+                return False
+            raise
+        return True
 
-    def _write(self, batch: str, sums: DataFrame, folds: list[str]) -> None:
-        # A batch that failed half-way has left part of this folder; it is written over.
-        sums.coalesce(1).write.mode("overwrite").parquet(self._at("deltas", batch))
-        self.spark.createDataFrame([(batch, folds)], _COMMIT).coalesce(1).write.mode("overwrite").parquet(self._at("commits", batch))
+    @staticmethod
+    def _name(batch: str) -> str:
+        return hashlib.sha256(batch.encode()).hexdigest()[:32]
 
     def commits(self) -> DataFrame:
-        return self.spark.read.schema(_COMMIT).parquet(f"{self.folder}/commits/*")
+        """(batch, attempt) of the markers there are now."""
+        return self.spark.read.schema(_MARKER).json(f"{self.folder}/commits")
+
+    def generation(self) -> tuple[int, str | None]:
+        """The last generation and whose sums it counts; 0 before the first."""
+        last = self.spark.read.schema(_GENERATION).json(f"{self.folder}/generations").orderBy(F.desc("generation")).first()
+        return (last.generation, last.attempt) if last else (0, None)
+
+    def _folded(self, attempt: str | None) -> DataFrame:
+        if attempt is None:
+            return self.spark.createDataFrame([], "batch string")
+        return self.spark.read.schema("batch string").parquet(f"{self.folder}/folds/{attempt}")
 
     def committed(self, batch: str) -> bool:
-        return not self.commits().filter((F.col("batch") == batch) | F.array_contains("folds", batch)).isEmpty()
+        fs, path = self._path(f"commits/{self._name(batch)}")
+        return fs.exists(path) or not self._folded(self.generation()[1]).filter(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of signed counts; False if its id is known and nothing was done."""
@@ -81,27 +129,59 @@ class Rollup:
         sums = changes.groupBy(*KEYS).agg(
             F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.coalesce("tokens", F.lit(0))).cast("long").alias("n_tokens")
         )
-        self._write(batch, sums.select(F.lit(batch).alias("batch"), *KEYS, "n_docs", "n_tokens"), [])
-        return True
+        return self._mark("commits", self._name(batch), {"batch": batch, "attempt": self._write(sums)})
 
-    def _live(self) -> DataFrame:
-        commits = self.commits()
-        folded = commits.select(F.explode("folds").alias("batch"))
-        live = commits.select("batch").join(folded, "batch", "left_anti")
-        return self.spark.read.schema(_DELTA).parquet(f"{self.folder}/deltas/*").join(live, "batch", "left_semi")
+    def _write(self, sums: DataFrame) -> str:
+        attempt = uuid.uuid4().hex
+        sums.select(*KEYS, "n_docs", "n_tokens").coalesce(1).write.parquet(f"{self.folder}/deltas/attempt={attempt}")
+        return attempt
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens)."""
-        sums = self._live().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    def _live(self, attempt: str | None) -> DataFrame:
+        """(batch, attempt) of the batches that this generation does not name."""
+        return self.commits().join(self._folded(attempt), "batch", "left_anti")
+
+    def _sums(self, live: DataFrame, attempt: str | None) -> DataFrame:
+        counted = live.select("attempt").unionByName(self.spark.createDataFrame([(attempt,)] if attempt else [], "attempt string"))
+        rows = self.spark.read.schema(_DELTA).parquet(f"{self.folder}/deltas").join(counted, "attempt", "left_semi")
+        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self) -> str:
-        """Folds all batches into one and returns its id; the old ones stay known by theirs."""
-        names = sorted(r.batch for r in self.commits().select("batch").collect() if r.batch)
-        batch = "folded " + hashlib.sha256("\n".join(names).encode()).hexdigest()[:16]
-        if names and batch not in names:
-            self._write(batch, self.totals().select(F.lit(batch).alias("batch"), *KEYS, "n_docs", "n_tokens"), names)
-        return batch
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, n_docs, n_tokens)."""
+        attempt = self.generation()[1]
+        return self._sums(self._live(attempt), attempt)
+
+    def compact(self) -> bool:
+        """Folds the batches there are into a new generation; False if there was nothing to fold,
+        or another compaction was first. Folded batches stay known by their ids."""
+        number, attempt = self.generation()
+        # Listed once: sums and names speak of the same batches.
+        live = materialize(self._live(attempt), "rollup-live")
+        if live.isEmpty():
+            return False
+        new = self._write(self._sums(live, attempt))
+        self._folded(attempt).unionByName(live.select("batch")).write.parquet(f"{self.folder}/folds/{new}")
+        return self._mark("generations", f"{number + 1:012d}", {"generation": number + 1, "attempt": new})
+
+    def vacuum(self) -> int:
+        """Removes sums and markers of the batches that the last generation but one had folded,
+        and what generations before it kept; the number of batches removed."""
+        made = self.spark.read.schema(_GENERATION).json(f"{self.folder}/generations").orderBy(F.desc("generation"))
+        before = [r.attempt for r in made.limit(2).toLocalIterator()][1:]
+        if not before:
+            return 0
+        old = materialize(self.commits().join(self._folded(before[0]), "batch", "left_semi"), "rollup-old")
+        gone = 0
+        for row in old.toLocalIterator():  # the batches of one generation, each of which a driver has committed
+            for name in (f"deltas/attempt={row.attempt}", f"commits/{self._name(row.batch)}"):
+                fs, path = self._path(name)
+                fs.delete(path, True)
+            gone += 1
+        for row in made.offset(2).toLocalIterator():
+            for name in (f"deltas/attempt={row.attempt}", f"folds/{row.attempt}", f"generations/{row.generation:012d}"):
+                fs, path = self._path(name)
+                fs.delete(path, True)
+        return gone
 
 
 #: Versions of a plain tokenizer: runs without white space, then runs of ASCII letters and

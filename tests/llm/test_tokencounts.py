@@ -64,13 +64,75 @@ def test_a_batch_counts_once(spark, rollup):
 
 def test_a_batch_without_commit_does_not_count(spark, rollup):
     rollup.commit("a", t.inserted(frame(spark, A)))
-    # What a job leaves that ended between the sums and the commit.
-    lost = frame(spark, B).select(F.lit("b").alias("batch"), *t.KEYS, F.lit(99).cast("long").alias("n_docs"), F.lit(99).cast("long").alias("n_tokens"))
-    lost.write.parquet(rollup._at("deltas", "b"))
+    # What a job leaves that ended between the sums and the marker, or while it made the marker.
+    lost = frame(spark, B).select(*t.KEYS, F.lit(99).cast("long").alias("n_docs"), F.lit(99).cast("long").alias("n_tokens"))
+    rollup._write(lost)
+    fs, path = rollup._path("commits/_draft")
+    fs.create(path).close()
     assert totals(rollup) == plain((1, A))
     assert rollup.commit("b", t.inserted(frame(spark, B))) and totals(rollup) == plain((1, A), (1, B))
 
 
+def test_a_batch_committed_during_a_compaction_counts_once(spark, rollup, monkeypatch):
+    """Between the list and the sums, between the sums and the names, and before the marker."""
+    rollup.commit("a", t.inserted(frame(spark, A)))
+    late = iter(["late 1", "late 2", "late 3"])
+    other = t.Rollup(spark, rollup.folder)
+    for name in ("_sums", "_write", "_mark"):
+        own = getattr(rollup, name)
+
+        def with_commit(*args, own=own):
+            batch = next(late, None)
+            if batch:
+                assert other.commit(batch, t.inserted(frame(spark, B)))
+            return own(*args)
+
+        monkeypatch.setattr(rollup, name, with_commit)
+    assert rollup.compact()
+    want = plain((1, A), (1, B), (1, B), (1, B))
+    assert totals(other) == want
+    assert other.compact() and totals(other) == want
+    assert not other.commit("late 1", t.inserted(frame(spark, B))) and totals(other) == want
+
+
+def test_of_two_writers_one_counts(spark, rollup, monkeypatch):
+    """Two compactions of different batches, and two commits of one batch, that overlap."""
+    rollup.commit("a", t.inserted(frame(spark, A)))
+    other, own = t.Rollup(spark, rollup.folder), rollup._mark
+
+    def mark_later(kind, name, content):
+        if kind == "generations":
+            other.commit("b", t.inserted(frame(spark, B)))
+            assert other.compact()
+        elif content["batch"] == "twice":
+            assert other.commit("twice", t.inserted(frame(spark, A)))
+        return own(kind, name, content)
+
+    monkeypatch.setattr(rollup, "_mark", mark_later)
+    assert not rollup.compact()
+    assert totals(rollup) == plain((1, A), (1, B)) and other.generation()[0] == 1
+    assert not rollup.commit("twice", t.inserted(frame(spark, B)))
+    assert totals(rollup) == plain((1, A), (1, B), (1, A))
+
+
+def test_vacuum_changes_no_sum(spark, rollup):
+    want = []
+    for i in range(4):
+        rollup.commit(f"b{i}", t.inserted(frame(spark, A if i % 2 else B)))
+        want.append((1, A if i % 2 else B))
+        assert rollup.compact() and not rollup.compact()
+        assert rollup.vacuum() == (1 if i else 0) and rollup.vacuum() == 0
+        assert totals(rollup) == plain(*want)
+    assert rollup.commits().count() == 1 and not rollup.commit("b0", t.inserted(frame(spark, A)))
+    assert spark.read.parquet(f"{rollup.folder}/deltas").select("attempt").distinct().count() <= 3
+
+
+def test_empty_batches(spark, rollup):
+    assert rollup.commit("none", t.inserted(frame(spark, []))) and not rollup.commit("none", t.inserted(frame(spark, A)))
+    assert totals(rollup) == {} and rollup.compact() and totals(rollup) == {}
+    assert not rollup.commit("none", t.inserted(frame(spark, A))) and totals(rollup) == {}
+
+
 def test_tokens(spark):
     rows = [(None,), ("",), (" \n",), ("ab, c1\té🙂",)]
     got = spark.createDataFrame(rows, "text string").select(*[t.tokens(F.col("text"), v) for v in t.TOKENIZERS]).collect()
