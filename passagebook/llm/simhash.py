@@ -164,7 +164,9 @@ def _large(fps: np.ndarray, free: list[int], most: int) -> tuple[np.ndarray, np.
     """Links of a large group whose members differ in the free bits only, by flips.
 
     At most `most` differing bits means at most half of them, rounded up, on one side and
-    the rest on the other: the two meet when each is flipped so often.
+    the rest on the other: the two meet when each is flipped so often. Where members meet,
+    that with the fewest flips is near enough to all others that any of them may be linked
+    to there, so each is compared with it alone.
     """
     order = np.argsort(fps, kind="stable")
     links_a, links_b = [], []
@@ -178,16 +180,16 @@ def _large(fps: np.ndarray, free: list[int], most: int) -> tuple[np.ndarray, np.
                 owner.append(who[-1])
             values.append(np.concatenate(more))
             who.append(np.concatenate(owner))
+        flipped = np.repeat(np.arange(len(values)), [len(v) for v in values])
         v, w = np.concatenate(values), np.concatenate(who)
-        by = np.lexsort((w, v))
+        by = np.lexsort((w, flipped, v))
         v, w = v[by], w[by]
         same = np.flatnonzero(v[1:] == v[:-1])
         first = np.maximum.accumulate(np.where(np.r_[True, v[1:] != v[:-1]], np.arange(len(v)), 0))
-        a, b = w[first[same + 1]], w[same + 1]
-        for x, y in ((a, b), (w[same], w[same + 1])):
-            good = np.bitwise_count(fps[x] ^ fps[y]) <= most
-            links_a.append(x[good & (x != y)])
-            links_b.append(y[good & (x != y)])
+        x, y = w[first[same + 1]], w[same + 1]
+        good = (np.bitwise_count(fps[x] ^ fps[y]) <= most) & (x != y)
+        links_a.append(x[good])
+        links_b.append(y[good])
 
     if len(fps) <= 1 << 14 or most > 2:
         meet(order, free, (most + 1) // 2)

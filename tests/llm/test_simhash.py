@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -66,8 +67,6 @@ def test_links_equal_all_pairs(spark, most):
 
 
 def test_large_groups_in_parts(spark):
-    import numpy as np
-
     rng = np.random.default_rng(1)
     fps = np.unique(rng.integers(0, 1 << 21, 20000).astype(np.uint64) << np.uint64(5))
     a, b = simhash._large(fps, list(range(5, 26)), 2)
@@ -117,3 +116,17 @@ def test_components_of_a_long_chain(spark):
     chain = spark.range(300).select((F.col("id") * 7 % 301).alias("a"), ((F.col("id") + 1) * 7 % 301).alias("b"))
     assert {r.root for r in components(chain).collect()} == {0}
     assert components(chain.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 4])
+def test_large_groups_lose_no_link(most):
+    """Members that meet after flips and those between them, for odd and even distances."""
+    rng = np.random.default_rng(most)
+    for _ in range(40):
+        free = [int(b) for b in rng.choice(64, 10 if most < 4 else 12, replace=False)]
+        size = int(rng.integers(5, 150))
+        fps = np.unique(np.array([sum(1 << b for b in free if rng.random() < 0.5) for _ in range(size)], np.uint64))
+        a, b = simhash._large(fps, free, most)
+        assert (np.bitwise_count(fps[a] ^ fps[b]) <= most).all()
+        x, y = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= most, 1))
+        assert np.array_equal(simhash._stars(len(fps), a, b), simhash._stars(len(fps), x, y))
