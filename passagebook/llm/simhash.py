@@ -398,6 +398,23 @@ def frequencies(texts: DataFrame, size: int, share: float) -> tuple[np.ndarray,
     return h[by], many.column(1).to_numpy()[by]
 
 
+#: Texts of different roots that one shingle may bring together, and how often those that
+#: bring more are moved to the end of the order. What is left then is shared by texts that
+#: consist of such shingles for the most part, which makes them similar to one another.
+HOT, ORDERS = 256, 3
+
+
+def _moved_back(known: tuple[np.ndarray, np.ndarray], hot: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The frequencies with these shingles behind all others, by the number of their roots.
+    Each of them stands for HOT rows that met, so they are few beside the rows."""
+    h = hot.column("h").to_numpy().view(np.uint64)
+    n = (1 << 29) + np.minimum(hot.column("roots").to_numpy(), 1 << 29)
+    others = ~np.isin(known[0], h)
+    h, n = np.concatenate([known[0][others], h]), np.concatenate([known[1][others], n.astype(np.int32)])
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
 def prefix(hashes: np.ndarray, least: float, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The shingles of a set among which every set as similar has one, rarest first."""
     n = len(hashes)
@@ -587,17 +604,21 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, ident: st
     found = materialize(profiles(docs, size, ident, text), "profiles")
     keyed = _keyed(docs, ident, text)
     total = found.agg(F.sum("n")).first()[0] or 0
-    sent = docs.sparkSession.sparkContext.broadcast(frequencies(keyed.select("text"), size, min(1.0, sample / max(1, total))))
-    firsts = keyed.select("text").mapInArrow(_prefixes(sent, size, least), "h long, id long, n int, pos int")
-    met = firsts.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_holders(least), "h long, id long, n int, pos int, centre long")
-    met = materialize(met, "met")
-    tallies = found.join(met.select("id").distinct(), "id").groupBy("id").agg(F.first("n").alias("n"), F.first("tally").alias("tally"))
-    tallies = materialize(tallies, "tallies")
+    known = frequencies(keyed.select("text"), size, min(1.0, sample / max(1, total)))
+
+    def meet() -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(known)
+        firsts = keyed.select("text").mapInArrow(_prefixes(sent, size, least), "h long, id long, n int, pos int")
+        met = firsts.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_holders(least), "h long, id long, n int, pos int, centre long")
+        return materialize(met, "met")
 
     def compared(pairs: DataFrame) -> DataFrame:
         # Sets are made of the texts that still have a partner, and of one text for each set.
         with Scratch(docs.sparkSession) as scratch:
-            possible = materialize(_possible(pairs, tallies, least), "possible")
+            pairs = materialize(pairs, "pairs")
+            ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+            tallies = found.join(ids, "id").groupBy("id").agg(F.first("n").alias("n"), F.first("tally").alias("tally"))
+            possible = materialize(_possible(pairs, materialize(tallies, "tallies"), least), "possible")
             ids = possible.select(F.col("a").alias("id")).unionByName(possible.select(F.col("b").alias("id"))).distinct()
             wanted = materialize(found.join(ids, "id").groupBy("node").agg(F.min("k1").alias("k1")).select("k1").distinct(), "wanted")
             wanted = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
@@ -605,10 +626,24 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, ident: st
             return scratch.keep(materialize(_similar(possible, materialize(sets, "sets"), least), "similar"))
 
     # One comparison for each text, with the centre that it meets most often.
+    met = meet()
     one = met.filter("id <> centre").groupBy("id", "centre").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("centre", F.struct("n", "centre")).alias("b"))
     some = compared(one.select(F.col("id").alias("a"), "b"))
     roots = components(some.select("a", "b")).withColumnRenamed("node", "id")
-    rooted = met.drop("centre").join(roots, "id", "left").select("h", F.coalesce("root", "id").alias("root"), "id", "n", "pos")
+
+    def by_root() -> DataFrame:
+        return met.drop("centre").join(roots, "id", "left").select("h", F.coalesce("root", "id").alias("root"), "id", "n", "pos")
+
+    # A shingle that the sample did not show to be frequent may be held by many texts that are
+    # not similar. Such shingles go to the end of the order, and all texts meet anew.
+    rooted = by_root()
+    for _ in range(ORDERS):
+        hot = rooted.groupBy("h").agg(F.count_distinct("root").alias("roots")).filter(F.col("roots") > HOT).toArrow()
+        if not hot.num_rows:
+            break
+        known = _moved_back(known, hot)
+        met = meet()
+        rooted = by_root()
     pairs = rooted.repartition("h").sortWithinPartitions("h", "root", "id").mapInArrow(_meetings(least), "a long, b long").distinct()
     rest = compared(pairs)
     same = components(some.unionByName(rest).select(F.col("x").alias("a"), F.col("y").alias("b")))

@@ -177,6 +177,29 @@ def test_every_pair_of_a_large_class_is_compared(spark):
     assert same_partition(got, plain_roots(texts))
 
 
+def test_shingles_of_many_unlike_texts_make_few_pairs(spark, monkeypatch):
+    """A passage that the sample does not show: it brings all texts together once, then none."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(30)]
+    texts = [" ".join(passage + [f"u{k}w{i}" for i in range(70)]) for k in range(150)]
+    texts += [" ".join(edited(texts[k].split(), rng, 2, f"e{k}").split()) for k in range(0, 150, 3)]
+    made, meetings = [], simhash._possible
+
+    def counted(pairs, *args):
+        made.append(pairs.count())
+        return meetings(pairs, *args)
+
+    monkeypatch.setattr(simhash, "_possible", counted)
+    monkeypatch.setattr(simhash, "frequencies", lambda *a: (np.empty(0, np.uint64), np.empty(0, np.int32)))
+    got = {}
+    for hot in (10**9, 20):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        made.clear()
+        assert same_partition(roots_of(spark, texts), plain_roots(texts))
+        got[hot] = made[1]
+    assert got[20] < 100 < 5000 < got[10**9]
+
+
 def test_line_dedup_keeps_the_first(spark):
     rows = [(i, f"Common line \nown {i}\n\nCOMMON LINE\n", "en", "s", 30) for i in range(12)] + [(50, "rare\nrare", "en", "s", 9), (51, None, "en", "s", None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in p.line_dedup(spark, spark.createDataFrame(rows, KINDS), "").collect()}
