@@ -398,6 +398,10 @@ def frequencies(texts: DataFrame, size: int, share: float) -> tuple[np.ndarray,
     return h[by], many.column(1).to_numpy()[by]
 
 
+#: While shingles bring together more pairs of different roots than so many for each row
+#: that met, texts are first compared with one more partner each, as long as that joins any;
+#: and the most turns of that. Shingles with so many pairs a row are met with tallies at hand.
+CROWD, TURNS, DENSE = 2, 3, 16
 #: Texts of different roots that one shingle may bring together, and how often those that
 #: bring more are moved to the end of the order. What is left then is shared by texts that
 #: consist of such shingles for the most part, which makes them similar to one another.
@@ -506,6 +510,25 @@ def _holders(least: float):
     return _grouped(finish, True)
 
 
+def _partners(least: float, turn: int):
+    """Over rows (h, root, id, n, pos) sorted by h: each text with the next one of its shingle
+    that is of another root, in an order of texts that is another one every turn."""
+
+    def finish(h, root, ident, n, pos):
+        place = mix(ident.view(np.uint64) ^ np.uint64(turn * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        by = np.lexsort((place, h))
+        start = np.flatnonzero(np.r_[True, h[by][1:] != h[by][:-1]])
+        stop = np.r_[start[1:], len(by)]
+        following = np.arange(1, len(by) + 1)
+        following[stop - 1] = start  # the last one of a shingle meets its first
+        i, j = by, by[following]
+        good = (root[i] != root[j]) & _may(least, n, pos, i, j)
+        a, b = ident[i[good]], ident[j[good]]
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return _grouped(finish, False)
+
+
 def _meetings(least: float):
     """Over rows (h, root, id, n, pos) sorted so: all pairs of a shingle that may be similar
     and are not of one root."""
@@ -538,6 +561,62 @@ def _meetings(least: float):
     return _grouped(finish, False)
 
 
+class _Tallies:
+    """The tallies of a group's members, added up to each length that is asked for."""
+
+    def __init__(self, tallies: np.ndarray):
+        self.length = np.array([len(t) for t in tallies])
+        self.rows, self.at = {}, np.zeros(len(tallies), np.int64)
+        for length in np.unique(self.length):
+            own = np.flatnonzero(self.length == length)
+            self.at[own] = np.arange(len(own))
+            self.rows[length, length] = np.frombuffer(b"".join(tallies[own]), np.uint8).reshape(len(own), length).astype(np.int16)
+
+    def of(self, members: np.ndarray, own: int, length: int) -> np.ndarray:
+        """Those of members, all `own` long, added up to a length."""
+        if (own, length) not in self.rows:
+            self.rows[own, length] = self.rows[own, own].reshape(-1, length, own // length).sum(axis=2, dtype=np.int16)
+        return self.rows[own, length][self.at[members]]
+
+    def may_reach(self, least: float, i: int, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of the members j those whose tallies allow the similarity to member i."""
+        good = np.ones(len(j), bool)
+        for own in np.unique(self.length[j]):
+            length = min(own, self.length[i])
+            if length:
+                some = np.flatnonzero(self.length[j] == own)
+                mine = self.of(np.array([i]), self.length[i], length)
+                common = np.minimum(mine, self.of(j[some], own, length)).sum(axis=1, dtype=np.int64)
+                good[some] = common >= least * (int(n[i]) + n[j[some]] - common) - 1e-9
+        return good
+
+
+def _dense_meetings(least: float):
+    """As _meetings, over rows (h, root, id, n, pos, tally) of shingles that bring together many
+    texts of different roots: pairs that their tallies rule out are not made."""
+
+    def finish(h, root, ident, n, pos, tally):
+        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        for start, stop in zip(starts, np.r_[starts[1:], len(h)]):
+            part = slice(start, stop)
+            r, ids, size, place, tallies = root[part], ident[part], n[part], pos[part], _Tallies(tally[part])
+            ends = np.searchsorted(r, r, side="right")
+            left, right, held = [], [], 0
+            for i in range(len(ids)):
+                j = np.arange(ends[i], len(ids))
+                j = j[_may(least, size, place, i, j)]
+                j = j[tallies.may_reach(least, i, j, size)] if len(j) else j
+                left.append(np.full(len(j), ids[i]))
+                right.append(ids[j])
+                held += len(j)
+                if held >= PAIRS or i == len(ids) - 1:
+                    a, b = np.concatenate(left), np.concatenate(right)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    left, right, held = [], [], 0
+
+    return _grouped(finish, False)
+
+
 def _sets(keyed: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -595,6 +674,14 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return together.mapInArrow(run, "a long, b long, x binary, y binary")
 
 
+def _crowds(rooted: DataFrame) -> DataFrame:
+    """(h, n, pairs): for each shingle its rows, and its pairs of rows of different roots."""
+    n = F.col("n")
+    by_root = rooted.groupBy("h", "root").agg(F.count("*").alias("n"))
+    by_h = by_root.groupBy("h").agg(F.sum(n).alias("n"), F.sum(n * n).alias("same"))
+    return by_h.select("h", "n", ((n * n - F.col("same")) / 2).alias("pairs"))
+
+
 def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, ident: str = "doc_id", text: str = "text", sample: int = SAMPLE, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """(doc_id, k1, root) of every row; rows are of one root if links of a similarity of at
     least `least` join them, and only then. k1 hashes id and text. Texts with equal sets of
@@ -634,17 +721,42 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, ident: st
     def by_root() -> DataFrame:
         return met.drop("centre").join(roots, "id", "left").select("h", F.coalesce("root", "id").alias("root"), "id", "n", "pos")
 
+    # Near copies of each other that are no near copies of their centre: one partner more at a
+    # time joins most of them, so that few pairs are left to be compared.
+    for turn in range(1, TURNS + 1):
+        rooted = materialize(by_root(), "rooted")
+        crowd = _crowds(rooted).agg(F.sum("n"), F.sum("pairs")).first()
+        if not crowd[0] or crowd[1] <= CROWD * crowd[0]:
+            break
+        partners = rooted.repartition("h").sortWithinPartitions("h").mapInArrow(_partners(least, turn), "a long, b long")
+        nearest = partners.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+        more = compared(nearest)
+        if more.isEmpty():
+            break
+        some = some.unionByName(more)
+        roots = components(some.select("a", "b")).withColumnRenamed("node", "id")
+
     # A shingle that the sample did not show to be frequent may be held by many texts that are
     # not similar. Such shingles go to the end of the order, and all texts meet anew.
-    rooted = by_root()
+    rooted, before = materialize(by_root(), "rooted"), None
     for _ in range(ORDERS):
         hot = rooted.groupBy("h").agg(F.count_distinct("root").alias("roots")).filter(F.col("roots") > HOT).toArrow()
-        if not hot.num_rows:
+        if not hot.num_rows or before is not None and hot.num_rows > before / 2:
             break
-        known = _moved_back(known, hot)
+        known, before = _moved_back(known, hot), hot.num_rows
         met = meet()
-        rooted = by_root()
-    pairs = rooted.repartition("h").sortWithinPartitions("h", "root", "id").mapInArrow(_meetings(least), "a long, b long").distinct()
+        rooted = materialize(by_root(), "rooted")
+
+    dense = materialize(_crowds(rooted).filter(F.col("pairs") > DENSE * F.col("n")).select("h"), "dense")
+    plain = rooted.join(dense, "h", "left_anti").repartition("h").sortWithinPartitions("h", "root", "id")
+    pairs = plain.mapInArrow(_meetings(least), "a long, b long")
+    if not dense.isEmpty():
+        crowded = materialize(rooted.join(dense, "h", "left_semi"), "crowded")
+        tallies = found.join(crowded.select("id").distinct(), "id").groupBy("id").agg(F.first("tally").alias("tally"))
+        crowded = crowded.join(tallies, "id").select("h", "root", "id", "n", "pos", "tally")
+        crowded = crowded.repartition("h").sortWithinPartitions("h", "root", "id")
+        pairs = pairs.unionByName(crowded.mapInArrow(_dense_meetings(least), "a long, b long"))
+    pairs = pairs.distinct()
     rest = compared(pairs)
     same = components(some.unionByName(rest).select(F.col("x").alias("a"), F.col("y").alias("b")))
     return found.select("doc_id", "k1", "node").join(same, "node", "left").select("doc_id", "k1", F.coalesce("root", "node").alias("root"))

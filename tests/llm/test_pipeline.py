@@ -200,6 +200,23 @@ def test_shingles_of_many_unlike_texts_make_few_pairs(spark, monkeypatch):
     assert got[20] < 100 < 5000 < got[10**9]
 
 
+@pytest.mark.parametrize("dense,crowd", [(0, 0), (10**9, 0), (0, 10**9)])
+def test_crowds_of_near_copies(spark, monkeypatch, dense, crowd):
+    """Edited copies of a short text, some similar to each other by 0.8 and some not, in each of
+    the ways in which they may be compared."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(3):
+        base = [f"b{k}w{i}" for i in range(104 + 60 * k)]
+        texts += [edited(base, rng, rng.choice([1, 2, 3]), f"c{k}x{i}") for i in range(70)]
+    want = plain_roots(texts)
+    assert 20 < len(set(want)) < 150
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "HOT", 30)
+    assert same_partition(roots_of(spark, texts), want)
+
+
 def test_line_dedup_keeps_the_first(spark):
     rows = [(i, f"Common line \nown {i}\n\nCOMMON LINE\n", "en", "s", 30) for i in range(12)] + [(50, "rare\nrare", "en", "s", 9), (51, None, "en", "s", None)]
     got = {r.doc_id: (r.text, r.n_chars) for r in p.line_dedup(spark, spark.createDataFrame(rows, KINDS), "").collect()}
