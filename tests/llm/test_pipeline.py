@@ -190,6 +190,8 @@ def test_shingles_of_many_unlike_texts_make_few_pairs(spark, monkeypatch):
         return meetings(pairs, *args)
 
     monkeypatch.setattr(simhash, "_possible", counted)
+    monkeypatch.setattr(simhash, "CROWD", 10**9)  # these have tests of their own
+    monkeypatch.setattr(simhash, "DENSE", 10**9)
     monkeypatch.setattr(simhash, "frequencies", lambda *a: (np.empty(0, np.uint64), np.empty(0, np.int32)))
     got = {}
     for hot in (10**9, 20):
