@@ -5,7 +5,8 @@ holds. `ranking.hybrid` scores the 2k nearest chunks only; here the best k of al
 found, also those that the words bring in from further off.
 
 Posting lists are cut by cell of the vector index, and large cells into slices: a block holds
-the ids of a word's chunks in one slice of one cell. What is known of a query before any block
+the marks of a word's chunks in one slice of one cell: 32 bits of a hash, which within a slice
+name hardly more than one chunk, and what they name too much is scored like the rest. What is known of a query before any block
 is read: the kth score among its 2k nearest chunks is a floor; any other chunk scores at most
 the last of those by vector. So it must hold so many of the query's words, and then holds one
 of all but so many less one of them: only the lists of the rarest are read, and of those only
@@ -38,7 +39,7 @@ _SLACK = 1e-9
 
 @dataclass(frozen=True)
 class Postings:
-    """Blocks (term, cell, slice, n, ids), sorted by term; terms (term, df); and the index."""
+    """Blocks (term, cell, slice, n, marks), sorted by term; terms (term, df); and the index."""
 
     blocks: DataFrame
     terms: DataFrame
@@ -53,9 +54,9 @@ def build(balls: Balls, path: str, content: str = "content", block_rows: int = B
     )
     placed = balls.index.select("chunk_id", "cell", content).join(slices, "cell").select(
         F.explode(word_set(F.coalesce(content, F.lit("")))).alias("term"), "cell",
-        F.pmod(F.xxhash64("chunk_id"), F.col("_slices")).cast("int").alias("slice"), "chunk_id",
+        F.pmod(F.xxhash64("chunk_id"), F.col("_slices")).cast("int").alias("slice"), F.hash("chunk_id").alias("mark"),
     )
-    grouped = placed.groupBy("term", "cell", "slice").agg(F.count(F.lit(1)).alias("n"), F.collect_list("chunk_id").alias("ids"))
+    grouped = placed.groupBy("term", "cell", "slice").agg(F.count(F.lit(1)).alias("n"), F.collect_list("mark").alias("marks"))
     grouped.repartitionByRange("term", "cell").sortWithinPartitions("term", "cell").write.parquet(f"{path}/blocks")
     blocks = spark.read.schema(grouped.schema).parquet(f"{path}/blocks")
     terms = blocks.groupBy("term").agg(F.sum("n").alias("df"))
@@ -133,9 +134,10 @@ def top_k(
     open_cells = in_cell.join(about, "query_id").filter((F.col("most") >= F.col("need")) & (best + _SLACK >= F.col("floor"))).select("query_id", "cell")
     open_blocks = materialize(directory.filter("read").join(open_cells, ["query_id", "cell"]).select("query_id", "term", "cell", "slice"), "hybrid-blocks")
 
-    hits = postings.blocks.join(open_blocks, ["term", "cell", "slice"]).select("query_id", F.explode("ids").alias("chunk_id")).distinct()
-    hits = materialize(hits.join(first, ["query_id", "chunk_id"], "left_anti"), "hybrid-hits")
-    pairs = hits.join(index.select("chunk_id", "embedding", content), "chunk_id").join(asked, "query_id")
+    hits = postings.blocks.join(open_blocks, ["term", "cell", "slice"]).select("query_id", "cell", F.explode("marks").alias("mark")).distinct()
+    hits = materialize(hits, "hybrid-hits")
+    rows = index.select("cell", F.hash("chunk_id").alias("mark"), "chunk_id", "embedding", content)
+    pairs = hits.join(rows, ["cell", "mark"]).join(first.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").join(asked, "query_id")
     schema = f"query_id string, chunk_id string, query_text string, `{content}` string, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from passagebook.functions.vectors import norm
 from passagebook.operators import balls, digests, embedding, indexing, postings, quantised, ranking, search
 from passagebook.operators.upsert import delete_keys, upsert
 from passagebook.plans import inputs
-from passagebook.sources.session import scratch_path
+from passagebook.sources.session import materialize, scratch_path
 
 
 # ---- embedding -----------------------------------------------------------------------
@@ -327,9 +327,14 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_postings(spark: SparkSession, sf: str) -> postings.Postings:
-    """The chunks of all documents by cell, and the inverted index of their words."""
-    index = inputs.text_index(spark, sf)
-    centres = indexing.train_cells(index, indexing.cell_count(index.count()))
+    """The chunks of all documents by cell, and the inverted index of their words. Cells are
+    learned from a sample of the chunks, embedded for it; then all are embedded and written once."""
+    chunks = inputs.chunk_rows(spark, sf).select("chunk_id", "content")
+    rows = max(1, int(inputs.table(spark, sf, "documents").agg(F.sum("n_chars")).first()[0] or 0) // inputs.STEP)
+    some = chunks.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(1000)) < 1000 * indexing.SAMPLE_ROWS / rows)
+    sample = materialize(embedding.embed(some, inputs.embedder()).select("chunk_id", "embedding"), "postings-sample")
+    centres = indexing.train_cells(sample, indexing.cell_count(rows))
+    index = embedding.embed(chunks, inputs.embedder(), keep_text=True, spread=False).select("chunk_id", "content", "embedding")
     return postings.build(balls.build(index, centres, scratch_path(spark, "balls")), scratch_path(spark, "postings"))
 
 
