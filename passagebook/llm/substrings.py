@@ -5,7 +5,7 @@ inside it, so equal windows have equal anchors, and neighbouring windows mostly
 First pass: every task counts the documents of each anchor in a count-min sketch of fixed
 size, and the sketches are added up. A count can only be too high, and no window is in more
 documents than its anchor. Second pass: windows whose anchor is estimated in two documents
-or more are written with an exact hash of 96 bits. They meet by hash, in order of
+or more are written with a hash of 95 bits (the words themselves are not compared). They meet by hash, in order of
 document, in one shuffle; windows of anchors in very many documents are dealt over salts, so
 that no task gathers them, and only the first documents of the salts are compared once more
 by an aggregate with partial results. No window that
