@@ -398,10 +398,10 @@ def frequencies(texts: DataFrame, size: int, share: float) -> tuple[np.ndarray,
     return h[by], many.column(1).to_numpy()[by]
 
 
-#: While shingles bring together more pairs of different roots than so many for each row
-#: that met, texts are first compared with one more partner each, as long as that joins any;
-#: and the most turns of that. Shingles with so many pairs a row are met with tallies at hand.
-CROWD, TURNS, DENSE = 2, 3, 16
+#: Shingles that bring together more pairs of different roots than so many for each of their
+#: rows. Their texts are first compared with one more partner each, so many times at most and
+#: as long as that joins any; what is left of them meets with tallies at hand.
+DENSE, TURNS = 16, 3
 #: Texts of different roots that one shingle may bring together, and how often those that
 #: bring more are moved to the end of the order. What is left then is shared by texts that
 #: consist of such shingles for the most part, which makes them similar to one another.
@@ -699,13 +699,15 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, ident: st
         met = firsts.repartition("h").sortWithinPartitions("h", "id").mapInArrow(_holders(least), "h long, id long, n int, pos int, centre long")
         return materialize(met, "met")
 
-    def compared(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, ruled: DataFrame | None = None) -> DataFrame:
         # Sets are made of the texts that still have a partner, and of one text for each set.
+        # The pairs of `ruled` have been held against their tallies already.
         with Scratch(docs.sparkSession) as scratch:
             pairs = materialize(pairs, "pairs")
             ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
             tallies = found.join(ids, "id").groupBy("id").agg(F.first("n").alias("n"), F.first("tally").alias("tally"))
-            possible = materialize(_possible(pairs, materialize(tallies, "tallies"), least), "possible")
+            possible = _possible(pairs, materialize(tallies, "tallies"), least)
+            possible = materialize(possible if ruled is None else possible.unionByName(ruled).distinct(), "possible")
             ids = possible.select(F.col("a").alias("id")).unionByName(possible.select(F.col("b").alias("id"))).distinct()
             wanted = materialize(found.join(ids, "id").groupBy("node").agg(F.min("k1").alias("k1")).select("k1").distinct(), "wanted")
             wanted = F.broadcast(wanted) if wanted.count() <= broadcast_ids else wanted
@@ -723,22 +725,27 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, ident: st
 
     # Near copies of each other that are no near copies of their centre: one partner more at a
     # time joins most of them, so that few pairs are left to be compared.
+    def crowded() -> DataFrame:
+        dense = materialize(_crowds(rooted).filter(F.col("pairs") > DENSE * F.col("n")).select("h"), "dense")
+        return materialize(rooted.join(dense, "h", "left_semi"), "crowded")
+
+    rooted = materialize(by_root(), "rooted")
     for turn in range(1, TURNS + 1):
-        rooted = materialize(by_root(), "rooted")
-        crowd = _crowds(rooted).agg(F.sum("n"), F.sum("pairs")).first()
-        if not crowd[0] or crowd[1] <= CROWD * crowd[0]:
+        some_rows = crowded()
+        if some_rows.isEmpty():
             break
-        partners = rooted.repartition("h").sortWithinPartitions("h").mapInArrow(_partners(least, turn), "a long, b long")
+        partners = some_rows.repartition("h").sortWithinPartitions("h").mapInArrow(_partners(least, turn), "a long, b long")
         nearest = partners.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
         more = compared(nearest)
         if more.isEmpty():
             break
         some = some.unionByName(more)
         roots = components(some.select("a", "b")).withColumnRenamed("node", "id")
+        rooted = materialize(by_root(), "rooted")
 
     # A shingle that the sample did not show to be frequent may be held by many texts that are
     # not similar. Such shingles go to the end of the order, and all texts meet anew.
-    rooted, before = materialize(by_root(), "rooted"), None
+    before = None
     for _ in range(ORDERS):
         hot = rooted.groupBy("h").agg(F.count_distinct("root").alias("roots")).filter(F.col("roots") > HOT).toArrow()
         if not hot.num_rows or before is not None and hot.num_rows > before / 2:
@@ -747,17 +754,15 @@ def similar_groups(docs: DataFrame, size: int = 5, least: float = 0.8, ident: st
         met = meet()
         rooted = materialize(by_root(), "rooted")
 
-    dense = materialize(_crowds(rooted).filter(F.col("pairs") > DENSE * F.col("n")).select("h"), "dense")
-    plain = rooted.join(dense, "h", "left_anti").repartition("h").sortWithinPartitions("h", "root", "id")
-    pairs = plain.mapInArrow(_meetings(least), "a long, b long")
+    dense = crowded()
+    plain = rooted.join(dense.select("h").distinct(), "h", "left_anti").repartition("h").sortWithinPartitions("h", "root", "id")
+    pairs, ruled = plain.mapInArrow(_meetings(least), "a long, b long").distinct(), None
     if not dense.isEmpty():
-        crowded = materialize(rooted.join(dense, "h", "left_semi"), "crowded")
-        tallies = found.join(crowded.select("id").distinct(), "id").groupBy("id").agg(F.first("tally").alias("tally"))
-        crowded = crowded.join(tallies, "id").select("h", "root", "id", "n", "pos", "tally")
-        crowded = crowded.repartition("h").sortWithinPartitions("h", "root", "id")
-        pairs = pairs.unionByName(crowded.mapInArrow(_dense_meetings(least), "a long, b long"))
-    pairs = pairs.distinct()
-    rest = compared(pairs)
+        tallies = found.join(dense.select("id").distinct(), "id").groupBy("id").agg(F.first("tally").alias("tally"))
+        dense = dense.join(tallies, "id").select("h", "root", "id", "n", "pos", "tally")
+        dense = dense.repartition("h").sortWithinPartitions("h", "root", "id")
+        ruled = dense.mapInArrow(_dense_meetings(least), "a long, b long")
+    rest = compared(pairs, ruled)
     same = components(some.unionByName(rest).select(F.col("x").alias("a"), F.col("y").alias("b")))
     return found.select("doc_id", "k1", "node").join(same, "node", "left").select("doc_id", "k1", F.coalesce("root", "node").alias("root"))
 

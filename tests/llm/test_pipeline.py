@@ -190,8 +190,7 @@ def test_shingles_of_many_unlike_texts_make_few_pairs(spark, monkeypatch):
         return meetings(pairs, *args)
 
     monkeypatch.setattr(simhash, "_possible", counted)
-    monkeypatch.setattr(simhash, "CROWD", 10**9)  # these have tests of their own
-    monkeypatch.setattr(simhash, "DENSE", 10**9)
+    monkeypatch.setattr(simhash, "DENSE", 10**9)  # crowds have a test of their own
     monkeypatch.setattr(simhash, "frequencies", lambda *a: (np.empty(0, np.uint64), np.empty(0, np.int32)))
     got = {}
     for hot in (10**9, 20):
@@ -202,8 +201,8 @@ def test_shingles_of_many_unlike_texts_make_few_pairs(spark, monkeypatch):
     assert got[20] < 100 < 5000 < got[10**9]
 
 
-@pytest.mark.parametrize("dense,crowd", [(0, 0), (10**9, 0), (0, 10**9)])
-def test_crowds_of_near_copies(spark, monkeypatch, dense, crowd):
+@pytest.mark.parametrize("dense,turns", [(0, 3), (10**9, 3), (0, 0)])
+def test_crowds_of_near_copies(spark, monkeypatch, dense, turns):
     """Edited copies of a short text, some similar to each other by 0.8 and some not, in each of
     the ways in which they may be compared."""
     rng = random.Random(12)
@@ -214,7 +213,7 @@ def test_crowds_of_near_copies(spark, monkeypatch, dense, crowd):
     want = plain_roots(texts)
     assert 20 < len(set(want)) < 150
     monkeypatch.setattr(simhash, "DENSE", dense)
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "TURNS", turns)
     monkeypatch.setattr(simhash, "HOT", 30)
     assert same_partition(roots_of(spark, texts), want)
 
