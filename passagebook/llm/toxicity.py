@@ -87,10 +87,11 @@ def swaps(text: str, groups: dict[str, list[str]] = GROUPS):
 
 
 class Classifier:
-    """weights: feature to weight, without the features that have none."""
+    """weights: feature to weight, without the features that have none; swaps: of how many
+    sentences with a swapped name the score changes were held down."""
 
-    def __init__(self, weights: dict[int, float], bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
+    def __init__(self, weights: dict[int, float], bias: float, swaps: int = 0):
+        self.weights, self.bias, self.swaps, self.known = weights, bias, swaps, {}
 
     def __getstate__(self):
         return {**self.__dict__, "known": {}}
@@ -117,6 +118,8 @@ class Classifier:
 class Constant:
     """Stands in where there is nothing to tell apart."""
 
+    swaps = 0
+
     def __init__(self, share: float):
         self.share = share
 
@@ -166,7 +169,7 @@ def train(texts: list[str], labels: list[int], groups: dict[str, list[str]] = GR
             w[used] -= RATE * g / np.sqrt(power[used])
             bias_power += error.sum() ** 2
             bias -= RATE * 0.3 * error.sum() / np.sqrt(bias_power)
-    return Classifier({int(f): float(w[f]) for f in np.flatnonzero(w)}, float(bias))
+    return Classifier({int(f): float(w[f]) for f in np.flatnonzero(w)}, float(bias), len(changes))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, ident: str, text: str, sample_rows: int, learn_bytes: int) -> DataFrame:
@@ -184,15 +187,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, ident: str, text: str
     return whole_texts(rows, learn_bytes)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", ident: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, learn_bytes: int = LEARN_BYTES):
-    """A model from the rows of docs that labels (doc_id, label) name."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", ident: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, learn_bytes: int = LEARN_BYTES,
+          groups: dict[str, list[str]] = GROUPS, penalty: float = PENALTY):
+    """A model from the rows of docs that labels (doc_id, label) name. `groups` are the names
+    to be swapped, by a neutral word for each kind: a corpus has its own."""
     def fit(batches):
         got = []
         for batch in batches:
             got += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [t.decode("utf-8", "replace") for t in texts_of(batch.column(2))])
         got.sort()
         marks = [m for _, m, _ in got]
-        model = train([t for _, _, t in got], marks) if len(set(marks)) == 2 else Constant(float(np.mean(marks)) if marks else 0.0)
+        model = train([t for _, _, t in got], marks, groups, penalty) if len(set(marks)) == 2 else Constant(float(np.mean(marks)) if marks else 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # One task, over the bounded sample.

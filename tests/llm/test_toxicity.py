@@ -62,6 +62,20 @@ def test_learn_and_odd_rows(spark):
     assert t.score(empty, t.learn(empty, labels)).count() == 0
 
 
+def test_groups_are_a_parameter_and_swaps_are_counted(spark):
+    """Names of the corpus' own: the term acts where they occur, and says on how many sentences."""
+    rows = [(i, x.replace("muslim", "zorgon"), y) for i, x, y in texts(800, 4)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    own = {"person": ["zorgon", "quillan", "tref"]}
+    free, held = (t.learn(docs, labels, groups=own, penalty=p) for p in (0.0, t.PENALTY))
+    named = sum("zorgon" in x for _, x, _ in rows)
+    assert held.swaps == free.swaps == 3 * named > 0 and t.learn(docs, labels).swaps == 0
+    rng = random.Random(9)
+    neutral = [" ".join(rng.choices([f"word{i}" for i in range(60)], k=12) + ["zorgon"]) for _ in range(100)]
+    assert np.mean([held.probability(x) for x in neutral]) < 0.6 * np.mean([free.probability(x) for x in neutral])
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.1"
     got = op3_toxicity(spark, sf)
