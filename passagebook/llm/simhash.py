@@ -617,10 +617,17 @@ def _dense_meetings(least: float):
     return _grouped(finish, False)
 
 
+def _slices(batches, rows: int = 512):
+    """Batches in parts: sets are many times larger than other rows."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, rows):
+            yield batch.slice(s, rows)
+
+
 def _sets(keyed: DataFrame, size: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            found = [profile(t, size) for t in texts_of(batch.column(0))]
+        for part in _slices(batches):
+            found = [profile(t, size) for t in texts_of(part.column(0))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_ident(f[0]) for f in found], pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["id", "node", "hashes"]
             )
@@ -655,7 +662,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         key, held, digest = None, None, None
-        for batch in batches:
+        for batch in _slices(batches):
             out = ([], [], [], [])
             for b, part, a, node, hashes in zip(*[batch.column(c).to_pylist() for c in ("b", "part", "a", "node", "hashes")]):
                 if a is None:
