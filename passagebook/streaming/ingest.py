@@ -21,11 +21,16 @@ def read_files(
     files_per_trigger: int = 100,
     pattern: str | None = None,
 ) -> DataFrame:
-    """New parquet files of a folder as a stream, a bounded number per batch."""
+    """New parquet files of a folder as a stream, a bounded number per batch.
+
+    `pattern` names entries of the folder: files, or folders whose files are the stream.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.parquet(folder)
+    if not pattern:
+        return reader.parquet(folder)
+    # A plain name is spelled as a pattern too: as a path it would have to be a folder.
+    plain = not any(c in pattern for c in "*?[{")
+    return reader.parquet(f"{folder}/{pattern[:-1]}[{pattern[-1]}]" if plain else f"{folder}/{pattern}")
 
 
 def ingest_stream(

@@ -402,3 +402,17 @@ def test_incremental_run_takes_each_document_once(spark, tmp_path):
     for part in ("chunks", "index"):
         got = [r.chunk_id for r in spark.read.parquet(f"{target}/{part}").collect()]
         assert sorted(got) == sorted(r.chunk_id for r in want.collect())
+
+
+def test_streams_of_tables_in_several_files(spark, sf, tmp_path):
+    """A table is one file or a folder of files; a stream of either holds all its rows."""
+    from passagebook.plans import inputs, quality
+
+    for name in ("documents", "events"):
+        spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = {r.document_id: r.n for r in inputs.chunk_rows(spark, sf).groupBy("document_id").agg(F.count("*").alias("n")).collect()}
+    for folder in (sf, str(tmp_path)):
+        got = quality.stream_ingest(spark, folder).groupBy("document_id").agg(F.count("*").alias("n"))
+        assert {r.document_id: r.n for r in got.collect()} == want
+        assert {r.document_id: r.n_chunks for r in quality.stream_index(spark, folder).collect()} == want
+        assert quality.stream_dedupe(spark, folder).count() == spark.read.parquet(f"{sf}/events.parquet").count()
