@@ -87,7 +87,7 @@ def keep_bitmaps(docs: DataFrame, **options) -> DataFrame:
 
 
 def apply(docs: DataFrame, bitmaps: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs with kept_text, n_lines and n_dropped."""
+    """The rows of docs with n_lines, n_dropped and kept_text."""
     names = docs.columns
     k1, k2 = row_key(ident, text)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), k1, k2)
@@ -109,5 +109,5 @@ def apply(docs: DataFrame, bitmaps: DataFrame, ident: str = "doc_id", text: str
     intact = joined.filter(F.col("keep").isNull()).select(
         "row", whole.alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")
     )
-    added = ("kept_text", "n_lines", "n_dropped")
+    added = ("n_lines", "n_dropped", "kept_text")
     return lost.unionByName(intact).select("row.*", *[F.col(c).alias(n) for c, n in zip(added, free_names(names, *added))])
