@@ -25,6 +25,8 @@ no row of the component has an id. Other columns are ignored. An empty table giv
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -76,15 +78,17 @@ def fingerprint(text: bytes, size: int) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 5, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, size: int = 5, ident: str = "doc_id", text: str = "text", beside: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp) of every row and the longs `beside`; fp holds the 64 bits as a signed long."""
 
     def run(batches):
         for batch in batches:
             prints = np.fromiter((fingerprint(t, size) for t in texts_of(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            others = [batch.column(2 + i) for i in range(len(beside))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *others], ["doc_id", "fp", *beside])
 
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    kinds = ", ".join(f"{c} long" for c in ("doc_id", "fp", *beside))
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), *beside).mapInArrow(run, kinds)
 
 
 class Ring:
@@ -779,6 +783,30 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, ide
     a missing id being larger than any."""
     with Scratch(docs.sparkSession) as scratch:
         groups = scratch.keep(materialize(similar_groups(docs, size, least, ident, text, broadcast_ids=broadcast_ids), "groups"))
+    return _one_of_each(docs, groups, ident, text, broadcast_ids)
+
+
+def drop_linked(docs: DataFrame, size: int = 5, most: int = 3, ident: str = "doc_id", text: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The same for groups that fingerprints link, at up to `most` differing bits."""
+    with Scratch(docs.sparkSession) as scratch:
+        groups = scratch.keep(materialize(linked_groups(docs, size, most, ident, text), "groups"))
+    return _one_of_each(docs, groups, ident, text, broadcast_ids)
+
+
+def linked_groups(docs: DataFrame, size: int = 5, most: int = 3, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, k1, root) of every row; rows are of one root if links of their fingerprints
+    join them, and only then. k1 hashes id and text."""
+    k1 = F.xxhash64(F.col(ident), F.col(text)).alias("k1")
+    prints = materialize(fingerprints(docs.select(F.col(ident), F.col(text), k1), size, ident, text, ["k1"]), "prints")
+    roots = components(links(prints, most)).withColumnRenamed("node", "fp")
+    # A fingerprint may be that of most rows: its root meets them in parts.
+    roots = roots.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ROOT_PARTS - 1))))
+    parts = prints.withColumn("part", F.pmod(F.xxhash64("doc_id", "k1"), F.lit(ROOT_PARTS)).cast("int"))
+    return parts.join(roots, ["fp", "part"], "left").select("doc_id", "k1", F.coalesce("root", "fp").alias("root"))
+
+
+def _one_of_each(docs: DataFrame, groups: DataFrame, ident: str, text: str, broadcast_ids: int) -> DataFrame:
+    """The first row of each group (doc_id, k1, root)."""
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1")).alias("first"), F.count("*").alias("n"))
     # A group of copies may hold most rows: its first one meets them in parts.
     firsts = first.filter("n > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(ROOT_PARTS - 1))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as p
 from passagebook.llm import bpe, simhash
 from tests.llm.test_decontaminate import plain as plain_leaks
+from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -260,3 +261,18 @@ def test_language_stage_without_languages(spark):
     rows = [(1, "some text", None, "s", 9), (2, "жж 1", None, "s", 4), (3, "12 !?", None, "s", 5), (4, "", None, "s", 0), (5, None, None, "s", None)]
     got = p.language_id(spark, spark.createDataFrame(rows, KINDS), "")
     assert got.columns == COLUMNS and {r.doc_id for r in got.collect()} == {1, 2}
+
+
+def test_near_dedup_is_by_fingerprints(spark, corpus):
+    """The first of each group that fingerprints of five words link at three bits, and no other."""
+    rows, _, half, copies, odd = corpus
+    rows = rows + half + copies + odd
+    prints = [plain_fingerprint(r[1], 5) for r in rows]
+    roots = plain_components(prints, 3)
+    firsts = {}
+    for r, fp in zip(rows, prints):
+        firsts[roots[fp]] = min(firsts.get(roots[fp], (True, 0)), (r[0] is None, r[0] or 0))
+    kept = p.near_dedup(spark, spark.createDataFrame(rows, KINDS), "")
+    assert kept.columns == COLUMNS
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    assert got == sorted(firsts.values()) and (True, 0) in got
