@@ -95,7 +95,8 @@ def file_inventory(spark: SparkSession, sf: str) -> DataFrame:
     what the table says they hold: a line feed ends each text."""
     docs = inputs.table(spark, sf, "documents").select("source", F.coalesce("text", F.lit("")).alias("text"))
     folder = scratch_path(spark, "landing")
-    docs.repartition(4, "source").write.partitionBy("source").text(folder)
+    # By source, but one that holds many texts is spread over several writers.
+    docs.hint("rebalance", "source").write.partitionBy("source").text(folder)
     listed = files.file_inventory(spark, folder, ("txt",)).withColumn("source", F.regexp_extract("path", "/source=([^/]+)/", 1))
     found = listed.groupBy("source").agg(F.sum("size_bytes").alias("n_bytes"), F.max("modified_at").isNotNull().alias("has_time"))
     held = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"))

@@ -118,3 +118,21 @@ def test_hops_of_many_seeds(spark, hops):
         least[node] = min(hop, least.get(node, 99))
     any_seed = graph.k_hop(edge_df, seed_df, hops).collect()
     assert {r.node: r.hop for r in any_seed} == least and len(any_seed) == len(least)
+
+
+def test_a_large_source_lands_in_several_files(spark, sf, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from passagebook.plans import ingestion
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("source", F.lit("one"))
+    docs.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(ingestion, "scratch_path", lambda *_: str(tmp_path / "landing"))
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(name, "50k")
+    try:
+        got = ingestion.file_inventory(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(name)
+    assert len(got) == 1 and got[0].n_documents == docs.count()
+    assert len(list((tmp_path / "landing" / "source=one").glob("*.txt"))) > 1
