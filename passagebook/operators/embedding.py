@@ -18,6 +18,18 @@ from passagebook.functions.vectors import has_vector, list_column
 from passagebook.schemas import CHUNK_EMBEDDINGS, conform
 
 
+# Rows of an Arrow batch whose texts and vectors a task holds at once.
+SLICE_ROWS = 512
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], batch_size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of whole model calls, so that a call sees the same texts."""
+    rows = max(1, SLICE_ROWS // batch_size) * batch_size
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def pending(chunks: DataFrame, embeddings: DataFrame | None = None) -> DataFrame:
     """Chunks without a vector: none in the row, and none in the embeddings table."""
     todo = chunks.filter(~F.coalesce(has_vector(F.col("embedding")), F.lit(False)))
@@ -66,7 +78,7 @@ def embed(
         return vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, batch_size):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             vectors = np.zeros((len(texts), embedder.dim))
             errors: list[str | None] = []

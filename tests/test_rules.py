@@ -416,3 +416,25 @@ def test_streams_of_tables_in_several_files(spark, sf, tmp_path):
         assert {r.document_id: r.n for r in got.collect()} == want
         assert {r.document_id: r.n_chunks for r in quality.stream_index(spark, folder).collect()} == want
         assert quality.stream_dedupe(spark, folder).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_near_seeds_share_a_block(spark):
+    rows = spark.createDataFrame([(f"s{i * 7919 % 640}",) for i in range(640)], "node string").repartition(4)
+    blocks = {}
+    for r in graph._numbered(rows.unionByName(rows)).collect():
+        blocks.setdefault(r._block, []).append((int(r.seed[1:]), r._bit))
+    assert sum(map(len, blocks.values())) == 640
+    for held in blocks.values():
+        numbers, bits = zip(*sorted(held))
+        assert numbers[-1] - numbers[0] == len(held) - 1 and len(set(bits)) == len(held)
+
+
+@pytest.mark.parametrize("batch_size", [1, 32, 700])
+def test_embedding_holds_slices_of_whole_calls(batch_size):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(3000))})
+    parts = list(embedding.in_slices(iter([batch, batch.slice(0, 0)]), batch_size))
+    assert [n for p in parts for n in p.column(0).to_pylist()] == list(range(3000))
+    assert all(p.num_rows <= max(512, batch_size) for p in parts)
+    assert all(p.num_rows % batch_size == 0 for p in parts[:-1])
