@@ -289,3 +289,34 @@ def test_ivf_recall_and_cells_can_fail(spark, sf, monkeypatch):
     assign = search.assign_cells
     monkeypatch.setattr(search, "assign_cells", lambda *a: assign(*a).withColumn("cell", F.col("cell") * 0))
     assert sum(r.n_without_cell for r in retrieval.index_cells(spark, sf).collect()) > 0
+
+
+def test_packs_bound_what_is_sent():
+    """As many packs as memory asks for, enough groups, and few copies of the larger side."""
+    for queries, rows in [(300_000, 22_000_000), (600_000, 600_000), (5_000, 400_000), (10_000, 10), (0, 0)]:
+        packs, blocks = search._packs(queries, rows, search.EXACT_CELLS)
+        assert packs * blocks >= search.GROUPS and rows <= packs * 2 * search.INDEX_SLICE
+        assert blocks == 1 or packs * queries + blocks * rows < search.GROUPS * queries + rows or queries == 0 or rows < queries
+
+
+def test_screened_scores_are_exact(spark):
+    """Rows closer to each other than 32 bits tell apart, lengths far from 1, and too long ones."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=48)
+    vectors = [*(base + rng.normal(size=(300, 48)) * 1e-6), *(rng.normal(size=(300, 48)) * 10.0 ** rng.integers(-4, 3, size=(300, 1)))]
+    ids = [f"c{i:04d}" for i in range(len(vectors))]
+    queries = [base, *rng.normal(size=(5, 48)), base * 1e-3]
+    names = [f"q{i}" for i in range(len(queries))]
+    for more, kind in (([], search._Nearest), ([base * 1e18], search._Nearest)):
+        index = vectors + more
+        best = kind(np.array(names, object), np.float64(queries), 7, np.full(len(queries), -np.inf))
+        for at in range(0, len(index), 97):
+            part = index[at : at + 97]
+            best.add(np.array((ids + ["far"])[at : at + len(part)], object), np.float64(part))
+        got = sorted((r["query_id"], r["score"], r["chunk_id"]) for b in best.batches() for r in b.to_pylist())
+        want = []
+        for name, q in zip(names, queries):
+            scored = sorted((-round(float(np.dot(q, v)), 6), c) for c, v in zip(ids + ["far"], index))
+            want += [(name, -s + 0.0, c) for s, c in scored[:7]]
+        assert [(q, c) for q, _, c in got] == [(q, c) for q, _, c in sorted(want)]
+        np.testing.assert_allclose([s for _, s, _ in got], [s for _, s, _ in sorted(want)], rtol=1e-12, atol=1e-9)
