@@ -320,3 +320,22 @@ def test_screened_scores_are_exact(spark):
             want += [(name, -s + 0.0, c) for s, c in scored[:7]]
         assert [(q, c) for q, _, c in got] == [(q, c) for q, _, c in sorted(want)]
         np.testing.assert_allclose([s for _, s, _ in got], [s for _, s, _ in sorted(want)], rtol=1e-12, atol=1e-9)
+
+
+@pytest.mark.parametrize("probes", [20, 12])
+def test_a_query_goes_once_to_a_pack_of_cells(data, monkeypatch, probes):
+    """However many of its cells it wants: it found k rows in each of them before."""
+    queries, index, query_df, index_df = data
+    sent, final = [], search._final
+    monkeypatch.setattr(search, "GROUPS", 1, raising=False)
+    monkeypatch.setattr(search, "_final", lambda partial, k: final(sent.append(partial) or partial, k))
+    centroids = indexing.train_cells(index_df, 20)
+    celled = search.assign_cells(index_df, centroids)
+    got = rows(search.top_k_cells(query_df, celled, centroids, 5, probes=probes, columns=[]))
+    assert sent[0].count() <= 5 * len(queries)
+    # The rows are those of the nearest cells, and no others.
+    cells = {r.chunk_id: r.cell for r in celled.collect()}
+    for q, v in queries:
+        near = set(np.argsort(-(centroids @ np.float64(v) - (centroids**2).sum(axis=1) / 2), kind="stable")[:probes].tolist())
+        kept = [(c, w) for c, w in index if cells[c] in near]
+        assert [r for r in got if r[0] == q] == brute([(q, v)], kept, 5)
