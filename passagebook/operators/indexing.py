@@ -73,8 +73,10 @@ def cell_count(rows: int, most: int = 4096) -> int:
     return max(1, min(most, math.isqrt(rows)))
 
 
-# Rows that cells are learned from.
+# Rows that cells are learned from, and the most cells whose centroids start spread out: that
+# start is made on the driver and costs the square of the cells. More start as rows of the sample.
 SAMPLE_ROWS = 65_536
+SPREAD_CELLS = 256
 
 
 def train_cells(index: DataFrame, cells: int, seed: int = 42, sample: float | None = None) -> np.ndarray:
@@ -83,12 +85,16 @@ def train_cells(index: DataFrame, cells: int, seed: int = 42, sample: float | No
     They are learned from a sample, by default of at most about SAMPLE_ROWS rows; every row is
     assigned to a cell afterwards.
     """
-    rows = index.select(array_to_vector("embedding").alias("features"))
+    rows = index.select("embedding")
     if sample is None:
         sample = min(1.0, SAMPLE_ROWS / max(1, index.count()))
     if sample < 1:
         rows = rows.sample(fraction=sample, seed=seed)
-    model = KMeans(k=cells, seed=seed, featuresCol="features", maxIter=10).fit(rows)
+    start = "k-means||"
+    if cells > SPREAD_CELLS:
+        start, rows = "random", rows.distinct()  # copies would start as one cell
+    rows = rows.select(array_to_vector("embedding").alias("features"))
+    model = KMeans(k=cells, seed=seed, featuresCol="features", maxIter=10, initMode=start).fit(rows)
     return np.asarray(model.clusterCenters())
 
 

@@ -10,7 +10,9 @@ name hardly more than one chunk, and what they name too much is scored like the
 is read: the kth score among its 2k nearest chunks is a floor; any other chunk scores at most
 the last of those by vector. So it must hold so many of the query's words, and then holds one
 of all but so many less one of them: only the lists of the rarest are read, and of those only
-the blocks in cells whose ball allows enough. The chunks found are then scored exactly.
+the blocks in cells whose ball allows enough. The chunks found are scored by vector where they
+lie, once for all queries that hit them; only pairs that can reach the floor with as many words
+as were hit, and all that were not read, carry their text further and are scored exactly.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,9 @@ BLOCK_ROWS = 8192
 # Scores are rounded; a chunk is left out only if it is lower by more than that.
 _SLACK = 1e-9
 
+# Pairs scored at once.
+_PAIRS = 8192
+
 
 @dataclass(frozen=True)
 class Postings:
@@ -80,6 +86,58 @@ def _bounds(sent):
     return run
 
 
+def _small(queries: DataFrame):
+    """Ids, vectors, floors, numbers of words and of those not read, if the queries are few."""
+    table = queries.limit(search.BROADCAST_QUERIES + 1).toArrow()
+    if table.num_rows > search.BROADCAST_QUERIES or table.nbytes > search.BROADCAST_BYTES:
+        return None
+    numbers = (table.column(c).to_numpy() for c in ("floor", "n_terms", "n_unread"))
+    return table.column("query_id").to_pylist(), matrix(table.column("query_vector")), *numbers
+
+
+def _scored(weights, vectors, asked, n_hit, floor, n_terms, n_unread) -> tuple[np.ndarray, np.ndarray]:
+    """Vector scores of pairs, and which of these can reach the floor with the words they hold."""
+    near = np.round(np.einsum("nd,nd->n", vectors, asked), search.SCORE_DIGITS) + 0.0
+    share = np.minimum(n_hit + n_unread, n_terms) / n_terms
+    return near, np.flatnonzero(weights[0] * near + weights[1] * share + 10.0**-HYBRID_DIGITS + _SLACK >= floor)
+
+
+def _near_lists(sent, weights, content: str):
+    """Over chunks, each with the numbers of the queries that hit it: the pairs that can count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked, floor, n_terms, n_unread = sent.value
+        names = pa.array(ids, pa.string())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors, kept = matrix(batch.column("embedding")), batch.select(["chunk_id", content])
+            number, n_hit = (batch.column(c).flatten().to_numpy() for c in ("number", "n_hit"))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("number")).to_numpy(zero_copy_only=False))
+            for at in range(0, len(row), _PAIRS):
+                q, r = number[at : at + _PAIRS], row[at : at + _PAIRS]
+                near, can = _scored(weights, vectors[r], asked[q], n_hit[at : at + _PAIRS], floor[q], n_terms[q], n_unread[q])
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(q[can])), *kept.take(pa.array(r[can])).columns, pa.array(near[can])], ["query_id", "chunk_id", content, "score"]
+                )
+
+    return run
+
+
+def _near_pairs(weights, content: str):
+    """The same over pairs, for queries of any number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                numbers = (batch.column(c).to_numpy() for c in ("n_hit", "floor", "n_terms", "n_unread"))
+                near, can = _scored(weights, matrix(batch.column("embedding")), matrix(batch.column("query_vector")), *numbers)
+                kept = batch.select(["query_id", "chunk_id", content]).take(pa.array(can))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(near[can])], ["query_id", "chunk_id", content, "score"])
+
+    return run
+
+
 def top_k(
     queries: DataFrame, postings: Postings, k: int = 10, keyword_weight: float = 0.3, semantic_weight: float = 0.7,
     columns: Sequence[str] = ("content",), content: str = "content",
@@ -134,20 +192,29 @@ def top_k(
     open_cells = in_cell.join(about, "query_id").filter((F.col("most") >= F.col("need")) & (best + _SLACK >= F.col("floor"))).select("query_id", "cell")
     open_blocks = materialize(directory.filter("read").join(open_cells, ["query_id", "cell"]).select("query_id", "term", "cell", "slice"), "hybrid-blocks")
 
-    hits = postings.blocks.join(open_blocks, ["term", "cell", "slice"]).select("query_id", "cell", F.explode("marks").alias("mark")).distinct()
-    hits = materialize(hits, "hybrid-hits")
+    # One shuffle: a chunk's hits lie together by its cell and mark, and there it meets all of them.
+    hits = (
+        postings.blocks.join(open_blocks, ["term", "cell", "slice"]).select("query_id", "cell", F.explode("marks").alias("mark"))
+        .repartition("cell", "mark").groupBy("query_id", "cell", "mark").agg(F.count(F.lit(1)).alias("n_hit"))
+    )
     rows = index.select("cell", F.hash("chunk_id").alias("mark"), "chunk_id", "embedding", content)
-    pairs = hits.join(rows, ["cell", "mark"]).join(first.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").join(asked, "query_id")
-    schema = f"query_id string, chunk_id string, query_text string, `{content}` string, score double"
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                dots = np.einsum("nd,nd->n", matrix(batch.column("embedding")), matrix(batch.column("query_vector")))
-                kept = batch.select(["query_id", "chunk_id", "query_text", content])
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.round(dots, search.SCORE_DIGITS) + 0.0)], [*kept.schema.names, "score"])
-
-    more = weighed(pairs.select("query_id", "chunk_id", "query_text", content, "embedding", "query_vector").mapInArrow(score, schema))
+    # What a chunk holds of the words not read is not known: as many as there are. A mark that
+    # names several chunks counts too much, never too little.
+    unread = placed.groupBy("query_id").agg(F.count_if(~F.col("read")).alias("n_unread"))
+    limits = about.select("query_id", "floor", "n_terms").join(unread, "query_id")
+    weights = (semantic_weight, keyword_weight)
+    small = _small(asked.select("query_id", "query_vector").join(limits, "query_id"))
+    if small is None:
+        pairs = hits.join(rows, ["cell", "mark"]).join(asked.select("query_id", "query_vector"), "query_id").join(limits, "query_id")
+        near = pairs.mapInArrow(_near_pairs(weights, content), f"query_id string, chunk_id string, `{content}` string, score double")
+    else:
+        sent = index.sparkSession.sparkContext.broadcast(small)
+        number = F.broadcast(index.sparkSession.createDataFrame([(q, i) for i, q in enumerate(small[0])], "query_id string, number int"))
+        lists = hits.join(number, "query_id").groupBy("cell", "mark").agg(F.collect_list(F.struct("number", "n_hit")).alias("hits"))
+        met = rows.join(lists, ["cell", "mark"]).select("chunk_id", content, "embedding", "hits.number", "hits.n_hit")
+        near = met.mapInArrow(_near_lists(sent, weights, content), f"query_id string, chunk_id string, `{content}` string, score double")
+    pairs = near.join(first.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").join(asked.select("query_id", "query_text"), "query_id")
+    more = weighed(pairs)
     found = search._final(first.unionByName(more).select("query_id", "score", "chunk_id"), k)
 
     everything = postings.blocks.select("term").join(known, "term").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_blocks"))

@@ -81,3 +81,20 @@ def test_no_rows_and_wrong_weights(data):
     for options in ({"k": 0}, {"semantic_weight": 0.0}, {"keyword_weight": -1.0}):
         with pytest.raises(ValueError):
             postings.top_k(query_df, stored, **options)
+
+
+def test_only_pairs_that_can_count_carry_their_text():
+    one = np.array([[1.0, 0.0]])
+    vectors, asked = np.repeat(one, 4, axis=0), np.array([[0.9, 0.1], [0.2, 0.9], [0.2, 0.9], [0.5, 0.0]])
+    n_hit, floor, n_terms, n_unread = np.array([1, 1, 9, 2]), np.full(4, 0.4), np.full(4, 10), np.array([0, 1, 0, 0])
+    near, can = postings._scored((0.7, 0.3), vectors, asked, n_hit, floor, n_terms, n_unread)
+    # 0.66; 0.14 + 0.06 is too little; 0.14 + 0.27 is enough; 0.35 + 0.06 is.
+    assert near.tolist() == [0.9, 0.2, 0.2, 0.5] and can.tolist() == [0, 2, 3]
+
+
+def test_queries_too_many_to_broadcast_find_the_same(spark, sf, monkeypatch):
+    from passagebook.plans import retrieval
+
+    few = sorted(map(tuple, retrieval.hybrid_exact(spark, sf).collect()))
+    monkeypatch.setattr(postings, "_small", lambda queries: None)
+    assert sorted(map(tuple, retrieval.hybrid_exact(spark, sf).collect())) == few

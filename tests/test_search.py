@@ -339,3 +339,13 @@ def test_a_query_goes_once_to_a_pack_of_cells(data, monkeypatch, probes):
         near = set(np.argsort(-(centroids @ np.float64(v) - (centroids**2).sum(axis=1) / 2), kind="stable")[:probes].tolist())
         kept = [(c, w) for c, w in index if cells[c] in near]
         assert [r for r in got if r[0] == q] == brute([(q, v)], kept, 5)
+
+
+def test_many_cells_start_from_the_sample(data, monkeypatch):
+    """The other start is made on the driver, in work that grows with the square of the cells."""
+    _, _, _, index_df = data
+    seen, kmeans = [], indexing.KMeans
+    monkeypatch.setattr(indexing, "KMeans", lambda **options: seen.append(options.get("initMode")) or kmeans(**options))
+    monkeypatch.setattr(indexing, "SPREAD_CELLS", 10, raising=False)
+    assert len(indexing.train_cells(index_df, 10)) == 10 and len(indexing.train_cells(index_df, 11)) == 11
+    assert seen == ["k-means||", "random"]
