@@ -80,6 +80,23 @@ def _packed(numbers: list[int], kind: str = "<u4") -> bytes:
     return np.array(numbers, dtype=kind).tobytes()
 
 
+def _pack_positions(numbers: list[int]) -> bytes:
+    """Rising positions in 16 bits each; in 32, with a byte more, where the last needs that."""
+    return _packed(numbers, "<u2") if numbers[-1] <= 0xFFFF else _packed(numbers) + b"\0"
+
+
+def _pack_fill(positions: bytes, ids: bytes) -> bytes:
+    """How many bytes of positions, these, and the ids."""
+    n = len(positions)
+    return (bytes((n,)) if n < 255 else b"\xff" + n.to_bytes(4, "little")) + positions + ids
+
+
+def _unpack_fill(fill: bytes) -> tuple[list[int], bytes]:
+    n, at = (fill[0], 1) if fill[0] < 255 else (int.from_bytes(fill[1:5], "little"), 5)
+    kind, count = ("<u4", n // 4) if n % 2 else ("<u2", n // 2)
+    return np.frombuffer(fill, kind, count, at).tolist(), fill[at + n :]
+
+
 class Vocabulary:
     """What the tasks need: ranks, the pattern and the frequent words with their ids."""
 
@@ -182,7 +199,7 @@ def _rare(vocabulary: Vocabulary):
                         found.setdefault(w, []).append(i)
                 rows += [row] * len(found)
                 words += found
-                positions += [_packed(p) for p in found.values()]
+                positions += [_pack_positions(p) for p in found.values()]
             at = pa.array(rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(words, pa.string()), pa.array(positions, pa.binary())],
@@ -193,8 +210,7 @@ def _rare(vocabulary: Vocabulary):
 
 
 def _encode_words(vocabulary: Vocabulary):
-    """Words in order become ids, each distinct word once: how many positions, these, and
-    the ids. A document that met the same word before, as repeated rows do, adds nothing."""
+    """Words in order become ids, each distinct word once, after their positions. A document that met the same word before, as repeated rows do, adds nothing."""
 
     def run(batches):
         last, ids = None, b""
@@ -208,8 +224,7 @@ def _encode_words(vocabulary: Vocabulary):
                 if owner != (k1[i], k2[i]):
                     owner = (k1[i], k2[i])
                     keep.append(i)
-                    positions = batch.column(3)[i].as_py()
-                    out.append((len(positions) // 4).to_bytes(4, "little") + positions + ids)
+                    out.append(_pack_fill(batch.column(3)[i].as_py(), ids))
             at = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(out, pa.binary())], ["k1", "k2", "fill"])
 
@@ -239,9 +254,12 @@ def _assembled(vocabulary: Vocabulary, batches):
         for packed, fills in zip(texts_of(batch.column(1)), batch.column(2)):
             parts = [get(w) for w in vocabulary.cut(unpack(packed).decode("utf-8", "replace"))]
             for fill in fills.as_py() or ():
-                count = int.from_bytes(fill[:4], "little")
-                for position in np.frombuffer(fill, "<u4", count, 4).tolist():
-                    parts[position] = fill[4 + 4 * count :]
+                if fill[0] == 2:  # one position, as nearly always
+                    parts[fill[1] | fill[2] << 8] = fill[3:]
+                    continue
+                positions, ids = _unpack_fill(fill)
+                for position in positions:
+                    parts[position] = ids
             out.append(np.frombuffer(b"".join(parts), vocabulary.kind).astype("<u4").tobytes())
         yield batch.column(0), pa.array(out, pa.large_binary())
 

@@ -58,3 +58,12 @@ def test_query(spark, sf, plain):
         ids = plain.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), digest(ids))
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("positions", [[0], [3, 65535], [65536], [1, 2, 70000], list(range(127)), list(range(128)), list(range(0, 200000, 7))])
+def test_fills_are_short_and_come_back(positions):
+    ids = bytes(range(6))
+    fill = bpe._pack_fill(bpe._pack_positions(positions), ids)
+    assert bpe._unpack_fill(fill) == (positions, ids)
+    if len(positions) == 1 and positions[0] <= 0xFFFF:
+        assert len(fill) == 3 + len(ids)  # 8 and the ids before
