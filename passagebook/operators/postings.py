@@ -88,7 +88,7 @@ def _bounds(sent):
 
 def _small(queries: DataFrame):
     """Ids, vectors, floors, numbers of words and of those not read, if the queries are few."""
-    table = queries.limit(search.BROADCAST_QUERIES + 1).toArrow()
+    table = search.first_rows(queries, search.BROADCAST_QUERIES)
     if table.num_rows > search.BROADCAST_QUERIES or table.nbytes > search.BROADCAST_BYTES:
         return None
     numbers = (table.column(c).to_numpy() for c in ("floor", "n_terms", "n_unread"))

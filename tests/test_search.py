@@ -349,3 +349,87 @@ def test_many_cells_start_from_the_sample(data, monkeypatch):
     monkeypatch.setattr(indexing, "SPREAD_CELLS", 10, raising=False)
     assert len(indexing.train_cells(index_df, 10)) == 10 and len(indexing.train_cells(index_df, 11)) == 11
     assert seen == ["k-means||", "random"]
+
+
+def _bags(n, seed):
+    """Bags of words scaled to length 1, in 32 bits: most short, one in forty with words said over and over."""
+    rng = np.random.default_rng(seed)
+    share = 1 / np.arange(10, 74)
+    bags = np.stack([rng.multinomial(rng.integers(3, 60), share / share.sum()) for _ in range(n)]).astype(np.float64)
+    bags[::40, :3] *= 30
+    bags[::17] *= 2
+    return (bags / np.sqrt((bags * bags).sum(axis=1, keepdims=True))).astype(np.float32)
+
+
+def test_whole_numbers_are_met_several_at_once(monkeypatch):
+    """Bags of words are not scored pair by pair, but for those that may be found; vectors of other
+    kinds among them, and queries without a floor, are. The rows are those of a plain search."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows, asked, k = _bags(3000, 1), _bags(200, 2).astype(np.float64), 6
+    rows[7], rows[8], rows[9], rows[500] = rng.normal(size=64), np.nan, 0, rows[501]
+    asked[3], asked[4], asked[5] = rng.normal(size=64), np.inf, 0
+    ids, names = [f"c{i * 7919 % 10007:05d}" for i in range(len(rows))], np.array([f"q{i}" for i in range(len(asked))], object)
+    sound = np.isfinite(rows).all(axis=1)
+    finite = np.isfinite(asked).all(axis=1)
+    scores = np.full((len(asked), len(rows)), -np.inf)
+    scores[np.ix_(finite, sound)] = np.round(asked[finite] @ rows[sound].astype(np.float64).T, search.SCORE_DIGITS) + 0.0
+    floors = np.where(finite, np.sort(scores, axis=1)[:, -8], -np.inf)
+    floors[[0, 1]] = -np.inf, 2.0
+    want = []
+    for i in np.flatnonzero(finite):
+        best = sorted((-scores[i, j], ids[j]) for j in np.flatnonzero(sound & (scores[i] >= floors[i])))[:k]
+        want += [(names[i], c, -s) for s, c in best]
+    pairs, strip = [], search._Nearest._strip
+    monkeypatch.setattr(search._Nearest, "_strip", lambda self, v, only: pairs.append(len(v) * len(self.queries if only is None else only)) or strip(self, v, only))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows.tolist(), pa.list_(pa.float32()))], ["chunk_id", "embedding"])
+    held = search._held_vectors([batch.slice(0, 1000), batch.slice(1000)])
+    got = [r for b in search._best_of(k)(0, held, names, asked, floors) for r in b.to_pylist()]
+    assert sorted((r["query_id"], r["chunk_id"]) for r in got) == sorted((q, c) for q, c, _ in want)
+    scored = {(r["query_id"], r["chunk_id"]): r["score"] for r in got}
+    assert all(abs(scored[q, c] - s) < 1e-9 for q, c, s in want)
+    assert sum(pairs) < 0.1 * len(rows) * len(asked)
+
+
+@pytest.mark.parametrize("divisor", [1, 2, 3, 7])
+def test_counts_are_the_vectors(divisor):
+    """Whatever count the least value stands for; what is not whole numbers is not taken for it."""
+    bags = np.array([[divisor, 2 * divisor + 1, 0, 5 * divisor], [0, 0, 0, 0], [300.0, 1, 0, 0], [1, -1, 0, 2], [1, 2, np.nan, 0]])
+    counts = search._Counts(bags / 17)
+    assert counts.fits.tolist() == [divisor < 4, True, False, False, False]
+    kept = counts.numbers[counts.fits] * counts.units[counts.fits][:, None]
+    np.testing.assert_allclose(kept, bags[counts.fits] / 17, atol=1e-12)
+
+
+@pytest.mark.parametrize("least", [None, 0.4])
+def test_floors_from_samples_of_samples(data, monkeypatch, least):
+    """A large index gives its floors by a sample, whose own come from a smaller one."""
+    queries, index, query_df, index_df = data
+    monkeypatch.setattr(search, "FLOOR_ROWS", 40, raising=False)
+    monkeypatch.setattr(search, "FLOOR_SHARE", 1 / 3)
+    sizes, count = [], search._packs
+    monkeypatch.setattr(search, "_packs", lambda asked, rows, most: sizes.append(rows) or count(asked, rows, most))
+    options = {} if least is None else {"least": least}
+    got = rows(search.top_k(query_df, index_df, 12, columns=[], broadcast_queries=3, **options))
+    assert got == [r for r in brute(queries, index, 12) if least is None or r[2] >= least]
+    assert len(sizes) > 2 and sizes == sorted(sizes) and sizes[0] <= 40
+
+
+def test_results_need_no_rows_below_the_threshold(spark, monkeypatch):
+    """The hybrid threshold bounds the vector score from below; results and their ranks stay."""
+    embedder, settings = HashedWords(64), Settings(similarity_threshold=0.6)
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, rng.integers(2, 12))) for _ in range(150)]
+    vectors = embedder.embed(texts).tolist()
+    index = spark.createDataFrame([(f"c{i:03d}", t, "d", v) for i, (t, v) in enumerate(zip(texts, vectors))], "chunk_id string, content string, document_id string, embedding array<float>")
+    queries = spark.createDataFrame([(f"q{i}", t, v) for i, (t, v) in enumerate(zip(texts[:40:2], vectors[:40:2]))], "query_id string, query_text string, query_vector array<float>")
+    asked, plain = [], search.top_k
+    monkeypatch.setattr(ranking, "top_k", lambda *a, **b: asked.append(b.pop("least", None)) or plain(*a, **b))
+    want = ranking.retrieve(queries, index, settings).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(ranking, "top_k", plain)
+    got = ranking.retrieve(queries, index, settings).orderBy("query_id", "rank").collect()
+    assert got == want and len(got) > 20
+    assert 0.428 < asked[0] < 3 / 7
+    assert ranking._vector_floor(0.6, 0.3, 0.0) is None and ranking._vector_floor(0.5, -1.0, 0.5) < 1.0
